@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from assayer.operators.skew import attach
 from assayer.operators.values import union_all
 from assayer.schema import NUMERIC, columns_of
 
@@ -57,10 +58,6 @@ RANGES = 512
 
 def _with_rank(pairs: DataFrame, axis: str) -> DataFrame:
     """Adds ``rank_<axis>``: the average rank of the value among all rows."""
-    from pyspark.sql import Window
-
-    from assayer.operators.skew import attach
-
     values = pairs.groupBy(axis).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("entries"))
     # Bounded list of cut points; a value's range is the number of cut points at or below it.
     cuts = values.agg(F.percentile_approx(axis, [i / RANGES for i in range(1, RANGES)], 10_000).alias("c")).first()["c"] or []
@@ -77,11 +74,5 @@ def _with_rank(pairs: DataFrame, axis: str) -> DataFrame:
 
 
 def _range_of(value, cuts: list[float]):
-    if not cuts:
-        return F.lit(0)
-    if len(cuts) == 1:
-        return F.when(value < cuts[0], 0).otherwise(1)
-    middle = len(cuts) // 2
-    # Balanced tree of comparisons: nine per value for 512 ranges.
-    return F.when(value < cuts[middle], _range_of(value, cuts[:middle])).otherwise(
-        F.lit(middle + 1) + _range_of(value, cuts[middle + 1:]) if cuts[middle + 1:] else F.lit(middle + 1))
+    """Number of cut points at or below the value (the cuts are one constant array)."""
+    return F.size(F.filter(F.lit(cuts), lambda cut: cut <= value)) if cuts else F.lit(0)

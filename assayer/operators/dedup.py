@@ -22,13 +22,13 @@ def exact_groups(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     The group id is the smallest row id of the group. Nulls equal each other.
     """
     keys = subset or comparable(df)
-    groups = group_sizes(df.na.drop("all", keys), keys, F.min(ROW_ID).alias("group_id"))
+    groups = group_sizes(df.na.drop("all", subset=keys), keys, F.min(ROW_ID).alias("group_id"))
     return groups.where("rows > 1")
 
 
 def groups_all_present(df: DataFrame, columns: list[str]) -> DataFrame:
     """As ``exact_groups`` but a row with any missing key belongs to no group."""
-    return exact_groups(df.na.drop("any", columns), columns)
+    return exact_groups(df.na.drop("any", subset=columns), columns)
 
 
 def members(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:

@@ -243,7 +243,7 @@ def fuzzy_groups_on(df: DataFrame, checks: dict[str, tuple[str, float]], within:
     keys = within or []
     form = lambda c: _word_order(text.normal_form(as_text(df, c))) if c in sort_words else text.normal_form(as_text(df, c))
     inside = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
-    rows = df.na.drop("all", keys) if keys else df
+    rows = df.na.drop("all", subset=keys) if keys else df
     rows = rows.select(F.col(ROW_ID), inside.alias("within"), *[form(c).alias(f"t_{c}") for c in checks])
     for c in checks:
         rows = rows.where(F.col(f"t_{c}") != "")

@@ -148,7 +148,7 @@ def group_count(df: DataFrame, rule: Rule) -> DataFrame | None:
         return _rows_in_groups(group_sizes(df, list(rule.columns)))
     if rule.kind == "cross_composite_unique":
         names = list(rule.columns[:4])
-        return _rows_in_groups(group_sizes(df.na.drop("all", names), names))
+        return _rows_in_groups(group_sizes(df.na.drop("all", subset=names), names))
     if rule.kind == "multi_unique":
         return rows_with_any_repeat(df, list(rule.columns)).agg(F.count(F.lit(1)).alias("issues"))
     return None
@@ -208,7 +208,7 @@ def failing_rows(df: DataFrame, rule: Rule, limit: int | None = None) -> DataFra
         rows = df.join(rows_with_any_repeat(df, list(rule.columns)), ROW_ID, "left_semi")
     elif rule.kind == "cross_composite_unique":
         names = list(rule.columns[:4])
-        rows = members_of_repeated(df.na.drop("all", names), names, ROW_ID)
+        rows = members_of_repeated(df.na.drop("all", subset=names), names, ROW_ID)
     else:
         raise ValueError(f"{rule.kind} judges a column, not rows")
     return rows.orderBy(ROW_ID).limit(limit) if limit else rows

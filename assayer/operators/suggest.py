@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from assayer.session import small
+
 # Name fragments of columns that hold names or descriptions.
 NAME_WORDS = ["name", "desc", "title", "product", "customer", "company", "vendor", "supplier", "brand", "item"]
 # A column with one of these words in its name looks like a key.
@@ -15,11 +17,11 @@ def match_rules(profiled: DataFrame) -> DataFrame:
 
     Works on the profile, one row per column, so all steps are small.
     """
-    p = profiled.select(
+    p = small(profiled.select(
         "column", "position", "null_percentage", "distinct_percentage", "duplicate_count", "duplicate_percentage",
         (F.col("family") == "text").alias("is_text"), F.coalesce("avg_length", F.lit(0.0)).alias("avg_length"),
         F.coalesce("min_length", F.lit(0)).alias("min_length"), F.coalesce("max_length", F.lit(0)).alias("max_length"),
-    )
+    ))
     u, avg = F.col("distinct_percentage"), F.col("avg_length")
     exact_score = (
         F.when((u >= 95) & (u < 100), 35).when((u >= 80) & (u < 95), 25).otherwise(0)
@@ -41,7 +43,7 @@ def match_rules(profiled: DataFrame) -> DataFrame:
         F.col("score").cast("double").alias("confidence"), F.col("n").alias("seq"))
     exact_label = lambda s: F.when(s >= 85, "Strongest").when(s >= 75, "Very Strong").when(s >= 65, "Strong").otherwise("Good")
     fuzzy_label = lambda s: F.when(s >= 70, "Strong").when(s >= 60, "Good").otherwise("Medium")
-    # Two exact and three fuzzy candidates at most; joined on a constant-free condition of their ranks.
+    # Two exact and three fuzzy candidates at most.
     e = exact.where("n <= 2").select(F.col("column").alias("e"), F.col("score").alias("es"), F.col("n").alias("en"))
     f = fuzzy.where("n <= 3").select(F.col("column").alias("f"), F.col("score").alias("fs"), F.col("n").alias("fn"))
     spread = e.select("e", "es", "en", F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("fn"))

@@ -102,7 +102,7 @@ def composite_key(df: DataFrame, glossary: Glossary) -> list[str]:
 def composite_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: repeated combinations, their rows and share; all-null tuples are left out."""
     total = df.agg(F.count(F.lit(1)).alias("t")).first()["t"]
-    groups = group_sizes(df.na.drop("all", keys), keys).where("rows > 1")
+    groups = group_sizes(df.na.drop("all", subset=keys), keys).where("rows > 1")
     return groups.agg(F.count(F.lit(1)).alias("duplicate_combos"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_in_duplicates")).select(
         F.lit(" + ".join(keys)).alias("key"), "duplicate_combos", "rows_in_duplicates",
         F.round(F.col("rows_in_duplicates") / F.lit(max(total, 1)), 4).alias("duplicate_rate"))
@@ -110,7 +110,7 @@ def composite_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def top_duplicates(df: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
     """The ``k`` most frequent repeated tuples, ties by value."""
-    return group_sizes(df.na.drop("all", keys), keys).where("rows > 1").orderBy(F.col("rows").desc(), *keys).limit(k)
+    return group_sizes(df.na.drop("all", subset=keys), keys).where("rows > 1").orderBy(F.col("rows").desc(), *keys).limit(k)
 
 
 def shared_identifiers(df: DataFrame, column: str) -> DataFrame:

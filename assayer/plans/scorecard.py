@@ -128,7 +128,7 @@ def ordered_identifiers(df: DataFrame, glossary: Glossary) -> list[str]:
 
 def repeated_rows(df: DataFrame, keys: list[str], drop_missing: bool = False) -> DataFrame:
     """One row: rows whose key tuple occurs more than once, all copies counted, and all rows."""
-    source = df.na.drop("any", keys) if drop_missing else df
+    source = df.na.drop("any", subset=keys) if drop_missing else df
     return group_sizes(source, keys).agg(
         F.coalesce(F.sum(F.when(F.col("rows") > 1, F.col("rows"))), F.lit(0)).alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("total"))
 
