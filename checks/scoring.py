@@ -145,9 +145,8 @@ check("D15_off_pattern_samples", off_samples, CUST.rstrip() + ", p AS (" + PATTE
 
 VARIANTS = """SELECT '{c}' AS "column", key, count(*) AS distinct_spellings, sum(n)::BIGINT AS total_rows, string_agg(v || '(' || n || ')', ', ' ORDER BY n DESC, v) AS variants FROM (SELECT {c} AS v, regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', '', 'g') AS key, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY ALL) WHERE key <> '' GROUP BY key HAVING count(*) > 1 ORDER BY distinct_spellings DESC, total_rows DESC, key LIMIT 20"""
 check("D16_spelling_variants", lambda s, d: reports.spelling_variants(cust(s, d), "segment"), CUST + VARIANTS.replace("{c}", "segment").replace("{t}", "cust"))
-check("D16_document_variants", lambda s, d: reports.spelling_variants(view(s, d, "docs"), "text").select("column", F.md5("key").alias("key_digest"), "distinct_spellings", "total_rows"))
-ISSUES = "SELECT '{c}' AS \"column\", count(*) FILTER (regexp_matches({c}, '^\\s')) AS leading, count(*) FILTER (regexp_matches({c}, '\\s$')) AS trailing, count(*) FILTER (regexp_matches({c}, '\\s{2,}')) AS doublespace, count(*) FILTER (regexp_matches({c}, '[\\x00-\\x1f\\x7f]')) AS control_chars FROM {t}"
-check("D17_whitespace_issues", lambda s, d: reports.whitespace(view(s, d, "docs"), Glossary()), with_views("docs") + "SELECT * FROM (" + per_column(ISSUES.replace("{t}", "docs"), ["text", "lang", "source"]) + ") WHERE leading + trailing + doublespace + control_chars > 0")
+ISSUES = "SELECT '{c}' AS \"column\", count(*) FILTER (regexp_matches({c}, '^\\s')) AS \"leading\", count(*) FILTER (regexp_matches({c}, '\\s$')) AS \"trailing\", count(*) FILTER (regexp_matches({c}, '\\s{2,}')) AS doublespace, count(*) FILTER (regexp_matches({c}, '[\\x00-\\x1f\\x7f]')) AS control_chars FROM {t}"
+check("D17_whitespace_issues", lambda s, d: reports.whitespace(view(s, d, "docs"), Glossary()), with_views("docs") + "SELECT * FROM (" + per_column(ISSUES.replace("{t}", "docs"), ["text", "lang", "source"]) + ") WHERE \"leading\" + \"trailing\" + doublespace + control_chars > 0")
 check("D18_standardisation_summary", lambda s, d: reports.standardisation_summary(reports.case_patterns(cust(s, d), GLOSSARY)),
       CUST + f"SELECT count(*) AS text_columns, sum(filled - {BEST})::BIGINT AS off_pattern_values, round(sum({BEST}) * 1.0 / sum(filled), 4) AS overall_consistency FROM (" + per_column(CASE_COUNTS, SCOPED) + ")")
 

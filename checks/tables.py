@@ -1 +1,209 @@
-"""To come."""
+"""Sources, sinks and joins of whole tables."""
+
+from __future__ import annotations
+
+import uuid
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+from assayer import ROW_ID
+from assayer.operators import joins
+from assayer.operators.joins import EntityTable
+from assayer.operators.rules import Rule
+from assayer.session import checkpoint_dir
+from assayer.sources import readers, writers
+from assayer.sources.stores import TableStore
+from checks.base import check, read, view, with_views
+
+cust = lambda s, d: view(s, d, "cust")
+CUST = with_views("cust")
+
+
+def scratch(spark, label: str) -> str:
+    """A new folder on the storage the cluster shares."""
+    return f"{checkpoint_dir(spark)}/checks/{label}-{uuid.uuid4().hex}"
+
+
+def totals(df, number, texts):
+    """Order-free digest of a table: rows, a rounded sum, lengths of texts."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(F.col(number).cast("double")), 2).alias("total"), *[F.sum(F.char_length(t)).alias(f"{t}_chars") for t in texts])
+
+
+DIGEST = "SELECT count(*) AS rows, round(sum(price), 2) AS total, sum(length(status))::BIGINT AS status_chars, sum(length(priority))::BIGINT AS priority_chars FROM ord"
+ORD_SQL = with_views("ord") + DIGEST
+ord_ = lambda s, d: view(s, d, "ord")
+
+
+def round_trip(write, suffix, **read_options):
+    def query(s, d):
+        path = scratch(s, suffix.strip("."))
+        write(ord_(s, d), path)
+        return totals(readers.read_table(s, path, suffix, **read_options), "price", ["status", "priority"])
+    return query
+
+
+SCHEMA = "orderkey BIGINT, custkey BIGINT, status STRING, price DOUBLE, priority STRING, ordered TIMESTAMP, shipped TIMESTAMP"
+check("S01_read_csv", round_trip(writers.write_csv, ".csv", schema=SCHEMA), ORD_SQL)
+check("S02_read_tsv", round_trip(lambda df, p: writers.write_csv(df, p, delimiter="\t"), ".tsv"), ORD_SQL)
+check("S03_read_parquet", lambda s, d: totals(readers.read_table(s, f"{d}/orders.parquet"), "o_totalprice", ["o_orderstatus"]), "SELECT count(*) AS rows, round(sum(o_totalprice), 2) AS total, sum(length(o_orderstatus))::BIGINT AS o_orderstatus_chars FROM orders")
+
+
+def read_json_array(s, d):
+    path = scratch(s, "json")
+    records = ord_(s, d).select(F.to_json(F.struct("price", "status", "priority")).alias("value"))
+    # Every part file becomes one array document.
+    records.repartition(8, "value").mapInPandas(_as_array, "value string").write.text(path)
+    return totals(readers.read_table(s, path, ".json", schema="price DOUBLE, status STRING, priority STRING"), "price", ["status", "priority"])
+
+
+def _as_array(batches):
+    yield pd.DataFrame({"value": ["["]})
+    comma = False
+    for batch in batches:
+        lines = batch["value"].tolist()
+        yield pd.DataFrame({"value": [("," if comma or i else "") + line for i, line in enumerate(lines)]})
+        comma = comma or bool(lines)
+    yield pd.DataFrame({"value": ["]"]})
+
+
+check("S04_read_json_array", read_json_array, ORD_SQL)
+check("S05_read_json_lines", round_trip(writers.write_json, ".jsonl"), ORD_SQL)
+
+
+def after_header(s, d):
+    """Files whose names stand on the third line of each file."""
+    path = scratch(s, "header")
+    lines = ord_(s, d).select(F.concat_ws(",", F.col("orderkey").cast("string"), F.col("price").cast("string"), "status").alias("value"))
+    head = ["report of orders", "printed for review,,", "orderkey,price,status"]
+    # Lines are written in partitions; every partition starts with the two title lines and the names.
+    lines.repartition(4, "value").mapInPandas(_with_head(head), "value string").write.text(path)
+    return readers.read_after_header(s, path, 2).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(F.col("price").cast("double")), 2).alias("total"), F.sum(F.char_length("status")).alias("status_chars"))
+
+
+def _with_head(head):
+    def prepend(batches):
+        yield pd.DataFrame({"value": head})
+        yield from batches
+    return prepend
+
+
+check("S06_header_offset", after_header, with_views("ord") + "SELECT count(*) AS rows, round(sum(price), 2) AS total, sum(length(status))::BIGINT AS status_chars FROM ord")
+
+
+def raw_preview(s, d):
+    path = scratch(s, "raw")
+    writers.write_csv(ord_(s, d).orderBy(ROW_ID).coalesce(1), path, ["orderkey", "status"])
+    return readers.preview_raw(s, path, 5)
+
+
+check("S06_raw_preview", raw_preview, with_views("ord") + "SELECT 'orderkey' AS c0, 'status' AS c1 UNION ALL (SELECT orderkey::VARCHAR, status FROM ord ORDER BY _row_id LIMIT 4)")
+
+
+def stored(s, d):
+    store = TableStore(s, scratch(s, "tables"))
+    for name in ("customer", "nation", "region"):
+        store.save(name, read(s, d, name))
+    return store.load("customer").agg(F.count(F.lit(1)).alias("rows")).withColumn("names", F.lit(",".join(store.names())))
+
+
+check("S10_table_store", stored, "SELECT count(*) AS rows, 'customer,nation,region' AS names FROM customer")
+
+
+def snapshot(s, d):
+    from assayer.sources.stores import VersionStore
+
+    store = VersionStore(s, scratch(s, "snapshot"))
+    store.start(cust(s, d))
+    try:
+        store.start(cust(s, d))
+        written_twice = True
+    except Exception:
+        written_twice = False
+    return store.original().agg(F.count(F.lit(1)).alias("rows"), F.count("name").alias("names")).withColumn("written_twice", F.lit(written_twice))
+
+
+check("S11_original_snapshot", snapshot, CUST + "SELECT count(*) AS rows, count(name) AS names, false AS written_twice FROM cust")
+
+
+def quarantine(s, d):
+    from assayer.operators import cleanse
+    from checks.repair import AT, STEPS
+
+    path = scratch(s, "quarantine")
+    for step in (STEPS[5], STEPS[6]):
+        writers.write_quarantine(cleanse.apply(cust(s, d), [step], AT)[1], path)
+    return s.read.parquet(path).groupBy("Rejected_Column").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def quarantine_sql():
+    from assayer.functions.formats import FORMATS
+
+    return CUST + f"SELECT 'code' AS \"Rejected_Column\", count(*) FILTER (NOT coalesce(regexp_matches(code, '{FORMATS['pan']}'), false)) AS rows FROM cust UNION ALL SELECT 'email', count(*) FILTER (length(email) < 1 OR length(email) > 21) FROM cust"
+
+
+check("S12_quarantine_store", quarantine, quarantine_sql())
+check("K07_quarantine_export", quarantine, quarantine_sql())
+
+def _csv_options(s, d):
+    path = scratch(s, "csv")
+    writers.write_csv(ord_(s, d), path, ["orderkey", "status", "price", "priority"], delimiter="|", quote="'", compression="gzip")
+    back = s.read.csv(path, sep="|", header=True, quote="'", schema="orderkey BIGINT, status STRING, price DOUBLE, priority STRING")
+    return totals(back, "price", ["status", "priority"])
+
+
+check("K01_write_csv", _csv_options, ORD_SQL)
+check("K02_write_parquet", round_trip(writers.write_parquet, ".parquet"), ORD_SQL)
+check("K03_write_json", round_trip(lambda df, p: writers.write_json(df, p, compression="gzip"), ".jsonl"), ORD_SQL)
+
+
+def batches(s, d):
+    path = scratch(s, "batches")
+    writers.write_batches(ord_(s, d), path, 500, ["orderkey", "price"], "parquet")
+    per_file = s.read.parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return per_file.agg(F.sum("n").alias("rows"), (F.max("n") <= 500).alias("bounded"))
+
+
+check("K04_write_batches", batches, "SELECT count(*) AS rows, true AS bounded FROM orders")
+
+
+def group_files(s, d):
+    from assayer.operators import dedup
+
+    df, path = view(s, d, "prt"), scratch(s, "groups")
+    found = dedup.members(df, dedup.exact_groups(df, ["name", "brand"]), ["name", "brand"])
+    writers.write_groups(df, found, ["name", "brand"], "exact", path)
+    return s.read.parquet(f"{path}/members").agg(F.count(F.lit(1)).alias("members")).withColumn("groups", F.lit(s.read.parquet(f"{path}/summary").count()).cast("bigint"))
+
+
+check("K06_group_export", group_files, with_views("prt") + "SELECT sum(n)::BIGINT AS members, count(*) AS groups FROM (SELECT count(*) AS n FROM prt GROUP BY name, brand HAVING count(*) > 1)")
+
+
+def failing_file(s, d):
+    path = scratch(s, "failing")
+    writers.write_failing(cust(s, d), Rule("not_blank", "name"), path)
+    return s.read.csv(path, header=True).select(F.col("row_index").cast("bigint").alias("row_index"), "custkey")
+
+
+check("K08_failing_export", failing_file, CUST + "SELECT _row_id AS row_index, custkey::VARCHAR AS custkey FROM cust WHERE name IS NULL OR trim(name) = ''")
+
+
+def joined(s, d):
+    """Customer with nation as extension, a clashing column, and a lookup that stays out."""
+    primary = cust(s, d).withColumnRenamed("nationkey", "n_nationkey")
+    nation = read(s, d, "nation").withColumnRenamed("n_name", "name")
+    return joins.working_view([EntityTable("customer", primary, "primary"), EntityTable("nation", nation, "extension", "n_nationkey"), EntityTable("region", read(s, d, "region"), "lookup", "r_regionkey"),
+                               EntityTable("orders", read(s, d, "orders"), "extension", "no_such_key")]).select(ROW_ID, "name", "name__nation", "n_regionkey")
+
+
+check("J01_working_view", joined, CUST + "SELECT _row_id, name, n_name AS name__nation, n_regionkey FROM cust LEFT JOIN nation ON n_nationkey = nationkey")
+
+
+def documents_with_labels(s, d):
+    return joins.working_view([EntityTable("documents", read(s, d, "documents"), "primary"), EntityTable("labels", read(s, d, "labels"), "extension", "doc_id")]).select("doc_id", "lang", "quality", "toxic")
+
+
+check("J01_optional_extension", documents_with_labels, "SELECT d.doc_id, lang, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)")
+check("J09_orphans", lambda s, d: joins.orphans(read(s, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", read(s, d, "orders").where("o_totalprice > 100000"), "o_orderkey").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("rows")),
+      "SELECT l_linenumber, count(*) AS rows FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000) GROUP BY ALL")
+check("J09_orders_without_customer", lambda s, d: joins.orphans(read(s, d, "customer").select("c_custkey"), "c_custkey", read(s, d, "orders"), "o_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
