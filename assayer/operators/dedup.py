@@ -153,18 +153,19 @@ def duplicate_matrix(df: DataFrame, key_sets: list[tuple[str, list[str]]]) -> Da
     """``(_row_id, match_order, matched_by)``: each row under the first key set it repeats on.
 
     Rows holding a placeholder in a key column are no match for that set.
-    A wider key set can only repeat where each narrower set repeats, but the narrower set may
-    have dropped the row for a placeholder, so every set is tried.
     """
-    valid = lambda keys: _all([text.meaningful(as_text(df, k)) for k in keys])
-    parts = []
-    for n, (label, keys) in enumerate(key_sets):
-        repeated = members_of_repeated(df.where(valid(keys)).select(ROW_ID, *keys), keys, ROW_ID)
-        parts.append(repeated.select(ROW_ID, F.struct(F.lit(n).alias("match_order"), F.lit(label).alias("matched_by")).alias("m")))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union.groupBy(ROW_ID).agg(F.min("m").alias("m")).select(ROW_ID, "m.match_order", "m.matched_by")
+    shown = lambda k: as_text(df, k)
+    # A 128-bit digest of the length-prefixed values stands for the tuple, so one pass covers all sets.
+    digest = lambda keys: F.md5(F.concat(*[F.concat(F.char_length(shown(k)).cast("string"), F.lit(":"), shown(k)) for k in keys]))
+    keyed = [
+        F.when(_all([text.meaningful(shown(k)) for k in keys]), F.struct(F.lit(n).alias("match_order"), digest(keys).alias("digest")))
+        for n, (_, keys) in enumerate(key_sets)
+    ]
+    tuples = df.select(ROW_ID, F.explode(F.array_compact(F.array(*keyed))).alias("k")).select(ROW_ID, "k.match_order", "k.digest")
+    single = group_sizes(tuples, ["match_order", "digest"], F.min(ROW_ID).alias(ROW_ID)).where("rows = 1")
+    repeated = tuples.select(ROW_ID, "match_order").join(single.select(ROW_ID, "match_order"), [ROW_ID, "match_order"], "left_anti")
+    label = F.element_at(F.array(*[F.lit(name) for name, _ in key_sets]), F.col("match_order") + 1)
+    return repeated.groupBy(ROW_ID).agg(F.min("match_order").alias("match_order")).withColumn("matched_by", label)
 
 
 def _all(flags: list[Column]) -> Column:

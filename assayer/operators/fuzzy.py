@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -109,14 +108,11 @@ def _token_function(shared: SharedTokens):
 
 def _keep_function(shared: SharedTokens):
     """Column function: how many of its tokens a text of some length must keep."""
-    at_least = lru_cache(maxsize=None)(shared.at_least)
 
     @F.pandas_udf("int")
     def keep(lengths: pd.Series) -> pd.Series:
-        def count(length: int) -> int:
-            needed = at_least(length)
-            return max(0, length - shared.q + 1 - needed + 1) if needed else 0
-        return lengths.map(count)
+        needed = {length: shared.at_least(length) for length in lengths.unique().tolist()}
+        return lengths.map({length: max(0, length - shared.q + 2 - n) if n else 0 for length, n in needed.items()})
 
     return keep
 

@@ -17,7 +17,8 @@ def chosen(df: DataFrame, columns: list[str] | None, percent: int) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, percent: int = 100, delimiter: str = ",",
               quote: str = '"', encoding: str = "UTF-8", compression: str = "none") -> None:
-    chosen(df, columns, percent).write.csv(path, header=True, sep=delimiter, quote=quote, escape=quote, encoding=encoding, compression=compression)
+    chosen(df, columns, percent).write.csv(path, header=True, sep=delimiter, quote=quote, escape=quote, encoding=encoding,
+                                         compression=compression, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_parquet(df: DataFrame, path: str, columns: list[str] | None = None, percent: int = 100) -> None:
@@ -35,7 +36,7 @@ def write_batches(df: DataFrame, path: str, rows_per_file: int = 100_000, column
     if file_format == "parquet":
         writer.parquet(path)
     else:
-        writer.csv(path, header=True)
+        writer.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_groups(df: DataFrame, membership: DataFrame, keys: list[str], match_type: str, path: str) -> None:
@@ -47,7 +48,7 @@ def write_groups(df: DataFrame, membership: DataFrame, keys: list[str], match_ty
 def write_failing(df: DataFrame, rule: Rule, path: str) -> None:
     """Full rows that break a rule, row id first."""
     rows = failing_rows(df, rule)
-    rows.select(F.col(ROW_ID).alias("row_index"), *[c for c in df.columns if c != ROW_ID]).write.csv(path, header=True)
+    rows.select(F.col(ROW_ID).alias("row_index"), *[c for c in df.columns if c != ROW_ID]).write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_quarantine(quarantine: DataFrame, path: str) -> None:

@@ -206,4 +206,4 @@ def documents_with_labels(s, d):
 check("J01_optional_extension", documents_with_labels, "SELECT d.doc_id, lang, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)")
 check("J09_orphans", lambda s, d: joins.orphans(read(s, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", read(s, d, "orders").where("o_totalprice > 100000"), "o_orderkey").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("rows")),
       "SELECT l_linenumber, count(*) AS rows FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000) GROUP BY ALL")
-check("J09_orders_without_customer", lambda s, d: joins.orphans(read(s, d, "customer").select("c_custkey"), "c_custkey", read(s, d, "orders"), "o_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+check("J09_orders_without_customer", lambda s, d: joins.orphans(read(s, d, "customer").select("c_custkey"), "c_custkey", read(s, d, "orders").where("o_totalprice > 400000"), "o_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
