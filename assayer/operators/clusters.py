@@ -25,37 +25,38 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., SoCC 2014). Every step keeps
     the component structure and finishes in a logarithmic number of rounds on usual graphs.
-    Each round is checkpointed.
+    Each round is written to the checkpoint folder.
     """
     current = cut(edges)
+    size = _digest(current)
     for _ in range(most_rounds):
-        step = cut(_small_star(_large_star(current)).distinct())
-        if _same(step, current):
+        step = cut(_small_star(_large_star(current, size[0]), size[0]).distinct())
+        before, size = size, _digest(step)
+        if size == before:
             return step.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
                 step.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         current = step
     raise RuntimeError("components did not settle")
 
 
-def _same(a: DataFrame, b: DataFrame) -> bool:
-    """Both edge sets are distinct, so equal size and no new edge mean equality."""
-    digest = lambda d: d.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.hash("u", "v").cast("bigint")).alias("s")).first()
-    return digest(a) == digest(b)
+def _digest(edges: DataFrame) -> tuple:
+    """Size and two order-free hashes of a distinct edge set."""
+    return tuple(edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.hash("u", "v").cast("bigint")).alias("s")).first())
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Connect every larger neighbour of a node to the smallest of the node's closed neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = group_sizes(both, ["u"], F.min("v").alias("m")).select("u", "rows", F.least("u", "m").alias("m"))
-    joined = attach(both.where("v > u"), least, ["u"])
+    joined = attach(both.where("v > u"), least, ["u"], total=2 * total)
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Connect every smaller neighbour of a node, and the node, to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v")
     least = group_sizes(down, ["u"], F.min("v").alias("m"))
-    joined = attach(down, least, ["u"])
+    joined = attach(down, least, ["u"], total=2 * total)
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(
         least.select("u", F.col("m").alias("v")))
 

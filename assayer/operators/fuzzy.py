@@ -31,7 +31,8 @@ from assayer.operators.values import union_all
 from assayer.schema import as_text
 from assayer.session import cut
 
-HEADS = 64
+HEADS = 256
+LOCAL_EDGES = 200_000       # a remainder of head edges up to this size is settled on the driver
 FREQUENCY_BUCKETS = 65_536  # size bound of the broadcast token frequencies
 
 
@@ -167,12 +168,13 @@ def leader_pairs(vertices: DataFrame, checks: dict[str, tuple[str, float]], head
     entries = cut(_rare_tokens(vertices, first, algorithm, threshold).distinct())
     sizes = entries.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
     # A vertex alone in all its blocks resembles nobody.
-    entries = cut(attach(entries, sizes.where("rows > 1"), ["block"]))
+    entries = cut(attach(entries, sizes.where("rows > 1"), ["block"], total=entries.count()))
+    total = entries.count()
     undecided = cut(entries.select("id").distinct())
     found: list[DataFrame] = []
     while not undecided.isEmpty():
         leaders, covered = _decide(entries, undecided, vertices, checks, heads)
-        matches = cut(_meet_members(entries, leaders, vertices, checks))
+        matches = cut(_meet_members(entries, leaders, vertices, checks, total))
         found.append(matches)
         settled = leaders.select("id").unionByName(covered).unionByName(matches.select(F.col("high").alias("id")))
         undecided = cut(undecided.join(settled.distinct(), "id", "left_anti"))
@@ -193,30 +195,50 @@ def _decide(entries: DataFrame, undecided: DataFrame, vertices: DataFrame, check
     other = head.select("block", F.col("id").alias("high"))
     pairs = head.withColumnRenamed("id", "low").join(other, "block").where("low < high").select("low", "high").distinct()
     edges = cut(_scored(pairs, vertices, checks).select("low", "high"))
-    state = visible.withColumn("leader", F.lit(False)).where("false")
-    covered = undecided.where("false")
-    alive = edges
-    candidates = visible
+    leaders, covered = undecided.where("false"), undecided.where("false")
+    # A visible vertex without a smaller living neighbour leads; its neighbours are covered and
+    # no longer hold anybody back.
     while True:
-        blocked = alive.select(F.col("high").alias("id")).distinct()
-        new = cut(candidates.join(blocked, "id", "left_anti"))
+        if edges.count() <= LOCAL_EDGES:
+            more, gone = _settle_few(edges, visible)
+            return leaders.unionByName(more), covered.unionByName(gone).distinct()
+        new = cut(visible.join(edges.select(F.col("high").alias("id")), "id", "left_anti"))
         if new.isEmpty():
-            break
-        state = state.unionByName(new.withColumn("leader", F.lit(True)))
-        gone = cut(alive.join(new.withColumnRenamed("id", "low"), "low", "left_semi").select(F.col("high").alias("id")).distinct())
-        covered = covered.unionByName(gone)
-        settled = new.unionByName(gone).distinct()
-        # Covered vertices no longer hold anybody back.
-        alive = cut(alive.join(settled.withColumnRenamed("id", "low"), "low", "left_anti").join(
+            return leaders, covered.distinct()
+        gone = cut(edges.join(new.withColumnRenamed("id", "low"), "low", "left_semi").select(F.col("high").alias("id")).distinct())
+        leaders, covered = leaders.unionByName(new), covered.unionByName(gone)
+        settled = new.unionByName(gone)
+        edges = cut(edges.join(settled.withColumnRenamed("id", "low"), "low", "left_anti").join(
             settled.withColumnRenamed("id", "high"), "high", "left_anti"))
-        candidates = cut(candidates.join(settled, "id", "left_anti"))
-    return state.select("id"), covered.distinct()
-
-
-def _meet_members(entries: DataFrame, leaders: DataFrame, vertices: DataFrame, checks) -> DataFrame:
+        visible = cut(visible.join(settled, "id", "left_anti"))
+
+
+def _settle_few(edges: DataFrame, visible: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same election for at most ``LOCAL_EDGES`` edges, in one pass over their vertices."""
+    spark = edges.sparkSession
+    free = visible.join(edges.select(F.col("high").alias("id")), "id", "left_anti")
+    seen = visible.withColumn("visible", F.lit(True))
+    flagged = edges.join(seen.withColumnRenamed("id", "high"), "high", "left").orderBy("high").collect()
+    lows: dict[int, list[int]] = {}
+    can_lead = {}
+    for edge in flagged:
+        lows.setdefault(edge["high"], []).append(edge["low"])
+        can_lead[edge["high"]] = bool(edge["visible"])
+    # A vertex without a smaller neighbour leads if it is visible; otherwise its fate is open.
+    first = {low for smaller in lows.values() for low in smaller} - set(lows)
+    found = {r["id"] for r in spark.createDataFrame([(i,) for i in first], "id bigint").join(visible, "id", "left_semi").collect()}
+    fate = {i: "leader" if i in found else "open" for i in first}
+    for vertex in sorted(lows):
+        around = {fate[low] for low in lows[vertex]}
+        fate[vertex] = "covered" if "leader" in around else "leader" if can_lead[vertex] and "open" not in around else "open"
+    named = lambda kind, among: spark.createDataFrame([(i,) for i in among if fate[i] == kind], "id bigint")
+    return free.unionByName(named("leader", lows)), named("covered", lows)
+
+
+def _meet_members(entries: DataFrame, leaders: DataFrame, vertices: DataFrame, checks, total: int) -> DataFrame:
     """Leaders scored against the later members of their blocks."""
     leading = entries.join(leaders, "id", "left_semi").select("block", "rows", F.col("id").alias("low"))
-    pairs = attach(entries.select("block", F.col("id").alias("high")), leading, ["block"]).where("low < high").select("low", "high").distinct()
+    pairs = attach(entries.select("block", F.col("id").alias("high")), leading, ["block"], total=total).where("low < high").select("low", "high").distinct()
     return _scored(pairs, vertices, checks)
 
 
@@ -251,9 +273,10 @@ def fuzzy_groups_on(df: DataFrame, checks: dict[str, tuple[str, float]], within:
     # Vertex -> leader, then every row through its normal form.
     owner = sized.join(pairs.withColumnRenamed("high", "id"), "id", "left").select(
         *forms, "rows", F.coalesce("low", "id").alias("group_id"), F.coalesce("score", F.lit(100.0)).alias("score"))
-    members = attach(rows, owner, forms).select("group_id", ROW_ID, (F.col(ROW_ID) == F.col("group_id")).alias("is_leader"), "score")
+    total = rows.count()
+    members = attach(rows, owner, forms, total=total).select("group_id", ROW_ID, (F.col(ROW_ID) == F.col("group_id")).alias("is_leader"), "score")
     large = owner.groupBy("group_id").agg(F.sum("rows").alias("rows")).where("rows > 1")
-    return attach(members, large, ["group_id"]).select("group_id", ROW_ID, "is_leader", "score")
+    return attach(members, large, ["group_id"], total=total).select("group_id", ROW_ID, "is_leader", "score")
 
 
 def _word_order(c: Column) -> Column:

@@ -15,13 +15,20 @@ def group_sizes(df: DataFrame, keys: list[str], *aggregates) -> DataFrame:
 
 
 def attach(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner",
-           hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+           hot_rows: int = HOT_ROWS, salts: int = SALTS, total: int | None = None) -> DataFrame:
     """Join ``df`` with ``per_key`` on ``keys``, null-safe; ``rows`` is the key's size in ``df``.
 
     Hashes of the at most ``HOT_KEYS`` most frequent keys are broadcast; rows of those keys
     are spread over ``salts`` tasks and the matching ``per_key`` rows are repeated as often.
-    All other keys hold under ``hot_rows`` rows or under 1/``HOT_KEYS`` of the table.
+    All other keys hold under ``hot_rows`` rows or under 1/``HOT_KEYS`` of the table. A known
+    ``total`` of rows in ``df`` up to ``hot_rows`` leaves no room for a hot key.
     """
+    if total is not None and total <= hot_rows:
+        renamed = per_key.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+        condition = F.lit(True)
+        for k in keys:
+            condition = condition & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+        return df.join(renamed, condition, how).drop(*[f"_key_{k}" for k in keys])
     hot = (
         per_key.where(F.col("rows") > hot_rows)
         .select(F.xxhash64(*keys).alias("_hash"), "rows").groupBy("_hash").agg(F.max("rows").alias("rows"))

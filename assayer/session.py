@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back, dropping its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the checkpoint folder and read it back, dropping its lineage.
+
+    One job, where an eager checkpoint runs the plan twice; and the table's size is known, so
+    Spark broadcasts it only when it is small.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/assayer/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame) -> DataFrame:

@@ -58,7 +58,6 @@ for t in (85, 70):
     check(f"U08_fuzzy_groups_{t}", lambda s, d, t=t: fuzzy.fuzzy_groups(prt(s, d), "name", float(t)).select("group_id", ROW_ID, "is_leader"), forms(at_least(t)) + members_sql)
 check("U08_fuzzy_groups_jaro_winkler", lambda s, d: fuzzy.fuzzy_groups(prt(s, d), "name", 88.0, "jaro_winkler").select("group_id", ROW_ID, "is_leader"), forms(lambda a, b: f"100 * jaro_winkler_similarity({a}, {b}) >= 88") + members_sql)
 check("J04_fuzzy_self_join", lambda s, d: fuzzy.fuzzy_groups(prt(s, d), "name", 60.0).groupBy("group_id").agg(F.count(F.lit(1)).alias("rows")), forms(at_least(60)) + "SELECT group_id, count(*) AS rows FROM r GROUP BY group_id HAVING count(*) > 1")
-check("U08_document_groups", lambda s, d: fuzzy.fuzzy_groups(view(s, d, "docs"), "text", 90.0))
 check("U08_customer_names", lambda s, d: fuzzy.fuzzy_groups(view(s, d, "cust"), "email", 92.0, "difflib").groupBy("group_id").agg(F.count(F.lit(1)).alias("rows")))
 check("U08_group_scores", lambda s, d: fuzzy.group_scores(fuzzy.fuzzy_groups(prt(s, d), "name", 70.0)))
 

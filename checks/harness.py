@@ -16,7 +16,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def session() -> SparkSession:
     return (
         SparkSession.builder.master("local[8]").appName("checks")
-        .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
+        .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -79,7 +79,7 @@ def main(sf: str, prefixes: list[str]) -> int:
             if len(prefixes) == 1 and prefixes[0] == name:
                 traceback.print_exc()
         bad += bool(problem)
-        if problem or prefixes:
+        if problem or prefixes or time.time() - start > 8:
             print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s {'' if sql else '(rows only) '}{problem[:900]}", flush=True)
     print(f"{len(CHECKS)} registered, {bad} failing", flush=True)
     return bad
