@@ -93,13 +93,22 @@ SCORERS: dict[str, Callable[[str, str], float]] = {
 }
 
 
-def score(algorithm: str, a: Column, b: Column) -> Column:
-    """Similarity of two text columns; null where either is null."""
+def score(algorithm: str, a: Column, b: Column, at_least: float = 0.0) -> Column:
+    """Similarity of two text columns; null where either is null.
+
+    A pair that cannot reach ``at_least`` may score 0: matching blocks are a common
+    subsequence, so the cheap ratio bounds the block ratio.
+    """
     scorer = SCORERS[algorithm]
+    bounded = algorithm == "difflib" and at_least > 0
 
     @F.pandas_udf("double")
     def scored(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else scorer(x, y) for x, y in zip(left, right)], dtype="float64")
+        def one(x, y):
+            if x is None or y is None:
+                return None
+            return 0.0 if bounded and ratio(x, y) < at_least else scorer(x, y)
+        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype="float64")
 
     return scored(a, b)
 

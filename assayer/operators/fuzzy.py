@@ -141,11 +141,13 @@ def _scored(pairs: DataFrame, vertices: DataFrame, checks: dict[str, tuple[str,
     shown = list(checks)
     left = vertices.select(F.col("id").alias("low"), F.col("within").alias("_w1"), *[F.col(c).alias(f"_l_{c}") for c in shown])
     right = vertices.select(F.col("id").alias("high"), F.col("within").alias("_w2"), *[F.col(c).alias(f"_r_{c}") for c in shown])
-    texts = pairs.join(left, "low").join(right, "high").where(F.col("_w1").eqNullSafe(F.col("_w2")))
+    # Pairs are few bytes and much work: spread them by number, which adaptive execution keeps.
+    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = pairs.repartition(spread).join(left, "low").join(right, "high").where(F.col("_w1").eqNullSafe(F.col("_w2")))
     names = []
     for n, (c, (algorithm, threshold)) in enumerate(checks.items()):
         bound = _length_bound(algorithm, threshold, F.char_length(f"_l_{c}"), F.char_length(f"_r_{c}"))
-        texts = texts.where(bound).withColumn(f"_s{n}", score(algorithm, F.col(f"_l_{c}"), F.col(f"_r_{c}")))
+        texts = texts.where(bound).withColumn(f"_s{n}", score(algorithm, F.col(f"_l_{c}"), F.col(f"_r_{c}"), threshold))
         texts = texts.where(F.col(f"_s{n}") >= threshold)
         names.append(F.col(f"_s{n}"))
     return texts.select("low", "high", (F.least(*names) if len(names) > 1 else names[0]).alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -102,7 +103,7 @@ def row_failure(df: DataFrame, rule: Rule) -> Column | None:
 
 def checked_expression(df: DataFrame, sql: str) -> Column:
     """A user's failing-row condition: one boolean SQL expression over the row's own columns."""
-    if "select" in sql.lower().split():
+    if re.search(r"\bselect\b", sql, re.IGNORECASE):
         raise ValueError("a rule expression may not hold a subquery")
     condition = F.expr(sql)
     kind = df.select(condition.alias("f")).schema["f"].dataType

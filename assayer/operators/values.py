@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import ROW_ID
 from assayer.functions import text
@@ -60,34 +60,32 @@ def first_values(df: DataFrame, columns: list[str], k: int, condition=None, valu
     ])
 
 
-def duplicate_value_text(counts: DataFrame, most: int = 1000) -> DataFrame:
+def top_values(df: DataFrame, columns: list[str], k: int, condition: str = "true") -> DataFrame:
+    """``k`` most frequent values of each column with their rank, ties by value.
+
+    Every column keeps a heap of ``k`` rows per task; only the chosen rows are ranked.
+    """
+    chosen = union_all([
+        value_counts(df, [c]).where(condition).orderBy(F.col("rows").desc(), F.col("value").asc_nulls_first()).limit(k) for c in columns
+    ])
+    order = Window.partitionBy("column").orderBy(F.col("rows").desc(), F.col("value").asc_nulls_first())
+    return chosen.withColumn("rank", F.row_number().over(order))
+
+
+def duplicate_value_text(df: DataFrame, columns: list[str] | None = None, most: int = 1000) -> DataFrame:
     """``value(count), ...`` of the repeated values per column, most frequent first.
 
     The text is for display and lists the ``most`` most frequent values; ``repeated_values``
     counts all of them.
     """
-    shown = F.when(text.blank(F.col("value")), F.concat(F.lit("Missing Values("), F.col("rows").cast("string"), F.lit(")"))) \
-        .otherwise(F.concat(text.strip(F.col("value")), F.lit("("), F.col("rows").cast("string"), F.lit(")")))
-    repeated = counts.where("rows > 1").withColumn("shown", shown)
-    totals = repeated.groupBy("column").agg(F.count(F.lit(1)).alias("repeated_values"))
-    ranked = top_per_column(repeated, most)
+    names = comparable(df, columns)
+    value = F.when(text.blank(F.col("value")), F.lit("Missing Values")).otherwise(text.strip(F.col("value")))
+    ranked = top_values(df, names, most, "rows > 1").withColumn("shown", F.concat(value, F.lit("("), F.col("rows").cast("string"), F.lit(")")))
     listed = ranked.groupBy("column").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "shown"))), lambda s: s["shown"]), ", ").alias("duplicate_values")
     )
-    columns = counts.select("column").distinct()
-    return (
-        columns.join(listed, "column", "left").join(totals, "column", "left")
-        .select("column", F.coalesce("duplicate_values", F.lit("No duplicates")).alias("duplicate_values"),
-                F.coalesce("repeated_values", F.lit(0)).alias("repeated_values"))
-    )
-
-
-def top_per_column(counts: DataFrame, k: int) -> DataFrame:
-    """``k`` most frequent values of each column, ties by value (a per-task limit runs first)."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("column").orderBy(F.col("rows").desc(), F.col("value").asc_nulls_first())
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    totals = value_counts(df, names).groupBy("column").agg(F.count_if(F.col("rows") > 1).alias("repeated_values"))
+    return totals.join(listed, "column", "left").select("column", F.coalesce("duplicate_values", F.lit("No duplicates")).alias("duplicate_values"), "repeated_values")
 
 
 def repeated_value_groups(df: DataFrame, columns: list[str], total_rows: int, k: int = 10, ids: int = 5) -> DataFrame:
@@ -96,9 +94,7 @@ def repeated_value_groups(df: DataFrame, columns: list[str], total_rows: int, k:
     At most ``k`` values per column are looked up again in the table, so they are broadcast,
     and the ids come from a bounded per-task limit.
     """
-    from pyspark.sql import Window
-
-    top = top_per_column(value_counts(df, columns).where("value is not null and rows > 1"), k)
+    top = top_values(df, columns, k, "value is not null and rows > 1")
     cells = union_all([
         df.select(F.lit(c).alias("column"), as_text(df, c).alias("value"), ROW_ID).where("value is not null") for c in columns
     ])

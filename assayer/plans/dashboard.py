@@ -8,7 +8,7 @@ from assayer.functions import bands, text
 from assayer.functions.formats import CASE_TYPES, IDENTIFIER_TYPES, Glossary
 from assayer.operators.rules import Rule
 from assayer.operators.skew import group_sizes
-from assayer.operators.values import distinct_counts, duplicate_value_text, repeated_value_groups, value_counts
+from assayer.operators.values import distinct_counts, duplicate_value_text, repeated_value_groups
 from assayer.plans.scorecard import dimension_scores, field_counts, overall
 from assayer.schema import comparable
 
@@ -103,7 +103,7 @@ def most_distinct(profiled: DataFrame, k: int = 15) -> DataFrame:
 
 def profile_table(df: DataFrame, profiled: DataFrame) -> DataFrame:
     """Profile rows with the text of repeated values."""
-    told = duplicate_value_text(value_counts(df))
+    told = duplicate_value_text(df)
     return profiled.select("position", "column", "dtype", "total_rows", "non_null_count", "null_count", "null_percentage", "distinct_count", "duplicate_count",
                            "distinct_percentage", "min_length", "max_length", "avg_length", "risk_level", "risk_score").join(F.broadcast(told), "column", "left")
 

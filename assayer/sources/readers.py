@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -37,32 +38,29 @@ def preview_raw(spark: SparkSession, path: str, rows: int = 20, sep: str = ",")
     return spark.read.csv(path, sep=sep, schema=schema).limit(rows)
 
 
+FEW_FILES = 100_000  # up to this many files the skipped line ids are under 10 MB and are broadcast
+
+
 def read_after_header(spark: SparkSession, path: str, header_row: int, sep: str = ",") -> DataFrame:
     """Delimited read where line ``header_row`` (0-based) of every file holds the names.
 
-    A file's first block carries its first lines, so the lines above the header are found by
-    their byte offset; all blocks still parse in parallel.
+    The lines above and including the names lie in a file's first block. Ids inside a block
+    follow line order, so the lines to skip are a short run of ids per file and the rest parses
+    in parallel. Columns are text.
     """
-    head = _lines(spark, path).where("line <= %d" % header_row).orderBy("file", "line").limit(header_row + 1).collect()
-    names_line = head[header_row]["value"]
-    names = spark.createDataFrame([(names_line,)], "value string").select(
-        F.from_csv("value", F.lit(", ".join(f"c{i} string" for i in range(names_line.count(sep) + 1))), {"sep": sep}).alias("r")).select("r.*").first()
-    titles = [str(n).strip() if n is not None else f"column_{i}" for i, n in enumerate(names) ]
-    ddl = ", ".join(f"`{t}` string" for t in titles)
-    body = _lines(spark, path).where(F.col("line") > header_row)
-    parsed = body.select(F.from_csv("value", F.lit(ddl), {"sep": sep}).alias("r")).select("r.*")
-    return parsed
-
-
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with file and line number; numbering is exact for the first lines of each file,
-    which lie in its first block, and large for lines of later blocks."""
-    text = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    numbered = text.withColumn("_at", F.monotonically_increasing_id())
-    first = numbered.groupBy("file", "block").agg(F.min("_at").alias("_first"))
-    placed = numbered.join(F.broadcast(first), ["file", "block"])
-    return placed.withColumn("line", F.when(F.col("block") == 0, F.col("_at") - F.col("_first")).otherwise(F.lit(2**40) + F.col("block")))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    files = sorted(spark.read.text(path).inputFiles())
+    first_lines = spark.read.text(files[0]).where(F.col("_metadata.file_block_start") == 0).take(header_row + 1)
+    titles = [t.strip() or f"column_{i}" for i, t in enumerate(next(csv.reader([first_lines[header_row]["value"]], delimiter=sep)))]
+    starts = lines.where("block = 0").groupBy("file").agg(F.min("at").alias("first"))
+    skipped = starts.select(F.explode(F.sequence("first", F.col("first") + header_row)).alias("at"))
+    if len(files) <= FEW_FILES:
+        skipped = F.broadcast(skipped)
+    body = lines.join(skipped, "at", "left_anti")
+    schema = ", ".join(f"`{t}` string" for t in titles)
+    return body.select(F.from_csv("value", F.lit(schema), {"sep": sep}).alias("r")).select("r.*")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, max_rows: int | None = 500_000, partition_column: str | None = None,
