@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-SKETCH = 100_000         # rank error of the bracket is rows / SKETCH
+SKETCH = 10_000          # rank error of the bracket is rows / SKETCH
 BUFFER_VALUES = 500_000  # bracket size that one aggregation buffer may hold
 
 
@@ -42,7 +42,6 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
             e for n, ((c, _), (lo, hi)) in enumerate(todo) for e in (
                 F.count_if(F.col(c) < lo).alias(f"below{n}"),
                 F.count_if(F.col(c).between(lo, hi)).alias(f"inside{n}"),
-                F.approx_count_distinct(F.when(F.col(c).between(lo, hi), F.col(c))).alias(f"values{n}"),
             )
         ]).first()
         ready, brackets = [], {}
@@ -53,7 +52,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
                 brackets[c, i] = limits[c]
                 if (lo, hi) == limits[c]:
                     raise ArithmeticError(f"quantile of {c} not bracketed")
-            elif sized[f"values{n}"] > BUFFER_VALUES and lo < hi:
+            elif inside > BUFFER_VALUES and lo < hi:
                 brackets[c, i] = _narrow(df, c, lo, hi, position - below, inside)
                 if brackets[c, i] == (lo, hi):
                     ready.append((c, i, lo, hi, position - below, inside))
@@ -61,7 +60,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
             else:
                 ready.append((c, i, lo, hi, position - below, inside))
         if ready:
-            found = df.agg(*[
+            # Most rows lie in no bracket; they are dropped before the slower aggregate.
+            near = F.lit(False)
+            for c, _, lo, hi, _, _ in ready:
+                near = near | F.col(c).between(lo, hi)
+            found = df.where(near).agg(*[
                 F.percentile(
                     F.when(F.col(c).between(lo, hi), F.col(c).cast("double")),
                     F.lit(0.0 if inside <= 1 else min(1.0, offset / (inside - 1))),

@@ -19,7 +19,7 @@ def scanned(name, *measures):
 def shares(name):
     def query(s, d):
         df = view(s, d, name)
-        return p.with_shares(p.scan(df).join(values.distinct_counts(df), "column"))
+        return p.with_shares(p.scan(df).drop("distinct_count").join(values.distinct_counts(df), "column"))
     return query
 
 
