@@ -143,7 +143,7 @@ def _scored(pairs: DataFrame, vertices: DataFrame, checks: dict[str, tuple[str,
     right = vertices.select(F.col("id").alias("high"), F.col("within").alias("_w2"), *[F.col(c).alias(f"_r_{c}") for c in shown])
     # Pairs are few bytes and much work: spread them by number, which adaptive execution keeps.
     spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = pairs.repartition(spread).join(left, "low").join(right, "high").where(F.col("_w1").eqNullSafe(F.col("_w2")))
+    texts = pairs.repartition(spread, "low", "high").join(left, "low").join(right, "high").where(F.col("_w1").eqNullSafe(F.col("_w2")))
     names = []
     for n, (c, (algorithm, threshold)) in enumerate(checks.items()):
         bound = _length_bound(algorithm, threshold, F.char_length(f"_l_{c}"), F.char_length(f"_r_{c}"))

@@ -20,6 +20,7 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner
 
     Hashes of the at most ``HOT_KEYS`` most frequent keys are broadcast; rows of those keys
     are spread over ``salts`` tasks and the matching ``per_key`` rows are repeated as often.
+    The salt is a hash of the row, so a task that runs again sends its rows the same way.
     All other keys hold under ``hot_rows`` rows or under 1/``HOT_KEYS`` of the table. A known
     ``total`` of rows in ``df`` up to ``hot_rows`` leaves no room for a hot key.
     """
@@ -38,7 +39,7 @@ def attach(df: DataFrame, per_key: DataFrame, keys: list[str], how: str = "inner
     hot = F.broadcast(hot)
     left = (
         df.withColumn("_hash", F.xxhash64(*keys)).join(hot, "_hash", "left")
-        .withColumn("_salt", F.when(F.col("_hot"), F.floor(F.rand(17) * salts)).otherwise(0).cast("int"))
+        .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*df.columns), F.lit(salts))).otherwise(0).cast("int"))
         .drop("_hash", "_hot")
     )
     renamed = [F.col(k).alias(f"_key_{k}") for k in keys]
