@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from assayer import ROW_ID
 from assayer.operators.skew import attach, group_sizes
 from assayer.operators.values import union_all
-from assayer.session import cut
+from assayer.session import cut, discard
 
 
 def star_edges(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -20,23 +20,24 @@ def star_edges(df: DataFrame, columns: list[str]) -> DataFrame:
     return union_all(parts).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """``(node, root)``: smallest node reachable from each node that has an edge.
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, root)``: smallest node reachable from each node that has an edge ``(u, v)``, u > v.
 
     Alternating large-star and small-star steps (Kiveris et al., SoCC 2014). Every step keeps
-    the component structure and finishes in a logarithmic number of rounds on usual graphs.
-    Each round is written to the checkpoint folder.
+    the component structure; steps follow until one changes nothing. Each is written to the
+    checkpoint folder, and the one before is deleted.
     """
     current = cut(edges)
     size = _digest(current)
-    for _ in range(most_rounds):
+    while True:
         step = cut(_small_star(_large_star(current, size[0]), size[0]).distinct())
+        discard(current)
         before, size = size, _digest(step)
         if size == before:
-            return step.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                step.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+            break
         current = step
-    raise RuntimeError("components did not settle")
+    return step.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        step.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
 
 
 def _digest(edges: DataFrame) -> tuple:
