@@ -6,15 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import forest
+from assayer.llm import counts, forest, lexicon, simple8b
 
-TOKENIZER = "byte_bpe_50k.json"
+END = 2   # id after every document in the files of op4
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op4_simple8b(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of all documents written in Simple-8b segments, read back and digested."""
+    path = simple8b.new_folder(spark)
+    simple8b.write(documents(spark, sf), tokenizer_path(), path, end=END)
+    return simple8b.audit(spark, path)
+
+
+def op6_lexicon_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return lexicon.round_trip(documents(spark, sf), tokenizer_path())
+
+
+def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of every document."""
+    return counts.token_counts(documents(spark, sf), tokenizer_path())
+
+
 def op10_forest_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of documents whose 3-word shingle sets are alike to 85 % or more."""
     return forest.near_duplicates(documents(spark, sf), size=3, percent=85)
@@ -25,7 +48,7 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM words),
 classes AS (SELECT min(doc_id) AS rep, list_sort(s) AS s, len(s) AS n, list(doc_id) AS members FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)),
 items AS (SELECT rep, n, unnest(s) AS shingle FROM classes),
 links AS (
@@ -40,6 +63,9 @@ FROM sets s LEFT JOIN placed p USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simple8b": op4_simple8b,
+    "op6_lexicon_bpe": op6_lexicon_bpe,
+    "op7_token_counts": op7_token_counts,
     "op10_forest_dedup": op10_forest_dedup,
 }
 SQL = {
