@@ -7,10 +7,12 @@
    longest common prefixes. The sort is one range partitioning over all trees, which cuts a
    crowded region into as many tasks as it needs; nothing is grouped.
 3. Every class keeps its likeliest neighbours. They are confirmed on the full sets, and what
-   they link is contracted to components.
-4. The same orders are walked again, far wider, for pairs that still join two components. A
-   crowd of copies is one component by then and yields none, so regions are searched as deep
-   as their classes differ and never give all their pairs.
+   they link is contracted to components. A second, wider walk takes neighbours of other
+   components only: all of them in regions of up to ``NEAR + 1`` classes, the likeliest beyond.
+4. Classes of larger regions are settled exactly. Each has its rarest shingles listed, as many
+   as one of a linked pair must share; two components meet only at a listed shingle whose place
+   still allows the overlap asked for. A crowd of copies is one component by then, and a text
+   with too many words of its own meets nobody, so no region gives all its pairs.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ from assayer.session import cut, discard
 TREES = 16
 DEPTH = 4        # minima that name a region; classes of similarity 0.85 share one in some tree but for 1 in 130,000
 NEAR = 32        # neighbours on either side that the first walk looks at
-WIDE = 512       # and the second, which only looks for pairs between components
-BEST = 2         # neighbours of a class that are confirmed first
+WIDE = 256       # and the second
+BEST = 2         # likeliest neighbours of a class
+BUCKETS = 1 << 16   # counters by which shingles are ordered from rare to frequent
 
 _SKETCH = "doc_id bigint, n_shingles bigint, sum_a bigint, sum_b bigint, regions array<bigint>, low binary"
 _PAIRS = "a bigint, b bigint, agree int"
@@ -65,8 +68,13 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(_sketch(size), _SKETCH)
 
 
-def _walk(window: int, least: int, percent: int, best: int | None):
-    """Pairs of neighbours that agree in ``least`` minima or more; the ``best`` of each row, or all between components."""
+def _walk(window: int, least: int, percent: int, again: bool):
+    """Pairs of neighbours that agree in ``least`` minima or more.
+
+    The first walk gives the ``BEST`` of each class. The second gives pairs between components:
+    all of a small region, the ``BEST`` of each class in a larger one; there it also gives each
+    class paired with itself, as a mark.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in batches:
@@ -77,6 +85,12 @@ def _walk(window: int, least: int, percent: int, best: int | None):
             now.append(np.frombuffer(b"".join(batch.column("order").to_pylist()), np.uint8).reshape(n, -1))
             old = 0 if kept is None else len(kept[0])
             region, ids, sizes, roots, rows = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
+            crowded = np.zeros(len(region) + 1, np.int32)
+            if again:
+                over = np.flatnonzero(region[NEAR + 1:] == region[:-NEAR - 1])
+                np.add.at(crowded, over, 1)
+                np.add.at(crowded, over + NEAR + 2, -1)
+            crowded = np.cumsum(crowded)[:-1] > 0
             found = []
             for lag in range(1, min(window, len(region) - 1) + 1):
                 at = max(0, old - lag)
@@ -85,7 +99,7 @@ def _walk(window: int, least: int, percent: int, best: int | None):
                     break
                 right = left + lag
                 ok = 100 * np.minimum(sizes[left], sizes[right]) >= percent * np.maximum(sizes[left], sizes[right])
-                if best is None:
+                if again:
                     ok &= roots[left] != roots[right]
                 left, right = left[ok], right[ok]
                 for part in range(0, len(left), 65536):
@@ -93,29 +107,33 @@ def _walk(window: int, least: int, percent: int, best: int | None):
                     agree = (rows[i] == rows[j]).sum(axis=1, dtype=np.int32)
                     fine = agree >= least
                     found.append((i[fine], j[fine], agree[fine]))
+            marked = np.unique(ids[crowded])
+            a, b, scores = [marked], [marked], [np.zeros(len(marked), np.int32)]
             if found:
                 i, j, agree = (np.concatenate(x) for x in zip(*found))
-                if best is not None and len(i):
-                    order = np.lexsort((ids[i], -agree, j))
-                    run_start = np.r_[True, j[order][1:] != j[order][:-1]]
-                    place = np.arange(len(order)) - np.maximum.accumulate(np.where(run_start, np.arange(len(order)), 0))
-                    order = order[place < best]
-                    i, j, agree = i[order], j[order], agree[order]
-                a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agree)], names=["a", "b", "agree"])
+                order = np.lexsort((ids[i], -agree, j))
+                opens = np.r_[True, j[order][1:] != j[order][:-1]][:len(order)]
+                places = np.arange(len(order))
+                place = places - np.maximum.accumulate(np.where(opens, places, 0)) if len(order) else places
+                order = order[(place < BEST) | (again & ~crowded[j[order]])]
+                i, j, agree = i[order], j[order], agree[order]
+                a.append(np.minimum(ids[i], ids[j]))
+                b.append(np.maximum(ids[i], ids[j]))
+                scores.append(agree)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, scores)], names=["a", "b", "agree"])
             tail = max(0, len(region) - window)
             tail = max(tail, int(np.searchsorted(region, region[-1])))
             kept = [x[tail:] for x in (region, ids, sizes, roots, rows)]
     return run
 
 
-def _sorted_walk(classes: DataFrame, window: int, least: int, percent: int, best: int | None) -> DataFrame:
+def _sorted_walk(classes: DataFrame, window: int, least: int, percent: int, again: bool) -> DataFrame:
     size = TREES * DEPTH
     rotated = [F.concat(F.substring("low", DEPTH * (t + 1) + 1, size), F.substring("low", 1, DEPTH * (t + 1))) for t in range(TREES)]
     rows = classes.select("doc_id", "n_shingles", "root", F.explode(F.arrays_zip(F.col("regions").alias("region"), F.array(*rotated).alias("order"))).alias("x"))
     rows = rows.select(F.col("x.region").alias("region"), F.col("x.order").alias("order"), "doc_id", "n_shingles", "root")
     order = ["region", "order", "doc_id"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk(window, least, percent, best), _PAIRS)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk(window, least, percent, again), _PAIRS)
 
 
 def _confirm(size: int, percent: int):
@@ -155,6 +173,64 @@ def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("b").alias("u"), F.col("a").alias("v")).where("u != v")
 
 
+def _buckets(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(20)).astype(np.int64) % BUCKETS
+
+
+def _bucket_counts(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in pieces(batches):
+            for one in hashing.word_shingles(*utf8(batch.column("text")), size):
+                total += np.bincount(_buckets(one), minlength=BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+    return run
+
+
+def _rarest(size: int, percent: int, counts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = hashing.word_shingles(*utf8(batch.column("text")), size)
+            order = [s[np.argsort(counts.value[_buckets(s)], kind="stable")] for s in sets]
+            listed = [o[:len(o) + (-percent * len(o)) // 100 + 1] for o in order]
+            rows = np.repeat(np.arange(len(sets)), [len(x) for x in listed])
+            place = np.concatenate([np.arange(len(x), dtype=np.int64) for x in listed] or [np.zeros(0, np.int64)])
+            flat = np.concatenate(listed or [np.zeros(0, np.uint64)]).view(np.int64)
+            took = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column("doc_id").take(took), batch.column("root").take(took), pa.array(place),
+                                              pa.array(np.array([len(s) for s in sets], np.int64)).take(took)], names=["shingle", "doc_id", "root", "place", "n"])
+    return run
+
+
+def _between_components(bodies: DataFrame, size: int, percent: int) -> DataFrame:
+    """Every pair ``(a, b)`` of ``bodies`` (``doc_id``, ``root``, ``text``) that can be linked and has two roots.
+
+    Shingles have one order, from rare to frequent, with the bucket counters of ``BUCKETS``; any
+    order is exact. Linked sets share at least ``percent`` % of either, so their first common
+    shingle is among the first ``n - ceil(percent * n / 100) + 1`` of both, and after its place
+    both must have enough left. The counters are the only thing that is broadcast.
+    """
+    sums = bodies.select("text").mapInArrow(_bucket_counts(size), "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(BUCKETS, np.int64)
+    for bucket, n in sums:
+        counts[bucket] = n
+    shared = bodies.sparkSession.sparkContext.broadcast(counts)
+    rows = cut(bodies.mapInArrow(_rarest(size, percent, shared), "shingle bigint, doc_id bigint, root bigint, place bigint, n bigint"))
+
+    def mixed(frame: DataFrame) -> DataFrame:
+        return cut(frame.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).where("low < high").select("shingle", "least"))
+
+    met = mixed(rows)
+    able = cut(rows.join(met, "shingle").where(f"{100 + percent} * (n - place) >= {percent} * (n + greatest(least, {percent} * n / 100))").drop("least"))
+    met_again = mixed(able)
+    left = able.join(met_again.select("shingle"), "shingle")
+    right = left.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("doc_id", "root", "place", "n")])
+    pairs = cut(left).join(cut(right), "shingle").where(
+        f"root < _root AND {100 + percent} * least(n - place, _n - _place) >= {percent} * (n + _n) AND 100 * least(n, _n) >= {percent} * greatest(n, _n)")
+    return pairs.select(F.least("doc_id", "_doc_id").alias("a"), F.greatest("doc_id", "_doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
 
@@ -177,18 +253,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
 
     minima, share = TREES * DEPTH, percent / 100
     least = max(DEPTH, int(minima * share - 4.5 * sqrt(minima * share * (1 - share))))
-    near = cut(_sorted_walk(heads, NEAR, least, percent, BEST).distinct())
+    near = cut(_sorted_walk(heads, NEAR, least, percent, False).distinct())
     involved = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
     bodies = cut(source.join(heads.select("doc_id").distinct(), "doc_id", "left_semi").join(involved, "doc_id", "left_semi"))
     tried = cut(_best(near))
-    linked = cut(confirm(tried, bodies, size, percent))
-
-    roots = components(_edges(linked)).withColumnRenamed("node", "doc_id")
-    open_heads = heads.drop("root").join(involved, "doc_id", "left_semi").join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    rest = cut(_sorted_walk(open_heads, WIDE, least, percent, None).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-    more = cut(confirm(rest, bodies, size, percent))
-    final = components(_edges(linked.unionByName(more))).select(F.col("node").alias("rep"), "root")
-    discard(near, bodies, tried, rest)
+    links = cut(confirm(tried, bodies, size, percent))
+
+    def rooted(frame: DataFrame, linked: DataFrame) -> DataFrame:
+        roots = components(_edges(linked)).withColumnRenamed("node", "doc_id")
+        return frame.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+
+    second = cut(_sorted_walk(rooted(heads.drop("root").join(involved, "doc_id", "left_semi"), links), WIDE, least, percent, True).select("a", "b").distinct())
+    more = cut(confirm(second.where("a < b").join(tried, ["a", "b"], "left_anti"), bodies, size, percent))
+    links = links.unionByName(more)
+    crowd = cut(second.where("a = b").select(F.col("a").alias("doc_id")))
+    if not crowd.isEmpty():
+        members = cut(rooted(bodies.join(crowd, "doc_id", "left_semi"), links))
+        rest = cut(_between_components(members, size, percent))
+        links = links.unionByName(cut(confirm(rest, members.drop("root"), size, percent)))
+    final = components(_edges(links)).select(F.col("node").alias("rep"), "root")
+    discard(near, bodies, tried, second)
 
     placed = classes.join(final, "rep", "left").select(*digest, F.coalesce("root", "rep").alias("_root"))
     one = made.select("doc_id", *digest)
