@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import counts, forest, lexicon, simple8b
+from assayer.llm import counts, forest, leaks, lexicon, lines, quality, simple8b, toxicity
 
 END = 2   # id after every document in the files of op4
 
@@ -17,8 +17,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return table(spark, sf, "documents")
+
+
+def op1_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality of every document."""
+    docs = documents(spark, sf)
+    return quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
 
 
 def op4_simple8b(spark: SparkSession, sf: str) -> DataFrame:
@@ -28,6 +38,11 @@ def op4_simple8b(spark: SparkSession, sf: str) -> DataFrame:
     return simple8b.audit(spark, path)
 
 
+def op5_edit_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark items that stand in documents, with up to 5 % of edits."""
+    return leaks.contaminated(documents(spark, sf), table(spark, sf, "benchmark"))
+
+
 def op6_lexicon_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Every document encoded and decoded again."""
     return lexicon.round_trip(documents(spark, sf), tokenizer_path())
@@ -38,6 +53,17 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.token_counts(documents(spark, sf), tokenizer_path())
 
 
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = documents(spark, sf)
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf, "labels")))
+
+
+def op9_line_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document without the runs of lines that stand earlier, too."""
+    return lines.deduplicate(documents(spark, sf)).select("doc_id", "text", "removed_lines", "removed_words")
+
+
 def op10_forest_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of documents whose 3-word shingle sets are alike to 85 % or more."""
     return forest.near_duplicates(documents(spark, sf), size=3, percent=85)
@@ -63,9 +89,13 @@ FROM sets s LEFT JOIN placed p USING (doc_id)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_compression_quality": op1_compression_quality,
     "op4_simple8b": op4_simple8b,
+    "op5_edit_leaks": op5_edit_leaks,
     "op6_lexicon_bpe": op6_lexicon_bpe,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
+    "op9_line_runs": op9_line_runs,
     "op10_forest_dedup": op10_forest_dedup,
 }
 SQL = {

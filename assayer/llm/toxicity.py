@@ -25,8 +25,8 @@ WINDOW, STEP = 32, 16
 HIDDEN, WORD, CHARS = 8, 8, 16
 WORD_ROWS, CHAR_ROWS = 1 << 13, 1 << 14
 GRAMS = (3, 4, 5, 6)     # bytes of the character n-grams, word ends included
-PER_LABEL = 2000         # labelled texts of each kind that are fitted on
-WINDOWS_OF_TEXT = 24     # windows of one text that are trained on, drawn at random
+PER_LABEL = 1600         # labelled texts of each kind that are fitted on
+WINDOWS = (4, 12)        # windows of one clean and of one toxic text that an epoch trains on, drawn at random
 EPOCHS, RATE, LOT = 8, 0.01, 256
 
 _MARKS = np.zeros(256, bool)
@@ -95,6 +95,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _add_rows(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """``out[rows] += values`` where rows repeat."""
+    if len(rows):
+        order = np.argsort(rows, kind="stable")
+        begin = np.flatnonzero(np.r_[True, rows[order][1:] != rows[order][:-1]])
+        out[rows[order][begin]] += np.add.reduceat(values[order], begin, axis=0)
+
+
 class Network:
     """Weights, the forward pass and the gradients."""
 
@@ -112,11 +120,17 @@ class Network:
             "attend": normal(2 * h, scale=0.3), "out": normal(2 * h, scale=0.3), "shift": np.zeros(1, np.float32),
         }
 
-    def inputs(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Input of each distinct word and its projection to the gates of both directions."""
+    def inputs(self, words: Words, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Input of each distinct word and its projection to the gates of both directions.
+
+        ``known`` is 0 for words that training hides, so that their characters must tell.
+        """
         starts = np.append(0, words.gram_ends[:-1])
         sums = np.add.reduceat(self.w["char"][words.grams], starts, axis=0) if len(words) else np.zeros((0, CHARS), np.float32)
-        x = np.hstack((self.w["word"][words.word], sums / (words.gram_ends - starts)[:, None])).astype(np.float32)
+        own = self.w["word"][words.word]
+        if known is not None:
+            own = own * known[:, None]
+        x = np.hstack((own, sums / (words.gram_ends - starts)[:, None])).astype(np.float32)
         return x, x @ self.w["input"] + self.w["bias"]
 
     def states(self, gates: np.ndarray, ids: np.ndarray, lengths: np.ndarray | None, keep: bool = False):
@@ -170,10 +184,10 @@ class Network:
                 logit[w] = self.logits(self.states(gates, ids, size), size)[0]
         return logit
 
-    def gradients(self, words: Words, ids: np.ndarray, lengths: np.ndarray, target: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, words: Words, ids: np.ndarray, lengths: np.ndarray, target: np.ndarray, weight: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the weighted cross entropy over one lot of windows."""
         h, w, n = HIDDEN, self.w, len(ids)
-        x, gates = self.inputs(words)
+        x, gates = self.inputs(words, known)
         out, saved = self.states(gates, ids, lengths, keep=True)
         logit, a, value = self.logits(out, lengths)
         d = ((_sigmoid(logit) - target) * weight / n).astype(np.float32)
@@ -186,6 +200,7 @@ class Network:
         d_gates = np.zeros_like(gates)
         for side, name in ((0, "ahead"), (1, "back")):
             u, g[name] = w[name], np.zeros_like(w[name])
+            spread = np.zeros((ids.shape[1], n, 3 * h), np.float32)
             d_state = np.zeros((n, h), np.float32)
             for _, t, before, z, r, new, hun in reversed([s for s in saved if s[0] == side]):
                 d_after = d_state + d_out[t, :, h * side:h * (side + 1)]
@@ -197,14 +212,15 @@ class Network:
                 d_hu = np.hstack((d_z, d_r, d_new * r))
                 g[name] += before.T @ d_hu
                 d_state = np.where(on, live * z, d_after) + d_hu @ u.T
-                np.add.at(d_gates, (ids[:, t],), np.hstack((np.zeros((n, 3 * h * side), np.float32), d_z, d_r, d_new, np.zeros((n, 3 * h * (1 - side)), np.float32))))
+                spread[t] = np.hstack((d_z, d_r, d_new))
+            _add_rows(d_gates[:, 3 * h * side:3 * h * (side + 1)], ids.T.ravel(), spread.reshape(-1, 3 * h))
         g["bias"], g["input"] = d_gates.sum(axis=0), x.T @ d_gates
         d_x = d_gates @ w["input"].T
         g["word"] = np.zeros_like(w["word"])
-        np.add.at(g["word"], words.word, d_x[:, :WORD])
+        _add_rows(g["word"], words.word, d_x[:, :WORD] * known[:, None])
         counts = np.diff(np.append(0, words.gram_ends))
         g["char"] = np.zeros_like(w["char"])
-        np.add.at(g["char"], words.grams, np.repeat(d_x[:, WORD:] / counts[:, None], counts, axis=0))
+        _add_rows(g["char"], words.grams, np.repeat(d_x[:, WORD:] / counts[:, None], counts, axis=0))
         return g
 
 
@@ -230,7 +246,7 @@ def train(network: Network, words: Words, label: np.ndarray, share: float, seed:
         draw = r.random(len(begin))
         order = np.lexsort((draw, text))
         rank = np.arange(len(order)) - np.maximum.accumulate(np.where(np.r_[True, text[order][1:] != text[order][:-1]], np.arange(len(order)), 0)) if len(order) else order
-        chosen = order[rank < WINDOWS_OF_TEXT]
+        chosen = order[rank < np.array(WINDOWS)[label[text[order]]] * np.where(epoch >= 2, 1 + 3 * label[text[order]], 1)]
         if epoch >= 2 and len(chosen):
             logit = network.score(network.inputs(words)[1], words.which, begin[chosen], lengths[chosen])
             worst = np.full(len(label), -1e9)
@@ -245,7 +261,8 @@ def train(network: Network, words: Words, label: np.ndarray, share: float, seed:
             place = np.minimum(begin[lot][:, None] + np.arange(WINDOW), len(words.which) - 1)
             used, ids = np.unique(words.which[place], return_inverse=True)
             target = label[text[lot]].astype(np.float32)
-            g = network.gradients(_Some(words, used), ids.reshape(place.shape), lengths[lot], target, np.where(target == 1, balance, 1.0).astype(np.float32))
+            g = network.gradients(_Some(words, used), ids.reshape(place.shape), lengths[lot], target,
+                                  np.where(target == 1, balance, 1.0).astype(np.float32), (r.random(len(used)) < 0.5).astype(np.float32))
             done += 1
             rate = RATE * (1 - 0.9 * epoch / EPOCHS) * (1 - 0.999 ** done) ** 0.5 / (1 - 0.9 ** done)
             for k, d in g.items():

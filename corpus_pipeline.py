@@ -4,29 +4,70 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import forest
+from assayer.llm import forest, leaks, lexicon, lines, quality
+from assayer.llm.queries import table, tokenizer_path
 from assayer.session import cut
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier, fitted on these documents' labels, does not reject. Rows without an id stay."""
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return without(docs, scored.where("predicted = 0"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later repeated runs of lines; ``n_chars`` follows. A document of which nothing but white space is left goes."""
+    cleaned = lines.deduplicate(docs)
+    changed = F.col("removed_lines") > 0
+    return cleaned.where(~(changed & (F.trim(F.regexp_replace("text", r"\s", "")) == ""))).withColumn(
+        "n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
-    kept = forest.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates the document with the smallest id stays, once. Rows without an id stay."""
+    first = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
+    whole = first.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    return without(whole, forest.near_duplicates(docs).where("NOT kept"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item stands. Rows without an id stay only if they are clean, too."""
+    benchmark = table(spark, sf_dir, "benchmark")
+    named = without(docs.where("doc_id IS NOT NULL"), leaks.contaminated(docs.where("doc_id IS NOT NULL"), benchmark))
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return named
+    numbered = nameless.drop("doc_id").withColumn("doc_id", F.xxhash64("text", "lang", "source", "n_chars"))
+    return named.unionByName(without(numbered, leaks.contaminated(numbered, benchmark)).withColumn("doc_id", F.lit(None).cast("bigint")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of what is left."""
+    return lexicon.encode(docs, tokenizer_path())
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` less the rows with a rejected id."""
+    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality_filter),
+    ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
 ]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
