@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import counts, forest, leaks, lexicon, lines, quality, simple8b, toxicity
+from assayer.llm import counts, fingerprint, forest, leaks, lexicon, lines, quality, simple8b, toxicity
 
 END = 2   # id after every document in the files of op4
 
@@ -31,6 +31,11 @@ def op1_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
 
 
+def op3_minhash_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprints of all documents and of their edits."""
+    return fingerprint.edit_likeness(documents(spark, sf))
+
+
 def op4_simple8b(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of all documents written in Simple-8b segments, read back and digested."""
     path = simple8b.new_folder(spark)
@@ -90,6 +95,7 @@ FROM sets s LEFT JOIN placed p USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
+    "op3_minhash_fingerprints": op3_minhash_fingerprints,
     "op4_simple8b": op4_simple8b,
     "op5_edit_leaks": op5_edit_leaks,
     "op6_lexicon_bpe": op6_lexicon_bpe,
