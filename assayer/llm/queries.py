@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import counts, fingerprint, forest, leaks, lexicon, lines, quality, simple8b, toxicity
+from assayer.llm import counts, fingerprint, forest, leaks, lexicon, lines, merkle, quality, simple8b, toxicity
 
 END = 2   # id after every document in the files of op4
 
@@ -31,6 +31,20 @@ def op1_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
 
 
+def op2_merkle_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a replica of the archive of all pages is damaged.
+
+    The replica has other bytes in every 97th page, has lost every 211th record and has an
+    extra one after every 307th, all at the offsets of the archive.
+    """
+    pages = table(spark, sf, "pages")
+    primary = merkle.archive(pages)
+    rotten = merkle.archive(pages.withColumn("html", F.when(F.col("page_id") % 97 == 13, F.translate("html", "aeiou", "eioua")).otherwise(F.col("html"))))
+    stray = primary.where("id % 307 = 9").select("file", (F.col("offset") + 1).alias("offset"), "length", "digest")
+    replica = rotten.where("id % 211 != 5").select("file", "offset", "length", "digest").unionByName(stray)
+    return merkle.audit(primary, replica)
+
+
 def op3_minhash_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     """Fingerprints of all documents and of their edits."""
     return fingerprint.edit_likeness(documents(spark, sf))
@@ -95,6 +109,7 @@ FROM sets s LEFT JOIN placed p USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_quality": op1_compression_quality,
+    "op2_merkle_audit": op2_merkle_audit,
     "op3_minhash_fingerprints": op3_minhash_fingerprints,
     "op4_simple8b": op4_simple8b,
     "op5_edit_leaks": op5_edit_leaks,
@@ -104,6 +119,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_runs": op9_line_runs,
     "op10_forest_dedup": op10_forest_dedup,
 }
+OP2_SQL = r"""
+WITH records AS (
+  SELECT page_id AS id, page_id // 512 AS file, h AS kind,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+    || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(body) || chr(13) || chr(10) || chr(13) || chr(10) || body
+    || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM (SELECT page_id, url, 0 AS h, coalesce(html, '') AS body FROM pages
+        UNION ALL SELECT page_id, url, 1 AS h, CASE WHEN page_id % 97 = 13 THEN translate(coalesce(html, ''), 'aeiou', 'eioua') ELSE coalesce(html, '') END FROM pages)),
+leaves AS (
+  SELECT kind, id, file, strlen(record) AS length, sha256(record) AS digest,
+    CAST(sum(strlen(record)) OVER (PARTITION BY kind, file ORDER BY id ROWS UNBOUNDED PRECEDING) - strlen(record) AS BIGINT) AS "offset" FROM records),
+a AS (SELECT file, "offset", length, digest FROM leaves WHERE kind = 0),
+b AS (SELECT file, "offset", length, digest FROM leaves WHERE kind = 1 AND id % 211 != 5
+      UNION ALL SELECT file, "offset" + 1, length, digest FROM leaves WHERE kind = 0 AND id % 307 = 9)
+SELECT coalesce(a.file, b.file) AS file, coalesce(a."offset", b."offset") AS "offset",
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'changed' END AS status,
+  a.length, a.digest, b.length AS replica_length, b.digest AS replica_digest
+FROM a FULL JOIN b ON a.file = b.file AND a."offset" = b."offset"
+WHERE a.digest IS DISTINCT FROM b.digest OR a.length IS DISTINCT FROM b.length
+"""
+
 SQL = {
+    "op2_merkle_audit": OP2_SQL,
     "op10_forest_dedup": OP10_SQL,
 }
