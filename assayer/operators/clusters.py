@@ -50,7 +50,7 @@ def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = group_sizes(both, ["u"], F.min("v").alias("m")).select("u", "rows", F.least("u", "m").alias("m"))
     joined = attach(both.where("v > u"), least, ["u"], total=2 * total)
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")   # repeated edges go with the small star
 
 
 def _small_star(edges: DataFrame, total: int) -> DataFrame:
