@@ -6,9 +6,9 @@
    region; inside it classes are sorted by the minima that follow, so that neighbours share the
    longest common prefixes. The sort is one range partitioning over all trees, which cuts a
    crowded region into as many tasks as it needs; nothing is grouped.
-3. Every class keeps its likeliest neighbours. They are confirmed on the full sets, and what
-   they link is contracted to components. A second, wider walk takes neighbours of other
-   components only: all of them in regions of up to ``NEAR + 1`` classes, the likeliest beyond.
+3. In a region of up to ``NEAR + 1`` classes all pairs of neighbours are candidates, in a larger
+   one each class's likeliest neighbours. Candidates that agree in enough minima are confirmed
+   on the full sets, and links are contracted to components.
 4. Classes of larger regions are settled exactly. Each has its rarest shingles listed, as many
    as one of a linked pair must share; two components meet only at a listed shingle whose place
    still allows the overlap asked for. A crowd of copies is one component by then, and a text
@@ -31,9 +31,9 @@ from assayer.session import cut, discard
 
 TREES = 16
 DEPTH = 4        # minima that name a region; classes of similarity 0.85 share one in some tree but for 1 in 130,000
-NEAR = 32        # neighbours on either side that the first walk looks at
-WIDE = 256       # and the second
-BEST = 2         # likeliest neighbours of a class
+NEAR = 32        # neighbours of a class that are all candidates in a small region
+WIDE = 128       # neighbours among which the likeliest are chosen in a larger one
+BEST = 4         # so many
 BUCKETS = 1 << 16   # counters by which shingles are ordered from rare to frequent
 
 _SKETCH = "doc_id bigint, n_shingles bigint, sum_a bigint, sum_b bigint, regions array<bigint>, low binary"
@@ -68,39 +68,32 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(_sketch(size), _SKETCH)
 
 
-def _walk(window: int, least: int, percent: int, again: bool):
-    """Pairs of neighbours that agree in ``least`` minima or more.
-
-    The first walk gives the ``BEST`` of each class. The second gives pairs between components:
-    all of a small region, the ``BEST`` of each class in a larger one; there it also gives each
-    class paired with itself, as a mark.
-    """
+def _walk(least: int, percent: int):
+    """Pairs of neighbours that agree in ``least`` minima or more: all of a small region, the ``BEST`` of each class
+    in a larger one. There each class is also paired with itself, as a mark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = None
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "doc_id", "n_shingles", "root")]
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("region", "doc_id", "n_shingles")]
             now.append(np.frombuffer(b"".join(batch.column("order").to_pylist()), np.uint8).reshape(n, -1))
             old = 0 if kept is None else len(kept[0])
-            region, ids, sizes, roots, rows = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
+            region, ids, sizes, rows = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
             crowded = np.zeros(len(region) + 1, np.int32)
-            if again:
-                over = np.flatnonzero(region[NEAR + 1:] == region[:-NEAR - 1])
-                np.add.at(crowded, over, 1)
-                np.add.at(crowded, over + NEAR + 2, -1)
+            over = np.flatnonzero(region[NEAR + 1:] == region[:-NEAR - 1])
+            np.add.at(crowded, over, 1)
+            np.add.at(crowded, over + NEAR + 2, -1)
             crowded = np.cumsum(crowded)[:-1] > 0
             found = []
-            for lag in range(1, min(window, len(region) - 1) + 1):
+            for lag in range(1, min(WIDE, len(region) - 1) + 1):
                 at = max(0, old - lag)
                 left = np.flatnonzero(region[at + lag:] == region[at:len(region) - lag]) + at
                 if not len(left):
                     break
                 right = left + lag
                 ok = 100 * np.minimum(sizes[left], sizes[right]) >= percent * np.maximum(sizes[left], sizes[right])
-                if again:
-                    ok &= roots[left] != roots[right]
                 left, right = left[ok], right[ok]
                 for part in range(0, len(left), 65536):
                     i, j = left[part:part + 65536], right[part:part + 65536]
@@ -115,25 +108,25 @@ def _walk(window: int, least: int, percent: int, again: bool):
                 opens = np.r_[True, j[order][1:] != j[order][:-1]][:len(order)]
                 places = np.arange(len(order))
                 place = places - np.maximum.accumulate(np.where(opens, places, 0)) if len(order) else places
-                order = order[(place < BEST) | (again & ~crowded[j[order]])]
+                order = order[(place < BEST) | ~crowded[j[order]]]
                 i, j, agree = i[order], j[order], agree[order]
                 a.append(np.minimum(ids[i], ids[j]))
                 b.append(np.maximum(ids[i], ids[j]))
                 scores.append(agree)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b, scores)], names=["a", "b", "agree"])
-            tail = max(0, len(region) - window)
+            tail = max(0, len(region) - WIDE)
             tail = max(tail, int(np.searchsorted(region, region[-1])))
-            kept = [x[tail:] for x in (region, ids, sizes, roots, rows)]
+            kept = [x[tail:] for x in (region, ids, sizes, rows)]
     return run
 
 
-def _sorted_walk(classes: DataFrame, window: int, least: int, percent: int, again: bool) -> DataFrame:
+def _sorted_walk(classes: DataFrame, least: int, percent: int) -> DataFrame:
     size = TREES * DEPTH
     rotated = [F.concat(F.substring("low", DEPTH * (t + 1) + 1, size), F.substring("low", 1, DEPTH * (t + 1))) for t in range(TREES)]
-    rows = classes.select("doc_id", "n_shingles", "root", F.explode(F.arrays_zip(F.col("regions").alias("region"), F.array(*rotated).alias("order"))).alias("x"))
-    rows = rows.select(F.col("x.region").alias("region"), F.col("x.order").alias("order"), "doc_id", "n_shingles", "root")
+    rows = classes.select("doc_id", "n_shingles", F.explode(F.arrays_zip(F.col("regions").alias("region"), F.array(*rotated).alias("order"))).alias("x"))
+    rows = rows.select(F.col("x.region").alias("region"), F.col("x.order").alias("order"), "doc_id", "n_shingles")
     order = ["region", "order", "doc_id"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk(window, least, percent, again), _PAIRS)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk(least, percent), _PAIRS)
 
 
 def _confirm(size: int, percent: int):
@@ -158,17 +151,6 @@ def confirm(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> Dat
     return pairs.select("a", "b").join(left, "a").join(right, "b").mapInArrow(_confirm(size, percent), "a bigint, b bigint")
 
 
-def _best(pairs: DataFrame) -> DataFrame:
-    """For each class its ``BEST`` likeliest partners; ties go to the smaller id."""
-    ends = pairs.select(F.col("a").alias("node"), F.col("b").alias("other"), "agree").unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other"), "agree"))
-    first = ends.groupBy("node").agg(F.max(F.struct("agree", (-F.col("other")).alias("other"))).alias("top"))
-    pick = first.select("node", (-F.col("top.other")).alias("other"))
-    second = ends.join(pick.withColumnRenamed("other", "_first"), "node").where("other != _first").groupBy("node").agg(
-        F.max(F.struct("agree", (-F.col("other")).alias("other"))).alias("top")).select("node", (-F.col("top.other")).alias("other"))
-    chosen = pick.unionByName(second) if BEST > 1 else pick
-    return chosen.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-
-
 def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("b").alias("u"), F.col("a").alias("v")).where("u != v")
 
@@ -249,30 +231,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     classes = members.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
     heads = cut(members.join(classes.withColumnsRenamed({c: f"_{c}" for c in digest}), F.expr(
         "doc_id = rep AND n_shingles = _n_shingles AND sum_a = _sum_a AND sum_b = _sum_b")).select(
-        "doc_id", *digest, "regions", "low", F.col("doc_id").alias("root")).dropDuplicates(["doc_id", *digest]))
+        "doc_id", "n_shingles", "regions", "low").dropDuplicates(["doc_id", "low"]))
 
     minima, share = TREES * DEPTH, percent / 100
     least = max(DEPTH, int(minima * share - 4.5 * sqrt(minima * share * (1 - share))))
-    near = cut(_sorted_walk(heads, NEAR, least, percent, False).distinct())
-    involved = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    bodies = cut(source.join(heads.select("doc_id").distinct(), "doc_id", "left_semi").join(involved, "doc_id", "left_semi"))
-    tried = cut(_best(near))
-    links = cut(confirm(tried, bodies, size, percent))
-
-    def rooted(frame: DataFrame, linked: DataFrame) -> DataFrame:
-        roots = components(_edges(linked)).withColumnRenamed("node", "doc_id")
-        return frame.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-
-    second = cut(_sorted_walk(rooted(heads.drop("root").join(involved, "doc_id", "left_semi"), links), WIDE, least, percent, True).select("a", "b").distinct())
-    more = cut(confirm(second.where("a < b").join(tried, ["a", "b"], "left_anti"), bodies, size, percent))
-    links = links.unionByName(more)
-    crowd = cut(second.where("a = b").select(F.col("a").alias("doc_id")))
-    if not crowd.isEmpty():
-        members = cut(rooted(bodies.join(crowd, "doc_id", "left_semi"), links))
-        rest = cut(_between_components(members, size, percent))
-        links = links.unionByName(cut(confirm(rest, members.drop("root"), size, percent)))
-    final = components(_edges(links)).select(F.col("node").alias("rep"), "root")
-    discard(near, bodies, tried, second)
+    walked = cut(_sorted_walk(heads, least, percent).select("a", "b").distinct())
+    involved = walked.select(F.col("a").alias("doc_id")).union(walked.select("b")).distinct()
+    bodies = cut(source.join(involved, "doc_id", "left_semi"))
+    links = cut(confirm(walked.where("a < b"), bodies, size, percent))
+    roots = components(_edges(links))
+    crowd = walked.where("a = b").select(F.col("a").alias("doc_id"))
+    members = cut(bodies.join(crowd, "doc_id", "left_semi").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")))
+    if not members.isEmpty():
+        more = cut(confirm(_between_components(members, size, percent), members.drop("root"), size, percent))
+        if not more.isEmpty():
+            roots = components(_edges(more.unionByName(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))))
+    final = roots.withColumnRenamed("node", "rep")
+    discard(bodies, walked)
 
     placed = classes.join(final, "rep", "left").select(*digest, F.coalesce("root", "rep").alias("_root"))
     one = made.select("doc_id", *digest)

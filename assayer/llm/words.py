@@ -237,10 +237,14 @@ def token_counts(column: pa.Array, tokenizer: tokenizers.Tokenizer, known: Known
     column = pc.fill_null(column, "")
     special = with_special(column, tokenizer)
     if _long(column) and not special.any():
-        return np.sum([token_counts(part, tokenizer, known) for part in safe_parts(column)], axis=0)
-    batch, rows, ends = _rows(pc.if_else(pa.array(special), "", column) if special.any() else column, known)
-    totals = np.append(0, np.cumsum((ends[rows + 1] - ends[rows])[batch.which]))[batch.counts]
-    counts = totals[1:] - totals[:-1]
+        return np.sum([_plain_counts(part, known) for part in safe_parts(column)], axis=0)
+    counts = _plain_counts(pc.if_else(pa.array(special), "", column) if special.any() else column, known)
     for i in np.flatnonzero(special).tolist():
         counts[i] = len(tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids)
     return counts
+
+
+def _plain_counts(column: pa.Array, known: Known) -> np.ndarray:
+    batch, rows, ends = _rows(column, known)
+    totals = np.append(0, np.cumsum((ends[rows + 1] - ends[rows])[batch.which]))[batch.counts]
+    return totals[1:] - totals[:-1]
