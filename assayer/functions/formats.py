@@ -83,12 +83,12 @@ def resolve_patterns(rules: DataFrame, glossary: DataFrame) -> DataFrame:
     The registry has 18 rows, so it is broadcast.
     """
     known = F.broadcast(registry(rules.sparkSession).withColumnRenamed("pattern", "registry_pattern"))
-    types = glossary.select("column", F.regexp_replace(F.lower(F.trim("semantic_type")), " ", "_").alias("semantic_type"))
+    types = glossary.select("column", F.when(F.trim("regex") != "", F.col("regex")).alias("glossary_pattern"), F.regexp_replace(F.lower(F.trim("semantic_type")), " ", "_").alias("semantic_type"))
     typed = types.join(known, "semantic_type", "left")
     own = F.when(F.trim("pattern") != "", F.col("pattern"))
     return (
         rules.join(typed, "column", "left")
-        .withColumn("resolved_pattern", F.coalesce(own, F.col("registry_pattern")))
-        .withColumn("resolved_by", F.when(own.isNotNull(), "explicit").when(F.col("registry_pattern").isNotNull(), "registry").otherwise("none"))
-        .drop("registry_pattern")
+        .withColumn("resolved_pattern", F.coalesce(own, F.col("glossary_pattern"), F.col("registry_pattern")))
+        .withColumn("resolved_by", F.when(own.isNotNull(), "explicit").when(F.col("glossary_pattern").isNotNull(), "glossary").when(F.col("registry_pattern").isNotNull(), "registry").otherwise("none"))
+        .drop("registry_pattern", "glossary_pattern")
     )

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from assayer.operators.skew import attach
@@ -14,20 +16,53 @@ from assayer.schema import NUMERIC, columns_of
 def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``(column_a, column_b, correlation, strong)`` over rows where both values are present.
 
-    All pairs of columns share one aggregate over one scan.
+    One scan. Each task adds up count, means and co-moments of all pairs as matrices over its
+    batches; the tasks' sums are combined pair by pair, so no aggregate has a buffer per pair.
     """
-    pairs = list(combinations(columns or columns_of(df, NUMERIC), 2))
-    row = df.agg(*[
-        F.corr(F.when(F.col(b).isNotNull(), F.col(a)).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)
-    ])
-    return _rows(row, pairs)
-
-
-def _rows(row: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    clean = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
-    return row.select(F.inline(F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), clean(f"p{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)
-    ]))).withColumn("strong", F.abs("correlation") >= 0.8)
+    names = list(columns or columns_of(df, NUMERIC))
+    pairs = list(combinations(range(len(names)), 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double, strong boolean")
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    partial = numbers.mapInArrow(_moments(len(names)), "a int, b int, n double, x double, y double, xx double, yy double, xy double")
+    # Sums of squares about a mean combine exactly once the common mean of a pair is known.
+    means = partial.groupBy("a", "b").agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mx"), (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("my"))
+    dx, dy, n = F.col("x") - F.col("mx"), F.col("y") - F.col("my"), F.col("n")
+    made = partial.join(means, ["a", "b"]).groupBy("a", "b").agg(
+        F.sum(F.col("xx") + n * dx * dx).alias("xx"), F.sum(F.col("yy") + n * dy * dy).alias("yy"), F.sum(F.col("xy") + n * dx * dy).alias("xy"))
+    named = F.broadcast(df.sparkSession.createDataFrame([(i, j, names[i], names[j]) for i, j in pairs], "a int, b int, column_a string, column_b string"))
+    value = F.try_divide(F.col("xy"), F.sqrt(F.col("xx") * F.col("yy")))
+    return named.join(made, ["a", "b"], "left").select("column_a", "column_b", F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0)).alias("correlation")).withColumn(
+        "strong", F.abs("correlation") >= 0.8)
+
+
+def _moments(width: int):
+    """Per task and pair: rows with both values, their means and the sums of squares and products about them."""
+    def run(batches):
+        shape = (width, width)
+        n, x, y, xx, yy, xy = (np.zeros(shape) for _ in range(6))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(width)], axis=1)
+            there = ~np.isnan(values)
+            present, filled = there.astype(float), np.where(there, values, 0.0)
+            shift = filled.sum(axis=0) / np.maximum(present.sum(axis=0), 1)
+            filled = np.where(there, values - shift, 0.0)
+            m = present.T @ present
+            some = np.maximum(m, 1)
+            bx, by = filled.T @ present / some, present.T @ filled / some
+            bxx, byy = (filled ** 2).T @ present - m * bx ** 2, present.T @ filled ** 2 - m * by ** 2
+            bxy = filled.T @ filled - m * bx * by
+            bx, by = bx + shift[:, None], by + shift[None, :]
+            total = np.maximum(n + m, 1)
+            dx, dy, both = bx - x, by - y, n * m / total
+            xx, yy, xy = xx + bxx + both * dx * dx, yy + byy + both * dy * dy, xy + bxy + both * dx * dy
+            x, y, n = x + dx * m / total, y + dy * m / total, n + m
+        a, b = np.triu_indices(width, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32()), *[pa.array(v[a, b]) for v in (n, x, y, xx, yy, xy)]],
+                                         names=["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+    return run
 
 
 def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -68,7 +68,7 @@ def fix(df: DataFrame, rule: Rule, action: str, rejected_at: str) -> tuple[DataF
     if action == "drop":
         leaving = failing_rows(df, rule)
     elif action == "deduplicate" and rule.kind == "cross_composite_unique":
-        names = list(rule.columns[:4])
+        names = list(rule.columns)
         first = df.groupBy(*names).agg(F.min(ROW_ID).alias(ROW_ID)).select(ROW_ID)
         leaving = df.join(first, ROW_ID, "left_anti")
     else:

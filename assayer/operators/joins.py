@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 
+NULL_SPREAD = 1 << 20
+
+
 @dataclass(frozen=True)
 class EntityTable:
     name: str
@@ -19,8 +22,9 @@ def working_view(tables: list[EntityTable]) -> DataFrame:
     """Primary table left-joined with every extension on its key, multiplicity kept.
 
     A clashing column gets ``__<table>``. Lookups, and extensions whose key is missing on
-    either side, are skipped. A null key matches nothing. Spark picks the join strategy, so a
-    small extension is broadcast by its measured size only.
+    either side, are skipped. A null key matches nothing and is dealt out at random instead of
+    meeting in one task; other frequent keys are split by adaptive execution, which both plain
+    sides of the join allow. A small extension is broadcast by its measured size only.
     """
     primary = next(t for t in tables if t.role == "primary")
     view = primary.df
@@ -30,7 +34,13 @@ def working_view(tables: list[EntityTable]) -> DataFrame:
             continue
         taken = set(view.columns) - {key}
         renamed = table.df.select(*[F.col(c).alias(f"{c}__{table.name}" if c in taken else c) for c in table.df.columns])
-        view = view.join(renamed, key, "left")
+        order = view.columns + [c for c in renamed.columns if c != key]
+        unused = "_no_key"
+        while unused in order:
+            unused += "_"
+        # Rows without a key get one of many numbers beside it, which no extension row has.
+        spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*view.columns), F.lit(NULL_SPREAD)) + 1).otherwise(0).cast("int")
+        view = view.withColumn(unused, spread).join(renamed.where(F.col(key).isNotNull()).withColumn(unused, F.lit(0)), [key, unused], "left").select(*order)
     return view
 
 

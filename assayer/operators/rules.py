@@ -14,7 +14,7 @@ from assayer.operators.skew import group_sizes, members_of_repeated
 from assayer.operators.values import union_all
 from assayer.schema import as_text, data_columns
 
-NO_ISSUES = "All values valid - No issues found"
+NO_ISSUES = "no issues"
 ALNUM_WORDS = r"^[A-Za-z0-9\s]+$"
 NO_SPECIAL = r"^[A-Za-z0-9\s\-_.]+$"
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
@@ -148,7 +148,7 @@ def group_count(df: DataFrame, rule: Rule) -> DataFrame | None:
     if rule.kind == "multi_unique" and rule.params.get("operator", "AND") == "AND":
         return _rows_in_groups(group_sizes(df, list(rule.columns)))
     if rule.kind == "cross_composite_unique":
-        names = list(rule.columns[:4])
+        names = list(rule.columns)
         return _rows_in_groups(group_sizes(df.na.drop("all", subset=names), names))
     if rule.kind == "multi_unique":
         return rows_with_any_repeat(df, list(rule.columns)).agg(F.count(F.lit(1)).alias("issues"))
@@ -208,7 +208,7 @@ def failing_rows(df: DataFrame, rule: Rule, limit: int | None = None) -> DataFra
     elif rule.kind == "multi_unique":
         rows = df.join(rows_with_any_repeat(df, list(rule.columns)), ROW_ID, "left_semi")
     elif rule.kind == "cross_composite_unique":
-        names = list(rule.columns[:4])
+        names = list(rule.columns)
         rows = members_of_repeated(df.na.drop("all", subset=names), names, ROW_ID)
     else:
         raise ValueError(f"{rule.kind} judges a column, not rows")
@@ -223,10 +223,10 @@ def examples(df: DataFrame, rules: list[Rule], k: int = 5, width: int = 50) -> D
     parts = []
     for rule in rules:
         name = rule.column or (rule.columns[0] if rule.columns else "")
-        value = F.substring(F.coalesce(as_text(df, name), F.lit("")), 1, width)
+        value = F.coalesce(as_text(df, name), F.lit(""))
         failing = failing_rows(df, rule).select(F.lit(rule.rule_id).alias("rule_id"), value.alias("value"), ROW_ID)
         parts.append(failing.groupBy("rule_id", "value").agg(F.min(ROW_ID).alias("first_id")).orderBy("first_id").limit(k))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("first_id", "value"))), lambda s: s["value"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("first_id", "value"))), lambda s: F.substring(s["value"], 1, width))
     return union_all(parts).groupBy("rule_id").agg(F.array_join(listed, "; ").alias("example"))
 
 

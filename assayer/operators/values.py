@@ -72,15 +72,19 @@ def top_values(df: DataFrame, columns: list[str], k: int, condition: str = "true
     return chosen.withColumn("rank", F.row_number().over(order))
 
 
-def duplicate_value_text(df: DataFrame, columns: list[str] | None = None, most: int = 1000) -> DataFrame:
-    """``value(count), ...`` of the repeated values per column, most frequent first.
+def repeated_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``(column, value, rows)``: every value that more than one row holds, null among them."""
+    return value_counts(df, columns).where("rows > 1")
 
-    The text is for display and lists the ``most`` most frequent values; ``repeated_values``
-    counts all of them.
+
+def duplicate_value_text(df: DataFrame, columns: list[str] | None = None, shown: int = 1000) -> DataFrame:
+    """``value(count), ...`` of the ``shown`` most frequent repeated values per column, for display.
+
+    ``repeated_values`` counts all of them; the function of that name lists them.
     """
     names = comparable(df, columns)
     value = F.when(text.blank(F.col("value")), F.lit("Missing Values")).otherwise(text.strip(F.col("value")))
-    ranked = top_values(df, names, most, "rows > 1").withColumn("shown", F.concat(value, F.lit("("), F.col("rows").cast("string"), F.lit(")")))
+    ranked = top_values(df, names, shown, "rows > 1").withColumn("shown", F.concat(value, F.lit("("), F.col("rows").cast("string"), F.lit(")")))
     listed = ranked.groupBy("column").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "shown"))), lambda s: s["shown"]), ", ").alias("duplicate_values")
     )

@@ -87,16 +87,16 @@ def semantic_breakdown(fields: DataFrame) -> DataFrame:
 
 # Uniqueness
 
-def attribute_key(df: DataFrame, glossary: Glossary, primary: str | None) -> list[str]:
+def attribute_key(df: DataFrame, glossary: Glossary, primary: str | None, names_used: int = 1, ids_used: int = 2) -> list[str]:
     """Name and up to two regulatory ids that identify an entity without its primary key."""
     others = [c for c in data_columns(df) if c != primary]
-    names = [c for c in others if glossary.semantic_type(c) == "free_text_name" and glossary.recommended(c)][:1]
-    return names + [c for c in others if glossary.semantic_type(c) in REGULATORY_TYPES and c not in names][:2]
+    names = [c for c in others if glossary.semantic_type(c) == "free_text_name" and glossary.recommended(c)][:names_used]
+    return names + [c for c in others if glossary.semantic_type(c) in REGULATORY_TYPES and c not in names][:ids_used]
 
 
-def composite_key(df: DataFrame, glossary: Glossary) -> list[str]:
+def composite_key(df: DataFrame, glossary: Glossary, ids_used: int = 3) -> list[str]:
     ids = ordered_identifiers(df, glossary)
-    return attribute_key(df, glossary, ids[0] if ids else None) or ids[:3]
+    return attribute_key(df, glossary, ids[0] if ids else None) or ids[:ids_used]
 
 
 def composite_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -192,19 +192,25 @@ def off_pattern_samples(df: DataFrame, patterns: DataFrame, k: int = 5) -> DataF
     return first_values(df, list(dominant), k, off, lambda c: F.substring(c, 1, 60))
 
 
-def spelling_variants(df: DataFrame, column: str, k: int = 20, variants: int = 1000) -> DataFrame:
-    """Spellings with equal folded form: ``(key, distinct_spellings, total_rows, variants)``, top ``k``.
-
-    Only the chosen clusters are listed, each with at most ``variants`` spellings for display.
-    """
+def spellings(df: DataFrame, column: str) -> DataFrame:
+    """``(column, key, value, rows)``: every spelling of a folded form that has two or more."""
     counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
     keyed = counted.withColumn("key", text.fold_key(F.col("value"))).where("key != ''")
+    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    return keyed.join(many, "key").select(F.lit(column).alias("column"), "key", "value", "rows")
+
+
+def spelling_variants(df: DataFrame, column: str, k: int = 20) -> DataFrame:
+    """The ``k`` folded forms with most spellings: ``(column, key, distinct_spellings, total_rows, variants)``.
+
+    ``variants`` joins all spellings of a chosen form; they share its folded text.
+    """
+    keyed = spellings(df, column)
     top = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("distinct_spellings"), F.sum("rows").alias("total_rows")) \
-        .where("distinct_spellings > 1").orderBy(F.col("distinct_spellings").desc(), F.col("total_rows").desc(), "key").limit(k)
-    order = Window.partitionBy("key").orderBy(F.col("rows").desc(), "value")
-    listed = keyed.join(F.broadcast(top.select("key")), "key", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= variants)
-    spelled = listed.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "value", "rows"))),
-                                                                   lambda s: F.concat(s["value"], F.lit("("), s["rows"].cast("string"), F.lit(")"))), ", ").alias("variants"))
+        .orderBy(F.col("distinct_spellings").desc(), F.col("total_rows").desc(), "key").limit(k)
+    entry = F.struct((-F.col("rows")).alias("n"), "value", F.concat("value", F.lit("("), F.col("rows").cast("string"), F.lit(")")).alias("shown"))
+    spelled = keyed.join(top.select("key"), "key", "left_semi").groupBy("key").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["shown"]), ", ").alias("variants"))
     return top.join(spelled, "key").select(F.lit(column).alias("column"), "key", "distinct_spellings", "total_rows", "variants")
 
 

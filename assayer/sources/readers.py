@@ -14,8 +14,12 @@ DELIMITERS = {".csv": ",", ".txt": ",", ".tsv": "\t"}
 
 
 def read_table(spark: SparkSession, path: str, suffix: str | None = None, header_row: int = 0,
-               schema: T.StructType | str | None = None) -> DataFrame:
-    """Read by file suffix. Pass ``schema`` for large text files; inferring costs a second read."""
+               schema: T.StructType | str | None = None, multi_line: bool = True) -> DataFrame:
+    """Read by file suffix. Pass ``schema`` for large text files; inferring costs a second read.
+
+    Quoted values of delimited text may hold line breaks; a file is then one task. With
+    ``multi_line=False`` files are split, and a value with a line break is an error.
+    """
     kind = suffix or PurePosixPath(path).suffix.lower()
     if kind in (".parquet", ".pq"):
         return nan_to_null(spark.read.parquet(path))
@@ -25,47 +29,63 @@ def read_table(spark: SparkSession, path: str, suffix: str | None = None, header
         return spark.read.json(path, schema=schema, multiLine=True)
     if kind in DELIMITERS:
         if header_row:
-            return read_after_header(spark, path, header_row, DELIMITERS[kind])
-        return spark.read.csv(path, sep=DELIMITERS[kind], header=True, schema=schema, inferSchema=schema is None,
-                              quote='"', escape='"', enforceSchema=False)
+            return read_after_header(spark, path, header_row, DELIMITERS[kind], multi_line)
+        rows = spark.read.csv(path, sep=DELIMITERS[kind], header=True, schema=schema, inferSchema=schema is None,
+                              quote='"', escape='"', enforceSchema=False, multiLine=multi_line)
+        return rows if multi_line else _unbroken(spark, path, rows)
     raise ValueError(f"unsupported file type {kind}")
 
 
-def preview_raw(spark: SparkSession, path: str, rows: int = 20, sep: str = ",") -> DataFrame:
-    """First lines of a delimited file with no header applied; stops reading after ``rows``."""
-    width = len(spark.read.csv(path, sep=sep).columns)
+def _unbroken(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """``rows`` if no line of the files at ``path`` leaves a quote open, else an error."""
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"')))
+    if not spark.read.text(path).where(quotes % 2 == 1).isEmpty():
+        raise ValueError("a quoted value holds a line break; read with multi_line=True")
+    return rows
+
+
+def _records(spark: SparkSession, path: str, width: int, sep: str, multi_line: bool) -> DataFrame:
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    return spark.read.csv(path, sep=sep, schema=schema).limit(rows)
+    return spark.read.csv(path, sep=sep, schema=schema, quote='"', escape='"', multiLine=multi_line)
+
+
+def preview_raw(spark: SparkSession, path: str, rows: int = 20, sep: str = ",") -> DataFrame:
+    """First records of a delimited file with no header applied; stops reading after ``rows``."""
+    width = len(spark.read.csv(path, sep=sep, quote='"', escape='"', multiLine=True).columns)
+    return _records(spark, path, width, sep, True).limit(rows)
 
 
-FEW_FILES = 100_000  # up to this many files the skipped line ids are under 10 MB and are broadcast
+FEW_FILES = 100_000  # up to this many files the skipped record ids are under 10 MB and are broadcast
 
 
-def read_after_header(spark: SparkSession, path: str, header_row: int, sep: str = ",") -> DataFrame:
-    """Delimited read where line ``header_row`` (0-based) of every file holds the names.
+def read_after_header(spark: SparkSession, path: str, header_row: int, sep: str = ",", multi_line: bool = True) -> DataFrame:
+    """Delimited read where record ``header_row`` (0-based, empty lines not counted) of every file holds the names.
 
-    The lines above and including the names lie in a file's first block. Ids inside a block
-    follow line order, so the lines to skip are a short run of ids per file and the rest parses
-    in parallel. Columns are text.
+    All files must have the same names. Ids follow the order of a file's records, so the
+    records to skip are a short run of ids at the start of each file. Columns are text.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("at"))
-    files = sorted(spark.read.text(path).inputFiles())
-    first_lines = spark.read.text(files[0]).where(F.col("_metadata.file_block_start") == 0).take(header_row + 1)
-    titles = [t.strip() or f"column_{i}" for i, t in enumerate(next(csv.reader([first_lines[header_row]["value"]], delimiter=sep)))]
-    starts = lines.where("block = 0").groupBy("file").agg(F.min("at").alias("first"))
-    skipped = starts.select(F.explode(F.sequence("first", F.col("first") + header_row)).alias("at"))
-    if len(files) <= FEW_FILES:
+    first = sorted(spark.read.text(path).inputFiles())[0]
+    lines = spark.read.text(first).where("value != ''").take(10 * (header_row + 1))   # names with line breaks included
+    titled = next((r for i, r in enumerate(csv.reader((r["value"] + "\n" for r in lines), delimiter=sep)) if i == header_row), [])
+    width = max(1, len(titled))
+    records = _records(spark, path, width, sep, multi_line).withColumns({
+        "_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
+    starts = records.where("_block = 0").groupBy("_file").agg(F.min("_at").alias("first"))
+    heads = starts.select((F.col("first") + header_row).alias("_at"))
+    names = records.join(F.broadcast(heads), "_at", "left_semi").select(F.array(*[f"c{i}" for i in range(width)]).alias("names")).distinct().take(2)
+    if len(names) != 1:
+        raise ValueError(f"the files at {path} do not share one line of names")
+    titles = [(t or "").strip() or f"column_{i}" for i, t in enumerate(names[0]["names"])]
+    skipped = starts.select(F.explode(F.sequence("first", F.col("first") + header_row)).alias("_at"))
+    if len(spark.read.text(path).inputFiles()) <= FEW_FILES:
         skipped = F.broadcast(skipped)
-    body = lines.join(skipped, "at", "left_anti")
-    schema = ", ".join(f"`{t}` string" for t in titles)
-    return body.select(F.from_csv("value", F.lit(schema), {"sep": sep}).alias("r")).select("r.*")
+    body = records.join(skipped, "_at", "left_anti").select(*[F.col(f"c{i}").alias(t) for i, t in enumerate(titles)])
+    return body if multi_line else _unbroken(spark, path, body)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, max_rows: int | None = 500_000, partition_column: str | None = None,
+def read_jdbc(spark: SparkSession, url: str, table: str, max_rows: int | None = None, partition_column: str | None = None,
               bounds: tuple[int, int] | None = None, partitions: int = 16, properties: dict[str, str] | None = None) -> DataFrame:
-    """Database table; with a partition column the read runs as parallel range scans."""
+    """Database table, all rows unless ``max_rows`` says otherwise; with a partition column the read runs as parallel range scans."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**(properties or {}))
     if partition_column and bounds:
         reader = (reader.option("partitionColumn", partition_column).option("lowerBound", bounds[0])
@@ -74,7 +94,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, max_rows: int | None =
     return rows.limit(max_rows) if max_rows else rows
 
 
-def read_query(spark: SparkSession, url: str, query: str, max_rows: int | None = 500_000, properties: dict[str, str] | None = None) -> DataFrame:
+def read_query(spark: SparkSession, url: str, query: str, max_rows: int | None = None, properties: dict[str, str] | None = None) -> DataFrame:
     rows = spark.read.format("jdbc").option("url", url).option("query", query).options(**(properties or {})).load()
     return rows.limit(max_rows) if max_rows else rows
 

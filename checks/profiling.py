@@ -110,10 +110,10 @@ CASE_SQL = f"""SELECT '{{c}}' AS "column", u AS upper_count, l AS lower_count, t
 check("A16_case_distribution", lambda s, d: full(s, d, with_outliers=False).where("family = 'text'").select("column", "upper_count", "lower_count", "title_count", "mixed_count", "case_type"), CUST + per_column(CASE_SQL, CUST_TEXT))
 
 check("A17_business_checks", lambda s, d: full(s, d, with_outliers=False).select("column", F.concat_ws("; ", "violations").alias("violations")),
-      CUST + per_column("SELECT '{c}' AS \"column\", CASE WHEN count(*) FILTER ({c} < 0) > 0 THEN 'Negative values detected (' || count(*) FILTER ({c} < 0) || ' rows) - Verify if allowed' ELSE '' END AS violations FROM cust", CUST_NUMBERS) + " UNION ALL "
-      + per_column("SELECT '{c}' AS \"column\", CASE WHEN bad > 0 AND bad < n / 2 THEN 'Invalid email formats detected (' || bad || ' rows)' ELSE '' END AS violations FROM (SELECT count({c}) AS n, count(*) FILTER (NOT regexp_matches({c}, '^[\\w\\.-]+@[\\w\\.-]+\\.\\w+$')) AS bad FROM cust)", CUST_TEXT))
+      CUST + per_column("SELECT '{c}' AS \"column\", CASE WHEN count(*) FILTER ({c} < 0) > 0 THEN 'negative_values (' || count(*) FILTER ({c} < 0) || ')' ELSE '' END AS violations FROM cust", CUST_NUMBERS) + " UNION ALL "
+      + per_column("SELECT '{c}' AS \"column\", CASE WHEN bad > 0 AND bad < n / 2 THEN 'invalid_emails (' || bad || ')' ELSE '' END AS violations FROM (SELECT count({c}) AS n, count(*) FILTER (NOT regexp_matches({c}, '^[\\w\\.-]+@[\\w\\.-]+\\.\\w+$')) AS bad FROM cust)", CUST_TEXT))
 check("A17_future_dates", lambda s, d: full(s, d, "ord", with_outliers=False).where("family = 'temporal'").select("column", F.concat_ws("; ", "violations").alias("violations")),
-      ORD + per_column(f"SELECT '{{c}}' AS \"column\", CASE WHEN count(*) FILTER ({{c}} > TIMESTAMP '{AS_OF}') > 0 THEN 'Future dates detected (' || count(*) FILTER ({{c}} > TIMESTAMP '{AS_OF}') || ' rows) - Verify validity' ELSE '' END AS violations FROM ord", ["ordered", "shipped"]))
+      ORD + per_column(f"SELECT '{{c}}' AS \"column\", CASE WHEN count(*) FILTER ({{c}} > TIMESTAMP '{AS_OF}') > 0 THEN 'future_dates (' || count(*) FILTER ({{c}} > TIMESTAMP '{AS_OF}') || ')' ELSE '' END AS violations FROM ord", ["ordered", "shipped"]))
 
 # Risk, recommendations and suggestions share one SQL profile.
 SPECIAL_ROWS = "regexp_matches({c}::VARCHAR, '[!@#$%^&*()+=\\[\\]{}|\\\\:;\"''<>,.?/]|  |__')"
@@ -152,20 +152,20 @@ def fact_cte(view_name, kinds):
 LEVEL = "CASE WHEN score >= 60 THEN 'High' WHEN score >= 30 THEN 'Medium' ELSE 'Low' END"
 for label, name, kinds in (("cust", "cust", CUST_KINDS), ("ord", "ord", ORD_KINDS)):
     check(f"A18_risk_{label}", lambda s, d, n=name: full(s, d, n).select("column", "risk_score", "risk_level", F.concat_ws("; ", "key_issues").alias("key_issues")),
-          fact_cte(name, kinds) + f"""SELECT "column", score AS risk_score, {LEVEL} AS risk_level, concat_ws('; ', CASE WHEN null_pct > 50 THEN 'Critical: Majority of data is missing' WHEN null_pct > 20 THEN 'High missing value rate' END,
- CASE WHEN dup_pct > 50 AND uniq > 5 THEN 'High duplication rate in potential identifier' END, CASE WHEN special * 100.0 / total > 10 THEN 'Frequent special characters - potential ingestion risk' END, CASE WHEN outliers > 0 THEN 'Statistical outliers detected' END) AS key_issues FROM risk""")
+          fact_cte(name, kinds) + f"""SELECT "column", score AS risk_score, {LEVEL} AS risk_level, concat_ws('; ', CASE WHEN null_pct > 50 THEN 'mostly_missing' WHEN null_pct > 20 THEN 'often_missing' END,
+ CASE WHEN dup_pct > 50 AND uniq > 5 THEN 'repeated_identifier' END, CASE WHEN special * 100.0 / total > 10 THEN 'special_characters' END, CASE WHEN outliers > 0 THEN 'outliers' END) AS key_issues FROM risk""")
 
 check("A19_recommendations", lambda s, d: full(s, d).select("column", F.array_join(F.transform("recommendations", lambda r: F.concat(r["action"], F.lit(": "), r["impact"])), "; ").alias("recommendations")),
-      fact_cte("cust", CUST_KINDS) + """SELECT "column", concat_ws('; ', CASE WHEN nulls > 0 AND null_pct < 5 THEN 'Drop Rows: ' || nulls || ' rows; Impute Values: ' || nulls || ' rows' END, CASE WHEN null_pct >= 5 THEN 'Impute/Flag: ' || nulls || ' rows' END,
- CASE WHEN special > 0 THEN 'Clean Strings: ' || special || ' rows' END, CASE WHEN mixed THEN 'Standardize Case: All rows' END) AS recommendations FROM risk""")
+      fact_cte("cust", CUST_KINDS) + """SELECT "column", concat_ws('; ', CASE WHEN nulls > 0 AND null_pct < 5 THEN 'drop_rows: ' || nulls || ' rows; impute: ' || nulls || ' rows' END, CASE WHEN null_pct >= 5 THEN 'impute_or_flag: ' || nulls || ' rows' END,
+ CASE WHEN special > 0 THEN 'clean_text: ' || special || ' rows' END, CASE WHEN mixed THEN 'unify_case: All rows' END) AS recommendations FROM risk""")
 
 check("A20_suggestions", lambda s, d: full(s, d).select("column", "fuzzy_candidate", F.concat_ws("; ", "suggestions").alias("suggestions")),
       fact_cte("cust", CUST_KINDS) + """SELECT "column", family = 'text' AND uniq * 1.0 / total < 0.9 AS fuzzy_candidate, concat_ws('; ',
- CASE WHEN nulls > 0 THEN '[' || CASE WHEN null_pct > 50 THEN 'Critical' WHEN null_pct > 10 THEN 'Warning' ELSE 'OK' END || '] ' || printf('%.1f', null_pct::DOUBLE) || '% missing values' END,
- CASE WHEN empties > 0 THEN empties || ' empty strings (not null)' END, CASE WHEN whites > 0 THEN whites || ' whitespace-only values' END, CASE WHEN kinds > 0 THEN kinds || ' special character types' END,
- CASE WHEN outliers > 0 THEN outliers || ' statistical outliers' END, CASE WHEN family = 'text' AND uniq * 1.0 / total < 0.9 THEN 'Candidate for fuzzy matching' END,
- CASE WHEN uniq = total AND nulls = 0 THEN 'Primary key candidate' END, CASE WHEN uniq_pct < 5 THEN 'Low cardinality - consider categorical' END,
- CASE WHEN edges > 0 THEN 'Leading/trailing whitespace' END, CASE WHEN irregular > 0 THEN 'Inconsistent text casing' END) AS suggestions FROM risk""")
+ CASE WHEN nulls > 0 THEN '[' || CASE WHEN null_pct > 50 THEN 'Critical' WHEN null_pct > 10 THEN 'Warning' ELSE 'OK' END || '] ' || printf('%.1f', null_pct::DOUBLE) || '% missing' END,
+ CASE WHEN empties > 0 THEN empties || ' empty' END, CASE WHEN whites > 0 THEN whites || ' blank' END, CASE WHEN kinds > 0 THEN kinds || ' special characters' END,
+ CASE WHEN outliers > 0 THEN outliers || ' outliers' END, CASE WHEN family = 'text' AND uniq * 1.0 / total < 0.9 THEN 'fuzzy_candidate' END,
+ CASE WHEN uniq = total AND nulls = 0 THEN 'key_candidate' END, CASE WHEN uniq_pct < 5 THEN 'categorical_candidate' END,
+ CASE WHEN edges > 0 THEN 'outer_whitespace' END, CASE WHEN irregular > 0 THEN 'mixed_case' END) AS suggestions FROM risk""")
 
 check("A21_sample_values", lambda s, d: p.sample_values(view(s, d, "cust"), CUST_TEXT).select("column", "_row_id", "value"),
       CUST + per_column("SELECT '{c}' AS \"column\", _row_id, {c} AS value FROM cust WHERE {c} IS NOT NULL ORDER BY _row_id LIMIT 3", CUST_TEXT))
@@ -214,8 +214,8 @@ def issues(s, d):
 check("A25_top_issues", issues, fact_cte("cust", CUST_KINDS) + f"""SELECT severity, message FROM (SELECT 'warning' AS severity, 'Missing data: 6.5% of cells are empty' AS message, 1 AS sev, -2 AS place UNION ALL SELECT 'warning', '75 duplicate rows (7.5%)', 1, -1
  UNION ALL SELECT 'critical', 'Column ''' || "column" || ''' has HIGH risk (score ' || score || ')', 0, position FROM risk WHERE score >= 60
  UNION ALL SELECT 'warning', 'Column ''' || "column" || ''' is more than 50% null', 1, position FROM risk WHERE null_pct > 50
- UNION ALL SELECT 'info', '''' || "column" || ''': Negative values detected (' || negatives || ' rows) - Verify if allowed', 2, position FROM risk WHERE negatives > 0
- UNION ALL SELECT 'info', '''email'': Invalid email formats detected (' || (SELECT count(*) FILTER (NOT regexp_matches(email, '^[\\w\\.-]+@[\\w\\.-]+\\.\\w+$')) FROM cust) || ' rows)', 2, 3) ORDER BY sev, place, message LIMIT 8""")
+ UNION ALL SELECT 'info', '''' || "column" || ''': negative_values (' || negatives || ')', 2, position FROM risk WHERE negatives > 0
+ UNION ALL SELECT 'info', '''email'': invalid_emails (' || (SELECT count(*) FILTER (NOT regexp_matches(email, '^[\\w\\.-]+@[\\w\\.-]+\\.\\w+$')) FROM cust) || ')', 2, 3) ORDER BY sev, place, message LIMIT 8""")
 check("A25_risk_counts", lambda s, d: dashboard.risk_counts(full(s, d, "ord")), fact_cte("ord", ORD_KINDS) + f"SELECT {LEVEL} AS risk_level, count(*) AS columns FROM risk GROUP BY ALL")
 
 UNIQ = "CASE WHEN uniq_pct < 100 THEN least(100, uniq_pct * 1.2) ELSE 90 END"

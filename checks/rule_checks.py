@@ -98,7 +98,7 @@ check("R16_all_rules_one_scan", lambda s, d: r.evaluate(cust(s, d), ALL_RULES).s
 
 EXAMPLE_RULES = [Rule("pattern", "code", params={"pattern": FORMATS["pan"]}, rule_id=1), Rule("email", "email", rule_id=2), Rule("numeric", "amount_text", rule_id=3), Rule("range", "acctbal", params={"low": 0, "high": 9_000_000}, rule_id=4),
                  Rule("max_length", "segment", params={"length": 400}, rule_id=5)]
-EX = lambda i, c, cond: f"SELECT {i} AS rule_id, count(*) FILTER ({cond}) AS issues, CASE WHEN count(*) FILTER ({cond}) = 0 THEN 'All values valid - No issues found' ELSE (SELECT string_agg(v, '; ' ORDER BY first_id) FROM (SELECT substr(coalesce({c}::VARCHAR, ''), 1, 50) AS v, min(_row_id) AS first_id FROM cust WHERE {cond} GROUP BY 1 ORDER BY first_id LIMIT 5)) END AS example FROM cust"
+EX = lambda i, c, cond: f"SELECT {i} AS rule_id, count(*) FILTER ({cond}) AS issues, CASE WHEN count(*) FILTER ({cond}) = 0 THEN 'no issues' ELSE (SELECT string_agg(v, '; ' ORDER BY first_id) FROM (SELECT substr(coalesce({c}::VARCHAR, ''), 1, 50) AS v, min(_row_id) AS first_id FROM cust WHERE {cond} GROUP BY 1 ORDER BY first_id LIMIT 5)) END AS example FROM cust"
 EX_SQL = " UNION ALL ".join([
     EX(1, "code", f"trim(code) <> '' AND NOT regexp_matches(code, '{FORMATS['pan']}')"), EX(2, "email", "NOT regexp_matches(email, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$')"),
     EX(3, "amount_text", "amount_text IS NOT NULL AND TRY_CAST(amount_text AS DOUBLE) IS NULL"), EX(4, "acctbal", "acctbal < 0 OR acctbal > 9000000"), EX(5, "segment", "length(segment) > 400")])
