@@ -237,7 +237,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     least = max(DEPTH, int(minima * share - 4.5 * sqrt(minima * share * (1 - share))))
     walked = cut(_sorted_walk(heads, least, percent).select("a", "b").distinct())
     involved = walked.select(F.col("a").alias("doc_id")).union(walked.select("b")).distinct()
-    bodies = cut(source.join(involved, "doc_id", "left_semi"))
+    bodies = cut(source.join(involved.hint("merge"), "doc_id", "left_semi"))   # alike at every size
     links = cut(confirm(walked.where("a < b"), bodies, size, percent))
     roots = components(_edges(links))
     crowd = walked.where("a = b").select(F.col("a").alias("doc_id"))
