@@ -30,7 +30,7 @@ def _counter(path: str):
         else:
             tokenizer = words.load(path)
             if words.is_byte_level(tokenizer):
-                known = words.Known(words.library_encoder(tokenizer))
+                known = words.met(path, words.library_encoder(tokenizer))
 
                 def count(column):
                     return words.token_counts(column, tokenizer, known)

@@ -265,7 +265,7 @@ class Codec:
         self.merges, self.library, self.lexicon = Merges(path), words.load(path), Transducer.map(block)
         if not words.is_byte_level(self.library):
             raise ValueError(f"{path} is no byte-level BPE tokenizer")
-        self.known = words.Known(lambda unseen: [self.merges.encode(w) for w in unseen])
+        self.known = words.met(f"{path} merged", lambda unseen: [self.merges.encode(w) for w in unseen])
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         table = dict(self.merges.bytes) | {i: t.encode("utf-8") for t, i in self.special.items()}
         spelled = [table.get(i, b"") for i in range(max(table) + 1)]
@@ -322,9 +322,21 @@ class Codec:
         return data, np.append(0, np.cumsum(lengths))[offsets]
 
 
+_CODECS: dict[tuple[str, str], Codec] = {}
+
+
+def codec_of(path: str, block: bytes) -> Codec:
+    """The worker process's codec, made once for all its tasks."""
+    name = (path, hashlib.sha256(block).hexdigest())
+    if name not in _CODECS:
+        _CODECS.clear()
+        _CODECS[name] = Codec(path, block)
+    return _CODECS[name]
+
+
 def _coded(path: str, block, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, block.value)
+        codec = codec_of(path, block.value)
         decimal = [b"%d" % i for i in range(len(codec.lengths))]
         for batch in pieces(batches):
             if not batch.num_rows:

@@ -117,7 +117,7 @@ def unpack(packed: np.ndarray, offsets: np.ndarray, count: int) -> np.ndarray:
 def _segments(tokenizer: str, end: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = words.load(tokenizer)
-        known = words.Known(words.library_encoder(library)) if words.is_byte_level(library) else None
+        known = words.met(tokenizer, words.library_encoder(library)) if words.is_byte_level(library) else None
         shard, first, segment = TaskContext.get().partitionId(), 0, 0
         for batch in pieces(batches):
             if not batch.num_rows:
@@ -162,7 +162,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     stored = spark.read.schema(SEGMENTS).parquet(path)
     totals = stored.groupBy("shard").agg(F.sum("n_ids").alias("total"))   # one row per file
     before = totals.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("before"))
-    return stored.join(before, "shard").withColumn("start", F.col("before") + F.col("first"))
+    return stored.join(F.broadcast(before), "shard").withColumn("start", F.col("before") + F.col("first"))
 
 
 def _documents(digest: bool):

@@ -156,6 +156,18 @@ def library_encoder(tokenizer: tokenizers.Tokenizer) -> Callable[[list[bytes]],
     return encode
 
 
+_MET: dict[str, Known] = {}
+
+
+def met(name: str, encode: Callable[[list[bytes]], Sequence[Sequence[int]]]) -> Known:
+    """The words that this worker process has met under ``name``, in earlier tasks too."""
+    if name not in _MET:
+        _MET.clear()
+        _MET[name] = Known(encode)
+    _MET[name].encode = encode
+    return _MET[name]
+
+
 def load(path: str) -> tokenizers.Tokenizer:
     """The tokenizer of a .json file, without truncation or padding."""
     tokenizer = tokenizers.Tokenizer.from_file(path)
