@@ -6,7 +6,9 @@ every other row attached to its smallest adjacent leader. It is computed in wave
 
 1. Equal normal forms resemble the same rows, so one vertex stands for all of them.
 2. Each vertex keeps its rarest tokens, as many as a pair above the threshold must share at
-   least one of (prefix filtering), so common tokens seldom form a block.
+   least one of (prefix filtering), so common tokens seldom form a block. It also carries a
+   sketch of its characters and of its character pairs; two sketches that differ in more bits
+   than the edits allowed could explain never leave the block as a pair.
 3. In every block only the first ``HEADS`` undecided vertices are compared with each other. A
    vertex that is a head in all its blocks has met every smaller undecided vertex it could
    resemble, so its fate can be decided; the smallest vertex always can.
@@ -31,8 +33,8 @@ from assayer.operators.values import union_all
 from assayer.schema import as_text
 from assayer.session import cut
 
-HEADS = 256
-LOCAL_EDGES = 200_000       # a remainder of head edges up to this size is settled on the driver
+HEADS = 1024
+SKETCH_WORDS = 8            # 64-bit words of a sketch: half for characters, half for pairs of characters
 FREQUENCY_BUCKETS = 65_536  # size bound of the broadcast token frequencies
 
 
@@ -118,6 +120,45 @@ def _keep_function(shared: SharedTokens):
     return keep
 
 
+def _sketch(values: Column) -> Column:
+    """Unary counts up to 8 of the characters in 32 buckets, then the distinct copies of character pairs in 256 buckets."""
+    def bits(value: str) -> list[int]:
+        out = 0
+        for bucket, n in Counter(ord(c) * 0x9E37 % 8191 % 32 for c in value).items():
+            out |= ((1 << min(n, 8)) - 1) << 8 * bucket
+        seen: Counter = Counter()
+        for x, y in zip(value, value[1:]):
+            seen[x, y] += 1
+            out |= 1 << 256 + ((ord(x) * 0x1F3 + ord(y)) * 0x2545 + seen[x, y] * 0x9D) % 65521 % 256
+        words = [out >> 64 * i & (1 << 64) - 1 for i in range(SKETCH_WORDS)]
+        return [w - (1 << 64) if w >> 63 else w for w in words]
+
+    @F.pandas_udf("array<bigint>")
+    def sketch(texts: pd.Series) -> pd.Series:
+        return texts.map(bits)
+
+    return sketch(values)
+
+
+def _may_match(algorithm: str, threshold: float, left: str, right: str) -> Column:
+    """False where lengths and sketches rule the score out.
+
+    An edit changes the character counts by one and the character pairs by three at most. The
+    ratio allows ``(1 - need) * (a + b)`` edits; a Jaro score needs so many common characters.
+    """
+    a, b = F.col(f"{left}length"), F.col(f"{right}length")
+    half = SKETCH_WORDS // 2
+    differing = lambda words: sum((F.bit_count(F.col(f"{left}sketch")[i].bitwiseXOR(F.col(f"{right}sketch")[i])) for i in words), F.lit(0))
+    if algorithm == "metaphone":
+        return F.lit(True)
+    shared = SharedTokens(algorithm, threshold)
+    if algorithm == "jaro_winkler":
+        common = (3 * shared.jaro - 1) * a * b / (a + b)
+        return differing(range(half)) <= a + b - 2 * common + 1e-6
+    edits = (1 - shared.need) * (a + b) + 1e-6
+    return (F.abs(a - b) <= edits) & (differing(range(half)) <= edits) & (differing(range(half, SKETCH_WORDS)) <= 3 * edits)
+
+
 def _rare_tokens(vertices: DataFrame, first: str, algorithm: str, threshold: float) -> DataFrame:
     """``(id, block)``: the tokens of each vertex that can witness a match."""
     inside = F.xxhash64("within")
@@ -170,13 +211,17 @@ def leader_pairs(vertices: DataFrame, checks: dict[str, tuple[str, float]], head
     entries = cut(_rare_tokens(vertices, first, algorithm, threshold).distinct())
     sizes = entries.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
     # A vertex alone in all its blocks resembles nobody.
-    entries = cut(attach(entries, sizes.where("rows > 1"), ["block"], total=entries.count()))
-    total = entries.count()
+    entries = attach(entries, sizes.where("rows > 1"), ["block"], total=entries.count())
+    marks = vertices.select("id", F.char_length(first).alias("length"), _sketch(F.col(first)).alias("sketch"))
+    entries = cut(entries.join(marks, "id"))
     undecided = cut(entries.select("id").distinct())
     found: list[DataFrame] = []
     while not undecided.isEmpty():
-        leaders, covered = _decide(entries, undecided, vertices, checks, heads)
-        matches = cut(_meet_members(entries, leaders, vertices, checks, total))
+        leaders, covered, met, head = _decide(entries, undecided, vertices, checks, heads)
+        # Heads have met already; new leaders still meet the members behind them.
+        among = met.join(leaders.withColumnRenamed("id", "low"), "low", "left_semi").select("low", "high", "score")
+        behind = entries.join(head.select("block", "id"), ["block", "id"], "left_anti")
+        matches = cut(among.unionByName(_meet_members(entries, behind, leaders, vertices, checks)))
         found.append(matches)
         settled = leaders.select("id").unionByName(covered).unionByName(matches.select(F.col("high").alias("id")))
         undecided = cut(undecided.join(settled.distinct(), "id", "left_anti"))
@@ -186,61 +231,42 @@ def leader_pairs(vertices: DataFrame, checks: dict[str, tuple[str, float]], head
     return best.select("m.low", "high", "m.score")
 
 
-def _decide(entries: DataFrame, undecided: DataFrame, vertices: DataFrame, checks, heads: int) -> tuple[DataFrame, DataFrame]:
-    """Leaders and covered vertices that the heads of all blocks determine."""
+def _decide(entries: DataFrame, undecided: DataFrame, vertices: DataFrame, checks, heads: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Leaders and covered vertices that the heads of all blocks determine, the heads' matches, and the heads."""
+    algorithm, threshold = next(iter(checks.values()))
     waiting = entries.join(undecided, "id", "left_semi")
     order = Window.partitionBy("block").orderBy("id")
-    head = cut(waiting.select("id", "block").withColumn("n", F.row_number().over(order)).where(F.col("n") <= heads).drop("n"))
+    head = cut(waiting.withColumn("n", F.row_number().over(order)).where(F.col("n") <= heads).select("block", "id", "length", "sketch"))
     seen = head.groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
     all_blocks = waiting.groupBy("id").agg(F.count(F.lit(1)).alias("blocks"))
     visible = cut(all_blocks.join(seen, "id").where("seen = blocks").select("id"))
-    other = head.select("block", F.col("id").alias("high"))
-    pairs = head.withColumnRenamed("id", "low").join(other, "block").where("low < high").select("low", "high").distinct()
-    edges = cut(_scored(pairs, vertices, checks).select("low", "high"))
-    leaders, covered = undecided.where("false"), undecided.where("false")
+    other = head.select("block", F.col("id").alias("high"), F.col("length").alias("r_length"), F.col("sketch").alias("r_sketch"))
+    low = head.select("block", F.col("id").alias("low"), F.col("length").alias("l_length"), F.col("sketch").alias("l_sketch"))
+    pairs = low.join(other, "block").where(F.col("low") < F.col("high")).where(_may_match(algorithm, threshold, "l_", "r_")).select("low", "high").distinct()
+    met = cut(_scored(pairs, vertices, checks))
+    edges = met.select("low", "high")
     # A visible vertex without a smaller living neighbour leads; its neighbours are covered and
     # no longer hold anybody back.
+    fates = undecided.where("false").withColumn("leads", F.lit(True))
     while True:
-        if edges.count() <= LOCAL_EDGES:
-            more, gone = _settle_few(edges, visible)
-            return leaders.unionByName(more), covered.unionByName(gone).distinct()
-        new = cut(visible.join(edges.select(F.col("high").alias("id")), "id", "left_anti"))
-        if new.isEmpty():
-            return leaders, covered.distinct()
-        gone = cut(edges.join(new.withColumnRenamed("id", "low"), "low", "left_semi").select(F.col("high").alias("id")).distinct())
-        leaders, covered = leaders.unionByName(new), covered.unionByName(gone)
-        settled = new.unionByName(gone)
-        edges = cut(edges.join(settled.withColumnRenamed("id", "low"), "low", "left_anti").join(
-            settled.withColumnRenamed("id", "high"), "high", "left_anti"))
-        visible = cut(visible.join(settled, "id", "left_anti"))
-
-
-def _settle_few(edges: DataFrame, visible: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same election for at most ``LOCAL_EDGES`` edges, in one pass over their vertices."""
-    spark = edges.sparkSession
-    free = visible.join(edges.select(F.col("high").alias("id")), "id", "left_anti")
-    seen = visible.withColumn("visible", F.lit(True))
-    flagged = edges.join(seen.withColumnRenamed("id", "high"), "high", "left").orderBy("high").collect()
-    lows: dict[int, list[int]] = {}
-    can_lead = {}
-    for edge in flagged:
-        lows.setdefault(edge["high"], []).append(edge["low"])
-        can_lead[edge["high"]] = bool(edge["visible"])
-    # A vertex without a smaller neighbour leads if it is visible; otherwise its fate is open.
-    first = {low for smaller in lows.values() for low in smaller} - set(lows)
-    found = {r["id"] for r in spark.createDataFrame([(i,) for i in first], "id bigint").join(visible, "id", "left_semi").collect()}
-    fate = {i: "leader" if i in found else "open" for i in first}
-    for vertex in sorted(lows):
-        around = {fate[low] for low in lows[vertex]}
-        fate[vertex] = "covered" if "leader" in around else "leader" if can_lead[vertex] and "open" not in around else "open"
-    named = lambda kind, among: spark.createDataFrame([(i,) for i in among if fate[i] == kind], "id bigint")
-    return free.unionByName(named("leader", lows)), named("covered", lows)
-
-
-def _meet_members(entries: DataFrame, leaders: DataFrame, vertices: DataFrame, checks, total: int) -> DataFrame:
+        leaders = visible.join(edges.select(F.col("high").alias("id")), "id", "left_anti")
+        gone = edges.join(leaders.withColumnRenamed("id", "low"), "low", "left_semi").select(F.col("high").alias("id")).distinct()
+        settled = cut(leaders.withColumn("leads", F.lit(True)).unionByName(gone.withColumn("leads", F.lit(False))))
+        if settled.isEmpty():
+            return fates.where("leads").select("id"), fates.where("NOT leads").select("id"), met, head
+        fates = fates.unionByName(settled)
+        ids = settled.select("id")
+        edges = cut(edges.join(ids.withColumnRenamed("id", "low"), "low", "left_anti").join(ids.withColumnRenamed("id", "high"), "high", "left_anti"))
+        visible = cut(visible.join(ids, "id", "left_anti"))
+
+
+def _meet_members(entries: DataFrame, members: DataFrame, leaders: DataFrame, vertices: DataFrame, checks) -> DataFrame:
     """Leaders scored against the later members of their blocks."""
-    leading = entries.join(leaders, "id", "left_semi").select("block", "rows", F.col("id").alias("low"))
-    pairs = attach(entries.select("block", F.col("id").alias("high")), leading, ["block"], total=total).where("low < high").select("low", "high").distinct()
+    algorithm, threshold = next(iter(checks.values()))
+    leading = entries.join(leaders, "id", "left_semi").select("block", F.col("id").alias("low"), F.col("length").alias("l_length"), F.col("sketch").alias("l_sketch"))
+    members = members.select("block", F.col("id").alias("high"), F.col("length").alias("r_length"), F.col("sketch").alias("r_sketch"))
+    # Both sides are plain tables, so adaptive execution splits a frequent block.
+    pairs = members.join(leading, "block").where("low < high").where(_may_match(algorithm, threshold, "l_", "r_")).select("low", "high").distinct()
     return _scored(pairs, vertices, checks)
 
 

@@ -227,7 +227,8 @@ check("A27_most_distinct", lambda s, d: dashboard.most_distinct(full(s, d, "ord"
 check("A27_type_buckets", lambda s, d: dashboard.type_buckets(p.scan(view(s, d, "ord"))), fact_cte("ord", ORD_KINDS) + "SELECT CASE family WHEN 'numeric' THEN 'Numeric' WHEN 'temporal' THEN 'DateTime' ELSE 'Text' END AS bucket, count(*) AS columns FROM risk GROUP BY ALL")
 
 DUP_TEXT = """SELECT '{c}' AS "column", coalesce(string_agg(CASE WHEN v IS NULL OR trim(v) = '' THEN 'Missing Values(' || n || ')' ELSE trim(v) || '(' || n || ')' END, ', ' ORDER BY n DESC, v NULLS FIRST) FILTER (n > 1), 'No duplicates') AS duplicate_values, count(*) FILTER (n > 1) AS repeated_values FROM (SELECT {c} AS v, count(*) AS n FROM {t} GROUP BY {c})"""
-check("A28_profile_table", lambda s, d: dashboard.profile_table(view(s, d, "prt"), full(s, d, "prt", with_outliers=False)).where("family is null or true" if False else "column in ('name', 'brand', 'type')").select("column", "distinct_count", "duplicate_values", "repeated_values"),
+check("A28_repeated_values", lambda s, d: values.repeated_values(view(s, d, "cust"), ["name", "segment", "since", "nationkey"]), CUST + per_column("SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS rows FROM cust GROUP BY ALL HAVING count(*) > 1", ["name", "segment", "since", "nationkey"]))
+check("A28_profile_table", lambda s, d: dashboard.profile_table(view(s, d, "prt"), full(s, d, "prt", with_outliers=False)).where("column in ('name', 'brand', 'type')").select("column", "distinct_count", "duplicate_values", "repeated_values"),
       PRT + "SELECT a.*, b.distinct_count FROM (" + per_column(DUP_TEXT.replace("{t}", "prt"), ["name", "brand", "type"]) + ") a JOIN (" + per_column("SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS distinct_count FROM prt", ["name", "brand", "type"]) + ') b USING ("column")')
 
 GROUPS = """SELECT '{c}' AS "column", rank, substr(v, 1, 50) AS value, n AS rows, round(n * 100.0 / (SELECT count(*) FROM prt), 2) AS percentage, (SELECT string_agg(_row_id, ',' ORDER BY _row_id) FROM (SELECT _row_id FROM prt WHERE {c} = v ORDER BY _row_id LIMIT 5)) AS row_ids

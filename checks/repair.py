@@ -102,6 +102,8 @@ check("C14_drop_quarantine", lambda s, d: x.fix(ord_(s, d), PRESENCE, "drop", AT
 TUPLE = x.composite_unique("custkey", "status", "priority")
 check("C14_deduplicate_kept", lambda s, d: x.fix(ord_(s, d), TUPLE, "deduplicate", AT)[0].select(ROW_ID, "custkey", "status", "priority"),
       ORD + "SELECT _row_id, custkey, status, priority FROM ord QUALIFY row_number() OVER (PARTITION BY custkey, status, priority ORDER BY _row_id) = 1")
+FIVE = x.composite_unique("custkey", "status", "priority", "shipped", "orderkey")
+check("C14_deduplicate_five_columns", lambda s, d: x.fix(ord_(s, d), FIVE, "deduplicate", AT)[0].select(ROW_ID, "orderkey"), ORD + "SELECT _row_id, orderkey FROM ord")
 check("C14_deduplicate_quarantine", lambda s, d: x.fix(ord_(s, d), TUPLE, "deduplicate", AT)[1].select(ROW_ID), ORD + "SELECT _row_id FROM ord QUALIFY row_number() OVER (PARTITION BY custkey, status, priority ORDER BY _row_id) > 1")
 check("D33_rejection_reasons", lambda s, d: reports.rejection_reasons(cleanse.apply(cust(s, d), STEPS, AT)[1]), FOLD + "SELECT reason AS \"Rejection_Reason\", count(*) AS rows FROM f WHERE reason IS NOT NULL GROUP BY ALL ORDER BY rows DESC, reason LIMIT 15")
 

@@ -123,11 +123,11 @@ def resolved(s, d):
     """Rules for every column of the customer table; patterns from the rule or the registry."""
     columns = cust(s, d).agg(*[F.count(c).alias(c) for c in CUST_TEXT]).unpivot([], CUST_TEXT, "column", "filled")
     rules = columns.select("column", F.when(F.col("column") == "since", r"^\d{4}-\d{2}-\d{2}$").otherwise("").alias("pattern"), "filled")
-    glossary = s.createDataFrame([("code", "PAN", None), ("email", "email", None), ("since", "date", None), ("name", "free_text_name", None)], "column string, semantic_type string, regex string")
+    glossary = s.createDataFrame([("code", "PAN", None), ("email", "email", None), ("since", "date", None), ("name", "free_text_name", None), ("segment", "enum_code", "^[A-Z]+$")], "column string, semantic_type string, regex string")
     return resolve_patterns(rules, glossary).select("column", "filled", "semantic_type", "resolved_pattern", "resolved_by")
 
 
-RESOLVED = CUST + "SELECT \"column\", filled, semantic_type, pattern AS resolved_pattern, how AS resolved_by FROM (" + per_column("SELECT '{c}' AS \"column\", count({c}) AS filled FROM cust", CUST_TEXT) + f") LEFT JOIN (VALUES ('code', 'pan', '{FORMATS['pan']}', 'registry'), ('email', 'email', '{FORMATS['email']}', 'registry'), ('since', 'date', '^\\d{{4}}-\\d{{2}}-\\d{{2}}$', 'explicit'), ('name', 'free_text_name', NULL, 'none'), ('segment', NULL, NULL, 'none'), ('amount_text', NULL, NULL, 'none')) AS v(\"column\", semantic_type, pattern, how) USING (\"column\")"
+RESOLVED = CUST + "SELECT \"column\", filled, semantic_type, pattern AS resolved_pattern, how AS resolved_by FROM (" + per_column("SELECT '{c}' AS \"column\", count({c}) AS filled FROM cust", CUST_TEXT) + f") LEFT JOIN (VALUES ('code', 'pan', '{FORMATS['pan']}', 'registry'), ('email', 'email', '{FORMATS['email']}', 'registry'), ('since', 'date', '^\\d{{4}}-\\d{{2}}-\\d{{2}}$', 'explicit'), ('name', 'free_text_name', NULL, 'none'), ('segment', 'enum_code', '^[A-Z]+$', 'glossary'), ('amount_text', NULL, NULL, 'none')) AS v(\"column\", semantic_type, pattern, how) USING (\"column\")"
 check("R31_pattern_resolution", resolved, RESOLVED)
 
 
@@ -177,6 +177,7 @@ CROSS: list[tuple[str, str, Rule, str]] = [
     ("X03_starts_with", "cust", x.prefix_from_sibling("name", "segment"), f"count(*) FILTER ({FILLED('name')} IS NOT NULL AND {FILLED('segment')} IS NOT NULL AND NOT starts_with(upper({FILLED('name')}), upper({FILLED('segment')})))"),
     ("X03_contains", "cust", x.prefix_from_sibling("name", "nationkey", contains=True), f"count(*) FILTER ({FILLED('name')} IS NOT NULL AND nationkey IS NOT NULL AND NOT contains(upper({FILLED('name')}), nationkey::VARCHAR))"),
     ("X04_composite_unique", "ord", x.composite_unique("custkey", "status", "priority"), "(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM ord WHERE custkey IS NOT NULL OR status IS NOT NULL OR priority IS NOT NULL GROUP BY custkey, status, priority HAVING count(*) > 1))"),
+    ("X04_five_columns", "ord", x.composite_unique("custkey", "status", "priority", "ordered", "orderkey"), "(SELECT coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM ord GROUP BY custkey, status, priority, ordered, orderkey HAVING count(*) > 1))"),
     ("X05_expression", "ord", x.expression("ordered > shipped OR (status = 'P' AND price > 400000)", ["ordered", "shipped", "status", "price"]), "count(*) FILTER (ordered > shipped OR (status = 'P' AND price > 400000))"),
 ]
 for name, table, rule, sql in CROSS:

@@ -144,6 +144,7 @@ def off_samples(s, d):
 check("D15_off_pattern_samples", off_samples, CUST.rstrip() + ", p AS (" + PATTERNS_SQL + ") " + per_column("SELECT '{c}' AS \"column\", _row_id, substr({c}, 1, 60) AS value FROM cust WHERE {c} IS NOT NULL AND " + CASE + " <> (SELECT dominant FROM p WHERE \"column\" = '{c}') ORDER BY _row_id LIMIT 5", SCOPED))
 
 VARIANTS = """SELECT '{c}' AS "column", key, count(*) AS distinct_spellings, sum(n)::BIGINT AS total_rows, string_agg(v || '(' || n || ')', ', ' ORDER BY n DESC, v) AS variants FROM (SELECT {c} AS v, regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', '', 'g') AS key, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY ALL) WHERE key <> '' GROUP BY key HAVING count(*) > 1 ORDER BY distinct_spellings DESC, total_rows DESC, key LIMIT 20"""
+check("D16_spellings", lambda s, d: reports.spellings(cust(s, d), "segment").select("key", "value", "rows"), CUST + """SELECT key, v AS value, n AS rows FROM (SELECT *, count(*) OVER (PARTITION BY key) AS spelled FROM (SELECT segment AS v, regexp_replace(lower(strip_accents(segment)), '[^a-z0-9]+', '', 'g') AS key, count(*) AS n FROM cust WHERE segment IS NOT NULL GROUP BY ALL) WHERE key <> '') WHERE spelled > 1""")
 check("D16_spelling_variants", lambda s, d: reports.spelling_variants(cust(s, d), "segment"), CUST + VARIANTS.replace("{c}", "segment").replace("{t}", "cust"))
 ISSUES = "SELECT '{c}' AS \"column\", count(*) FILTER (regexp_matches({c}, '^\\s')) AS \"leading\", count(*) FILTER (regexp_matches({c}, '\\s$')) AS \"trailing\", count(*) FILTER (regexp_matches({c}, '\\s{2,}')) AS doublespace, count(*) FILTER (regexp_matches({c}, '[\\x00-\\x1f\\x7f]')) AS control_chars FROM {t}"
 check("D17_whitespace_issues", lambda s, d: reports.whitespace(view(s, d, "docs"), Glossary()), with_views("docs") + "SELECT * FROM (" + per_column(ISSUES.replace("{t}", "docs"), ["text", "lang", "source"]) + ") WHERE \"leading\" + \"trailing\" + doublespace + control_chars > 0")

@@ -46,6 +46,36 @@ def round_trip(write, suffix, **read_options):
 SCHEMA = "orderkey BIGINT, custkey BIGINT, status STRING, price DOUBLE, priority STRING, ordered TIMESTAMP, shipped TIMESTAMP"
 check("S01_read_csv", round_trip(writers.write_csv, ".csv", schema=SCHEMA), ORD_SQL)
 check("S02_read_tsv", round_trip(lambda df, p: writers.write_csv(df, p, delimiter="\t"), ".tsv"), ORD_SQL)
+
+
+def text_round_trip(table, key, delimiter=",", head=False):
+    """A table whose texts hold quotes and line breaks, written as delimited text and read back value by value."""
+    def query(s, d):
+        path = scratch(s, "texts")
+        rows = read(s, d, table)
+        if head:   # two records above the names of every file
+            names = rows.columns
+            top = [("made by hand", *[None] * (len(names) - 1)), ("second", "line\nbroken", *[None] * (len(names) - 2)), tuple(names)]
+            body = rows.select(*[F.col(c).cast("string") for c in names]).repartition(3, key)
+            body.mapInPandas(_with_rows(top, names), ", ".join(f"{c} string" for c in names)).write.csv(path, sep=delimiter, quote='"', escape='"')
+            back = readers.read_after_header(s, path, 2, delimiter)
+        else:
+            writers.write_csv(rows, path, delimiter=delimiter)
+            back = readers.read_table(s, path, ".tsv" if delimiter == "\t" else ".csv", schema=rows.schema)
+        return back.select(*[F.col(c).cast("bigint").alias(c) for c in key.split(",")], F.md5(F.col("text").cast("binary")).alias("digest"))
+    return query
+
+
+def _with_rows(top, names):
+    def prepend(batches):
+        yield pd.DataFrame(top, columns=names)
+        yield from batches
+    return prepend
+
+
+check("S01_texts_with_line_breaks", text_round_trip("documents", "doc_id"), "SELECT doc_id, md5(text) AS digest FROM documents")
+check("S02_texts_with_line_breaks", text_round_trip("conversations", "conv_id,turn", "\t"), "SELECT conv_id, turn, md5(text) AS digest FROM conversations")
+check("S06_texts_below_a_header", text_round_trip("documents", "doc_id", head=True), "SELECT doc_id, md5(text) AS digest FROM documents")
 check("S03_read_parquet", lambda s, d: totals(readers.read_table(s, f"{d}/orders.parquet"), "o_totalprice", ["o_orderstatus"]), "SELECT count(*) AS rows, round(sum(o_totalprice), 2) AS total, sum(length(o_orderstatus))::BIGINT AS o_orderstatus_chars FROM orders")
 
 
@@ -107,6 +137,18 @@ def stored(s, d):
     return store.load("customer").agg(F.count(F.lit(1)).alias("rows")).withColumn("names", F.lit(",".join(store.names())))
 
 
+
+
+def rewritten(s, d):
+    """A table saved from itself, twice."""
+    store = TableStore(s, scratch(s, "rewritten"))
+    store.save("customer", read(s, d, "customer").select("c_custkey", "c_name"))
+    for _ in range(2):
+        store.save("customer", store.load("customer").withColumn("c_name", F.concat("c_name", F.lit("+"))))
+    return store.load("customer")
+
+
+check("S10_rewrite_loaded_table", rewritten, "SELECT c_custkey, c_name || '++' AS c_name FROM customer")
 check("S10_table_store", stored, "SELECT count(*) AS rows, 'customer,nation,region' AS names FROM customer")
 
 
@@ -143,7 +185,25 @@ def quarantine_sql():
 
 
 check("S12_quarantine_store", quarantine, quarantine_sql())
-check("K07_quarantine_export", quarantine, quarantine_sql())
+
+
+def exported_quarantine(s, d):
+    """The rejected rows as delimited text, value by value."""
+    from assayer.operators import cleanse
+    from checks.repair import AT, STEPS
+
+    path = scratch(s, "rejected")
+    writers.write_csv(cleanse.apply(cust(s, d), [STEPS[5]], AT)[1], path, ["custkey", "code", "Rejected_Column"])
+    return readers.read_table(s, path, ".csv", schema="custkey BIGINT, code STRING, Rejected_Column STRING")
+
+
+def exported_sql():
+    from assayer.functions.formats import FORMATS
+
+    return CUST + f"SELECT custkey, code, 'code' AS \"Rejected_Column\" FROM cust WHERE NOT coalesce(regexp_matches(code, '{FORMATS['pan']}'), false)"
+
+
+check("K07_quarantine_export", exported_quarantine, exported_sql())
 
 def _csv_options(s, d):
     path = scratch(s, "csv")
@@ -204,6 +264,9 @@ def documents_with_labels(s, d):
 
 
 check("J01_optional_extension", documents_with_labels, "SELECT d.doc_id, lang, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id)")
-check("J09_orphans", lambda s, d: joins.orphans(read(s, d, "lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", read(s, d, "orders").where("o_totalprice > 100000"), "o_orderkey").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("rows")),
-      "SELECT l_linenumber, count(*) AS rows FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 100000) GROUP BY ALL")
-check("J09_orders_without_customer", lambda s, d: joins.orphans(read(s, d, "customer").select("c_custkey"), "c_custkey", read(s, d, "orders").where("o_totalprice > 400000"), "o_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+# Every 50th line and every 30th order refers to a key that no parent has.
+STRAY_LINE, STRAY_ORDER = "CASE WHEN l_orderkey % 50 = 0 THEN l_orderkey + 1000000000 ELSE l_orderkey END", "CASE WHEN o_orderkey % 30 = 0 THEN -1 - o_custkey ELSE o_custkey END"
+check("J09_orphans", lambda s, d: joins.orphans(read(s, d, "lineitem").selectExpr(f"{STRAY_LINE} AS orderkey", "l_linenumber"), "orderkey", read(s, d, "orders"), "o_orderkey").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("rows")),
+      "SELECT l_linenumber, count(*) AS rows FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY ALL")
+check("J09_orders_without_customer", lambda s, d: joins.orphans(read(s, d, "orders").selectExpr("o_orderkey", f"{STRAY_ORDER} AS custkey"), "custkey", read(s, d, "customer"), "c_custkey"),
+      "SELECT o_orderkey, -1 - o_custkey AS custkey FROM orders WHERE o_orderkey % 30 = 0")

@@ -73,11 +73,10 @@ def words(seed, n, letters="abcde", most=9):
     return out
 
 
-@pytest.mark.parametrize("algorithm, threshold, heads, local", [
-    ("ratio", 85, 256, 200_000), ("ratio", 60, 3, 0), ("ratio", 92, 2, 0), ("difflib", 75, 4, 0), ("jaro_winkler", 85, 256, 0), ("combined", 75, 256, 200_000), ("metaphone", 85, 3, 200_000),
+@pytest.mark.parametrize("algorithm, threshold, heads", [
+    ("ratio", 85, 256), ("ratio", 60, 3), ("ratio", 92, 2), ("difflib", 75, 4), ("jaro_winkler", 85, 256), ("combined", 75, 256), ("metaphone", 85, 3),
 ])
-def test_groups_equal_sequential_run(table, monkeypatch, algorithm, threshold, heads, local):
-    monkeypatch.setattr(fuzzy, "LOCAL_EDGES", local)
+def test_groups_equal_sequential_run(table, algorithm, threshold, heads):
     texts = words(int(threshold) + heads, 90)
     df = table([(t,) for t in texts], "v string")
     found = {r["_row_id"]: r["group_id"] for r in fuzzy.fuzzy_groups(df, "v", float(threshold), algorithm, heads=heads).collect()}
