@@ -28,6 +28,7 @@ GRAMS = (3, 4, 5, 6)     # bytes of the character n-grams, word ends included
 PER_LABEL = 1600         # labelled texts of each kind that are fitted on
 WINDOWS = (4, 12)        # windows of one clean and of one toxic text that an epoch trains on, drawn at random
 EPOCHS, RATE, LOT = 8, 0.01, 256
+STEPS = 400              # at least so many lots are trained on, over up to 8 times the epochs where texts are few
 
 _MARKS = np.zeros(256, bool)
 _MARKS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -61,7 +62,8 @@ class Words:
         for n in range(1, max(GRAMS) + 1):
             if n > 1:
                 shifted = np.zeros_like(flat)
-                shifted[:len(flat) - n + 1] = flat[n - 1:]
+                if n <= len(flat):
+                    shifted[:len(flat) - n + 1] = flat[n - 1:]
                 code = code * np.uint32(0x01000193) + shifted
             if n in GRAMS:
                 mixed = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
@@ -242,12 +244,14 @@ def train(network: Network, words: Words, label: np.ndarray, share: float, seed:
     begin, lengths, text = windows(words.counts)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.w.items()}
     done = 0
-    for epoch in range(EPOCHS):
+    lots = 1 + (np.minimum(np.bincount(text, minlength=len(label)), np.array(WINDOWS)[label]).sum() if len(text) else 0) // LOT
+    epochs = int(np.clip(STEPS // lots, EPOCHS, 8 * EPOCHS))
+    for epoch in range(epochs):
         draw = r.random(len(begin))
         order = np.lexsort((draw, text))
         rank = np.arange(len(order)) - np.maximum.accumulate(np.where(np.r_[True, text[order][1:] != text[order][:-1]], np.arange(len(order)), 0)) if len(order) else order
-        chosen = order[rank < np.array(WINDOWS)[label[text[order]]] * np.where(epoch >= 2, 1 + 3 * label[text[order]], 1)]
-        if epoch >= 2 and len(chosen):
+        chosen = order[rank < np.array(WINDOWS)[label[text[order]]] * np.where(4 * epoch >= epochs, 1 + 3 * label[text[order]], 1)]
+        if 4 * epoch >= epochs and len(chosen):
             logit = network.score(network.inputs(words)[1], words.which, begin[chosen], lengths[chosen])
             worst = np.full(len(label), -1e9)
             np.maximum.at(worst, text[chosen], logit)
@@ -264,7 +268,7 @@ def train(network: Network, words: Words, label: np.ndarray, share: float, seed:
             g = network.gradients(_Some(words, used), ids.reshape(place.shape), lengths[lot], target,
                                   np.where(target == 1, balance, 1.0).astype(np.float32), (r.random(len(used)) < 0.5).astype(np.float32))
             done += 1
-            rate = RATE * (1 - 0.9 * epoch / EPOCHS) * (1 - 0.999 ** done) ** 0.5 / (1 - 0.9 ** done)
+            rate = RATE * (1 - 0.9 * epoch / epochs) * (1 - 0.999 ** done) ** 0.5 / (1 - 0.9 ** done)
             for k, d in g.items():
                 first, second = moments[k]
                 first += 0.1 * (d - first)
