@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayer.llm import hashing
 from assayer.llm.batches import pieces, utf8
-from assayer.session import cut
+from assayer.session import cut, discard
 
 LEAST = 30   # words
 
@@ -156,6 +156,7 @@ def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     prints = cut(docs.mapInArrow(_prints(least), _PRINTS))
     often = cut(prints.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
     windows = cut(prints.join(often, "h").select("doc_id", "body", "windows").mapInArrow(_opened, "g bigint, doc_id bigint, body bigint, i int, j int"))
+    discard(prints, often)
     first = cut(windows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "body", "i", "j")).alias("first")).where("n > 1").select("g", "first"))
     later = windows.join(first, "g").where("NOT (doc_id <=> first.doc_id AND body = first.body AND i = first.i)")
     rest = F.when(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body")), F.greatest(F.col("i"), F.col("first.j") + 1)).otherwise(F.col("i"))
