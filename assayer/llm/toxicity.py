@@ -127,12 +127,15 @@ class Network:
 
         ``known`` is 0 for words that training hides, so that their characters must tell.
         """
-        starts = np.append(0, words.gram_ends[:-1])
-        sums = np.add.reduceat(self.w["char"][words.grams], starts, axis=0) if len(words) else np.zeros((0, CHARS), np.float32)
-        own = self.w["word"][words.word]
+        n, ends = len(words), np.append(0, words.gram_ends)
+        x = np.zeros((n, WORD + CHARS), np.float32 if self.w["char"].dtype == np.float32 else np.float64)
+        x[:, :WORD] = self.w["word"][words.word]
         if known is not None:
-            own = own * known[:, None]
-        x = np.hstack((own, sums / (words.gram_ends - starts)[:, None])).astype(np.float32)
+            x[:, :WORD] *= known[:, None]
+        for at in range(0, n, 4096):   # the n-grams of some words at a time
+            to = min(n, at + 4096)
+            sums = np.add.reduceat(self.w["char"][words.grams[ends[at]:ends[to]]], ends[at:to] - ends[at], axis=0)
+            x[at:to, WORD:] = sums / (ends[at + 1:to + 1] - ends[at:to])[:, None]
         return x, x @ self.w["input"] + self.w["bias"]
 
     def states(self, gates: np.ndarray, ids: np.ndarray, lengths: np.ndarray | None, keep: bool = False):
@@ -145,7 +148,7 @@ class Network:
             state = np.zeros((n, h), np.float32)
             part = np.ascontiguousarray(gates[:, 3 * h * side:3 * h * (side + 1)])
             for t in range(steps) if side == 0 else range(steps - 1, -1, -1):
-                x, hu = part[ids[:, t]], state @ u
+                x, hu = np.take(part, ids[:, t], axis=0, mode="clip"), state @ u
                 zr = x[:, :2 * h]
                 zr += hu[:, :2 * h]
                 np.negative(zr, out=zr)
@@ -173,7 +176,7 @@ class Network:
         value = np.tensordot(out, self.w["out"], axes=1)
         return (a * value).sum(axis=0) + self.w["shift"][0], a, value
 
-    def score(self, gates: np.ndarray, which: np.ndarray, begin: np.ndarray, lengths: np.ndarray, lot: int = 8192) -> np.ndarray:
+    def score(self, gates: np.ndarray, which: np.ndarray, begin: np.ndarray, lengths: np.ndarray, lot: int = 2048) -> np.ndarray:
         """Logits of all windows, full ones and short ones in lots of their own."""
         logit = np.zeros(len(begin), np.float32)
         for short in (False, True):
