@@ -8,6 +8,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F, types as T
 
+from assayer.schema import col
+
 # The characters that count as white space when a value is stripped.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -41,7 +43,7 @@ def stringify(c: Column, data_type: T.DataType) -> Column:
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
         whole = (c == F.floor(c)) & (F.abs(c) < F.lit(1e18))
         shown = F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
-        return F.when(c.isNull() | F.isnan(c), F.lit("")).otherwise(shown)
+        return F.when(c.isNull() | F.isnan(col(c)), F.lit("")).otherwise(shown)
     return c if isinstance(data_type, T.StringType) else c.cast("string")
 
 

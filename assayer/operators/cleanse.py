@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayer import ROW_ID
 from assayer.functions import text
-from assayer.schema import as_text
+from assayer.schema import as_text, col, cols
 
 STATE = "_failed"
 
@@ -98,7 +98,7 @@ def folded(df: DataFrame, steps: list[Step]) -> DataFrame:
         if step.column not in df.columns:
             continue
         data_type = T.StringType() if step.column in strings else df.schema[step.column].dataType
-        value = text.stringify(F.col(step.column), data_type)
+        value = text.stringify(col(step.column), data_type)
         result = transformed(step, value)
         changes = step.mode in ("Clean", "Replace", "Extract", "Case")
         new_columns = {}
@@ -120,7 +120,7 @@ def apply(df: DataFrame, steps: list[Step], rejected_at: str, **only) -> tuple[D
     state = folded(df, runnable(steps, **only))
     clean = state.where(F.col(STATE).isNull()).drop(STATE)
     quarantine = state.where(F.col(STATE).isNotNull()).select(
-        *df.columns, F.col(f"{STATE}.reason").alias("Rejection_Reason"),
+        *cols(df.columns), F.col(f"{STATE}.reason").alias("Rejection_Reason"),
         F.col(f"{STATE}.column").alias("Rejected_Column"), F.lit(rejected_at).alias("Rejected_At"),
     )
     return clean, quarantine
@@ -133,7 +133,7 @@ def summary(df: DataFrame, steps: list[Step]) -> DataFrame:
 
 
 def _outcome(df: DataFrame, step: Step) -> tuple[Column, Column, Column]:
-    before = text.stringify(F.col(step.column), df.schema[step.column].dataType)
+    before = text.stringify(col(step.column), df.schema[step.column].dataType)
     result = transformed(step, before)
     return before, result, rejected(step, before, result)
 
@@ -141,7 +141,7 @@ def _outcome(df: DataFrame, step: Step) -> tuple[Column, Column, Column]:
 def preview(df: DataFrame, step: Step, k: int = 10) -> DataFrame:
     """Before, after and status of the first ``k`` non-null values."""
     before, result, fails = _outcome(df, step)
-    return df.where(F.col(step.column).isNotNull()).orderBy(ROW_ID).limit(k).select(
+    return df.where(col(step.column).isNotNull()).orderBy(ROW_ID).limit(k).select(
         ROW_ID, before.alias("before"), F.when(fails, "[REJECT]").otherwise(result).alias("after"),
         F.when(fails, "Rejected").otherwise("Valid").alias("status"),
     )
@@ -153,8 +153,8 @@ def preview_failing(df: DataFrame, step: Step, limit: int = 20) -> DataFrame:
     if step.mode in REASONS:
         chosen, after, status = df.where(fails), F.lit("[REJECT]"), "Rejected"
     else:
-        chosen, after, status = df.where(F.col(step.column).isNotNull()), result, "Transform"
-    shown = [F.coalesce(as_text(df, c), F.lit("")).alias(c) if c != ROW_ID else F.col(c) for c in df.columns]
+        chosen, after, status = df.where(col(step.column).isNotNull()), result, "Transform"
+    shown = [F.coalesce(as_text(df, c), F.lit("")).alias(c) if c != ROW_ID else col(c) for c in df.columns]
     return chosen.orderBy(ROW_ID).limit(limit).select(
         *shown, before.alias("_before"), after.alias("_after"), F.lit(status).alias("_status"))
 

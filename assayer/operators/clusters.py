@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from assayer.schema import col
+
 from assayer import ROW_ID
 from assayer.operators.skew import attach, group_sizes
 from assayer.operators.values import union_all
@@ -14,7 +16,7 @@ def star_edges(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(u, v)`` with u > v: every row to the smallest row sharing a non-null value of a column."""
     parts = []
     for c in columns:
-        present = df.where(F.col(c).isNotNull()).select(ROW_ID, c)
+        present = df.where(col(c).isNotNull()).select(ROW_ID, c)
         hub = group_sizes(present, [c], F.min(ROW_ID).alias("v")).where("rows > 1")
         parts.append(attach(present, hub, [c]).select(F.col(ROW_ID).alias("u"), "v").where("u != v"))
     return union_all(parts).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from assayer import ROW_ID
 from assayer.operators.values import union_all
-from assayer.schema import as_text, data_columns, families
+from assayer.schema import as_text, col, data_columns, families
 
 
 def common_columns(before: DataFrame, after: DataFrame) -> list[str]:
@@ -16,7 +16,7 @@ def common_columns(before: DataFrame, after: DataFrame) -> list[str]:
 
 def _side(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     fams = families(df)
-    value = lambda c: F.to_json(F.struct(F.col(c))) if fams[c] == "other" else F.col(c)
+    value = lambda c: F.to_json(F.struct(col(c))) if fams[c] == "other" else col(c)
     return df.select(ROW_ID, F.lit(True).alias(f"{prefix}_in"), *[value(c).alias(f"{prefix}_{c}") for c in columns])
 
 
@@ -27,7 +27,7 @@ def paired(before: DataFrame, after: DataFrame, how: str = "full_outer", columns
 
 
 def _differs(column: str) -> Column:
-    return ~F.col(f"b_{column}").eqNullSafe(F.col(f"a_{column}"))
+    return ~col(f"b_{column}").eqNullSafe(col(f"a_{column}"))
 
 
 def membership_counts(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -64,14 +64,14 @@ def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     cast = {"bigint": F.count_if}
     aggregates = []
     for i, c in enumerate(names):
-        b, a = F.col(f"b_{c}"), F.col(f"a_{c}")
+        b, a = col(f"b_{c}"), col(f"a_{c}")
         folded = F.lower(b.cast("string")) == F.lower(a.cast("string"))
         aggregates.append(F.struct(
             F.lit(c).alias("column"), F.count_if(_differs(c)).alias("changed"),
             F.count_if(b.isNotNull() & a.isNull()).alias("nulled"), F.count_if(b.isNull() & a.isNotNull()).alias("filled"),
             F.count_if(_differs(c) & F.coalesce(folded, F.lit(False))).alias("standardised"),
         ).alias(f"c{i}"))
-    rows = joined.agg(*aggregates).select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(names))]))).where("changed > 0")
+    rows = joined.agg(*aggregates).select(F.inline(F.array(*[col(f"c{i}") for i in range(len(names))]))).where("changed > 0")
     n, std = F.col("changed"), F.col("standardised")
     kind = (
         F.when(F.col("nulled") == n, "Cleared").when(F.col("filled") == n, "Backfilled").when(std == n, "Standardised")
@@ -86,7 +86,7 @@ def change_samples(before: DataFrame, after: DataFrame, k: int = 3) -> DataFrame
     for c in common_columns(before, after):
         joined = paired(before, after, "inner", [c])
         parts.append(joined.where(_differs(c)).select(
-            F.lit(c).alias("column"), ROW_ID, F.col(f"b_{c}").cast("string").alias("before"), F.col(f"a_{c}").cast("string").alias("after"),
+            F.lit(c).alias("column"), ROW_ID, col(f"b_{c}").cast("string").alias("before"), col(f"a_{c}").cast("string").alias("after"),
         ).orderBy(ROW_ID).limit(k))
     return union_all(parts)
 
@@ -103,5 +103,5 @@ def cell_diff(before: DataFrame, after: DataFrame, columns: list[str], start: in
     status = F.when(F.col("a_in").isNull(), "removed").when(F.col("b_in").isNull(), "added").otherwise("normal")
     flag = lambda c: F.when(status != "normal", status).when(_differs(c), "modified")
     return joined.select(ROW_ID, status.alias("row_status"), F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"b_{c}").alias("original"), F.col(f"a_{c}").alias("modified"), flag(c).alias("cell_flag")) for c in names
+        F.struct(F.lit(c).alias("column"), col(f"b_{c}").alias("original"), col(f"a_{c}").alias("modified"), flag(c).alias("cell_flag")) for c in names
     ])))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from assayer.operators.skew import attach
 from assayer.operators.values import union_all
-from assayer.schema import NUMERIC, columns_of
+from assayer.schema import NUMERIC, col, columns_of
 
 
 def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     pairs = list(combinations(range(len(names)), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "column_a string, column_b string, correlation double, strong boolean")
-    numbers = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    numbers = df.select(*[col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
     partial = numbers.mapInArrow(_moments(len(names)), "a int, b int, n double, x double, y double, xx double, yy double, xy double")
     # Sums of squares about a mean combine exactly once the common mean of a pair is known.
     means = partial.groupBy("a", "b").agg(F.sum("n").alias("total"), (F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("mx"), (F.sum(F.col("n") * F.col("y")) / F.sum("n")).alias("my"))
@@ -74,8 +74,8 @@ def spearman(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     parts = []
     for a, b in combinations(columns or columns_of(df, NUMERIC), 2):
-        both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
-            F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("rows"))
+        both = df.where(col(a).isNotNull() & col(b).isNotNull()).groupBy(
+            col(a).cast("double").alias("x"), col(b).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("rows"))
         ranked = _with_rank(_with_rank(both, "x"), "y")
         n, sx, sy = F.sum("rows").cast("double"), F.sum(F.col("rows") * F.col("rank_x")), F.sum(F.col("rows") * F.col("rank_y"))
         # Centred on the mean rank so that sums stay small.
@@ -97,7 +97,7 @@ def _with_rank(pairs: DataFrame, axis: str) -> DataFrame:
     # Bounded list of cut points; a value's range is the number of cut points at or below it.
     cuts = values.agg(F.percentile_approx(axis, [i / RANGES for i in range(1, RANGES)], 10_000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
-    ranged = values.withColumn("range", _range_of(F.col(axis), cuts))
+    ranged = values.withColumn("range", _range_of(col(axis), cuts))
     totals = ranged.groupBy("range").agg(F.sum("rows").alias("total"))
     before = totals.withColumn("before", F.coalesce(F.sum("total").over(
         Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("range", "before")

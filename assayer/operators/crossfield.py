@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayer import ROW_ID
 from assayer.functions import text
 from assayer.operators.rules import Rule, checked_expression, failing_rows
-from assayer.schema import as_text
+from assayer.schema import as_text, col, cols
 
 
 def arithmetic(target: str, addends: list[str], tolerance: float = 0.01, **extra) -> Rule:
@@ -34,7 +34,7 @@ def failure(df: DataFrame, rule: Rule) -> Column | None:
     names = rule.columns
     shown = [as_text(df, n) for n in names]
     if rule.kind == "cross_arithmetic":
-        target, *addends = [text.to_number(F.col(n)) for n in names]
+        target, *addends = [text.to_number(col(n)) for n in names]
         total = addends[0]
         for addend in addends[1:]:
             total = total + addend
@@ -55,7 +55,7 @@ def failure(df: DataFrame, rule: Rule) -> Column | None:
 
 def arithmetic_applies(df: DataFrame, rule: Rule) -> bool:
     """False when one of the columns holds no number at all; such a rule is left to manual review."""
-    row = df.agg(*[F.count(text.to_number(F.col(n))).alias(n) for n in rule.columns]).first()
+    row = df.agg(*[F.count(text.to_number(col(n))).alias(n) for n in rule.columns]).first()
     return all(row[n] > 0 for n in rule.columns)
 
 
@@ -69,13 +69,13 @@ def fix(df: DataFrame, rule: Rule, action: str, rejected_at: str) -> tuple[DataF
         leaving = failing_rows(df, rule)
     elif action == "deduplicate" and rule.kind == "cross_composite_unique":
         names = list(rule.columns)
-        first = df.groupBy(*names).agg(F.min(ROW_ID).alias(ROW_ID)).select(ROW_ID)
+        first = df.groupBy(*cols(names)).agg(F.min(ROW_ID).alias(ROW_ID)).select(ROW_ID)
         leaving = df.join(first, ROW_ID, "left_anti")
     else:
         raise ValueError(f"{action} does not apply to {rule.kind}")
-    kept = df.join(leaving.select(ROW_ID), ROW_ID, "left_anti").select(*df.columns)
+    kept = df.join(leaving.select(ROW_ID), ROW_ID, "left_anti").select(*cols(df.columns))
     reason = f"Cross-field · {rule.describe()[:80]} — {action}"
-    quarantine = leaving.select(*df.columns).withColumns({
+    quarantine = leaving.select(*cols(df.columns)).withColumns({
         "Rejection_Reason": F.lit(reason), "Rejected_Column": F.lit(" + ".join(rule.columns)), "Rejected_At": F.lit(rejected_at),
     })
     return kept, quarantine

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assayer import ROW_ID
 from assayer.functions import text
 from assayer.operators.skew import attach, group_sizes, members_of_repeated
-from assayer.schema import as_text, comparable, data_columns, families
+from assayer.schema import as_text, col, cols, comparable, data_columns, families, quoted
 
 
 def exact_groups(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
@@ -22,18 +22,18 @@ def exact_groups(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
     The group id is the smallest row id of the group. Nulls equal each other.
     """
     keys = subset or comparable(df)
-    groups = group_sizes(df.na.drop("all", subset=keys), keys, F.min(ROW_ID).alias("group_id"))
+    groups = group_sizes(df.na.drop("all", subset=[quoted(n) for n in keys]), keys, F.min(ROW_ID).alias("group_id"))
     return groups.where("rows > 1")
 
 
 def groups_all_present(df: DataFrame, columns: list[str]) -> DataFrame:
     """As ``exact_groups`` but a row with any missing key belongs to no group."""
-    return exact_groups(df.na.drop("any", subset=columns), columns)
+    return exact_groups(df.na.drop("any", subset=[quoted(n) for n in columns]), columns)
 
 
 def members(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """Long form ``(group_id, _row_id, is_leader, score)`` of exact groups."""
-    rows = attach(df.select(ROW_ID, *keys), groups, keys)
+    rows = attach(df.select(ROW_ID, *cols(keys)), groups, keys)
     return rows.select("group_id", ROW_ID, (F.col(ROW_ID) == F.col("group_id")).alias("is_leader"), F.lit(100.0).alias("score"))
 
 
@@ -90,7 +90,7 @@ def remove_groups(df: DataFrame, membership: DataFrame, strategy: str = "keep_fi
     leaving = ids.join(kept.select(ROW_ID), ROW_ID, "left_anti").select(ROW_ID)
     remaining = df.join(leaving, ROW_ID, "left_anti")
     if strategy != "merge":
-        return remaining.select(*df.columns)
+        return remaining.select(*cols(df.columns))
     filled = first_present(df, ids)
     merged = remaining.join(filled, remaining[ROW_ID] == filled["group_id"], "left")
     return merged.select(*[
@@ -107,7 +107,7 @@ def first_present(df: DataFrame, ids: DataFrame, key: str = "group_id") -> DataF
     names = [c for c in data_columns(df) if families(df)[c] != "other"]
     rows = ids.join(df, ROW_ID)
     return rows.groupBy(key).agg(*[
-        F.min(F.when(F.col(c).isNotNull(), F.struct(F.col(ROW_ID), F.col(c)))).alias(f"_first_{c}") for c in names
+        F.min(F.when(col(c).isNotNull(), F.struct(F.col(ROW_ID), col(c)))).alias(f"_first_{c}") for c in names
     ])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from assayer.operators.profile import percent
 from assayer.operators.quantiles import exact_quantiles
 from assayer.operators.values import distinct_counts, union_all
-from assayer.schema import NUMERIC, comparable, families
+from assayer.schema import NUMERIC, col, comparable, families
 
 
 def baseline(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -17,13 +17,13 @@ def baseline(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     medians = {c: q[0] for c, q in exact_quantiles(df, sorted(numeric), [0.5]).items()}
     fields = []
     for i, c in enumerate(names):
-        number = F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")
+        number = col(c).cast("double") if c in numeric else F.lit(None).cast("double")
         fields.append(F.struct(
-            F.lit(c).alias("column"), F.count(F.lit(1)).alias("row_count"), F.count_if(F.col(c).isNull()).alias("null_count"),
+            F.lit(c).alias("column"), F.count(F.lit(1)).alias("row_count"), F.count_if(col(c).isNull()).alias("null_count"),
             F.avg(number).alias("mean"), F.stddev_samp(number).alias("std"), F.min(number).alias("min"), F.max(number).alias("max"),
             F.lit(medians.get(c)).cast("double").alias("median"),
         ).alias(f"c{i}"))
-    rows = df.agg(*fields).select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(names))])))
+    rows = df.agg(*fields).select(F.inline(F.array(*[col(f"c{i}") for i in range(len(names))])))
     return rows.join(F.broadcast(distinct_counts(df, names)), "column").select(
         "column", percent(F.col("null_count"), F.col("row_count")).alias("null_percentage"),
         percent(F.col("distinct_count"), F.col("row_count")).alias("distinct_percentage"),
@@ -33,12 +33,12 @@ def baseline(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def detect(current: DataFrame, saved: DataFrame, null_threshold: float = 5.0, distinct_threshold: float = 10.0, sigmas: float = 2.0) -> DataFrame:
     """Alerts ``(column, type, baseline, current)`` between two statistics tables (one row per column)."""
-    renamed = saved.select("column", *[F.col(c).alias(f"base_{c}") for c in ("null_percentage", "distinct_percentage", "mean", "std")], F.lit(True).alias("base_in"))
+    renamed = saved.select("column", *[col(c).alias(f"base_{c}") for c in ("null_percentage", "distinct_percentage", "mean", "std")], F.lit(True).alias("base_in"))
     joined = current.withColumn("now_in", F.lit(True)).join(renamed, "column", "full_outer")
     both = F.col("base_in") & F.col("now_in")
     alert = lambda condition, kind, old, new: F.when(condition, F.struct(
         F.lit(kind).alias("type"), old.cast("double").alias("baseline"), new.cast("double").alias("current")))
-    moved = lambda c, limit: both & (F.abs(F.col(c) - F.col(f"base_{c}")) > limit)
+    moved = lambda c, limit: both & (F.abs(col(c) - col(f"base_{c}")) > limit)
     none = F.lit(None)
     alerts = F.array_compact(F.array(
         alert(F.col("base_in").isNull(), "new_column", none, none),

@@ -30,7 +30,7 @@ from assayer.functions import text
 from assayer.functions.similarity import SCORERS, metaphone_codes, score
 from assayer.operators.skew import attach
 from assayer.operators.values import union_all
-from assayer.schema import as_text
+from assayer.schema import as_text, col, cols, quoted
 from assayer.session import cut
 
 HEADS = 1024
@@ -146,9 +146,9 @@ def _may_match(algorithm: str, threshold: float, left: str, right: str) -> Colum
     An edit changes the character counts by one and the character pairs by three at most. The
     ratio allows ``(1 - need) * (a + b)`` edits; a Jaro score needs so many common characters.
     """
-    a, b = F.col(f"{left}length"), F.col(f"{right}length")
+    a, b = col(f"{left}length"), col(f"{right}length")
     half = SKETCH_WORDS // 2
-    differing = lambda words: sum((F.bit_count(F.col(f"{left}sketch")[i].bitwiseXOR(F.col(f"{right}sketch")[i])) for i in words), F.lit(0))
+    differing = lambda words: sum((F.bit_count(col(f"{left}sketch")[i].bitwiseXOR(col(f"{right}sketch")[i])) for i in words), F.lit(0))
     if algorithm == "metaphone":
         return F.lit(True)
     shared = SharedTokens(algorithm, threshold)
@@ -163,10 +163,10 @@ def _rare_tokens(vertices: DataFrame, first: str, algorithm: str, threshold: flo
     """``(id, block)``: the tokens of each vertex that can witness a match."""
     inside = F.xxhash64("within")
     if algorithm == "metaphone":
-        return vertices.select("id", "within", F.explode(metaphone_codes(F.col(first))).alias("token")).select(
+        return vertices.select("id", "within", F.explode(metaphone_codes(col(first))).alias("token")).select(
             "id", F.xxhash64(inside, "token").alias("block"))
     shared = SharedTokens(algorithm, threshold)
-    tokens = vertices.select("id", "within", F.char_length(first).alias("length"), F.explode(_token_function(shared)(F.col(first))).alias("token"))
+    tokens = vertices.select("id", "within", F.char_length(first).alias("length"), F.explode(_token_function(shared)(col(first))).alias("token"))
     # Frequency inside the block scope decides rarity; buckets bound the size of the table.
     bucketed = tokens.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(FREQUENCY_BUCKETS)))
     frequency = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("frequency"))
@@ -180,17 +180,17 @@ def _rare_tokens(vertices: DataFrame, first: str, algorithm: str, threshold: flo
 def _scored(pairs: DataFrame, vertices: DataFrame, checks: dict[str, tuple[str, float]]) -> DataFrame:
     """Pairs ``(low, high)`` that pass every check, with the lowest score."""
     shown = list(checks)
-    left = vertices.select(F.col("id").alias("low"), F.col("within").alias("_w1"), *[F.col(c).alias(f"_l_{c}") for c in shown])
-    right = vertices.select(F.col("id").alias("high"), F.col("within").alias("_w2"), *[F.col(c).alias(f"_r_{c}") for c in shown])
+    left = vertices.select(F.col("id").alias("low"), F.col("within").alias("_w1"), *[col(c).alias(f"_l_{c}") for c in shown])
+    right = vertices.select(F.col("id").alias("high"), F.col("within").alias("_w2"), *[col(c).alias(f"_r_{c}") for c in shown])
     # Pairs are few bytes and much work: spread them by number, which adaptive execution keeps.
     spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = pairs.repartition(spread, "low", "high").join(left, "low").join(right, "high").where(F.col("_w1").eqNullSafe(F.col("_w2")))
     names = []
     for n, (c, (algorithm, threshold)) in enumerate(checks.items()):
         bound = _length_bound(algorithm, threshold, F.char_length(f"_l_{c}"), F.char_length(f"_r_{c}"))
-        texts = texts.where(bound).withColumn(f"_s{n}", score(algorithm, F.col(f"_l_{c}"), F.col(f"_r_{c}"), threshold))
-        texts = texts.where(F.col(f"_s{n}") >= threshold)
-        names.append(F.col(f"_s{n}"))
+        texts = texts.where(bound).withColumn(f"_s{n}", score(algorithm, col(f"_l_{c}"), col(f"_r_{c}"), threshold))
+        texts = texts.where(col(f"_s{n}") >= threshold)
+        names.append(col(f"_s{n}"))
     return texts.select("low", "high", (F.least(*names) if len(names) > 1 else names[0]).alias("score"))
 
 
@@ -212,7 +212,7 @@ def leader_pairs(vertices: DataFrame, checks: dict[str, tuple[str, float]], head
     sizes = entries.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
     # A vertex alone in all its blocks resembles nobody.
     entries = attach(entries, sizes.where("rows > 1"), ["block"], total=entries.count())
-    marks = vertices.select("id", F.char_length(first).alias("length"), _sketch(F.col(first)).alias("sketch"))
+    marks = vertices.select("id", F.char_length(first).alias("length"), _sketch(col(first)).alias("sketch"))
     entries = cut(entries.join(marks, "id"))
     undecided = cut(entries.select("id").distinct())
     found: list[DataFrame] = []
@@ -288,19 +288,19 @@ def fuzzy_groups_on(df: DataFrame, checks: dict[str, tuple[str, float]], within:
         raise ValueError(f"unknown algorithm {unknown[0]}")
     keys = within or []
     form = lambda c: _word_order(text.normal_form(as_text(df, c))) if c in sort_words else text.normal_form(as_text(df, c))
-    inside = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
-    rows = df.na.drop("all", subset=keys) if keys else df
+    inside = F.struct(*[col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.na.drop("all", subset=[quoted(n) for n in keys]) if keys else df
     rows = rows.select(F.col(ROW_ID), inside.alias("within"), *[form(c).alias(f"t_{c}") for c in checks])
     for c in checks:
-        rows = rows.where(F.col(f"t_{c}") != "")
+        rows = rows.where(col(f"t_{c}") != "")
     rows = cut(rows)
     forms = ["within", *[f"t_{c}" for c in checks]]
-    sized = rows.groupBy(*forms).agg(F.min(ROW_ID).alias("id"), F.count(F.lit(1)).alias("rows"))
+    sized = rows.groupBy(*cols(forms)).agg(F.min(ROW_ID).alias("id"), F.count(F.lit(1)).alias("rows"))
     sized = cut(sized)
     pairs = leader_pairs(sized.drop("rows"), {f"t_{c}": check for c, check in checks.items()}, heads)
     # Vertex -> leader, then every row through its normal form.
     owner = sized.join(pairs.withColumnRenamed("high", "id"), "id", "left").select(
-        *forms, "rows", F.coalesce("low", "id").alias("group_id"), F.coalesce("score", F.lit(100.0)).alias("score"))
+        *cols(forms), "rows", F.coalesce("low", "id").alias("group_id"), F.coalesce("score", F.lit(100.0)).alias("score"))
     total = rows.count()
     members = attach(rows, owner, forms, total=total).select("group_id", ROW_ID, (F.col(ROW_ID) == F.col("group_id")).alias("is_leader"), "score")
     large = owner.groupBy("group_id").agg(F.sum("rows").alias("rows")).where("rows > 1")
@@ -323,11 +323,11 @@ def repeated_or_similar(df: DataFrame, column: str, threshold: float = 85.0) ->
 
     ``(column, kind, group_id, value, rows)``; placeholders are left out.
     """
-    counts = df.where(text.meaningful(F.col(column))).groupBy(column).agg(F.count(F.lit(1)).alias("rows"), F.min(ROW_ID).alias(ROW_ID))
-    repeated = counts.where("rows > 1").select(F.lit(column).alias("column"), F.lit("repeated").alias("kind"), F.col(ROW_ID).alias("group_id"), F.col(column).alias("value"), "rows")
+    counts = df.where(text.meaningful(col(column))).groupBy(column).agg(F.count(F.lit(1)).alias("rows"), F.min(ROW_ID).alias(ROW_ID))
+    repeated = counts.where("rows > 1").select(F.lit(column).alias("column"), F.lit("repeated").alias("kind"), F.col(ROW_ID).alias("group_id"), col(column).alias("value"), "rows")
     single = counts.where("rows = 1").select(ROW_ID, column)
     groups = fuzzy_groups(single, column, threshold)
-    similar = groups.join(single, ROW_ID).select(F.lit(column).alias("column"), F.lit("similar").alias("kind"), "group_id", F.col(column).alias("value"), F.lit(1).cast("bigint").alias("rows"))
+    similar = groups.join(single, ROW_ID).select(F.lit(column).alias("column"), F.lit("similar").alias("kind"), "group_id", col(column).alias("value"), F.lit(1).cast("bigint").alias("rows"))
     return repeated.unionByName(similar)
 
 
@@ -335,5 +335,5 @@ def score_pairs(pairs: DataFrame, left: str, right: str, algorithms: list[str] |
     """Adds one score column per algorithm for two text columns; each distinct pair is scored once."""
     names = algorithms or list(SCORERS)
     distinct = pairs.groupBy(left, right).agg(F.count(F.lit(1)).alias("rows"))
-    a, b = text.normal_form(F.col(left)), text.normal_form(F.col(right))
+    a, b = text.normal_form(col(left)), text.normal_form(col(right))
     return distinct.withColumns({name: score(name, a, b) for name in names})

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayer import ROW_ID
 from assayer.functions import text
 from assayer.operators.dedup import first_present
-from assayer.schema import data_columns, families
+from assayer.schema import col, cols, data_columns, families
 
 LEADER = "_leader_id"
 
@@ -20,11 +20,11 @@ def pick_leader(df: DataFrame, membership: DataFrame, strategy: str, recency_col
     """
     names = data_columns(df)
     if strategy == "most_recent" and recency_column in df.columns:
-        rank = text.to_time(F.col(recency_column), df.schema[recency_column].dataType).cast("double")
+        rank = text.to_time(col(recency_column), df.schema[recency_column].dataType).cast("double")
     elif strategy == "most_recent":
         rank = F.lit(0.0)
     else:
-        rank = sum((F.col(c).isNotNull().cast("int") for c in names), F.lit(0)).cast("double")
+        rank = sum((col(c).isNotNull().cast("int") for c in names), F.lit(0)).cast("double")
     ranked = membership.select("group_id", ROW_ID).join(df.select(ROW_ID, rank.alias("rank")), ROW_ID)
     # Unparsed dates sort below every date.
     best = F.max(F.struct(F.coalesce("rank", F.lit(float("-inf"))).alias("rank"), (-F.col(ROW_ID)).alias("order")))
@@ -48,19 +48,19 @@ def golden_records(df: DataFrame, membership: DataFrame, strategy: str = "most_c
     chosen = leaders.join(df.withColumnRenamed(ROW_ID, LEADER), LEADER)
     if plain:
         origin = {c: F.struct(F.col(LEADER).cast("bigint").alias("source_row_id"), F.lit(strategy).alias("reason")) for c in names}
-        return chosen.select("group_id", F.col(LEADER).alias("survivor_id"), *names, _as_map(origin))
+        return chosen.select("group_id", F.col(LEADER).alias("survivor_id"), *cols(names), _as_map(origin))
     filled = first_present(df, membership.select("group_id", ROW_ID))
     both = chosen.join(filled, "group_id")
     values, origin = [], {}
     for c in names:
         if families(df)[c] == "other":
-            values.append(F.col(c))
+            values.append(col(c))
             origin[c] = F.struct(F.col(LEADER).cast("bigint").alias("source_row_id"), F.lit("leader_non_null").alias("reason"))
             continue
-        first = F.col(f"_first_{c}")
-        values.append(F.coalesce(F.col(c), first.getField(c)).alias(c))
-        source = F.when(F.col(c).isNotNull(), F.col(LEADER)).otherwise(first.getField(ROW_ID)).cast("bigint")
-        reason = F.when(F.col(c).isNotNull(), "leader_non_null").when(first.isNull(), "all_null").otherwise("first_non_null_in_group")
+        first = col(f"_first_{c}")
+        values.append(F.coalesce(col(c), first.getField(c)).alias(c))
+        source = F.when(col(c).isNotNull(), F.col(LEADER)).otherwise(first.getField(ROW_ID)).cast("bigint")
+        reason = F.when(col(c).isNotNull(), "leader_non_null").when(first.isNull(), "all_null").otherwise("first_non_null_in_group")
         origin[c] = F.struct(source.alias("source_row_id"), reason.alias("reason"))
     return both.select("group_id", F.col(LEADER).alias("survivor_id"), *values, _as_map(origin))
 
@@ -81,13 +81,13 @@ def apply_survivors(df: DataFrame, membership: DataFrame, golden: DataFrame, ove
     ``overrides`` is ``(group_id, column, value)`` with values as text, set by a person.
     """
     names = data_columns(df)
-    records = golden.select("group_id", F.col("survivor_id").alias(ROW_ID), *names)
+    records = golden.select("group_id", F.col("survivor_id").alias(ROW_ID), *cols(names))
     if overrides is not None:
         wide = overrides.groupBy("group_id").agg(F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("_set"))
         records = records.join(wide, "group_id", "left")
         for c in names:
             given = F.col("_set").getItem(c)
-            records = records.withColumn(c, F.when(F.map_contains_key("_set", F.lit(c)), given.cast(df.schema[c].dataType)).otherwise(F.col(c))) \
+            records = records.withColumn(c, F.when(F.map_contains_key("_set", F.lit(c)), given.cast(df.schema[c].dataType)).otherwise(col(c))) \
                 if families(df)[c] != "other" else records
     rest = df.join(membership.select(ROW_ID), ROW_ID, "left_anti")
-    return rest.select(*df.columns).unionByName(records.select(*df.columns))
+    return rest.select(*cols(df.columns)).unionByName(records.select(*cols(df.columns)))

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from assayer.schema import col, cols
+
 
 NULL_SPREAD = 1 << 20
 
@@ -33,18 +35,18 @@ def working_view(tables: list[EntityTable]) -> DataFrame:
         if table.role != "extension" or not key or key not in view.columns or key not in table.df.columns:
             continue
         taken = set(view.columns) - {key}
-        renamed = table.df.select(*[F.col(c).alias(f"{c}__{table.name}" if c in taken else c) for c in table.df.columns])
+        renamed = table.df.select(*[col(c).alias(f"{c}__{table.name}" if c in taken else c) for c in table.df.columns])
         order = view.columns + [c for c in renamed.columns if c != key]
         unused = "_no_key"
         while unused in order:
             unused += "_"
         # Rows without a key get one of many numbers beside it, which no extension row has.
-        spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*view.columns), F.lit(NULL_SPREAD)) + 1).otherwise(0).cast("int")
-        view = view.withColumn(unused, spread).join(renamed.where(F.col(key).isNotNull()).withColumn(unused, F.lit(0)), [key, unused], "left").select(*order)
+        spread = F.when(col(key).isNull(), F.pmod(F.xxhash64(*cols(view.columns)), F.lit(NULL_SPREAD)) + 1).otherwise(0).cast("int")
+        view = view.withColumn(unused, spread).join(renamed.where(col(key).isNotNull()).withColumn(unused, F.lit(0)), [key, unused], "left").select(*order)
     return view
 
 
 def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
     """Child rows whose non-null key has no parent."""
-    known = parent.select(F.col(parent_key).alias(child_key)).distinct()
-    return child.where(F.col(child_key).isNotNull()).join(known, child_key, "left_anti")
+    known = parent.select(col(parent_key).alias(child_key)).distinct()
+    return child.where(col(child_key).isNotNull()).join(known, child_key, "left_anti")

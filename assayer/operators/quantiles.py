@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from assayer.schema import col
+
 SKETCH = 10_000          # rank error of the bracket is rows / SKETCH
 BUFFER_VALUES = 500_000  # bracket size that one aggregation buffer may hold
 
@@ -24,9 +26,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     brackets: dict[tuple[str, int], tuple[float, float]] = {}
     first = df.agg(*[
         e for c in columns for e in (
-            F.count(c).alias(f"{c}__n"),
-            F.percentile_approx(F.col(c).cast("double"), _band(probabilities), SKETCH).alias(f"{c}__b"),
-            F.min(c).cast("double").alias(f"{c}__lo"), F.max(c).cast("double").alias(f"{c}__hi"),
+            F.count(col(c)).alias(f"{c}__n"),
+            F.percentile_approx(col(c).cast("double"), _band(probabilities), SKETCH).alias(f"{c}__b"),
+            F.min(col(c)).cast("double").alias(f"{c}__lo"), F.max(col(c)).cast("double").alias(f"{c}__hi"),
         )
     ]).first()
     counts = {c: first[f"{c}__n"] for c in columns}
@@ -40,8 +42,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         todo = list(brackets.items())
         sized = df.agg(*[
             e for n, ((c, _), (lo, hi)) in enumerate(todo) for e in (
-                F.count_if(F.col(c) < lo).alias(f"below{n}"),
-                F.count_if(F.col(c).between(lo, hi)).alias(f"inside{n}"),
+                F.count_if(col(c) < lo).alias(f"below{n}"),
+                F.count_if(col(c).between(lo, hi)).alias(f"inside{n}"),
             )
         ]).first()
         ready, brackets = [], {}
@@ -63,10 +65,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
             # Most rows lie in no bracket; they are dropped before the slower aggregate.
             near = F.lit(False)
             for c, _, lo, hi, _, _ in ready:
-                near = near | F.col(c).between(lo, hi)
+                near = near | col(c).between(lo, hi)
             found = df.where(near).agg(*[
                 F.percentile(
-                    F.when(F.col(c).between(lo, hi), F.col(c).cast("double")),
+                    F.when(col(c).between(lo, hi), col(c).cast("double")),
                     F.lit(0.0 if inside <= 1 else min(1.0, offset / (inside - 1))),
                 ).alias(f"q{n}")
                 for n, (c, i, lo, hi, offset, inside) in enumerate(ready)
@@ -83,7 +85,7 @@ def _band(probabilities: list[float]) -> "F.Column":
 
 def _narrow(df: DataFrame, column: str, lo: float, hi: float, offset: float, inside: int) -> tuple[float, float]:
     share = offset / inside
-    row = df.where(F.col(column).between(lo, hi)).agg(
-        F.percentile_approx(F.col(column).cast("double"), _band([share]), SKETCH).alias("b")
+    row = df.where(col(column).between(lo, hi)).agg(
+        F.percentile_approx(col(column).cast("double"), _band([share]), SKETCH).alias("b")
     ).first()
     return row["b"][0], row["b"][1]

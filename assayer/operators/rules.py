@@ -12,7 +12,7 @@ from assayer import ROW_ID
 from assayer.functions import text
 from assayer.operators.skew import group_sizes, members_of_repeated
 from assayer.operators.values import union_all
-from assayer.schema import as_text, data_columns
+from assayer.schema import as_text, col, data_columns, quoted
 
 NO_ISSUES = "no issues"
 ALNUM_WORDS = r"^[A-Za-z0-9\s]+$"
@@ -53,7 +53,7 @@ def row_failure(df: DataFrame, rule: Rule) -> Column | None:
     kind, p = rule.kind, rule.params
     if rule.columns:
         return _multi_column(df, rule)
-    c = F.col(rule.column)
+    c = col(rule.column)
     data_type = df.schema[rule.column].dataType
     shown = as_text(df, rule.column)
     filled = _filled_text(df, rule.column)
@@ -116,7 +116,7 @@ def _multi_column(df: DataFrame, rule: Rule) -> Column | None:
     names, every = rule.columns, rule.params.get("operator", "AND") == "AND"
     combine = lambda parts: _fold(parts, (lambda a, b: a | b) if every else (lambda a, b: a & b))
     if rule.kind in ("multi_complete", "multi_present"):
-        return combine([F.col(n).isNull() for n in names])
+        return combine([col(n).isNull() for n in names])
     if rule.kind == "multi_pattern":
         return combine([~text.matches(F.coalesce(as_text(df, n), F.lit("")), rule.params["pattern"]) for n in names])
     if rule.kind.startswith("cross_"):
@@ -136,20 +136,20 @@ def _fold(parts, step):
 def group_count(df: DataFrame, rule: Rule) -> DataFrame | None:
     """One row ``issues`` for rules that compare a value with the rest of its column."""
     if rule.kind in ("unique", "unique_incl_null"):
-        kept = df.where(F.col(rule.column).isNotNull()) if rule.kind == "unique" else df
+        kept = df.where(col(rule.column).isNotNull()) if rule.kind == "unique" else df
         return _rows_in_groups(group_sizes(kept, [rule.column]))
     if rule.kind == "consistent_casing":
         value = text.strip(as_text(df, rule.column))
-        spellings = df.where(F.col(rule.column).isNotNull()).select(value.alias("v")).distinct()
+        spellings = df.where(col(rule.column).isNotNull()).select(value.alias("v")).distinct()
         return _rows_in_groups(spellings.groupBy(F.lower("v").alias("k")).agg(F.count(F.lit(1)).alias("rows")))
     if rule.kind == "format_mask_consistent":
-        masked = df.where(F.col(rule.column).isNotNull()).groupBy(text.mask(text.strip(as_text(df, rule.column))).alias("m")).agg(F.count(F.lit(1)).alias("rows"))
+        masked = df.where(col(rule.column).isNotNull()).groupBy(text.mask(text.strip(as_text(df, rule.column))).alias("m")).agg(F.count(F.lit(1)).alias("rows"))
         return masked.agg(F.when(F.count(F.lit(1)) > 1, F.sum("rows")).otherwise(0).alias("issues"))
     if rule.kind == "multi_unique" and rule.params.get("operator", "AND") == "AND":
         return _rows_in_groups(group_sizes(df, list(rule.columns)))
     if rule.kind == "cross_composite_unique":
         names = list(rule.columns)
-        return _rows_in_groups(group_sizes(df.na.drop("all", subset=names), names))
+        return _rows_in_groups(group_sizes(df.na.drop("all", subset=[quoted(n) for n in names]), names))
     if rule.kind == "multi_unique":
         return rows_with_any_repeat(df, list(rule.columns)).agg(F.count(F.lit(1)).alias("issues"))
     return None
@@ -161,7 +161,7 @@ def _rows_in_groups(groups: DataFrame) -> DataFrame:
 
 def rows_with_any_repeat(df: DataFrame, columns: list[str]) -> DataFrame:
     """Ids of the rows where at least one column repeats a non-null value."""
-    hits = [members_of_repeated(df.where(F.col(c).isNotNull()).select(ROW_ID, c), [c], ROW_ID).select(ROW_ID) for c in columns]
+    hits = [members_of_repeated(df.where(col(c).isNotNull()).select(ROW_ID, c), [c], ROW_ID).select(ROW_ID) for c in columns]
     return union_all(hits).distinct()
 
 
@@ -185,7 +185,7 @@ def evaluate(df: DataFrame, rules: list[Rule]) -> DataFrame:
     for start in range(0, len(local), RULES_PER_PASS):
         batch = local[start:start + RULES_PER_PASS]
         row = df.agg(*[F.count_if(cond).alias(f"r{n}") for n, cond in batch])
-        parts.append(row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"r{n}").alias("issues")) for n, _ in batch]))))
+        parts.append(row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("n"), col(f"r{n}").alias("issues")) for n, _ in batch]))))
     parts += [counted.select(F.lit(n).alias("n"), F.col("issues").cast("bigint").alias("issues")) for n, counted in grouped]
     described = spark.createDataFrame(
         [(n, r.rule_id, r.column or ",".join(r.columns), r.dimension, r.source, r.kind, r.describe()) for n, r in enumerate(rules)],
@@ -200,7 +200,7 @@ def failing_rows(df: DataFrame, rule: Rule, limit: int | None = None) -> DataFra
     if condition is not None:
         rows = df.where(condition)
     elif rule.kind == "unique":
-        rows = members_of_repeated(df.where(F.col(rule.column).isNotNull()), [rule.column], ROW_ID)
+        rows = members_of_repeated(df.where(col(rule.column).isNotNull()), [rule.column], ROW_ID)
     elif rule.kind == "unique_incl_null":
         rows = members_of_repeated(df, [rule.column], ROW_ID)
     elif rule.kind == "multi_unique" and rule.params.get("operator", "AND") == "AND":
@@ -209,7 +209,7 @@ def failing_rows(df: DataFrame, rule: Rule, limit: int | None = None) -> DataFra
         rows = df.join(rows_with_any_repeat(df, list(rule.columns)), ROW_ID, "left_semi")
     elif rule.kind == "cross_composite_unique":
         names = list(rule.columns)
-        rows = members_of_repeated(df.na.drop("all", subset=names), names, ROW_ID)
+        rows = members_of_repeated(df.na.drop("all", subset=[quoted(n) for n in names]), names, ROW_ID)
     else:
         raise ValueError(f"{rule.kind} judges a column, not rows")
     return rows.orderBy(ROW_ID).limit(limit) if limit else rows
@@ -249,7 +249,7 @@ def merge_results(results: DataFrame) -> DataFrame:
 def rules_in_data(df: DataFrame, rule_column: str) -> DataFrame:
     """``(column, statement)`` parsed from cells ``Column: rule`` or ``Column - rule``."""
     names = data_columns(df)
-    cells = df.select(F.col(rule_column).cast("string").alias("cell")).where("cell is not null").distinct()
+    cells = df.select(col(rule_column).cast("string").alias("cell")).where("cell is not null").distinct()
     separator = F.when(F.col("cell").contains(":"), ":").when(F.col("cell").contains("-"), "-")
     at = F.locate(":", F.col("cell"))
     at = F.when(separator == ":", at).otherwise(F.locate("-", F.col("cell")))

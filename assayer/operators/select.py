@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayer import ROW_ID
 from assayer.operators.values import distinct_counts
-from assayer.schema import as_text, comparable, data_columns, families
+from assayer.schema import as_text, col, comparable, data_columns, families
 
 
 def scoped(df: DataFrame, columns: list[str] | None) -> DataFrame:
@@ -36,7 +36,7 @@ def column_summary(df: DataFrame) -> DataFrame:
     """``(column, dtype, non_null, null_percentage, distinct_count)``; nested types have no distinct count."""
     names = data_columns(df)
     row = df.agg(*[F.struct(F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
-                            F.count(c).alias("non_null"), F.count(F.lit(1)).alias("total")).alias(f"c{i}") for i, c in enumerate(names)])
-    counted = row.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(names))])))
+                            F.count(col(c)).alias("non_null"), F.count(F.lit(1)).alias("total")).alias(f"c{i}") for i, c in enumerate(names)])
+    counted = row.select(F.inline(F.array(*[col(f"c{i}") for i in range(len(names))])))
     return counted.join(F.broadcast(distinct_counts(df)), "column", "left").select(
         "column", "dtype", "non_null", F.when(F.col("total") > 0, (F.col("total") - F.col("non_null")) / F.col("total") * 100).otherwise(0.0).alias("null_percentage"), "distinct_count")

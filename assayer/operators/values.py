@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import ROW_ID
 from assayer.functions import text
-from assayer.schema import TEXT, as_text, comparable, families
+from assayer.schema import TEXT, as_text, col, cols, comparable, families
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -23,7 +23,7 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     names = comparable(df, columns)
     return union_all([
-        df.groupBy(F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("rows"))
+        df.groupBy(col(c).alias("_v")).agg(F.count(F.lit(1)).alias("rows"))
         .select(F.lit(c).alias("column"), as_text_value(df, c).alias("value"), "rows")
         for c in names
     ])
@@ -37,13 +37,21 @@ def distinct_counts(df: DataFrame, columns: list[str] | None = None, approximate
     """``(column, distinct_count)`` of non-null values."""
     names = comparable(df, columns)
     if approximate:
-        counted = df.agg(*[F.approx_count_distinct(c).alias(c) for c in names])
-        return counted.unpivot([], names, "column", "distinct_count")
-    return union_all([
-        df.groupBy(F.col(c).alias("_v")).agg(F.lit(1).alias("one"))
-        .agg(F.count("_v").alias("distinct_count")).select(F.lit(c).alias("column"), "distinct_count")
-        for c in names
-    ])
+        counted = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in names])
+        return counted.unpivot([], cols(names), "column", "distinct_count")
+    return union_all([digest_counts(df, names[at:at + DIGESTS_PER_PASS]) for at in range(0, len(names), DIGESTS_PER_PASS)])
+
+
+DIGESTS_PER_PASS = 16   # columns of one scan
+
+
+def digest_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """``(column, distinct_count)`` from one scan: every value travels as 128 bits of hash with its column's number."""
+    cell = lambda i, c: F.struct(F.lit(i).alias("i"), col(c).isNotNull().alias("there"), F.xxhash64(col(c)).alias("a"), F.xxhash64(F.lit(7), col(c)).alias("b"))
+    cells = df.select(F.explode(F.array(*[cell(i, c) for i, c in enumerate(names)])).alias("x")).select("x.*").where("there")
+    counted = cells.groupBy("i", "a", "b").agg(F.lit(1).alias("one")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    listed = df.sparkSession.createDataFrame(list(enumerate(names)), "i int, column string")
+    return F.broadcast(listed).join(counted, "i", "left").select("column", F.coalesce("n", F.lit(0).cast("bigint")).alias("distinct_count"))
 
 
 def first_values(df: DataFrame, columns: list[str], k: int, condition=None, value=None) -> DataFrame:
@@ -51,7 +59,7 @@ def first_values(df: DataFrame, columns: list[str], k: int, condition=None, valu
 
     ``condition(name)`` defaults to not null. Each column keeps a heap of ``k`` rows per task.
     """
-    keep = condition or (lambda c: F.col(c).isNotNull())
+    keep = condition or (lambda c: col(c).isNotNull())
     shown = value or (lambda c: as_text(df, c))
     return union_all([
         df.where(keep(c)).select(F.lit(c).alias("column"), F.col(ROW_ID), shown(c).alias("value"))

@@ -10,7 +10,7 @@ from assayer.operators.rules import Rule
 from assayer.operators.skew import group_sizes
 from assayer.operators.values import distinct_counts, duplicate_value_text, repeated_value_groups
 from assayer.plans.scorecard import dimension_scores, field_counts, overall
-from assayer.schema import comparable
+from assayer.schema import col, comparable, quoted
 
 # Dimension names, their legacy spellings, and their order.
 LEGACY_NAMES = {"Consistency": "Standardisation", "Validity": "Validation"}
@@ -184,7 +184,7 @@ def quality_dashboard(current: DataFrame, original: DataFrame, glossary: Glossar
 def field_scorecard(df: DataFrame) -> DataFrame:
     """``(column, filled, fill_pct, distinct_count, distinct_pct)``."""
     names = comparable(df)
-    counted = df.agg(*[F.struct(F.lit(c).alias("column"), F.count(c).alias("filled"), F.count(F.lit(1)).alias("total")).alias(f"c{i}") for i, c in enumerate(names)])
-    rows = counted.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(names))])))
-    share = lambda n: F.round(F.when(F.col("total") > 0, F.col(n) / F.col("total")).otherwise(0.0), 4)
+    counted = df.agg(*[F.struct(F.lit(c).alias("column"), F.count(col(c)).alias("filled"), F.count(F.lit(1)).alias("total")).alias(f"c{i}") for i, c in enumerate(names)])
+    rows = counted.select(F.inline(F.array(*[col(f"c{i}") for i in range(len(names))])))
+    share = lambda n: F.round(F.when(F.col("total") > 0, col(n) / F.col("total")).otherwise(0.0), 4)
     return rows.join(F.broadcast(distinct_counts(df, names)), "column").select("column", "filled", share("filled").alias("fill_pct"), "distinct_count", share("distinct_count").alias("distinct_pct"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from assayer.functions import text
 from assayer.operators.rules import Rule, evaluate
 from assayer.plans.dashboard import DIMENSION_ORDER
-from assayer.schema import as_text, comparable
+from assayer.schema import as_text, col, comparable
 
 STATUSES = ["actionable", "passed", "applied", "unmapped", "blocked_empty", "blocked_incomplete", "multi_cde", "invalid"]
 SPARSE_BELOW = 0.20
@@ -18,7 +18,7 @@ def column_health(df: DataFrame) -> DataFrame:
     """``(column, non_empty, fill_rate)`` where blank text counts as empty; one scan."""
     names = comparable(df)
     row = df.agg(*[F.struct(F.lit(c).alias("column"), F.count_if(~text.blank(as_text(df, c))).alias("non_empty"), F.count(F.lit(1)).alias("total")).alias(f"c{i}") for i, c in enumerate(names)])
-    rows = row.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(names))])))
+    rows = row.select(F.inline(F.array(*[col(f"c{i}") for i in range(len(names))])))
     return rows.select("column", "non_empty", F.when(F.col("total") > 0, F.col("non_empty") / F.col("total")).otherwise(0.0).alias("fill_rate"))
 
 

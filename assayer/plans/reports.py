@@ -11,7 +11,7 @@ from assayer.operators.rules import Rule, evaluate
 from assayer.operators.skew import group_sizes
 from assayer.operators.values import first_values, union_all
 from assayer.plans.scorecard import _case_scope, field_counts, identifier_rates, ordered_identifiers, stacked
-from assayer.schema import TEMPORAL, TEXT, as_text, columns_of, comparable, data_columns, families
+from assayer.schema import TEMPORAL, TEXT, as_text, col, cols, columns_of, comparable, data_columns, families, quoted
 
 VERY_OLD = "1990-01-01"
 
@@ -30,7 +30,7 @@ def completeness_fields(df: DataFrame, glossary: Glossary) -> DataFrame:
 
 def blank_samples(df: DataFrame, k: int = 5) -> DataFrame:
     """First ``k`` row ids of every column's missing cells."""
-    return first_values(df, comparable(df), k, lambda c: F.col(c).isNull()).select("column", ROW_ID)
+    return first_values(df, comparable(df), k, lambda c: col(c).isNull()).select("column", ROW_ID)
 
 
 def completeness_buckets(fields: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def completeness_buckets(fields: DataFrame) -> DataFrame:
 
 
 def completeness_summary(fields: DataFrame) -> DataFrame:
-    cde = lambda c: F.sum(F.when(F.col("is_cde"), F.col(c)))
+    cde = lambda c: F.sum(F.when(F.col("is_cde"), col(c)))
     return fields.agg(
         F.count(F.lit(1)).alias("total_fields"), F.max("total").alias("rows"), F.round(F.sum("filled") / F.sum("total"), 4).alias("overall_fill_rate"),
         F.count_if("is_cde").alias("cde_count"), F.round(cde("filled") / cde("total"), 4).alias("cde_fill_rate"))
@@ -102,7 +102,7 @@ def composite_key(df: DataFrame, glossary: Glossary, ids_used: int = 3) -> list[
 def composite_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: repeated combinations, their rows and share; all-null tuples are left out."""
     total = df.agg(F.count(F.lit(1)).alias("t")).first()["t"]
-    groups = group_sizes(df.na.drop("all", subset=keys), keys).where("rows > 1")
+    groups = group_sizes(df.na.drop("all", subset=[quoted(n) for n in keys]), keys).where("rows > 1")
     return groups.agg(F.count(F.lit(1)).alias("duplicate_combos"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_in_duplicates")).select(
         F.lit(" + ".join(keys)).alias("key"), "duplicate_combos", "rows_in_duplicates",
         F.round(F.col("rows_in_duplicates") / F.lit(max(total, 1)), 4).alias("duplicate_rate"))
@@ -110,7 +110,7 @@ def composite_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def top_duplicates(df: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
     """The ``k`` most frequent repeated tuples, ties by value."""
-    return group_sizes(df.na.drop("all", subset=keys), keys).where("rows > 1").orderBy(F.col("rows").desc(), *keys).limit(k)
+    return group_sizes(df.na.drop("all", subset=[quoted(n) for n in keys]), keys).where("rows > 1").orderBy(F.col("rows").desc(), *cols(keys)).limit(k)
 
 
 def shared_identifiers(df: DataFrame, column: str) -> DataFrame:
@@ -120,8 +120,8 @@ def shared_identifiers(df: DataFrame, column: str) -> DataFrame:
     and a frequent identifier never gathers its rows.
     """
     names = comparable(df)
-    entities = df.where(F.col(column).isNotNull()).groupBy(*names).agg(F.count(F.lit(1)).alias("rows"))
-    return entities.groupBy(F.col(column).cast("string").alias("value")).agg(
+    entities = df.where(col(column).isNotNull()).groupBy(*cols(names)).agg(F.count(F.lit(1)).alias("rows"))
+    return entities.groupBy(col(column).cast("string").alias("value")).agg(
         F.count(F.lit(1)).alias("distinct_entities"), F.sum("rows").alias("rows")).where("distinct_entities > 1")
 
 
@@ -177,7 +177,7 @@ def case_patterns(df: DataFrame, glossary: Glossary) -> DataFrame:
     """Per text column: counts of the five case classes, the dominant one and the consistency rate."""
     fields = field_counts(df.select(*text_scope(df, glossary)), glossary)
     best = F.greatest(*CASES)
-    dominant = F.coalesce(*[F.when(F.col(c) == best, c) for c in CASES])
+    dominant = F.coalesce(*[F.when(col(c) == best, c) for c in CASES])
     off = F.col("filled") - best
     return fields.select(
         "column", *CASES, dominant.alias("dominant"), off.alias("off_pattern"),
@@ -188,13 +188,13 @@ def case_patterns(df: DataFrame, glossary: Glossary) -> DataFrame:
 def off_pattern_samples(df: DataFrame, patterns: DataFrame, k: int = 5) -> DataFrame:
     """First ``k`` values off the dominant case per column (60 characters shown)."""
     dominant = {r["column"]: r["dominant"] for r in patterns.select("column", "dominant").collect()}
-    off = lambda c: text.case_class(F.col(c)) != dominant[c]
+    off = lambda c: text.case_class(col(c)) != dominant[c]
     return first_values(df, list(dominant), k, off, lambda c: F.substring(c, 1, 60))
 
 
 def spellings(df: DataFrame, column: str) -> DataFrame:
     """``(column, key, value, rows)``: every spelling of a folded form that has two or more."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    counted = df.where(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
     keyed = counted.withColumn("key", text.fold_key(F.col("value"))).where("key != ''")
     many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return keyed.join(many, "key").select(F.lit(column).alias("column"), "key", "value", "rows")
@@ -217,13 +217,13 @@ def spelling_variants(df: DataFrame, column: str, k: int = 20) -> DataFrame:
 def whitespace(df: DataFrame, glossary: Glossary) -> DataFrame:
     """Leading, trailing, double space and control characters per text column, where any occurs."""
     names = text_scope(df, glossary)
-    row = df.agg(*[F.struct(F.lit(c).alias("column"), *[F.count_if(flag).alias(n) for n, flag in text.whitespace_issues(F.col(c)).items()]).alias(f"c{i}") for i, c in enumerate(names)])
-    rows = row.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(names))])))
+    row = df.agg(*[F.struct(F.lit(c).alias("column"), *[F.count_if(flag).alias(n) for n, flag in text.whitespace_issues(col(c)).items()]).alias(f"c{i}") for i, c in enumerate(names)])
+    rows = row.select(F.inline(F.array(*[col(f"c{i}") for i in range(len(names))])))
     return rows.where("leading + trailing + doublespace + control_chars > 0")
 
 
 def standardisation_summary(patterns: DataFrame) -> DataFrame:
-    values = sum((F.col(c) for c in CASES), F.lit(0))
+    values = sum((col(c) for c in CASES), F.lit(0))
     return patterns.agg(
         F.count(F.lit(1)).alias("text_columns"), F.sum("off_pattern").alias("off_pattern_values"),
         F.round(F.when(F.sum(values) > 0, (F.sum(values) - F.sum("off_pattern")) / F.sum(values)).otherwise(1.0), 4).alias("overall_consistency"))
@@ -257,10 +257,10 @@ def timeliness_columns(df: DataFrame, as_of: Column) -> DataFrame:
     old = F.to_timestamp(F.lit(VERY_OLD))
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     row = df.agg(*[F.struct(
-        F.lit(c).alias("column"), F.count(F.lit(1)).alias("total"), F.count(c).alias("populated"), F.count_if(F.col(c).isNull()).alias("blank"),
-        F.count_if(F.col(c) > as_of).alias("future_dated"), F.count_if(F.col(c) < old).alias("very_old"),
-        shown(F.min(c)).alias("oldest"), shown(F.max(c)).alias("newest")).alias(f"c{i}") for i, c in enumerate(names)])
-    rows = row.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(names))])))
+        F.lit(c).alias("column"), F.count(F.lit(1)).alias("total"), F.count(col(c)).alias("populated"), F.count_if(col(c).isNull()).alias("blank"),
+        F.count_if(col(c) > as_of).alias("future_dated"), F.count_if(col(c) < old).alias("very_old"),
+        shown(F.min(col(c))).alias("oldest"), shown(F.max(col(c))).alias("newest")).alias(f"c{i}") for i, c in enumerate(names)])
+    rows = row.select(F.inline(F.array(*[col(f"c{i}") for i in range(len(names))])))
     good = F.col("populated") - F.col("future_dated") - F.col("very_old")
     return rows.withColumn("timeliness_rate", F.round(F.when(F.col("populated") > 0, good / F.col("populated")).otherwise(0.0), 4)).orderBy("timeliness_rate", "column")
 
@@ -270,8 +270,8 @@ def untimely_samples(df: DataFrame, as_of: Column, k: int = 5) -> DataFrame:
     names = columns_of(df, TEMPORAL)
     old = F.to_timestamp(F.lit(VERY_OLD))
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    future = first_values(df, names, k, lambda c: F.col(c) > as_of, shown).withColumn("issue", F.lit("future"))
-    return future.unionByName(first_values(df, names, k, lambda c: F.col(c) < old, shown).withColumn("issue", F.lit("very_old")))
+    future = first_values(df, names, k, lambda c: col(c) > as_of, shown).withColumn("issue", F.lit("future"))
+    return future.unionByName(first_values(df, names, k, lambda c: col(c) < old, shown).withColumn("issue", F.lit("very_old")))
 
 
 def timeliness_summary(columns: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from assayer.functions.formats import CASE_TYPES, REGULATORY_TYPES, Glossary
 from assayer.operators.rules import Rule, evaluate
 from assayer.operators.skew import group_sizes
 from assayer.operators.values import distinct_counts, union_all
-from assayer.schema import TEMPORAL, TEXT, as_text, columns_of, comparable, data_columns, families
+from assayer.schema import TEMPORAL, TEXT, as_text, col, cols, columns_of, comparable, data_columns, families, quoted
 
 DIMENSIONS = ["Completeness", "Validation", "Uniqueness", "Standardisation", "Accuracy", "Timeliness"]
 NO_SCORE = "dimension string, score double, records_impacted bigint, enabled boolean"
@@ -39,9 +39,9 @@ def field_counts(df: DataFrame, glossary: Glossary) -> DataFrame:
         fields = {
             "position": F.lit(i), "column": F.lit(c), "family": F.lit(fams[c]),
             "semantic_type": F.lit(glossary.semantic_type(c)).cast("string"), "is_cde": F.lit(glossary.recommended(c)),
-            "total": F.count(F.lit(1)), "filled": F.count(c),
+            "total": F.count(F.lit(1)), "filled": F.count(col(c)),
             "has_pattern": F.lit(pattern is not None),
-            "valid": count(valid) if pattern else none, "checked": F.count(c) if pattern else none,
+            "valid": count(valid) if pattern else none, "checked": F.count(col(c)) if pattern else none,
             "with_value": count(~text.blank(shown)) if pattern else none,
             "valid_with_value": count(~text.blank(shown) & valid) if pattern else none,
         }
@@ -54,7 +54,7 @@ def field_counts(df: DataFrame, glossary: Glossary) -> DataFrame:
     batches = []
     for start in range(0, len(aggregates), 20):
         row = df.agg(*aggregates[start:start + 20])
-        batches.append(row.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(start, min(start + 20, len(names)))]))))
+        batches.append(row.select(F.inline(F.array(*[col(f"c{i}") for i in range(start, min(start + 20, len(names)))]))))
     return union_all(batches)
 
 
@@ -71,7 +71,7 @@ def completeness(fields: DataFrame, rows_with_null: DataFrame) -> DataFrame:
 def rows_with_any_null(df: DataFrame) -> DataFrame:
     missing = F.lit(False)
     for c in data_columns(df):
-        missing = missing | F.col(c).isNull()
+        missing = missing | col(c).isNull()
     return df.agg(F.count_if(missing).alias("rows_with_null"))
 
 
@@ -99,7 +99,7 @@ def _case_scope(glossary: Glossary) -> Column:
 
 def identifier_rates(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, non_null, distinct_count, rate)``; the rate is null for an empty column."""
-    filled = df.agg(*[F.count(c).alias(c) for c in columns]).unpivot([], columns, "column", "non_null")
+    filled = df.agg(*[F.count(col(c)).alias(c) for c in columns]).unpivot([], cols(columns), "column", "non_null")
     rate = F.when(F.col("non_null") > 0, F.col("distinct_count") / F.col("non_null"))
     return filled.join(F.broadcast(distinct_counts(df, columns)), "column").withColumn("rate", rate)
 
@@ -128,7 +128,7 @@ def ordered_identifiers(df: DataFrame, glossary: Glossary) -> list[str]:
 
 def repeated_rows(df: DataFrame, keys: list[str], drop_missing: bool = False) -> DataFrame:
     """One row: rows whose key tuple occurs more than once, all copies counted, and all rows."""
-    source = df.na.drop("any", subset=keys) if drop_missing else df
+    source = df.na.drop("any", subset=[quoted(n) for n in keys]) if drop_missing else df
     return group_sizes(source, keys).agg(
         F.coalesce(F.sum(F.when(F.col("rows") > 1, F.col("rows"))), F.lit(0)).alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("total"))
 
@@ -155,7 +155,7 @@ def accuracy(results: DataFrame) -> DataFrame:
 def timeliness(df: DataFrame, as_of: Column) -> DataFrame:
     dates = columns_of(df, TEMPORAL)
     row = df.agg(
-        sum((F.count_if(F.col(c) > as_of) for c in dates), F.lit(0)).alias("bad"), sum((F.count(c) for c in dates), F.lit(0)).alias("whole"))
+        sum((F.count_if(col(c) > as_of) for c in dates), F.lit(0)).alias("bad"), sum((F.count(col(c)) for c in dates), F.lit(0)).alias("whole"))
     return _share("Timeliness", row, F.col("whole") - F.col("bad"), F.col("whole"), F.col("bad"), 1.0)
 
 
@@ -205,7 +205,7 @@ def key_statistics(df: DataFrame, glossary: Glossary, extra: list[str] | None =
     names = data_columns(df)
     ids = [c for c, _ in identifiers(df, glossary)][:1]
     headline = [c for c in (HEADLINE_COLUMNS + (extra or [])) if c in names][:1]
-    filled = sum((F.count(c) for c in names), F.lit(0)) / (F.count(F.lit(1)) * len(names))
+    filled = sum((F.count(col(c)) for c in names), F.lit(0)) / (F.count(F.lit(1)) * len(names))
     row = df.agg(F.count(F.lit(1)).cast("double").alias("rows"), filled.alias("fill"))
     entries = [("Total Records", F.col("rows")), ("Total Fields", F.lit(float(len(names)))), ("Overall Fill Rate", F.round("fill", 3))]
     out = stacked(row, [{"label": F.lit(label), "value": value} for label, value in entries])

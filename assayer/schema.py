@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from assayer import ROW_ID
 
+
+
+def quoted(name: str) -> str:
+    """A column name as SQL reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    """The top-level column of that very name."""
+    return F.col(quoted(name))
+
+
+def cols(names) -> list[Column]:
+    return [col(n) for n in names]
+
+
 TEXT, NUMERIC, TEMPORAL, BOOLEAN, OTHER = "text", "numeric", "temporal", "boolean", "other"
 
 
@@ -44,13 +60,13 @@ def as_text(df: DataFrame, name: str) -> "F.Column":
     """Readable string form of any column."""
     data_type = df.schema[name].dataType
     if family(data_type) == TEXT:
-        return F.col(name)
-    return F.col(name).cast("string")
+        return col(name)
+    return col(name).cast("string")
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN marks a missing value in the source data model; Spark keeps it apart from null."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
     return df.select(*[
-        F.when(~F.isnan(c), F.col(c)).alias(c) if c in floats else F.col(c) for c in df.columns
+        F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floats else col(c) for c in df.columns
     ])

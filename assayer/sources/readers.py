@@ -8,7 +8,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from assayer import ROW_ID
-from assayer.schema import nan_to_null
+from assayer.schema import col, nan_to_null
 
 DELIMITERS = {".csv": ",", ".txt": ",", ".tsv": "\t"}
 
@@ -79,7 +79,7 @@ def read_after_header(spark: SparkSession, path: str, header_row: int, sep: str
     skipped = starts.select(F.explode(F.sequence("first", F.col("first") + header_row)).alias("_at"))
     if len(spark.read.text(path).inputFiles()) <= FEW_FILES:
         skipped = F.broadcast(skipped)
-    body = records.join(skipped, "_at", "left_anti").select(*[F.col(f"c{i}").alias(t) for i, t in enumerate(titles)])
+    body = records.join(skipped, "_at", "left_anti").select(*[col(f"c{i}").alias(t) for i, t in enumerate(titles)])
     return body if multi_line else _unbroken(spark, path, body)
 
 
@@ -107,7 +107,7 @@ def with_row_ids(df: DataFrame, key: str | None = None, path: str | None = None)
     of the source could differ.
     """
     if key:
-        return df.withColumn(ROW_ID, F.col(key).cast("bigint"))
+        return df.withColumn(ROW_ID, col(key).cast("bigint"))
     if not path:
         raise ValueError("a table without a key needs a path to store its row ids")
     df.withColumn(ROW_ID, F.monotonically_increasing_id()).write.mode("errorifexists").parquet(path)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+
+from assayer.schema import col, cols
 from pyspark.sql.streaming import StreamingQuery
 
 from assayer.operators.cleanse import STATE, Step, folded
@@ -19,7 +21,7 @@ def cleanse_stream(stream: DataFrame, steps: list[Step], clean_path: str, quaran
         batch.persist()
         batch.where(F.col(STATE).isNull()).drop(STATE).write.mode("overwrite").parquet(f"{clean_path}/epoch={epoch}")
         bad = batch.where(F.col(STATE).isNotNull()).select(
-            *columns, F.col(f"{STATE}.reason").alias("Rejection_Reason"), F.col(f"{STATE}.column").alias("Rejected_Column"),
+            *cols(columns), F.col(f"{STATE}.reason").alias("Rejection_Reason"), F.col(f"{STATE}.column").alias("Rejected_Column"),
             F.current_timestamp().cast("string").alias("Rejected_At"))
         bad.write.mode("overwrite").parquet(f"{quarantine_path}/epoch={epoch}")
         batch.unpersist()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from assayer.functions.phonetics import double_metaphone
 from assayer.functions.similarity import SCORERS, common_subsequence, jaro_winkler, ratio
 from assayer.operators import clusters, fuzzy, golden, dedup
-from assayer.operators.skew import attach
+from assayer.operators.skew import attach, group_sizes
 
 
 def slow_lcs(a, b):
@@ -154,7 +154,7 @@ def test_hot_keys_are_salted(spark, table):
     rows = [("hot",)] * 200 + [(f"k{i}",) for i in range(50)] + [(None,)] * 30
     df = table(rows, "k string")
     sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.min("_row_id").alias("m"))
-    joined = attach(df, sizes, ["k"], hot_rows=10, salts=8).collect()
+    joined = attach(df, sizes, ["k"], hot_rows=10).collect()
     assert len(joined) == len(rows)
     assert {r["m"] for r in joined if r["k"] is None} == {250}
     assert {r["rows"] for r in joined if r["k"] == "hot"} == {200}
@@ -180,3 +180,13 @@ def test_tie_keeps_the_first_row(table):
     df = table([("a", "x"), ("a", "y")], "k string, v string")
     groups = dedup.members(df, dedup.exact_groups(df, ["k"]), ["k"])
     assert golden.golden_records(df, groups).first()["survivor_id"] == 0
+
+
+def test_thousands_of_hot_keys_are_all_split(spark):
+    rows = spark.range(5000 * 4 + 2000).selectExpr("id", "CASE WHEN id < 2000 THEN -1 ELSE id % 5000 END AS k")
+    sizes = group_sizes(rows, ["k"])
+    joined = attach(rows, sizes, ["k"], hot_rows=3)
+    assert joined.count() == rows.count()
+    assert joined.where("rows > 3").select("k").distinct().count() == 5001
+    plan = joined._jdf.queryExecution().toString()
+    assert "_salts" in plan and "GlobalLimit" not in plan
