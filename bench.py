@@ -73,11 +73,15 @@ def linked_events(spark):
 
 
 def fuzzy_documents(spark):
-    return fuzzy.fuzzy_groups(with_key(read(spark, "benchmark"), "item_id"), "text", 80.0)
+    """Opening lines of all documents, compared inside each language and source."""
+    documents = with_key(read(spark, "documents"), "doc_id").withColumn("opening", F.substring("text", 1, 60))
+    return fuzzy.fuzzy_groups(documents, "opening", 85.0, within=["lang", "source"])
 
 
-def fuzzy_parts(spark):
-    return fuzzy.fuzzy_groups(with_key(read(spark, "part"), "p_partkey"), "p_name", 80.0, within=["p_brand"])
+def fuzzy_customers(spark):
+    """Thousands of different names in one scope."""
+    customers = with_key(read(spark, "customer"), "c_custkey").withColumn("label", F.concat_ws(" ", F.reverse("c_name"), "c_mktsegment"))
+    return fuzzy.fuzzy_groups(customers, "label", 92.0, within=["c_nationkey"])
 
 
 def golden_customers(spark):
@@ -94,7 +98,7 @@ def snapshots(spark):
     return compare.column_changes(before, after)
 
 
-QUERIES = {f.__name__: f for f in (wide_profile, document_profile, scores, twenty_rules, cleansing, exact_duplicates, linked_events, fuzzy_documents, fuzzy_parts, golden_customers, snapshots)}
+QUERIES = {f.__name__: f for f in (wide_profile, document_profile, scores, twenty_rules, cleansing, exact_duplicates, linked_events, fuzzy_documents, fuzzy_customers, golden_customers, snapshots)}
 
 
 def main() -> None:

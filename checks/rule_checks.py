@@ -33,7 +33,7 @@ def dropped(s, d):
 check("P03_drop_columns", dropped, CUST + "SELECT count(*) AS rows, 7 AS columns, 2 AS rules FROM cust")
 check("P05_search", lambda s, d: select.search(cust(s, d), "BUILD").select(ROW_ID, "segment"),
       CUST + "SELECT _row_id, segment FROM cust WHERE " + " OR ".join(f"contains(lower(coalesce({c}::VARCHAR, '')), 'build')" for c in CUST_ALL))
-check("P06_sample", lambda s, d: select.sample_percent(view(s, d, "ord"), 30).select(ROW_ID, "price"))
+check("P06_sample", lambda s, d: select.sample_percent(view(s, d, "ord"), 30).select(ROW_ID, "price"), with_views("ord") + "SELECT _row_id, price FROM ord WHERE CAST('0x' || substr(md5('42:' || _row_id), 1, 8) AS UBIGINT) % 100 < 30")
 check("P08_column_summary", lambda s, d: select.column_summary(read(s, d, "customer")).select("column", "non_null", F.round("null_percentage", 4).alias("null_percentage"), "distinct_count"),
       per_column("SELECT '{c}' AS \"column\", count({c}) AS non_null, round((count(*) - count({c})) * 100.0 / count(*), 4) AS null_percentage, count(DISTINCT {c}) AS distinct_count FROM customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]))
 check("P10_stringify", lambda s, d: read(s, d, "part").select("p_partkey", text.stringify(F.col("p_retailprice"), read(s, d, "part").schema["p_retailprice"].dataType).alias("shown")),
