@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import ROW_ID
-from assayer.operators.values import union_all
 from assayer.schema import as_text, col, data_columns, families
 
 
@@ -61,7 +60,6 @@ def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per changed column: cells changed, cleared, filled, equal after case folding, and the type."""
     names = common_columns(before, after)
     joined = paired(before, after, "inner")
-    cast = {"bigint": F.count_if}
     aggregates = []
     for i, c in enumerate(names):
         b, a = col(f"b_{c}"), col(f"a_{c}")
@@ -82,13 +80,12 @@ def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def change_samples(before: DataFrame, after: DataFrame, k: int = 3) -> DataFrame:
     """First ``k`` changed cells of every column: ``(column, _row_id, before, after)``."""
-    parts = []
-    for c in common_columns(before, after):
-        joined = paired(before, after, "inner", [c])
-        parts.append(joined.where(_differs(c)).select(
-            F.lit(c).alias("column"), ROW_ID, col(f"b_{c}").cast("string").alias("before"), col(f"a_{c}").cast("string").alias("after"),
-        ).orderBy(ROW_ID).limit(k))
-    return union_all(parts)
+    joined = paired(before, after, "inner")
+    cell = lambda c: F.when(_differs(c), F.struct(F.lit(c).alias("column"), col(f"b_{c}").cast("string").alias("before"), col(f"a_{c}").cast("string").alias("after")))
+    changed = joined.select(ROW_ID, F.explode(F.array_compact(F.array(*[cell(c) for c in common_columns(before, after)]))).alias("x"))
+    # The limit per column also runs before the shuffle.
+    order = Window.partitionBy("column").orderBy(ROW_ID)
+    return changed.select("x.column", ROW_ID, "x.before", "x.after").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 
 
 def cell_diff(before: DataFrame, after: DataFrame, columns: list[str], start: int, rows: int) -> DataFrame:

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
-
-from assayer.schema import col, cols
 from pyspark.sql.streaming import StreamingQuery
 
 from assayer.operators.cleanse import STATE, Step, folded
 from assayer.operators.rules import Rule, row_failure
+from assayer.schema import cols
 
 
 def cleanse_stream(stream: DataFrame, steps: list[Step], clean_path: str, quarantine_path: str, checkpoint: str) -> StreamingQuery:
@@ -19,12 +18,14 @@ def cleanse_stream(stream: DataFrame, steps: list[Step], clean_path: str, quaran
 
     def split(batch: DataFrame, epoch: int) -> None:
         batch.persist()
-        batch.where(F.col(STATE).isNull()).drop(STATE).write.mode("overwrite").parquet(f"{clean_path}/epoch={epoch}")
-        bad = batch.where(F.col(STATE).isNotNull()).select(
-            *cols(columns), F.col(f"{STATE}.reason").alias("Rejection_Reason"), F.col(f"{STATE}.column").alias("Rejected_Column"),
-            F.current_timestamp().cast("string").alias("Rejected_At"))
-        bad.write.mode("overwrite").parquet(f"{quarantine_path}/epoch={epoch}")
-        batch.unpersist()
+        try:
+            batch.where(F.col(STATE).isNull()).drop(STATE).write.mode("overwrite").parquet(f"{clean_path}/epoch={epoch}")
+            bad = batch.where(F.col(STATE).isNotNull()).select(
+                *cols(columns), F.col(f"{STATE}.reason").alias("Rejection_Reason"), F.col(f"{STATE}.column").alias("Rejected_Column"),
+                F.current_timestamp().cast("string").alias("Rejected_At"))
+            bad.write.mode("overwrite").parquet(f"{quarantine_path}/epoch={epoch}")
+        finally:
+            batch.unpersist()
 
     return state.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
