@@ -1,4 +1,17 @@
-"""Repeated runs of lines, found by winnowing over line hashes.
+"""Repeated runs of words or of whole lines, found by winnowing over hashes.
+
+Runs of words (``lines_only=False``) begin and end at any word, inside of lines, too. A window is
+``least`` words in a row, and its fingerprint is the smallest hash of the ``GRAM`` words in a row
+that it holds.
+
+1. Neighbouring windows with the same fingerprint are a stretch. Stretches whose fingerprint
+   occurs once are dropped; equal windows choose equal fingerprints, so no repeated one is lost.
+2. A stretch that is not the first of its kind has earlier windows only and goes as a whole.
+3. Of the first ones the single windows are compared with the first place of each. The first
+   place of a window always lies in a stretch that is the first of its kind: nothing is missed.
+4. The words of windows that are not the first are deleted.
+
+Runs of whole lines (``lines_only=True``) are found in the same way over lines.
 
 A line is a stretch of words up to a line feed or to the end of a sentence, so that one-line
 paragraphs have several. Its hash ignores white space. From every line on, the shortest run of
@@ -6,7 +19,8 @@ whole lines with ``least`` words or more is a window; so is the shortest run up
 
 1. Winnowing: of each window the line with the smallest hash is its fingerprint (of equal ones
    the last). Two equal windows choose the same line, so every repeated run of ``least`` words
-   shares a fingerprint: nothing that long is missed.
+   shares a fingerprint: no run of whole lines that long is missed. What such a run shares with
+   the lines before and after it stays.
 2. Positions are joined by fingerprint; those that occur once are dropped with their windows.
 3. The windows around the others are the match extended both ways: a line belongs to a repeated
    run exactly if a window that holds it stands at an earlier place, too. Every window is
@@ -27,6 +41,7 @@ from assayer.llm.batches import pieces, utf8
 from assayer.session import cut, discard
 
 LEAST = 30   # words
+GRAM = 10    # words of a fingerprint where runs may begin and end inside of lines
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
@@ -163,7 +178,104 @@ def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return later.withColumn("i", rest).where("i <= j").groupBy("doc_id", "body").agg(F.collect_set(F.struct("i", "j")).alias("runs"))   # at most two windows a line
 
 
-def _without(text: str, runs: str, names: list[str]):
+_STRETCHES = "h bigint, whole bigint, doc_id bigint, body bigint, i int, n int"
+
+
+def _stretches(least: int):
+    size = min(GRAM, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            data, offsets = utf8(batch.column("text"))
+            starts, ends, words = hashing.word_spans(data, offsets)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(words))
+            i = np.flatnonzero(np.arange(len(text)) + least <= words[1:][text])
+            if not len(i):
+                continue
+            hashes = hashing.span_hashes(data, starts, ends)
+            every = np.arange(len(hashes) - size + 1)
+            grams = _runs(hashes, every, every + size)
+            chosen = _smallest(grams, i, i + least - size)
+            cuts = np.flatnonzero(np.r_[True, chosen[1:] != chosen[:-1]])
+            n, i = np.diff(np.append(cuts, len(i))), i[cuts]
+            whole, row = _runs(hashes, i, i + n + least - 1), text[i]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(grams[chosen[cuts]].view(np.int64)), pa.array(whole.view(np.int64)), batch.column("doc_id").take(pa.array(row)), batch.column("body").take(pa.array(row)),
+                pa.array((i - words[row]).astype(np.int32)), pa.array(n.astype(np.int32)),
+            ], names=["h", "whole", "doc_id", "body", "i", "n"])
+    return run
+
+
+def _single(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            data, offsets = utf8(batch.column("text"))
+            starts, ends, words = hashing.word_spans(data, offsets)
+            text = np.repeat(np.arange(batch.num_rows), np.diff(words))
+            spans = batch.column("spans")
+            row = np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False))
+            flat = spans.flatten()
+            n = flat.field("n").to_numpy()
+            begin = words[row] + flat.field("i").to_numpy()
+            i = np.sort(np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum()))
+            g, row = _runs(hashing.span_hashes(data, starts, ends), i, i + least), text[i]
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), batch.column("doc_id").take(pa.array(row)), batch.column("body").take(pa.array(row)),
+                                              pa.array((i - words[row]).astype(np.int32))], names=["g", "doc_id", "body", "i"])
+    return run
+
+
+def _release(*tables: DataFrame) -> None:
+    """``discard``, and let Spark's cleaner find the shuffles that made the tables: it deletes them only once the driver collects garbage."""
+    discard(*tables)
+    tables[0].sparkSession._jvm.System.gc()
+
+
+def repeated_words(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """``(doc_id, body, runs)`` as of ``repeated_runs``, but of words: the runs hold the numbers of the first and last word."""
+    here = F.struct("doc_id", "body", "i")
+    elsewhere = "NOT (doc_id <=> first.doc_id AND body = first.body AND i = first.i)"
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("body") == F.col("first.body"))
+    rest = F.when(same, F.greatest(F.col("i"), F.col("first.i") + least)).otherwise(F.col("i")).alias("i")
+
+    prints = cut(docs.mapInArrow(_stretches(least), _STRETCHES))
+    often = cut(prints.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
+    stretches = cut(prints.join(often, "h").drop("h"))
+    _release(prints, often)
+    kinds = cut(stretches.groupBy("whole").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first"), F.max("n").alias("n")))
+    later = cut(stretches.join(kinds.where("c > 1").select("whole", "first"), "whole").where(elsewhere)
+                .select("doc_id", "body", rest, (F.col("i") + F.col("n") + (least - 2)).alias("j")))
+    _release(stretches)
+    spans = kinds.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body")).agg(F.collect_list(F.struct(F.col("first.i").alias("i"), "n")).alias("spans"))
+    held = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (docs["body"] == spans["_body"])).select("doc_id", "body", "text", "spans")
+    windows = cut(held.mapInArrow(_single(least), "g bigint, doc_id bigint, body bigint, i int"))
+    _release(kinds)
+    first = cut(windows.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first")).where("c > 1").select("g", "first"))
+    single = windows.join(first, "g").where(elsewhere).select("doc_id", "body", rest, (F.col("i") + (least - 1)).alias("j"))
+    found = cut(later.unionByName(single).where("i <= j").groupBy("doc_id", "body").agg(F.collect_set(F.struct("i", "j")).alias("runs")))
+    _release(later, windows, first)
+    return found
+
+
+def _marked(n: int, pairs: pa.Array) -> np.ndarray:
+    """Which of ``n`` lines or words lie in a run."""
+    gone = np.zeros(n + 1, np.int64)
+    np.add.at(gone, pairs.field("i").to_numpy(), 1)
+    np.add.at(gone, pairs.field("j").to_numpy() + 1, -1)
+    return np.cumsum(gone)[:-1] > 0
+
+
+def _word_spans(data: np.ndarray, offsets: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans of the words to delete with the white space after them, or before them where a line ends with them but does not begin."""
+    starts, ends, _ = hashing.word_spans(data, offsets)
+    a, b = np.flatnonzero(gone & ~np.r_[False, gone[:-1]]), np.flatnonzero(gone & ~np.r_[gone[1:], False])
+    begin, end = starts[a], np.append(starts, len(data))[b + 1]
+    before = np.where(a > 0, ends[a - 1], begin)
+    feeds = np.flatnonzero(data == 10)
+    inside = (a > 0) & (np.searchsorted(feeds, before) == np.searchsorted(feeds, begin)) & (np.searchsorted(feeds, ends[b]) < np.searchsorted(feeds, end))
+    return np.where(inside, before, begin), np.where(inside, ends[b], end)
+
+
+def _without(text: str, runs: str, names: list[str], lines_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text):
             column, spans = batch.column(text), batch.column(runs)
@@ -173,28 +285,31 @@ def _without(text: str, runs: str, names: list[str]):
             for k in hit.tolist():
                 data, offsets = utf8(column[k:k + 1])
                 lines = Lines(data, offsets)
-                gone = np.zeros(len(lines.hash) + 1, np.int64)
-                pairs = spans[k].values
-                np.add.at(gone, pairs.field("i").to_numpy(), 1)
-                np.add.at(gone, pairs.field("j").to_numpy() + 1, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                keep = np.ones(len(data), np.int8)
+                if lines_only:
+                    gone = _marked(len(lines.hash), spans[k].values)
+                    begin, end, words = lines.begin[gone], lines.end[gone], np.diff(lines.words)[gone].sum()
+                else:
+                    marked = _marked(lines.words[-1], spans[k].values)
+                    gone = np.unique(np.searchsorted(lines.words, np.flatnonzero(marked), "right"))
+                    begin, end = _word_spans(data, offsets, marked)
+                    words = marked.sum()
                 edge = np.zeros(len(data) + 1, np.int32)
-                np.add.at(edge, lines.begin[gone], 1)
-                np.add.at(edge, lines.end[gone], -1)
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, end, -1)
                 keep = np.cumsum(edge)[:-1] == 0
                 new[k] = data[keep].tobytes().decode("utf-8")
-                removed_lines[k], removed_words[k] = gone.sum(), np.diff(lines.words)[gone].sum()
+                removed_lines[k], removed_words[k] = gone.sum() if lines_only else len(gone), words
             made = {text: pa.array(new, column.type), "removed_lines": pa.array(removed_lines), "removed_words": pa.array(removed_words)}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names=names)
     return run
 
 
-def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the lines of runs that stand earlier, too, plus ``removed_lines`` and ``removed_words``.
+def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text", lines_only: bool = True) -> DataFrame:
+    """``docs`` without the runs that stand earlier, too, plus ``removed_lines`` and ``removed_words``.
 
-    A run is a sequence of whole lines with ``least`` words or more; it is deleted wherever it
-    follows its first place (smallest id, then position). All columns and rows stay; an input
+    A run is a sequence of whole lines with ``least`` words or more, or unless ``lines_only`` of any
+    words; it is deleted wherever it follows its first place (smallest id, then position). Of a line
+    that loses some of its words the others stay, and it counts in ``removed_lines``. All columns and rows stay; an input
     column named like one of the two added ones is replaced. Null, empty and blank texts stay
     as they are. A null id counts as the smallest. Rows with equal id and text are one document
     and get the same text. An empty table stays empty. Ids are whole numbers.
@@ -205,9 +320,9 @@ def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text:
         runs += "_"
     body = F.xxhash64(F.col(f"`{text}`"))
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), body.alias("body"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    found = repeated_runs(source, least).select(F.col("doc_id").alias("_found_id"), F.col("body").alias("_found_body"), F.col("runs").alias("_found_runs"))
+    found = (repeated_runs if lines_only else repeated_words)(source, least).select(F.col("doc_id").alias("_found_id"), F.col("body").alias("_found_body"), F.col("runs").alias("_found_runs"))
     joined = docs.join(found, docs[f"`{key}`"].cast("bigint").eqNullSafe(found["_found_id"]) & (F.xxhash64(docs[f"`{text}`"]) == found["_found_body"]), "left").select(
         *[docs[f"`{c}`"] for c in names], found["_found_runs"].alias(runs))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in names]).schema]
     out = names + ["removed_lines", "removed_words"]
-    return joined.mapInArrow(_without(text, runs, out), ", ".join([*fields, "removed_lines bigint", "removed_words bigint"]))
+    return joined.mapInArrow(_without(text, runs, out, lines_only), ", ".join([*fields, "removed_lines bigint", "removed_words bigint"]))

@@ -79,8 +79,8 @@ def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_line_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document without the runs of lines that stand earlier, too."""
-    return lines.deduplicate(documents(spark, sf)).select("doc_id", "text", "removed_lines", "removed_words")
+    """Every document without the runs of words that stand earlier, too."""
+    return lines.deduplicate(documents(spark, sf), lines_only=False).select("doc_id", "text", "removed_lines", "removed_words")
 
 
 def op10_forest_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -75,3 +75,46 @@ def test_columns_and_odd_rows(spark, docs):
     rows = sorted((x.doc_id is not None, x.doc_id or 0, x.text, x.removed_words) for x in found.collect())
     assert rows == [(False, 0, passage, 0), (True, 4, "", 40), (True, 4, "", 40), (True, 9, None, 0)]
     assert lines.deduplicate(table.limit(0)).count() == 0
+
+
+def by_words(rows, least):
+    """Words left of every text, by a search over all windows of ``least`` words."""
+    first, out = {}, {}
+    for d, (i, text) in enumerate(rows):
+        found = re.findall(r"[^\x20\x09-\x0D]+", text)
+        gone = set()
+        for a in range(len(found) - least + 1):
+            where, at = first.setdefault(tuple(found[a:a + least]), (d, a))
+            if (where, at) != (d, a):
+                gone.update(range(max(a, at + least) if where == d else a, a + least))
+        out[i] = ([w for k, w in enumerate(found) if k not in gone], len(gone))
+    return out
+
+
+@pytest.mark.parametrize("seed,least", [(3, 12), (4, 30)])
+def test_runs_of_words_equal_a_search_over_all_windows(spark, docs, seed, least):
+    r = random.Random(seed)
+
+    def prose(n):
+        return [r.choice(["a", "bb", "dé", "E"]) + str(r.randint(0, 300)) + r.choice(["", "", "", "", "", "", ".", "!"]) for _ in range(n)]
+    passages = [prose(r.randint(15, 120)) for _ in range(12)]
+    texts = []
+    for _ in range(120):
+        some = []
+        for _ in range(r.randint(0, 3)):
+            passage = r.choice(passages)
+            start = r.randint(0, 20)
+            some += prose(r.randint(0, 20)) + passage[start:start + r.randint(5, 110)]
+        texts.append("".join(w + r.choice([" "] * 9 + ["\n", "\t"]) for w in some + prose(r.randint(0, 9))))
+    texts += ["", " \n", "one two " * 70, "x " * 50 + "tail", "one two " * 20, texts[3], texts[3], " ".join(f"{w}" for w in texts[5].split())]
+    expected = by_words(list(enumerate(texts)), least)
+    found = {x.doc_id: (x.text.split(), x.removed_words) for x in lines.deduplicate(docs(texts), least, lines_only=False).collect()}
+    assert found == expected
+    assert sum(n > 0 for _, n in expected.values()) > 20
+
+
+def test_a_passage_inside_a_sentence_goes(spark, docs):
+    passage = " ".join(f"word{i}" for i in range(55))
+    texts = [f"One {passage} begins here.", f"Two so {passage} ends\nhere.\n", f"Three {passage}\nNext line."]
+    found = [(x.text, x.removed_lines, x.removed_words) for x in lines.deduplicate(docs(texts), lines_only=False).orderBy("doc_id").collect()]
+    assert found == [(texts[0], 0, 0), ("Two so ends\nhere.\n", 1, 55), ("Three\nNext line.", 1, 55)]
