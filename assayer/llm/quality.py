@@ -9,6 +9,7 @@ weighted to the share of labels, turns them into a probability.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,8 @@ from assayer.llm.batches import pieces, texts, utf8
 PER_LABEL = 2000       # labelled texts of each kind that are fitted on, by the smallest hashes of their ids
 BLOCKS_OF_TEXT = 8     # blocks of one text that are fitted on, evenly spread
 BLOCK = 1024           # bytes compressed at once, so that the dictionary matters in long texts as in short ones
-DICTIONARY = 1 << 16   # bytes
+DICTIONARY = 1 << 16   # bytes at most
+LEAST = 1 << 12        # bytes of the smallest dictionary
 LEVEL = 3
 
 
@@ -121,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
         data = body.encode("utf-8")
         if kind in parts:
             (parts[kind].extend(_spread(blocks(data))) if k % 3 else calibration.append((kind, data)))
-    good, bad = (_dictionary(parts[k]) for k in (1, 0))
+    good, bad = _dictionaries(parts[1], parts[0])
     total = sum(counts.get(k, 0) for k in (0, 1))
     share = counts.get(1, 0) / total if total else 0.5
     kinds = np.array([k for k, _ in calibration], float)
@@ -136,11 +138,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     return Model(good, bad, logistic(x, kinds, weight), centre, scale)
 
 
-def _dictionary(parts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts themselves where they are too few to train one."""
-    if sum(map(len, parts)) >= 20 * DICTIONARY and len(parts) >= 100:
-        return zstandard.train_dictionary(DICTIONARY, parts, k=32, d=8).as_bytes()
-    return b"".join(p[:DICTIONARY * 2 // max(1, len(parts))] for p in parts)[:DICTIONARY]
+def _dictionaries(*labels: list[bytes]) -> list[bytes]:
+    """A trained dictionary of each label's blocks, all of one size: a twentieth of the label with the fewest bytes, of short samples up to a half.
+
+    Where the trainer refuses, the label's whole blocks up to that size, the smallest hashes first.
+    """
+    fewest = min(sum(map(len, parts)) for parts in labels)
+    size = min(DICTIONARY, max(LEAST, min(1 << 14, fewest // 2), fewest // 20))
+    return [_dictionary(parts, size) for parts in labels]
+
+
+def _dictionary(parts: list[bytes], size: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, parts, k=32, d=8).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        out = b""
+        for part in sorted(parts, key=lambda p: hashlib.blake2b(p, digest_size=8).digest()):
+            if len(out) + len(part) <= size:
+                out += part
+        return out
 
 
 def _scorer(model):

@@ -91,3 +91,15 @@ def test_windows_cover_all_words():
     assert text.tolist() == [1, 2, 3, 4, 4, 4, 4, 4, 4] or set(text.tolist()) == {1, 2, 3, 4}
     covered = {int(w) for b, n in zip(begin, lengths) for w in range(b, b + n)}
     assert covered == set(range(170))
+
+
+def test_dictionaries_of_a_rare_label_are_trained_and_of_one_size():
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    many, few = ([" ".join(r.choice(vocabulary) for _ in range(150)).encode()[:quality.BLOCK] for _ in range(n)] for n in (3000, 600))
+    good, bad = quality._dictionaries(many, few)
+    assert good[:4] == bad[:4] == b"\x37\xa4\x30\xec"   # the mark of trained dictionaries
+    assert len(good) <= sum(map(len, few)) // 20 and abs(len(good) - len(bad)) < len(good) // 10
+    one, other = quality._dictionaries([b"few words"], [b"other words", b"more"])
+    assert one == b"few words" and other in (b"other wordsmore", b"moreother words")   # no word is lost
+    assert quality._dictionaries([], many)[0] == b""
