@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from assayer.llm import counts, fingerprint, forest, leaks, lexicon, lines, merkle, quality, simple8b, toxicity
+from assayer.llm import agenda, counts, fingerprint, forest, leaks, lexicon, lines, manifest, merkle, quality, simple8b, toxicity, whitening
 
 END = 2   # id after every document in the files of op4
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -88,6 +88,23 @@ def op10_forest_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return forest.near_duplicates(documents(spark, sf), size=3, percent=85)
 
 
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings on their first 16 whitened components."""
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op12_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Proofs of all documents; in a fifth of them the text's capitals are made small after the root was taken."""
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest.manifest(documents(spark, sf).withColumn("tampered_text", F.when(fifth, small)))
+
+
+def op13_agenda_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document encoded by the merge-type vocabulary and decoded again."""
+    return agenda.round_trip(documents(spark, sf), tokenizer_path("piece_bpe_32k.model"))
+
+
 OP10_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -118,6 +135,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_line_runs": op9_line_runs,
     "op10_forest_dedup": op10_forest_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_manifest": op12_manifest,
+    "op13_agenda_pieces": op13_agenda_pieces,
 }
 OP2_SQL = r"""
 WITH records AS (
@@ -140,7 +160,45 @@ FROM a FULL JOIN b ON a.file = b.file AND a."offset" = b."offset"
 WHERE a.digest IS DISTINCT FROM b.digest OR a.length IS DISTINCT FROM b.length
 """
 
+
+def op12_sql(inner: int = 6, upper: int = 5) -> str:
+    """SQL of the manifest, with levels for trees of up to 16 to the power of ``inner`` leaves and of ``upper`` sources."""
+    field = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || {0}, '-')".format
+    head, small = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars")), "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    bits = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, v: CASE WHEN v >= 0 THEN xor(c, v) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+    parts = [f"""hashed AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, sha256({head} || {field("text")}) AS h,
+  CASE WHEN doc_id IS NOT NULL AND {crc} % 5 = 0 THEN sha256({head} || {field(small)}) END AS changed FROM documents)""",
+             """n0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS place, count(*) OVER (PARTITION BY tree) AS size FROM hashed)"""]
+
+    def side(bounds: str) -> str:
+        return f"coalesce(string_agg(h, '') OVER (PARTITION BY tree, place // 16 ORDER BY place ROWS BETWEEN {bounds}), '')"
+
+    def levels(name: str, count: int) -> None:
+        for k in range(count):
+            parts.append(f"""{name}{k}s AS (SELECT tree, place, size, {side("UNBOUNDED PRECEDING AND 1 PRECEDING")} AS l, {side("1 FOLLOWING AND UNBOUNDED FOLLOWING")} AS r FROM {name}{k})""")
+            parts.append(f"""{name}{k + 1} AS (SELECT tree, place // 16 AS place, (max(size) + 15) // 16 AS size, CASE WHEN max(size) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY place)) END AS h
+  FROM {name}{k} GROUP BY tree, place // 16)""")
+
+    def climb(start: str, name: str, count: int, key: str, place: str) -> str:
+        for k in range(count):
+            step = f"{start.split('_')[0]}_{name}{k}"
+            parts.append(f"""{step} AS (SELECT x.* EXCLUDE (f, p), CASE WHEN s.size = 1 THEN f ELSE sha256(l || f || r) END AS f, CASE WHEN s.size = 1 THEN p ELSE p || l || r END AS p
+  FROM {start} x JOIN {name}{k}s s ON s.tree = x.{key} AND s.place = x.{place} // {16 ** k})""")
+            start = step
+        return start
+    levels("n", inner)
+    parts.append(f"m0 AS (SELECT '' AS tree, tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS size FROM n{inner})")
+    levels("m", upper)
+    parts.append("c AS (SELECT n0.doc_id, n0.tree, n0.place, n0.h, m0.place AS top, m0.h AS subroot, '' AS one, coalesce(n0.changed, n0.h) AS f, '' AS p FROM n0 JOIN m0 ON m0.name = n0.tree)")
+    last = climb(climb("c", "n", inner, "tree", "place"), "m", upper, "one", "top")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, h AS leaf, subroot, (SELECT h FROM m{upper}) AS root, sha256(p) AS proof_sha256, f AS folded_root, f = (SELECT h FROM m{upper}) AS verified FROM {last}
+"""
+
+
 SQL = {
     "op2_merkle_audit": OP2_SQL,
     "op10_forest_dedup": OP10_SQL,
+    "op12_manifest": op12_sql(),
 }
