@@ -7,8 +7,10 @@ that it holds.
 1. Neighbouring windows with the same fingerprint are a stretch. Stretches whose fingerprint
    occurs once are dropped; equal windows choose equal fingerprints, so no repeated one is lost.
 2. A stretch that is not the first of its kind has earlier windows only and goes as a whole.
-3. Of the first ones the single windows are compared with the first place of each. The first
-   place of a window always lies in a stretch that is the first of its kind: nothing is missed.
+3. Where stretches of one fingerprint differ, the single windows of the first of each kind are
+   compared with the first place of each. The first place of a window always lies in a stretch
+   that is the first of its kind: nothing is missed. A fingerprint with one kind of stretch has
+   no such windows, its copies went in step 2.
 4. The words of windows that are not the first are deleted.
 
 Runs of whole lines (``lines_only=True``) are found in the same way over lines.
@@ -34,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from assayer.llm import hashing
@@ -224,12 +227,6 @@ def _single(least: int):
     return run
 
 
-def _release(*tables: DataFrame) -> None:
-    """``discard``, and let Spark's cleaner find the shuffles that made the tables: it deletes them only once the driver collects garbage."""
-    discard(*tables)
-    tables[0].sparkSession._jvm.System.gc()
-
-
 def repeated_words(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``(doc_id, body, runs)`` as of ``repeated_runs``, but of words: the runs hold the numbers of the first and last word."""
     here = F.struct("doc_id", "body", "i")
@@ -239,20 +236,22 @@ def repeated_words(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     prints = cut(docs.mapInArrow(_stretches(least), _STRETCHES))
     often = cut(prints.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
-    stretches = cut(prints.join(often, "h").drop("h"))
-    _release(prints, often)
-    kinds = cut(stretches.groupBy("whole").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first"), F.max("n").alias("n")))
-    later = cut(stretches.join(kinds.where("c > 1").select("whole", "first"), "whole").where(elsewhere)
+    stretches = cut(prints.join(often, "h"))
+    discard(prints, often)
+    # Equal stretches have one fingerprint, so a kind of stretch is a pair (h, whole).
+    kinds = cut(stretches.groupBy("h", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first"), F.max("n").alias("n")))
+    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
+    later = cut(stretches.drop("h").join(kinds.where("c > 1").select("whole", "first"), "whole").where(elsewhere)
                 .select("doc_id", "body", rest, (F.col("i") + F.col("n") + (least - 2)).alias("j")))
-    _release(stretches)
-    spans = kinds.groupBy(F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body")).agg(F.collect_list(F.struct(F.col("first.i").alias("i"), "n")).alias("spans"))
+    discard(stretches)
+    spans = kinds.join(mixed, "h").groupBy(F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body")).agg(F.collect_list(F.struct(F.col("first.i").alias("i"), "n")).alias("spans"))
     held = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (docs["body"] == spans["_body"])).select("doc_id", "body", "text", "spans")
     windows = cut(held.mapInArrow(_single(least), "g bigint, doc_id bigint, body bigint, i int"))
-    _release(kinds)
+    discard(kinds)
     first = cut(windows.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first")).where("c > 1").select("g", "first"))
     single = windows.join(first, "g").where(elsewhere).select("doc_id", "body", rest, (F.col("i") + (least - 1)).alias("j"))
     found = cut(later.unionByName(single).where("i <= j").groupBy("doc_id", "body").agg(F.collect_set(F.struct("i", "j")).alias("runs")))
-    _release(later, windows, first)
+    discard(later, windows, first)
     return found
 
 
@@ -280,7 +279,7 @@ def _without(text: str, runs: str, names: list[str], lines_only: bool):
         for batch in pieces(batches, text):
             column, spans = batch.column(text), batch.column(runs)
             n = batch.num_rows
-            removed_lines, removed_words, new = np.zeros(n, np.int64), np.zeros(n, np.int64), column.to_pylist()
+            removed_lines, removed_words, new = np.zeros(n, np.int64), np.zeros(n, np.int64), []
             hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
             for k in hit.tolist():
                 data, offsets = utf8(column[k:k + 1])
@@ -297,9 +296,10 @@ def _without(text: str, runs: str, names: list[str], lines_only: bool):
                 np.add.at(edge, begin, 1)
                 np.add.at(edge, end, -1)
                 keep = np.cumsum(edge)[:-1] == 0
-                new[k] = data[keep].tobytes().decode("utf-8")
+                new.append(data[keep].tobytes().decode("utf-8"))
                 removed_lines[k], removed_words[k] = gone.sum() if lines_only else len(gone), words
-            made = {text: pa.array(new, column.type), "removed_lines": pa.array(removed_lines), "removed_words": pa.array(removed_words)}
+            changed = pc.replace_with_mask(column, spans.is_valid(), pa.array(new, column.type)) if new else column
+            made = {text: changed, "removed_lines": pa.array(removed_lines), "removed_words": pa.array(removed_words)}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(c) for c in names], names=names)
     return run
 
