@@ -36,7 +36,7 @@ WIDE = 128       # neighbours among which the likeliest are chosen in a larger o
 BEST = 4         # so many
 BUCKETS = 1 << 16   # counters by which shingles are ordered from rare to frequent
 
-_SKETCH = "doc_id bigint, n_shingles bigint, sum_a bigint, sum_b bigint, regions array<bigint>, low binary"
+_SKETCH = "doc_id bigint, body bigint, n_shingles bigint, sum_a bigint, sum_b bigint, regions array<bigint>, low binary"
 _PAIRS = "a bigint, b bigint, agree int"
 
 
@@ -56,16 +56,16 @@ def _sketch(size: int):
             low = (minima & np.uint32(255)).astype(np.uint8)
             counts = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(counts), pa.array(sums[:, 0].view(np.int64).copy()), pa.array(sums[:, 1].view(np.int64).copy()),
+                batch.column("doc_id"), batch.column("body"), pa.array(counts), pa.array(sums[:, 0].view(np.int64).copy()), pa.array(sums[:, 1].view(np.int64).copy()),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, n * TREES + 1, TREES, dtype=np.int32)), pa.array(region.view(np.int64).ravel())),
                 pa.array([row.tobytes() for row in low], pa.binary()),
-            ], names=["doc_id", "n_shingles", "sum_a", "sum_b", "regions", "low"])
+            ], names=["doc_id", "body", "n_shingles", "sum_a", "sum_b", "regions", "low"])
     return run
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """One row per document: size and digest of its shingle set, region in each tree, low bytes of the minima."""
-    return docs.mapInArrow(_sketch(size), _SKETCH)
+    """One row per document: hash of its text, size and digest of its shingle set, region in each tree, low bytes of the minima."""
+    return docs.withColumn("body", F.xxhash64("text")).mapInArrow(_sketch(size), _SKETCH)
 
 
 def _walk(least: int, percent: int):
@@ -214,7 +214,7 @@ def _between_components(bodies: DataFrame, size: int, percent: int) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
+    """``(doc_id, body, n_shingles, component_id, kept)``, one row per row of ``docs``; ``body`` is the text's xxhash64, a null text as the empty one.
 
     Documents are linked when ``100 * shared >= percent * united`` holds for their sets of
     distinct ``size``-word shingles (A-Z lowered, words split at ASCII blanks; a text with
@@ -250,8 +250,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     discard(bodies, walked)
 
     placed = classes.join(final, "rep", "left").select(*digest, F.coalesce("root", "rep").alias("_root"))
-    one = made.select("doc_id", *digest)
+    one = made.select("doc_id", "body", *digest)
     return one.join(placed, digest, "left").select(
-        "doc_id", "n_shingles",
+        "doc_id", "body", "n_shingles",
         F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("_root", "doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -108,8 +108,8 @@ def _matcher(items, rate: float):
             if found:
                 rows, numbers, distances, ends = zip(*found)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").take(pa.array(rows)), pa.array([search.items[n][0] for n in numbers], pa.int64()),
-                    pa.array(distances, pa.int32()), pa.array(ends, pa.int64())], names=["doc_id", "item_id", "distance", "end"])
+                    batch.column("doc_id").take(pa.array(rows)), batch.column("body").take(pa.array(rows)), pa.array([search.items[n][0] for n in numbers], pa.int64()),
+                    pa.array(distances, pa.int32()), pa.array(ends, pa.int64())], names=["doc_id", "body", "item_id", "distance", "end"])
     return run
 
 
@@ -131,18 +131,19 @@ def _blocks(benchmark: DataFrame, key: str, text: str, size: int) -> Iterator[li
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, key: str = "doc_id", text: str = "text",
-                 item_key: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+                 item_key: str = "item_id", item_text: str = "text", block: int = BLOCK, with_body: bool = False) -> DataFrame:
     """``(doc_id, item_id, distance, end)`` for every item that stands in a document with at most ``floor(rate * length)`` edits.
 
-    Both sides are compared in lower case with single blanks. ``distance`` is the least one,
+    ``with_body`` adds ``body``, the text's xxhash64. Both sides are compared in lower case with single blanks. ``distance`` is the least one,
     ``end`` the first place in the document's normal form where a stretch of that distance ends.
     Items that are null, empty or blank match nothing, and so do such texts. Equal items, equal
     rows and null ids give a row each. Very short items (under ``1 / rate`` characters) must
     stand unchanged. Items beyond ``block`` characters are searched in further passes.
     """
-    source = texts(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    schema, out = "doc_id bigint, item_id bigint, distance int, end bigint", None
+    source = texts(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text).select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("body"), "text")
+    schema, out = "doc_id bigint, body bigint, item_id bigint, distance int, end bigint", None
     for items in _blocks(benchmark, item_key, item_text, block):
         found = source.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(items), rate), schema)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    out = out if out is not None else docs.sparkSession.createDataFrame([], schema)
+    return out if with_body else out.drop("body")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from assayer.llm.batches import pieces, texts, utf8
 
 PER_LABEL = 2000       # labelled texts of each kind that are fitted on, by the smallest hashes of their ids
-BLOCKS_OF_TEXT = 8     # blocks of one text that are fitted on, evenly spread
+FIT_BYTES = 1 << 23    # of the texts of each kind; a text that would exceed them is passed over, the others are fitted on whole
 BLOCK = 1024           # bytes compressed at once, so that the dictionary matters in long texts as in short ones
 DICTIONARY = 1 << 16   # bytes at most
 LEAST = 1 << 12        # bytes of the smallest dictionary
@@ -48,30 +48,32 @@ def held_out(key: str):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, key: str, text: str) -> tuple[list[tuple[int, int, str]], dict[int, int]]:
-    """At most ``per_label`` labelled texts of label 0 and of label 1 with the id's rank by hash, and how many rows have each label."""
+    """At most ``per_label`` labelled texts of label 0 and of label 1 with the id's rank by hash, and how many rows have each label.
+
+    One text per id, the one with the smallest hash, and at most ``FIT_BYTES`` of each label: hashes and
+    lengths are listed first, then only the chosen texts are fetched.
+    """
     rows = train_rows(labels, label, key)
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     picks = [rows.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for k in (0, 1)]
     chosen = picks[0].unionByName(picks[1])   # bounded by 2 * per_label rows
-    found = texts(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("bigint")).join(F.broadcast(chosen), "doc_id").where("length(text) > 0")
-    got = found.select("doc_id", "label", F.xxhash64("doc_id").alias("h"), "text").collect()
-    seen, out = set(), []
-    for r in sorted(got, key=lambda r: (r.h, r.doc_id, r.text)):
-        if r.doc_id not in seen:
-            seen.add(r.doc_id)
-            out.append((len(out), r.label, r.text))
-    return out, counts
+    source = texts(docs, key, text).select(F.col("doc_id").cast("bigint"), "text", F.xxhash64("text").alias("body")).where("length(text) > 0")
+    found = source.select("doc_id", "body", F.octet_length("text").alias("bytes")).join(F.broadcast(chosen), "doc_id")
+    listed = found.groupBy("doc_id", "label").agg(F.min(F.struct("body", "bytes")).alias("t")).select("doc_id", "label", F.xxhash64("doc_id").alias("h"), "t.*").collect()
+    held, picked = {0: 0, 1: 0}, {}
+    for r in sorted(listed, key=lambda r: (r.h, r.doc_id)):
+        if held[r.label] + r.bytes <= FIT_BYTES:
+            held[r.label] += r.bytes
+            picked[r.doc_id] = (r.label, r.body)
+    wanted = docs.sparkSession.createDataFrame([(i, body) for i, (_, body) in picked.items()], "doc_id bigint, body bigint")
+    got = dict(map(tuple, source.join(F.broadcast(wanted), ["doc_id", "body"]).groupBy("doc_id").agg(F.min("text")).collect()))
+    return [(k, label, got[i]) for k, (i, (label, _)) in enumerate(picked.items())], counts
 
 
 def blocks(data: bytes) -> list[bytes]:
     return [data[at:at + BLOCK] for at in range(0, len(data), BLOCK)]
 
 
-def _spread(parts: list[bytes]) -> list[bytes]:
-    step = max(1, -(-len(parts) // BLOCKS_OF_TEXT))
-    return parts[::step]
-
-
 class Sizes:
     """Compressed sizes of whole texts with the good and with the bad dictionary."""
 
@@ -122,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
     for k, (_, kind, body) in enumerate(rows):
         data = body.encode("utf-8")
         if kind in parts:
-            (parts[kind].extend(_spread(blocks(data))) if k % 3 else calibration.append((kind, data)))
+            (parts[kind].extend(blocks(data)) if k % 3 else calibration.append((kind, data)))
     good, bad = _dictionaries(parts[1], parts[0])
     total = sum(counts.get(k, 0) for k in (0, 1))
     share = counts.get(1, 0) / total if total else 0.5
@@ -168,19 +170,19 @@ def _scorer(model):
             raw, ends = data.tobytes(), offsets.tolist()
             x = np.array([sizes.features(raw[a:b]) if sizes else (0.0,) * 5 for a, b in zip(ends, ends[1:])]).reshape(batch.num_rows, 5)
             z = ((x - m.centre) / m.scale) @ m.weights[:-1] + m.weights[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("body"), pa.array(1 / (1 + np.exp(-np.clip(z, -35, 35))))], names=["doc_id", "body", "score"])
     return run
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)``, one row per row of ``docs``.
+    """``(doc_id, held_out, score, predicted, body)``, one row per row of ``docs``; ``body`` is the text's xxhash64, a null text as the empty one.
 
     ``score`` is the probability of label 1 and depends on the text alone; a null text counts as
     empty, and all empty texts have one score. ``predicted`` is 1 from ``threshold`` on.
     ``held_out`` tells that the id's crc32 is a multiple of 5 (false for a null id). Other columns
     are not read; an empty table gives no rows.
     """
-    source = texts(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text)
+    source = texts(docs, f"`{key}`", f"`{text}`").withColumn("body", F.xxhash64("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    scored = source.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = source.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, body bigint, score double")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "body")

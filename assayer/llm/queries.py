@@ -28,7 +28,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 def op1_compression_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of every document."""
     docs = documents(spark, sf)
-    return quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
+    return quality.score(docs, quality.fit(docs, table(spark, sf, "labels"))).drop("body")
 
 
 def op2_merkle_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +85,7 @@ def op9_line_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_forest_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of documents whose 3-word shingle sets are alike to 85 % or more."""
-    return forest.near_duplicates(documents(spark, sf), size=3, percent=85)
+    return forest.near_duplicates(documents(spark, sf), size=3, percent=85).drop("body")
 
 
 def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
