@@ -14,35 +14,33 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier, fitted on these documents' labels, does not reject. Rows without an id stay."""
+    """Documents that the compression classifier, fitted on these documents' labels, does not reject. Each row is judged by its own text."""
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return without(docs, scored.where("predicted = 0"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines; ``n_chars`` follows. A document of which nothing but white space is left goes."""
-    cleaned = lines.deduplicate(docs)
-    changed = F.col("removed_lines") > 0
+    """Texts without later repeated runs of 30 words or more; ``n_chars`` follows. A document of which nothing but white space is left goes."""
+    cleaned = lines.deduplicate(docs, lines_only=False)
+    changed = F.col("removed_words") > 0
     return cleaned.where(~(changed & (F.trim(F.regexp_replace("text", r"\s", "")) == ""))).withColumn(
         "n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once. Rows without an id stay."""
-    first = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    whole = first.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    """Of each group of near duplicates the document with the smallest id stays, once.
+
+    Rows with equal id and text are one document: the first by (lang, source, n_chars), null first,
+    stays. Rows of one id with different texts are judged apart. Rows without an id stay.
+    """
+    named = docs.where("doc_id IS NOT NULL").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("_row")).select("doc_id", "text", "_row.*")
+    whole = named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
     return without(whole, forest.near_duplicates(docs).where("NOT kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item stands. Rows without an id stay only if they are clean, too."""
-    benchmark = table(spark, sf_dir, "benchmark")
-    named = without(docs.where("doc_id IS NOT NULL"), leaks.contaminated(docs.where("doc_id IS NOT NULL"), benchmark))
-    nameless = docs.where("doc_id IS NULL")
-    if nameless.isEmpty():
-        return named
-    numbered = nameless.drop("doc_id").withColumn("doc_id", F.xxhash64("text", "lang", "source", "n_chars"))
-    return named.unionByName(without(numbered, leaks.contaminated(numbered, benchmark)).withColumn("doc_id", F.lit(None).cast("bigint")))
+    """Documents in which no benchmark item stands. Each row is judged by its own text."""
+    return without(docs, leaks.contaminated(docs, table(spark, sf_dir, "benchmark"), with_body=True))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +49,10 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` less the rows with a rejected id."""
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    """``docs`` less the rows whose id and text are rejected; ``rejected`` has ``doc_id`` and ``body``, the text's hash."""
+    gone = rejected.select(F.col("doc_id").alias("_gone_id"), F.col("body").alias("_gone_body")).distinct()
+    body = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (body == gone["_gone_body"]), "left_anti").select(*COLUMNS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
