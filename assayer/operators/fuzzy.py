@@ -15,6 +15,15 @@ every other row attached to its smallest adjacent leader. It is computed in wave
 4. New leaders, and only they, meet the other members of their blocks.
 
 No wave compares all pairs of a block, and a block of similar texts is settled by its leader.
+
+Low thresholds and Jaro-Winkler scores leave no token of two characters that both texts of a pair
+must have; single characters are no index. There the waves are sweeps over a whole scope:
+
+1. The first ``SWEEP`` undecided vertices of every scope are clustered row by row in one task.
+2. The other members are dealt into tiles of ``TILE`` vertices; every tile meets the new leaders
+   and sends back only matches. No pair is ever a row. Inside a tile one leader is compared with
+   all members at once: shared characters bound the score, then a bit-parallel subsequence runs
+   until the threshold is out of reach (``functions.many``).
 """
 
 from __future__ import annotations
@@ -22,18 +31,22 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import ROW_ID
 from assayer.functions import text
+from assayer.functions.many import Many
 from assayer.functions.similarity import SCORERS, metaphone_codes, score
 from assayer.operators.skew import attach
 from assayer.operators.values import union_all
 from assayer.schema import as_text, col, cols, quoted
-from assayer.session import cut
+from assayer.session import cut, discard
 
 HEADS = 1024
+SWEEP = 1000                # heads of a sweep: as many rows of a scope as Spark limits inside each task
+TILE = 4096                 # members that meet the leaders of a sweep in one group
 SKETCH_WORDS = 8            # 64-bit words of a sketch: half for characters, half for pairs of characters
 FREQUENCY_BUCKETS = 65_536  # size bound of the broadcast token frequencies
 
@@ -206,6 +219,81 @@ def leader_pairs(vertices: DataFrame, checks: dict[str, tuple[str, float]], head
 
     ``vertices`` has ``id``, ``within`` (a struct that must be equal) and one text per check.
     """
+    algorithm, threshold = next(iter(checks.values()))
+    if algorithm != "metaphone" and SharedTokens(algorithm, threshold).q == 1:
+        return _swept(vertices, checks, min(heads, SWEEP))
+    return _joined(vertices, checks, heads)
+
+
+def _swept(vertices: DataFrame, checks: dict[str, tuple[str, float]], heads: int) -> DataFrame:
+    """``leader_pairs`` by sweeps over whole scopes."""
+    shown = list(checks)
+    undecided = cut(vertices.select(F.md5(F.to_json("within").cast("binary")).alias("scope"), "id", *cols(shown)))
+    kept = ", ".join(f"{quoted(c)} string" for c in shown)
+    found: list[DataFrame] = []
+    order = Window.partitionBy("scope").orderBy("id")
+    while not undecided.isEmpty():
+        head = undecided.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= heads).drop("_n")
+        decided = cut(head.groupBy("scope").applyInPandas(_cluster(checks), f"scope string, low bigint, id bigint, score double, {kept}"))
+        rest = cut(undecided.join(decided.select("id"), "id", "left_anti"))
+        sizes = cut(rest.groupBy("scope").agg(F.count(F.lit(1)).alias("rows")))
+        tiles = F.ceil(F.col("rows") / TILE)
+        members = attach(rest, sizes, ["scope"]).withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).drop("rows")
+        leaders = attach(decided.where("low = id").drop("low", "score"), sizes, ["scope"]).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1))).drop("rows")
+        met = cut(members.groupBy("scope", "tile").cogroup(leaders.groupBy("scope", "tile")).applyInPandas(_meet_tile(checks), "low bigint, high bigint, score double"))
+        found += [decided.where("low <> id").select("low", F.col("id").alias("high"), "score"), met]
+        before, undecided = undecided, cut(rest.join(met.select(F.col("high").alias("id")), "id", "left_anti"))
+        discard(before, rest, sizes)
+    return union_all(found) if found else vertices.sparkSession.createDataFrame([], "low bigint, high bigint, score double")
+
+
+def _resembling(many: dict[str, Many], texts: dict[str, str], alive: np.ndarray, checks: dict[str, tuple[str, float]]) -> list[tuple[int, float]]:
+    """Numbers of the vertices that pass every check with ``texts``, and their lowest scores."""
+    best: dict[int, float] | None = None
+    for column, (algorithm, threshold) in checks.items():
+        hits = dict(many[column].reach(texts[column], alive, algorithm, threshold))
+        best = hits if best is None else {k: min(best[k], v) for k, v in hits.items()}
+        alive = np.zeros(len(alive), bool)
+        alive[list(best)] = True
+        if not best:
+            break
+    return sorted(best.items())
+
+
+def _cluster(checks: dict[str, tuple[str, float]]):
+    """Greedy clusters of the heads of one scope, at most ``SWEEP`` rows, in the order of ids."""
+    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", ignore_index=True)
+        many = {c: Many(frame[c].tolist()) for c in checks}
+        ids, low, score = frame["id"].to_numpy(), frame["id"].to_numpy().copy(), np.full(len(frame), 100.0)
+        alive = np.ones(len(frame), bool)
+        for k in range(len(frame)):
+            if alive[k]:
+                alive[k] = False
+                for other, value in _resembling(many, {c: frame[c].iloc[k] for c in checks}, alive, checks):
+                    alive[other], low[other], score[other] = False, ids[k], value
+        return frame.assign(low=low, score=score)[["scope", "low", "id", "score", *checks]]
+    return cluster
+
+
+def _meet_tile(checks: dict[str, tuple[str, float]]):
+    """The members of a tile with the first leader each resembles."""
+    def meet(members: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        leaders = leaders.sort_values("id")
+        many = {c: Many(members[c].tolist()) for c in checks}
+        alive, out, ids = np.ones(len(members), bool), [], members["id"].tolist()
+        for leader in leaders.to_dict("records") if len(members) else []:
+            for k, value in _resembling(many, leader, alive, checks):
+                alive[k] = False
+                out.append((leader["id"], ids[k], value))
+            if not alive.any():
+                break
+        return pd.DataFrame(out, columns=["low", "high", "score"])
+    return meet
+
+
+def _joined(vertices: DataFrame, checks: dict[str, tuple[str, float]], heads: int) -> DataFrame:
+    """``leader_pairs`` by blocks of shared tokens."""
     first, (algorithm, threshold) = next(iter(checks.items()))
     vertices = cut(vertices)
     entries = cut(_rare_tokens(vertices, first, algorithm, threshold).distinct())
