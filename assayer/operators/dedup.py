@@ -12,16 +12,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import ROW_ID
 from assayer.functions import text
+from assayer.operators.digests import DIGEST, first_rows, with_digest
 from assayer.operators.skew import attach, group_sizes, members_of_repeated
-from assayer.schema import as_text, col, cols, comparable, data_columns, families, quoted
+from assayer.schema import TEXT, as_text, col, cols, comparable, data_columns, families, quoted
 
 
-def exact_groups(df: DataFrame, subset: list[str] | None = None) -> DataFrame:
+def exact_groups(df: DataFrame, subset: list[str] | None = None, by_digest: bool | None = None) -> DataFrame:
     """``(group_id, keys..., rows)``: tuples held by two rows or more; all-null tuples are left out.
 
-    The group id is the smallest row id of the group. Nulls equal each other.
+    The group id is the smallest row id of the group. Nulls equal each other. ``by_digest``, the
+    choice for whole rows and for long texts, groups digests and fetches the values of repeated
+    tuples from their first rows; otherwise the values themselves are grouped.
     """
     keys = subset or comparable(df)
+    if by_digest or (by_digest is None and subset is None):
+        repeated = first_rows(df, keys, "all").where("rows > 1").select(F.col("first").alias("group_id"), "rows")
+        held = df.select(F.col(ROW_ID).alias("group_id"), *cols(keys))
+        return held.join(repeated, "group_id").select(*cols(keys), "rows", "group_id")
     groups = group_sizes(df.na.drop("all", subset=[quoted(n) for n in keys]), keys, F.min(ROW_ID).alias("group_id"))
     return groups.where("rows > 1")
 
@@ -32,8 +39,11 @@ def groups_all_present(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def members(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Long form ``(group_id, _row_id, is_leader, score)`` of exact groups."""
-    rows = attach(df.select(ROW_ID, *cols(keys)), groups, keys)
+    """Long form ``(group_id, _row_id, is_leader, score)`` of exact groups; rows meet their group by digest where a key is text."""
+    if any(families(df)[k] == TEXT for k in keys):
+        rows = attach(with_digest(df, keys, ROW_ID), with_digest(groups, keys, "group_id", "rows"), DIGEST)
+    else:
+        rows = attach(df.select(ROW_ID, *cols(keys)), groups, keys)
     return rows.select("group_id", ROW_ID, (F.col(ROW_ID) == F.col("group_id")).alias("is_leader"), F.lit(100.0).alias("score"))
 
 
@@ -63,11 +73,11 @@ def details(df: DataFrame, membership: DataFrame, most: int = 50) -> DataFrame:
 def remove_exact(df: DataFrame, subset: list[str] | None = None, keep: str = "first") -> DataFrame:
     """Rows left after keeping the first, last or no copy of every tuple (nulls equal each other)."""
     keys = subset or comparable(df)
-    chosen = {"first": F.min(ROW_ID), "last": F.max(ROW_ID), "none": F.min(ROW_ID)}[keep]
-    kept = group_sizes(df, keys, chosen.alias("_kept"))
+    chosen = {"first": "first", "last": "last", "none": "first"}[keep]
+    kept = first_rows(df, keys)
     if keep == "none":
         kept = kept.where("rows = 1")
-    return df.join(kept.select(F.col("_kept").alias(ROW_ID)), ROW_ID, "left_semi")
+    return df.join(kept.select(F.col(chosen).alias(ROW_ID)), ROW_ID, "left_semi")
 
 
 def remove_groups(df: DataFrame, membership: DataFrame, strategy: str = "keep_first",

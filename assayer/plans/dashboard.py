@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from assayer.functions import bands, text
 from assayer.functions.formats import CASE_TYPES, IDENTIFIER_TYPES, Glossary
 from assayer.operators.rules import Rule
-from assayer.operators.skew import group_sizes
+from assayer.operators.digests import repetition
 from assayer.operators.values import distinct_counts, duplicate_value_text, repeated_value_groups
 from assayer.plans.scorecard import dimension_scores, field_counts, overall
 from assayer.schema import col, comparable, quoted
@@ -29,7 +29,7 @@ def summary(profiled: DataFrame, duplicate_rows: int) -> DataFrame:
 
 def extra_copies(df: DataFrame) -> int:
     """Rows beyond the first of every distinct full row."""
-    return group_sizes(df, comparable(df)).agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("n")).first()["n"]
+    return repetition(df, [(comparable(df), "none")]).select((F.col("total") - F.col("distinct_rows")).alias("n")).first()["n"]
 
 
 def type_distribution(profiled: DataFrame) -> DataFrame:

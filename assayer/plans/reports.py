@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assayer import ROW_ID
 from assayer.functions import bands, text
 from assayer.functions.formats import FORMATS, REGULATORY_TYPES, Glossary
+from assayer.operators.digests import DIGEST, digest, repetition
 from assayer.operators.rules import Rule, evaluate
 from assayer.operators.skew import group_sizes
 from assayer.operators.values import first_values, union_all
@@ -102,10 +103,9 @@ def composite_key(df: DataFrame, glossary: Glossary, ids_used: int = 3) -> list[
 def composite_duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: repeated combinations, their rows and share; all-null tuples are left out."""
     total = df.agg(F.count(F.lit(1)).alias("t")).first()["t"]
-    groups = group_sizes(df.na.drop("all", subset=[quoted(n) for n in keys]), keys).where("rows > 1")
-    return groups.agg(F.count(F.lit(1)).alias("duplicate_combos"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_in_duplicates")).select(
-        F.lit(" + ".join(keys)).alias("key"), "duplicate_combos", "rows_in_duplicates",
-        F.round(F.col("rows_in_duplicates") / F.lit(max(total, 1)), 4).alias("duplicate_rate"))
+    return repetition(df, [(keys, "all")]).select(
+        F.lit(" + ".join(keys)).alias("key"), F.col("combos").alias("duplicate_combos"), F.col("repeated").alias("rows_in_duplicates"),
+        F.round(F.col("repeated") / F.lit(max(total, 1)), 4).alias("duplicate_rate"))
 
 
 def top_duplicates(df: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
@@ -113,27 +113,34 @@ def top_duplicates(df: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
     return group_sizes(df.na.drop("all", subset=[quoted(n) for n in keys]), keys).where("rows > 1").orderBy(F.col("rows").desc(), *cols(keys)).limit(k)
 
 
-def shared_identifiers(df: DataFrame, column: str) -> DataFrame:
-    """``(value, distinct_entities, rows)``: values whose rows differ in some other column.
+def shared_identifiers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(column, value, distinct_entities, rows)``: values of each identifier whose rows differ in some other column.
 
-    Rows are grouped by all columns first, so copies collapse before the identifier is grouped
-    and a frequent identifier never gathers its rows.
+    One scan for all identifiers: a row sends (identifier's number, value, digest of the row) for
+    each. Copies collapse before the identifier is grouped, so a frequent identifier never
+    gathers its rows, and no other value is moved.
     """
-    names = comparable(df)
-    entities = df.where(col(column).isNotNull()).groupBy(*cols(names)).agg(F.count(F.lit(1)).alias("rows"))
-    return entities.groupBy(col(column).cast("string").alias("value")).agg(
-        F.count(F.lit(1)).alias("distinct_entities"), F.sum("rows").alias("rows")).where("distinct_entities > 1")
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, value string, distinct_entities bigint, rows bigint")
+    cell = lambda i, c: F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("i"), col(c).cast("string").alias("value")))
+    cells = df.select(*digest(comparable(df)), F.explode(F.array_compact(F.array(*[cell(i, c) for i, c in enumerate(columns)]))).alias("x"))
+    entities = cells.select("x.*", *DIGEST).groupBy("i", "value", *DIGEST).agg(F.count(F.lit(1)).alias("rows"))
+    shared = entities.groupBy("i", "value").agg(F.count(F.lit(1)).alias("distinct_entities"), F.sum("rows").alias("rows")).where("distinct_entities > 1")
+    name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1)
+    return shared.select(name.alias("column"), "value", "distinct_entities", "rows")
 
 
 def shared_risk(df: DataFrame, columns: list[str], repeats_expected: bool = False) -> DataFrame:
     """Per identifier: shared values, affected rows and the ten values with most entities."""
-    parts = [shared_identifiers(df, c).agg(F.count(F.lit(1)).alias("shared_values"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_affected"))
-             .select(F.lit(c).alias("column"), "shared_values", "rows_affected") for c in columns]
-    return union_all(parts).withColumn("severity", F.lit("informational" if repeats_expected else "high"))
+    found = shared_identifiers(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("shared_values"), F.sum("rows").alias("rows_affected"))
+    listed = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return F.broadcast(listed).join(found, "column", "left").select("column", zero("shared_values"), zero("rows_affected")).withColumn(
+        "severity", F.lit("informational" if repeats_expected else "high"))
 
 
 def shared_samples(df: DataFrame, column: str, k: int = 10) -> DataFrame:
-    return shared_identifiers(df, column).orderBy(F.col("distinct_entities").desc(), "value").limit(k).select("value", "distinct_entities")
+    return shared_identifiers(df, [column]).orderBy(F.col("distinct_entities").desc(), "value").limit(k).select("value", "distinct_entities")
 
 
 def identifier_uniqueness(df: DataFrame, glossary: Glossary) -> DataFrame:
@@ -145,10 +152,7 @@ def identifier_uniqueness(df: DataFrame, glossary: Glossary) -> DataFrame:
 def uniqueness_summary(df: DataFrame, glossary: Glossary) -> DataFrame:
     """One row: rows, distinct rows, repeated rows, the primary identifier and why it was chosen."""
     ids = ordered_identifiers(df, glossary)
-    groups = group_sizes(df, comparable(df))
-    row = groups.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_rows"),
-        F.coalesce(F.sum(F.when(F.col("rows") > 1, F.col("rows"))), F.lit(0)).alias("full_row_duplicates"))
+    row = repetition(df, [(comparable(df), "none")]).select(F.col("total").alias("rows"), "distinct_rows", F.col("repeated").alias("full_row_duplicates"))
     return row.withColumn("primary_identifier", F.lit(ids[0] if ids else None).cast("string")) \
         .withColumn("identifier_columns", F.lit(",".join(ids))).withColumn("composite_key", F.lit(",".join(composite_key(df, glossary)))) \
         .withColumn("rationale", F.lit(_rationale(glossary, ids)))

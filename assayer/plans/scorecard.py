@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assayer import ROW_ID
 from assayer.functions import bands, text
 from assayer.functions.formats import CASE_TYPES, REGULATORY_TYPES, Glossary
+from assayer.operators.digests import repetition
 from assayer.operators.rules import Rule, evaluate
-from assayer.operators.skew import group_sizes
 from assayer.operators.values import distinct_counts, union_all
-from assayer.schema import TEMPORAL, TEXT, as_text, col, cols, columns_of, comparable, data_columns, families, quoted
+from assayer.schema import TEMPORAL, TEXT, as_text, col, cols, columns_of, comparable, data_columns, families
 
 DIMENSIONS = ["Completeness", "Validation", "Uniqueness", "Standardisation", "Accuracy", "Timeliness"]
 NO_SCORE = "dimension string, score double, records_impacted bigint, enabled boolean"
@@ -126,23 +126,16 @@ def ordered_identifiers(df: DataFrame, glossary: Glossary) -> list[str]:
     return [c for c, _ in sorted(found, key=lambda e: (tier(glossary.semantic_type(e[0])), -e[1], position[e[0]]))]
 
 
-def repeated_rows(df: DataFrame, keys: list[str], drop_missing: bool = False) -> DataFrame:
-    """One row: rows whose key tuple occurs more than once, all copies counted, and all rows."""
-    source = df.na.drop("any", subset=[quoted(n) for n in keys]) if drop_missing else df
-    return group_sizes(source, keys).agg(
-        F.coalesce(F.sum(F.when(F.col("rows") > 1, F.col("rows"))), F.lit(0)).alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("total"))
-
-
 def uniqueness(df: DataFrame, glossary: Glossary, repeats_expected: bool = False, ids_used: int = 4) -> DataFrame:
     """One minus the worst share of repeated rows: full rows, the composite of the first
-    ``ids_used`` identifiers, or one identifier. Only full rows count where repeats are expected."""
-    parts = [repeated_rows(df, comparable(df))]
+    ``ids_used`` identifiers, or one identifier. Only full rows count where repeats are expected.
+    All of them are counted in one scan, by digests."""
+    key_sets = [(comparable(df), "none")]
     if not repeats_expected:
         ids = [c for c, _ in identifiers(df, glossary)][:ids_used]
         if ids:
-            parts.append(repeated_rows(df, ids))
-            parts += [repeated_rows(df, [c], drop_missing=True) for c in ids]
-    row = union_all(parts).agg(F.max("n").alias("worst"), F.max("total").alias("total"))
+            key_sets += [(ids, "none"), *[([c], "any") for c in ids]]
+    row = repetition(df, key_sets).agg(F.max("repeated").alias("worst"), F.max("total").alias("total"))
     return _share("Uniqueness", row, F.col("total") - F.col("worst"), F.col("total"), F.col("worst"))
 
 
