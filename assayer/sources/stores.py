@@ -1,4 +1,4 @@
-"""Stores on shared storage: entity tables, versions of a working table, drift baselines.
+"""Stores on shared storage: entity tables and drift baselines; ``sources.versions`` has versions of a working table.
 
 A store is a folder of parquet tables; listing goes through Spark's own file system, so any
 storage the session can read works.
@@ -10,6 +10,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from assayer.sources.versions import VersionStore   # kept here for its callers
+
 
 def _path(spark: SparkSession, location: str):
     return spark._jvm.org.apache.hadoop.fs.Path(location)
@@ -69,75 +71,6 @@ class TableStore:
         return bool(_file_system(self.spark, location).delete(_path(self.spark, location), True))
 
 
-@dataclass(frozen=True)
-class VersionStore:
-    """Versions of a working table with the quarantine after each step.
-
-    Version 0 is the original and is written once. Undo and reset move to an older version by
-    recording it as current again; no data is rewritten.
-    """
-
-    spark: SparkSession
-    root: str
-
-    def start(self, df: DataFrame) -> None:
-        df.write.mode("errorifexists").parquet(f"{self.root}/working/step=0")
-        self._record(0, 0, "original", 0)
-
-    def original(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/working/step=0")
-
-    def commit(self, clean: DataFrame, quarantine: DataFrame, description: str) -> int:
-        """Store the outcome of one cleansing step; returns its number."""
-        # Paths carry the event number, so a step made after an undo never meets old files.
-        last = self.history().orderBy(F.col("event").desc()).first()
-        step, parent = last["event"] + 1, last["step"]
-        clean.write.mode("errorifexists").parquet(f"{self.root}/working/step={step}")
-        quarantine.withColumn("step", F.lit(step)).write.mode("errorifexists").parquet(f"{self.root}/quarantine/step={step}")
-        self._record(step, step, description, parent)
-        return step
-
-    def history(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/history")
-
-    def current_step(self) -> int:
-        return self.history().orderBy(F.col("event").desc()).first()["step"]
-
-    def _chain(self) -> list[int]:
-        """Steps from the current one back to the original."""
-        rows = {r["step"]: r["parent"] for r in self.history().where("event = step").collect()}
-        chain, step = [], self.current_step()
-        while step:
-            chain.append(step)
-            step = rows[step]
-        return chain
-
-    def working(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/working/step={self.current_step()}")
-
-    def rejected(self) -> DataFrame | None:
-        paths = [f"{self.root}/quarantine/step={s}" for s in self._chain()]
-        return self.spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
-
-    def undo(self) -> bool:
-        chain = self._chain()
-        if not chain:
-            return False
-        self._move(chain[1] if len(chain) > 1 else 0, "undo")
-        return True
-
-    def reset(self) -> None:
-        self._move(0, "reset")
-
-    def _move(self, step: int, description: str) -> None:
-        event = self.history().agg(F.max("event").alias("e")).first()["e"] + 1
-        self._record(event, step, description, None)
-
-    def _record(self, event: int, step: int, description: str, parent: int | None) -> None:
-        row = self.spark.createDataFrame([(event, step, description, parent)], "event int, step int, description string, parent int")
-        row.coalesce(1).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.root}/history")
-
-
 @dataclass(frozen=True)
 class BaselineStore:
     """Drift baselines by unique name."""
