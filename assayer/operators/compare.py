@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import ROW_ID
+from assayer.operators.order import numbered
 from assayer.schema import as_text, col, data_columns, families
+from assayer.session import cut
 
 
 def common_columns(before: DataFrame, after: DataFrame) -> list[str]:
@@ -88,11 +90,24 @@ def change_samples(before: DataFrame, after: DataFrame, k: int = 3) -> DataFrame
     return changed.select("x.column", ROW_ID, "x.before", "x.after").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).drop("n")
 
 
-def cell_diff(before: DataFrame, after: DataFrame, columns: list[str], start: int, rows: int) -> DataFrame:
-    """A window of the union of row ids, one row per cell: row status and cell flag."""
+def page_index(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``(_row_id, _place)``: the row ids of both versions with their places, as a table sorted by place.
+
+    Made once for any number of pages; a page then reads the row groups that hold its places.
+    """
+    ids = before.select(ROW_ID).unionByName(after.select(ROW_ID)).distinct()
+    return cut(numbered(ids, [ROW_ID], "_place"))
+
+
+def cell_diff(before: DataFrame, after: DataFrame, columns: list[str], start: int, rows: int, index: DataFrame | None = None) -> DataFrame:
+    """A window of the union of row ids, one row per cell: row status and cell flag.
+
+    ``index`` is the ``page_index`` of the two versions; without one it is made for this page.
+    """
     old, new = data_columns(before), data_columns(after)
     names = [c for c in columns if c in old or c in new]
-    ids = before.select(ROW_ID).unionByName(after.select(ROW_ID)).distinct().orderBy(ROW_ID).offset(start).limit(rows)
+    places = index if index is not None else page_index(before, after)
+    ids = places.where((F.col("_place") >= start) & (F.col("_place") < start + rows)).select(ROW_ID)   # at most ``rows`` ids
     side = lambda df, prefix, present: df.select(ROW_ID, F.lit(True).alias(f"{prefix}_in"), *[
         (as_text(df, c) if c in present else F.lit(None).cast("string")).alias(f"{prefix}_{c}") for c in names])
     window = F.broadcast(ids)

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayer import ROW_ID
 from assayer.operators.values import distinct_counts
-from assayer.schema import as_text, col, comparable, data_columns, families
+from assayer.schema import as_text, col, cols, comparable, data_columns, families
 
 
 def scoped(df: DataFrame, columns: list[str] | None) -> DataFrame:
     """Selected columns in table order; all when none is selected. The row id always stays."""
     chosen = [c for c in data_columns(df) if c in set(columns or [])] or data_columns(df)
-    return df.select(*([ROW_ID] if ROW_ID in df.columns else []), *chosen)
+    return df.select(*([ROW_ID] if ROW_ID in df.columns else []), *cols(chosen))
 
 
 def drop_columns(df: DataFrame, rules: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from assayer import ROW_ID
 from assayer.operators.dedup import summaries
+from assayer.operators.order import numbered
 from assayer.operators.rules import Rule, failing_rows
 from assayer.operators.select import sample_percent, scoped
+from assayer.schema import cols
+
+MOST_TASKS = 10_000         # that write batches at once; a task may write several, one after another
 
 
 def chosen(df: DataFrame, columns: list[str] | None, percent: int) -> DataFrame:
@@ -31,8 +35,18 @@ def write_json(df: DataFrame, path: str, columns: list[str] | None = None, perce
 
 
 def write_batches(df: DataFrame, path: str, rows_per_file: int = 100_000, columns: list[str] | None = None, file_format: str = "csv") -> None:
-    """Files of at most ``rows_per_file`` rows."""
-    writer = scoped(df, columns).drop(ROW_ID).write.option("maxRecordsPerFile", max(1, rows_per_file))
+    """Folder ``batch=i`` holds one file with the rows of places ``i * rows_per_file`` up to the next batch, by row id.
+
+    Places come from counts per partition; a batch is written by one task, which sorts it.
+    """
+    size = max(1, rows_per_file)
+    placed = numbered(df, [ROW_ID], "_place").withColumn("batch", F.floor(F.col("_place") / size).cast("bigint"))
+    chosen_columns = [c for c in scoped(df, columns).columns if c != ROW_ID]
+    if "batch" in chosen_columns:
+        raise ValueError("a column named batch would clash with the folders")
+    count = (placed.agg(F.max("batch")).first()[0] or 0) + 1
+    batches = placed.repartition(int(min(count, MOST_TASKS)), "batch").sortWithinPartitions("batch", "_place").select("batch", *cols(chosen_columns))
+    writer = batches.write.partitionBy("batch")
     if file_format == "parquet":
         writer.parquet(path)
     else:

@@ -33,7 +33,7 @@ check("U01_exact_groups", lambda s, d: dedup.exact_groups(dup(s, d), KEY), GROUP
 check("U01_exact_members", with_members(lambda df, m: m), GROUPED + "SELECT group_id, _row_id, _row_id = group_id AS is_leader, 100.0::DOUBLE AS score FROM g")
 check("U01_full_row_lineitem", lambda s, d: dedup.exact_groups(read(s, d, "lineitem").withColumn(ROW_ID, F.col("l_orderkey") * 8 + F.col("l_linenumber")), ["l_orderkey", "l_linenumber"]).groupBy("rows").agg(F.count(F.lit(1)).alias("groups")),
       "SELECT n AS rows, count(*) AS groups FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) GROUP BY n")
-check("U01_document_texts", lambda s, d: dedup.members(view(s, d, "docs"), dedup.exact_groups(view(s, d, "docs"), ["text"]), ["text"]).select("group_id", ROW_ID),
+check("U01_document_texts", lambda s, d: dedup.members(view(s, d, "docs"), dedup.exact_groups(view(s, d, "docs"), ["text"], by_digest=True), ["text"]).select("group_id", ROW_ID),
       with_views("docs") + "SELECT group_id, _row_id FROM (SELECT _row_id, min(_row_id) OVER (PARTITION BY text) AS group_id, count(*) OVER (PARTITION BY text) AS n FROM docs) WHERE n > 1")
 check("U02_normal_form", lambda s, d: view(s, d, "cust").select(ROW_ID, text.normal_form(F.col("segment")).alias("a"), text.normal_form(F.col("email")).alias("b")),
       with_views("cust") + "SELECT _row_id, " + ", ".join(f"strip_accents(trim(regexp_replace(regexp_replace(trim(lower({c})), '[^\\w\\s]', '', 'g'), '\\s+', ' ', 'g'))) AS {n}" for c, n in (("segment", "a"), ("email", "b"))) + " FROM cust")
@@ -66,6 +66,18 @@ WITHIN = PRT.rstrip() + """, v AS (SELECT brand, lower(name) AS f, min(_row_id)
 within = WITHIN.replace("{sim}", at_least(80)("y", "x")).replace("{own}", at_least(80)("x", "v.f"))
 check("U09_combined_groups", lambda s, d: fuzzy.fuzzy_groups(prt(s, d), "name", 80.0, within=["brand"]).select("group_id", ROW_ID, "is_leader"), within + members_sql)
 check("J05_exact_block_then_fuzzy", lambda s, d: fuzzy.group_scores(fuzzy.fuzzy_groups(prt(s, d), "name", 80.0, within=["brand"])).select("group_id", "rows"), within + "SELECT group_id, count(*) AS rows FROM r GROUP BY group_id HAVING count(*) > 1")
+
+
+# All words of all conversations, told apart by a digest that SQL has, inside their first two letters: thousands of values, hundreds of scopes.
+def words(s, d):
+    found = read(s, d, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), 1)).alias("word")).distinct()
+    return found.select(F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 15), 16, 10).cast("bigint").alias(ROW_ID), "word", F.substring("word", 1, 2).alias("initials"))
+
+
+WORDS = "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS f FROM conversations), v AS (SELECT f, substr(f, 1, 2) AS initials, ('0x' || substr(md5(f), 1, 15))::BIGINT AS id FROM w), l AS (SELECT initials, list_reduce(list(f ORDER BY id), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: {sim})) > 0 THEN acc ELSE list_append(acc, x) END, []::VARCHAR[]) AS leaders FROM v GROUP BY initials), o AS (SELECT v.f, v.id, list_filter(leaders, lambda x: {own})[1] AS leader FROM v JOIN l USING (initials)), r AS (SELECT o.id AS _row_id, v.id AS group_id FROM o JOIN v ON v.f = o.leader) "
+word_sql = lambda sim: WORDS.replace("{sim}", sim("y", "x")).replace("{own}", sim("x", "v.f")) + members_sql
+check("U08_word_groups_70", lambda s, d: fuzzy.fuzzy_groups(words(s, d), "word", 70.0, within=["initials"]).select("group_id", ROW_ID, "is_leader"), word_sql(at_least(70)))
+check("U08_word_groups_jaro_winkler", lambda s, d: fuzzy.fuzzy_groups(words(s, d), "word", 90.0, "jaro_winkler", within=["initials"]).select("group_id", ROW_ID, "is_leader"), word_sql(lambda a, b: f"100 * jaro_winkler_similarity({a}, {b}) >= 90"))
 check("U06_metaphone_groups", lambda s, d: fuzzy.fuzzy_groups(prt(s, d), "name", 85.0, "metaphone"))
 check("U07_combined_score_groups", lambda s, d: fuzzy.fuzzy_groups(prt(s, d), "name", 80.0, "combined"))
 
