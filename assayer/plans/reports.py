@@ -179,7 +179,7 @@ CASES = ["upper", "lower", "title", "mixed", "other"]
 
 def case_patterns(df: DataFrame, glossary: Glossary) -> DataFrame:
     """Per text column: counts of the five case classes, the dominant one and the consistency rate."""
-    fields = field_counts(df.select(*text_scope(df, glossary)), glossary)
+    fields = field_counts(df.select(*cols(text_scope(df, glossary))), glossary)
     best = F.greatest(*CASES)
     dominant = F.coalesce(*[F.when(col(c) == best, c) for c in CASES])
     off = F.col("filled") - best
@@ -193,7 +193,7 @@ def off_pattern_samples(df: DataFrame, patterns: DataFrame, k: int = 5) -> DataF
     """First ``k`` values off the dominant case per column (60 characters shown)."""
     dominant = {r["column"]: r["dominant"] for r in patterns.select("column", "dominant").collect()}
     off = lambda c: text.case_class(col(c)) != dominant[c]
-    return first_values(df, list(dominant), k, off, lambda c: F.substring(c, 1, 60))
+    return first_values(df, list(dominant), k, off, lambda c: F.substring(col(c), 1, 60))
 
 
 def spellings(df: DataFrame, column: str) -> DataFrame:
