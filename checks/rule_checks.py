@@ -31,6 +31,20 @@ def dropped(s, d):
 
 
 check("P03_drop_columns", dropped, CUST + "SELECT count(*) AS rows, 7 AS columns, 2 AS rules FROM cust")
+
+
+def indexed_search(s, d):
+    """Three needles, in one, several and no values, through the index of a stored table; the union tells them apart."""
+    from assayer.sources.search import SearchStore
+    from checks.tables import scratch
+
+    store = SearchStore(s, scratch(s, "search"), block=64)
+    store.save("cust", cust(s, d))
+    parts = [store.search("cust", needle, columns).select(F.lit(needle).alias("needle"), ROW_ID, "segment") for needle, columns in (("BUILDing", None), ("001", ["name"]), ("no such text", None), ("-1", ["acctbal"]))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+check("P05_indexed_search", indexed_search, CUST + "SELECT 'BUILDing' AS needle, _row_id, segment FROM cust WHERE contains(lower(concat_ws(chr(1), custkey::VARCHAR, name, code, email, segment, since, amount_text, nationkey::VARCHAR, acctbal::VARCHAR)), 'building') UNION ALL SELECT '001', _row_id, segment FROM cust WHERE contains(lower(name), '001') UNION ALL SELECT '-1', _row_id, segment FROM cust WHERE contains(acctbal::VARCHAR, '-1')")
 check("P05_search", lambda s, d: select.search(cust(s, d), "BUILD").select(ROW_ID, "segment"),
       CUST + "SELECT _row_id, segment FROM cust WHERE " + " OR ".join(f"contains(lower(coalesce({c}::VARCHAR, '')), 'build')" for c in CUST_ALL))
 check("P06_sample", lambda s, d: select.sample_percent(view(s, d, "ord"), 30).select(ROW_ID, "price"), with_views("ord") + "SELECT _row_id, price FROM ord WHERE CAST('0x' || substr(md5('42:' || _row_id), 1, 8) AS UBIGINT) % 100 < 30")
