@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import ROW_ID
 from assayer.operators.order import numbered
+from assayer.operators.values import union_all
 from assayer.schema import as_text, col, data_columns, families
 from assayer.session import cut
 
+COLUMNS_PER_PASS = 24       # compared in one join and one aggregate
+
 
 def common_columns(before: DataFrame, after: DataFrame) -> list[str]:
     """Shared columns that can be compared; a cell of a nested type is compared by its JSON text."""
@@ -21,9 +24,13 @@ def _side(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return df.select(ROW_ID, F.lit(True).alias(f"{prefix}_in"), *[value(c).alias(f"{prefix}_{c}") for c in columns])
 
 
+def passes(names: list[str]) -> list[list[str]]:
+    return [names[at:at + COLUMNS_PER_PASS] for at in range(0, len(names), COLUMNS_PER_PASS)]
+
+
 def paired(before: DataFrame, after: DataFrame, how: str = "full_outer", columns: list[str] | None = None) -> DataFrame:
     """Rows of both versions side by side: ``b_<column>``, ``a_<column>``, ``b_in``, ``a_in``."""
-    names = columns or common_columns(before, after)
+    names = common_columns(before, after) if columns is None else columns
     return _side(before, "b", names).join(_side(after, "a", names), ROW_ID, how)
 
 
@@ -44,10 +51,15 @@ def stats(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: sizes, column changes and modified cells of the rows present in both."""
     names = common_columns(before, after)
     old, new = data_columns(before), data_columns(after)
-    joined = paired(before, after)
     both = F.col("b_in") & F.col("a_in")
-    cells = sum((F.count_if(both & _differs(c)) for c in names), F.lit(0))
-    row = joined.agg(F.count("b_in").alias("original_rows"), F.count("a_in").alias("modified_rows"), cells.alias("modified_cells"))
+    parts = None
+    for part in passes(names) or [[]]:
+        # Only the pass's columns are joined; rows are counted in the first pass.
+        cells = sum((F.count_if(both & _differs(c)) for c in part), F.lit(0))
+        rows = [F.count("b_in"), F.count("a_in")] if parts is None else [F.lit(0).cast("bigint")] * 2
+        row = paired(before, after, columns=part).agg(rows[0].alias("original_rows"), rows[1].alias("modified_rows"), cells.cast("bigint").alias("modified_cells"))
+        parts = row if parts is None else parts.unionByName(row)
+    row = parts.agg(*[F.sum(c).alias(c) for c in ("original_rows", "modified_rows", "modified_cells")])
     return row.select(
         "original_rows", "modified_rows", (F.col("modified_rows") - F.col("original_rows")).alias("row_change"),
         F.lit(len(old)).alias("original_columns"), F.lit(len(new)).alias("modified_columns"),
@@ -61,7 +73,20 @@ def stats(before: DataFrame, after: DataFrame) -> DataFrame:
 def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Per changed column: cells changed, cleared, filled, equal after case folding, and the type."""
     names = common_columns(before, after)
-    joined = paired(before, after, "inner")
+    rows = [_changes_of(before, after, part) for part in passes(names)]
+    if not rows:
+        return before.sparkSession.createDataFrame([], "column string, changed bigint, nulled bigint, filled bigint, standardised bigint, change_type string")
+    rows = union_all(rows).where("changed > 0")
+    n, std = F.col("changed"), F.col("standardised")
+    kind = (
+        F.when(F.col("nulled") == n, "Cleared").when(F.col("filled") == n, "Backfilled").when(std == n, "Standardised")
+        .when(std > n / 2, "Standardised (mostly)").otherwise("Modified")
+    )
+    return rows.withColumn("change_type", kind).orderBy(n.desc(), "column")
+
+
+def _changes_of(before: DataFrame, after: DataFrame, names: list[str]) -> DataFrame:
+    joined = paired(before, after, "inner", names)
     aggregates = []
     for i, c in enumerate(names):
         b, a = col(f"b_{c}"), col(f"a_{c}")
@@ -71,13 +96,7 @@ def column_changes(before: DataFrame, after: DataFrame) -> DataFrame:
             F.count_if(b.isNotNull() & a.isNull()).alias("nulled"), F.count_if(b.isNull() & a.isNotNull()).alias("filled"),
             F.count_if(_differs(c) & F.coalesce(folded, F.lit(False))).alias("standardised"),
         ).alias(f"c{i}"))
-    rows = joined.agg(*aggregates).select(F.inline(F.array(*[col(f"c{i}") for i in range(len(names))]))).where("changed > 0")
-    n, std = F.col("changed"), F.col("standardised")
-    kind = (
-        F.when(F.col("nulled") == n, "Cleared").when(F.col("filled") == n, "Backfilled").when(std == n, "Standardised")
-        .when(std > n / 2, "Standardised (mostly)").otherwise("Modified")
-    )
-    return rows.withColumn("change_type", kind).orderBy(n.desc(), "column")
+    return joined.agg(*aggregates).select(F.inline(F.array(*[col(f"c{i}") for i in range(len(names))])))
 
 
 def change_samples(before: DataFrame, after: DataFrame, k: int = 3) -> DataFrame:

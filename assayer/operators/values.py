@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from assayer import ROW_ID
@@ -68,6 +71,27 @@ def first_values(df: DataFrame, columns: list[str], k: int, condition=None, valu
     ])
 
 
+def smallest_values(df: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """``(column, value)``: the first ``k`` distinct values of each column in the order of their text.
+
+    Every task keeps ``k`` values per column, and only these are shuffled and compared again.
+    """
+    def run(batches):
+        kept: dict[int, list[str]] = {}
+        for batch in batches:
+            for i in range(batch.num_columns):
+                values = set(pc.unique(pc.drop_null(batch.column(i))).to_pylist())
+                kept[i] = heapq.nsmallest(k, values.union(kept.get(i, ())))
+        if any(kept.values()):
+            number, value = zip(*[(i, v) for i, listed in kept.items() for v in listed])
+            yield pa.RecordBatch.from_arrays([pa.array(number, pa.int32()), pa.array(value, pa.string())], names=["i", "value"])
+
+    cells = df.select(*[as_text(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
+    near = cells.mapInArrow(run, "i int, value string").distinct()
+    first = near.withColumn("_n", F.row_number().over(Window.partitionBy("i").orderBy("value"))).where(F.col("_n") <= k)
+    return first.select(F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1).alias("column"), "value")
+
+
 def top_values(df: DataFrame, columns: list[str], k: int, condition: str = "true") -> DataFrame:
     """``k`` most frequent values of each column with their rank, ties by value.
 
@@ -103,20 +127,20 @@ def duplicate_value_text(df: DataFrame, columns: list[str] | None = None, shown:
 def repeated_value_groups(df: DataFrame, columns: list[str], total_rows: int, k: int = 10, ids: int = 5) -> DataFrame:
     """Top repeated values of each column with share and first row ids.
 
-    At most ``k`` values per column are looked up again in the table, so they are broadcast,
-    and the ids come from a bounded per-task limit.
+    The digests of at most ``k`` values per column, 24 bytes each, are broadcast and looked up in
+    one scan; the ids come from a bounded per-task limit.
     """
     top = top_values(df, columns, k, "value is not null and rows > 1")
-    cells = union_all([
-        df.select(F.lit(c).alias("column"), as_text(df, c).alias("value"), ROW_ID).where("value is not null") for c in columns
-    ])
-    hits = cells.join(F.broadcast(top), ["column", "value"])
-    order = Window.partitionBy("column", "value").orderBy(ROW_ID)
+    number = F.create_map(*[F.lit(x) for i, c in enumerate(columns) for x in (c, i)])
+    hashes = lambda value: (F.xxhash64(value).alias("a"), F.xxhash64(F.lit(7), value).alias("b"))
+    wanted = F.broadcast(top.select(number[F.col("column")].alias("i"), *hashes(F.col("value")), "rank"))
+    cell = lambda i, c: F.when(col(c).isNotNull(), F.struct(F.lit(i).alias("i"), *hashes(as_text(df, c))))
+    cells = df.select(ROW_ID, F.explode(F.array_compact(F.array(*[cell(i, c) for i, c in enumerate(columns)]))).alias("x")).select(ROW_ID, "x.*")
+    hits = cells.join(wanted, ["i", "a", "b"])
+    order = Window.partitionBy("i", "rank").orderBy(ROW_ID)
     first = hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ids)
-    listed = first.groupBy("column", "value").agg(
-        F.first("rows").alias("rows"), F.first("rank").alias("rank"),
-        F.array_join(F.array_sort(F.collect_list(ROW_ID)).cast("array<string>"), ",").alias("row_ids"),
-    )
+    found = first.groupBy("i", "rank").agg(F.array_join(F.array_sort(F.collect_list(ROW_ID)).cast("array<string>"), ",").alias("row_ids"))
+    listed = top.withColumn("i", number[F.col("column")]).join(found, ["i", "rank"])
     return listed.select(
         "column", "rank", F.substring("value", 1, 50).alias("value"), "rows",
         F.round(F.col("rows") / F.lit(total_rows) * 100, 2).alias("percentage"), "row_ids",

@@ -105,14 +105,14 @@ def profile_table(df: DataFrame, profiled: DataFrame) -> DataFrame:
     """Profile rows with the text of repeated values."""
     told = duplicate_value_text(df)
     return profiled.select("position", "column", "dtype", "total_rows", "non_null_count", "null_count", "null_percentage", "distinct_count", "duplicate_count",
-                           "distinct_percentage", "min_length", "max_length", "avg_length", "risk_level", "risk_score").join(F.broadcast(told), "column", "left")
+                           "distinct_percentage", "min_length", "max_length", "avg_length", "risk_level", "risk_score").join(told, "column", "left")
 
 
 def column_cards(df: DataFrame, profiled: DataFrame, total_rows: int, k: int = 10) -> DataFrame:
     """Profile table with the top repeated values of each column as an array."""
     groups = repeated_value_groups(df, comparable(df), total_rows, k).groupBy("column").agg(
         F.array_sort(F.collect_list(F.struct("rank", "value", "rows", "percentage", "row_ids"))).alias("groups"))
-    return profile_table(df, profiled).join(F.broadcast(groups), "column", "left")
+    return profile_table(df, profiled).join(groups, "column", "left")
 
 
 # Per-field quality

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+from itertools import islice
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -58,6 +59,18 @@ def preview_raw(spark: SparkSession, path: str, rows: int = 20, sep: str = ",")
 FEW_FILES = 100_000  # up to this many files the skipped record ids are under 10 MB and are broadcast
 
 
+def _record(lines: DataFrame, number: int, sep: str) -> list[str]:
+    """Record ``number`` of a file of lines; as many lines are read as its and the earlier records' line breaks ask for."""
+    wanted = 16 * (number + 1)
+    while True:
+        found = lines.take(wanted)
+        records = list(islice(csv.reader((r["value"] + "\n" for r in found), delimiter=sep), number + 2))
+        # The last record may go on behind the lines that were read.
+        if len(records) > number + 1 or len(found) < wanted:
+            return records[number] if len(records) > number else []
+        wanted *= 8
+
+
 def read_after_header(spark: SparkSession, path: str, header_row: int, sep: str = ",", multi_line: bool = True) -> DataFrame:
     """Delimited read where record ``header_row`` (0-based, empty lines not counted) of every file holds the names.
 
@@ -65,8 +78,7 @@ def read_after_header(spark: SparkSession, path: str, header_row: int, sep: str
     records to skip are a short run of ids at the start of each file. Columns are text.
     """
     first = sorted(spark.read.text(path).inputFiles())[0]
-    lines = spark.read.text(first).where("value != ''").take(10 * (header_row + 1))   # names with line breaks included
-    titled = next((r for i, r in enumerate(csv.reader((r["value"] + "\n" for r in lines), delimiter=sep)) if i == header_row), [])
+    titled = _record(spark.read.text(first).where("value != ''"), header_row, sep)
     width = max(1, len(titled))
     records = _records(spark, path, width, sep, multi_line).withColumns({
         "_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})

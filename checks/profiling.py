@@ -203,7 +203,8 @@ check("A24_dashboard_summary", dashboard_summary,
  count(*) FILTER ({LEVEL} = 'Low') AS low_risk, count(*) FILTER ({LEVEL} = 'Medium') AS medium_risk, count(*) FILTER ({LEVEL} = 'High') AS high_risk FROM risk""")
 check("A24_top_null_columns", lambda s, d: dashboard.top_null_columns(full(s, d, with_outliers=False)),
       fact_cte("cust", CUST_KINDS) + 'SELECT "column", round(null_pct, 1) AS null_pct FROM risk WHERE nulls > 0 ORDER BY null_pct DESC, "column" LIMIT 10')
-check("A24_type_distribution", lambda s, d: dashboard.type_distribution(p.scan(view(s, d, "cust"))).where("dtype = 'string'"), "SELECT 'string' AS dtype, 6 AS columns")
+check("A24_type_distribution", lambda s, d: dashboard.type_distribution(p.scan(view(s, d, "cust"))),
+      CUST + "SELECT CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' ELSE lower(t) END AS dtype, count(*) AS columns FROM (" + " UNION ALL ".join(f"SELECT max(typeof({c})) AS t FROM cust" for c in CUST_ALL) + ") GROUP BY 1")
 
 
 def issues(s, d):
