@@ -169,9 +169,26 @@ def matrix_sets(s, d):
 
 
 KINDS = {"custkey": "unique_identifiers", "name": "critical_business", "code": "critical_business", "email": "critical_business", "segment": "descriptive", "since": "descriptive", "amount_text": "descriptive", "nationkey": "descriptive", "acctbal": "descriptive"}
-ALL_SETS = dedup.matrix_key_sets(KINDS)
+IMPORTANT = ["name", "code", "email", "segment", "since", "amount_text", "nationkey", "acctbal"]   # business columns, then the first five descriptive ones
+ALL_SETS = [(f"Single: {a}", [a]) for a in IMPORTANT]
+ALL_SETS += [(f"Pair: {a}+{b}", [a, b]) for i, a in enumerate(IMPORTANT) for b in IMPORTANT[i + 1:]]
+ALL_SETS += [(f"Triple: {a}+{b}+{c}", [a, b, c]) for i, a in enumerate(IMPORTANT[:6]) for j, b in enumerate(IMPORTANT[:6]) for c in IMPORTANT[j + 1:6] if j > i]
+ALL_SETS += [("Business Keys", ["name", "code", "email"]), ("Complete Match", [c for c in KINDS if c != "custkey"])]
 check("U22_matrix_by_category", matrix_sets,
       DUP + "SELECT matched_by, count(*) AS rows FROM (SELECT _row_id, arg_min(l, k) AS matched_by FROM (" + " UNION ALL ".join(f"SELECT _row_id, {i} AS k, '{label}' AS l FROM dup WHERE {OK(keys)} QUALIFY count(*) OVER (PARTITION BY {', '.join(keys)}) > 1" for i, (label, keys) in enumerate(ALL_SETS)) + ") GROUP BY _row_id) GROUP BY matched_by")
 check("U23_repeated_values", lambda s, d: fuzzy.repeated_or_similar(view(s, d, "cust"), "segment").where("kind = 'repeated'"),
       with_views("cust") + f"SELECT 'segment' AS \"column\", 'repeated' AS kind, min(_row_id) AS group_id, segment AS value, count(*) AS rows FROM cust WHERE upper(trim(segment)) NOT IN {PLACE} GROUP BY segment HAVING count(*) > 1")
 check("U23_similar_values", lambda s, d: fuzzy.repeated_or_similar(view(s, d, "cust"), "email", 95.0).where("kind = 'similar'"))
+
+
+def labels(s, d):
+    """Supplier labels: some shared by several rows, the others unlike in a few digits."""
+    return read(s, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias(ROW_ID), F.expr("CASE WHEN s_suppkey % 3 = 0 THEN concat('shared ', s_suppkey % 5) WHEN s_suppkey % 10 = 1 THEN 'NULL' ELSE concat(lower(replace(s_name, '#', ' ')), ' ', s_nationkey) END").alias("label"))
+
+
+LABELS = f"""WITH b AS (SELECT s_suppkey::BIGINT AS _row_id, CASE WHEN s_suppkey % 3 = 0 THEN 'shared ' || (s_suppkey % 5) WHEN s_suppkey % 10 = 1 THEN 'NULL' ELSE lower(replace(s_name, '#', ' ')) || ' ' || s_nationkey END AS label FROM supplier),
+ c AS (SELECT label, count(*) AS n, min(_row_id) AS id FROM b WHERE upper(trim(label)) NOT IN {PLACE} GROUP BY label), v AS (SELECT label AS f, id FROM c WHERE n = 1),
+ l AS (SELECT list_reduce(list(f ORDER BY id), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: {{sim}})) > 0 THEN acc ELSE list_append(acc, x) END, []::VARCHAR[]) AS leaders FROM v),
+ o AS (SELECT v.f, list_filter(leaders, lambda x: {{own}})[1] AS leader FROM v, l), g AS (SELECT o.f, v.id AS group_id, count(*) OVER (PARTITION BY v.id) AS n FROM o JOIN v ON v.f = o.leader)
+ SELECT 'label' AS "column", 'repeated' AS kind, id AS group_id, label AS value, n AS rows FROM c WHERE n > 1 UNION ALL SELECT 'label', 'similar', group_id, f, 1 FROM g WHERE n > 1"""
+check("U23_repeated_or_similar", lambda s, d: fuzzy.repeated_or_similar(labels(s, d), "label", 94.0), LABELS.replace("{sim}", at_least(94)("y", "x")).replace("{own}", at_least(94)("x", "v.f")))

@@ -108,7 +108,15 @@ def key_choice(s, d):
     return s.createDataFrame([(reports.composite_key(cust(s, d), GLOSSARY),)], "k array<string>").select(F.array_join("k", ",").alias("composite_key"))
 
 
-check("D09_attribute_key", key_choice, CUST + "SELECT CASE WHEN count(DISTINCT custkey) * 1.0 / count(custkey) >= 0.95 THEN 'name,code' ELSE 'name,code' END AS composite_key FROM cust")
+# The glossary as a table: place, column, type, recommended; the key is chosen in SQL from it and the measured rates.
+TERMS = ", ".join(f"({i}, '{c}', '{GLOSSARY.semantic_type(c) or ''}', {str(bool(GLOSSARY.recommended(c))).lower()})" for i, c in enumerate(CUST_ALL))
+KEY_SQL = CUST.rstrip() + f""", g(place, col, kind, wanted) AS (VALUES {TERMS}), rates AS ({per_column(RATE, ["custkey", "code"])}),
+ ids AS (SELECT "column" AS col, row_number() OVER (ORDER BY CASE "column" WHEN 'custkey' THEN 0 ELSE 2 END, rate DESC) AS k FROM rates WHERE rate >= 0.95),
+ others AS (SELECT * FROM g WHERE col NOT IN (SELECT col FROM ids WHERE k = 1)),
+ chosen AS (SELECT col, place, 0 AS part FROM (SELECT * FROM others WHERE kind = 'free_text_name' AND wanted ORDER BY place LIMIT 1)
+  UNION ALL SELECT col, place, 1 FROM (SELECT * FROM others WHERE kind IN ('pan', 'gstin', 'tan', 'cin', 'ein', 'ssn', 'aadhaar', 'vat') ORDER BY place LIMIT 2))
+ SELECT coalesce((SELECT string_agg(col, ',' ORDER BY part, place) FROM chosen), (SELECT string_agg(col, ',' ORDER BY k) FROM ids WHERE k <= 3)) AS composite_key"""
+check("D09_attribute_key", key_choice, KEY_SQL)
 check("D10_composite_duplicates", lambda s, d: reports.composite_duplicates(dup(s, d), ["name", "code"]),
       DUP + "SELECT 'name + code' AS key, count(*) AS duplicate_combos, sum(n)::BIGINT AS rows_in_duplicates, round(sum(n) * 1.0 / (SELECT count(*) FROM dup), 4) AS duplicate_rate FROM (SELECT count(*) AS n FROM dup WHERE name IS NOT NULL OR code IS NOT NULL GROUP BY name, code HAVING count(*) > 1)")
 check("D10_top_duplicates", lambda s, d: reports.top_duplicates(view(s, d, "prt"), ["name", "type"]),
