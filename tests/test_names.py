@@ -50,3 +50,40 @@ def test_compare_drift_and_correlation(frame):
     assert changed[TEXT] == 4 and not changed.get(NUMBER)
     assert drift.baseline(frame).count() == 3
     assert [(r["column_a"], r["column_b"]) for r in correlation.pearson(frame).collect()] == [(NUMBER, OTHER)]
+
+
+def test_every_public_reader_of_columns_takes_such_names(spark, frame, tmp_path):
+    """Functions that take a table and columns, over names with a dot, a blank and a backtick."""
+    from assayer.functions.formats import Glossary
+    from assayer.operators import digests, select
+    from assayer.operators import values
+    from assayer.plans import dashboard, reports, scorecard
+    from assayer.sources import writers
+    from assayer.sources.search import SearchStore
+    from assayer.sources.stores import TableStore
+    from assayer.sources.versions import VersionStore
+
+    names, glossary = [NUMBER, TEXT, OTHER], Glossary({TEXT: {"semantic_type": "free_text_name", "recommended": True}, NUMBER: {"semantic_type": "numeric_id", "recommended": True}})
+    profiled = profile.profile(frame)
+    made = {
+        "characters": profile.character_frequency(frame), "symbols": profile.special_characters(frame), "samples": profile.sample_values(frame), "outliers": profile.outliers(frame),
+        "evidence": profile.evidence(frame), "report": profile.quality_report(frame, profiled), "table": dashboard.profile_table(frame, profiled), "cards": dashboard.column_cards(frame, profiled, 5),
+        "fields": dashboard.field_scores(frame, glossary), "case": reports.case_patterns(frame, glossary), "off": reports.off_pattern_samples(frame, reports.case_patterns(frame, glossary)),
+        "spellings": reports.spelling_variants(frame, TEXT), "whitespace": reports.whitespace(frame, glossary), "shared": reports.shared_identifiers(frame, [NUMBER, TEXT]),
+        "composite": reports.composite_duplicates(frame, [NUMBER, TEXT]), "top": reports.top_duplicates(frame, [NUMBER]), "uniqueness": reports.uniqueness_summary(frame, glossary),
+        "score": scorecard.uniqueness(frame, glossary), "rates": scorecard.identifier_rates(frame, [NUMBER]), "counts": scorecard.field_counts(frame, glossary),
+        "repetition": digests.repetition(frame, [(names, "none")]), "values": values.value_counts(frame, names), "smallest": values.smallest_values(frame, names, 3), "repeated": values.repeated_value_groups(frame, names, 5),
+        "scoped": select.scoped(frame, [TEXT]), "search": select.search(frame, "bob"), "spearman": correlation.spearman(frame), "stats": compare.stats(frame, frame), "cells": compare.cell_diff(frame, frame, names, 0, 3),
+        "similar": fuzzy.repeated_or_similar(frame, TEXT), "low": fuzzy.fuzzy_groups(frame, TEXT, 60.0), "drift": drift.detect(drift.baseline(frame), drift.baseline(frame)),
+    }
+    rows = {k: df.count() for k, df in made.items()}
+    assert rows["scoped"] == 5 and rows["search"] == 2 and rows["cells"] == 9 and rows["smallest"] == 9 and rows["samples"] == 9
+    writers.write_batches(frame, f"{tmp_path}/b", 2, [TEXT, OTHER])
+    TableStore(spark, f"{tmp_path}/t").save("x", frame)
+    store = SearchStore(spark, f"{tmp_path}/s", block=2)
+    store.save("x", frame)
+    assert store.search("x", "lee").count() == 2
+    versions = VersionStore(spark, f"{tmp_path}/v")
+    versions.start(frame)
+    versions.apply(lambda df: cleanse.apply(df, [Step(TEXT, "Case", case="UPPERCASE")], "2024-01-01"), "upper")
+    assert versions.working().where(F.col(f"`{TEXT}`") == "BOB").count() == 1
