@@ -59,7 +59,8 @@ for t in (85, 70):
 check("U08_fuzzy_groups_jaro_winkler", lambda s, d: fuzzy.fuzzy_groups(prt(s, d), "name", 88.0, "jaro_winkler").select("group_id", ROW_ID, "is_leader"), forms(lambda a, b: f"100 * jaro_winkler_similarity({a}, {b}) >= 88") + members_sql)
 check("J04_fuzzy_self_join", lambda s, d: fuzzy.fuzzy_groups(prt(s, d), "name", 60.0).groupBy("group_id").agg(F.count(F.lit(1)).alias("rows")), forms(at_least(60)) + "SELECT group_id, count(*) AS rows FROM r GROUP BY group_id HAVING count(*) > 1")
 check("U08_customer_names", lambda s, d: fuzzy.fuzzy_groups(view(s, d, "cust"), "email", 92.0, "difflib").groupBy("group_id").agg(F.count(F.lit(1)).alias("rows")))
-check("U08_group_scores", lambda s, d: fuzzy.group_scores(fuzzy.fuzzy_groups(prt(s, d), "name", 70.0)))
+SECOND = f"SELECT g.group_id, g.rows, CASE WHEN lower(p.name) = v.f THEN 100.0 ELSE {lcs_of('v.f', 'lower(p.name)')} END AS score FROM (SELECT group_id, count(*) AS rows, min(_row_id) FILTER (_row_id <> group_id) AS second FROM r GROUP BY group_id HAVING count(*) > 1) g JOIN prt p ON p._row_id = g.second JOIN v ON v.id = g.group_id"
+check("U08_group_scores", lambda s, d: fuzzy.group_scores(fuzzy.fuzzy_groups(prt(s, d), "name", 70.0)), forms(at_least(70)) + SECOND)
 
 WITHIN = PRT.rstrip() + """, v AS (SELECT brand, lower(name) AS f, min(_row_id) AS id FROM prt GROUP BY 1, 2), l AS (SELECT brand, list_reduce(list(f ORDER BY id), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: {sim})) > 0 THEN acc ELSE list_append(acc, x) END, []::VARCHAR[]) AS leaders FROM v GROUP BY brand),
  o AS (SELECT v.brand, v.f, list_filter(leaders, lambda x: {own})[1] AS leader FROM v JOIN l USING (brand)), r AS (SELECT prt._row_id, v.id AS group_id FROM prt JOIN o ON prt.brand = o.brand AND lower(prt.name) = o.f JOIN v ON v.brand = o.brand AND v.f = o.leader) """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from assayer.operators import correlation, drift, profile as p, suggest, values
@@ -89,7 +91,11 @@ check("A11_special_rows", scanned("cust", "special_rows"),
 
 check("A12_character_frequency", lambda s, d: p.character_frequency(view(s, d, "docs"), ["text"]).select("column", "character", "occurrences", "code_point"),
       DOCS + "SELECT 'text' AS \"column\", ch AS character, count(*) AS occurrences, unicode(ch) AS code_point FROM (SELECT unnest(string_split(regexp_replace(text, '[A-Za-z0-9 \\t\\n\\x0b\\f\\r]', '', 'g'), '')) AS ch FROM docs) WHERE ch <> '' GROUP BY ch")
-check("A12_character_names", lambda s, d: p.character_frequency(view(s, d, "conv"), ["text"]).select("column", "character", "unicode_name"))
+# Names of the Latin, Greek, Cyrillic, punctuation and kana blocks from the Unicode table; others are compared as UNKNOWN on the SQL side only if they have no name.
+BLOCKS = [*range(0x20, 0x530), *range(0x2000, 0x2070), *range(0x3000, 0x3100)]
+NAMES = "names(code_point, unicode_name) AS (VALUES " + ", ".join(f"({c}, {quoted(unicodedata.name(chr(c)))})" for c in BLOCKS if unicodedata.name(chr(c), None)) + ")"
+check("A12_character_names", lambda s, d: p.character_frequency(view(s, d, "conv"), ["text"]).select("column", "character", "unicode_name"),
+      with_views("conv").rstrip() + ", " + NAMES + " SELECT 'text' AS \"column\", ch AS character, coalesce(unicode_name, 'UNKNOWN') AS unicode_name FROM (SELECT DISTINCT unnest(string_split(regexp_replace(text, '[A-Za-z0-9 \\t\\n\\x0b\\f\\r]', '', 'g'), '')) AS ch FROM conv) LEFT JOIN names ON unicode(ch) = code_point WHERE ch <> ''")
 
 strip = lambda c: f"trim({c}, {WS})"
 check("A13_accuracy_score", lambda s, d: full(s, d, with_outliers=False).where("family = 'text'").select("column", "multi_space", "edge_space", rounded("accuracy_score", 4)),
