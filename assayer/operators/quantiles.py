@@ -16,6 +16,7 @@ from assayer.operators.order import running_totals
 from assayer.schema import col
 
 SKETCH = 4096            # size parameter of a sketch, for a rank error of about SLACK
+LARGEST = 65_535         # that the sketches allow
 SLACK = 0.003
 COLUMNS_PER_PASS = 48
 BUFFER_VALUES = 500_000  # values inside of all brackets that one aggregate may hold
@@ -36,7 +37,7 @@ def sketches(df: DataFrame, columns: list[str]) -> DataFrame:
     out = None
     for names in _passes(columns):
         row = df.agg(*[F.struct(F.lit(c).alias("column"), F.count(_number(c)).alias("n"), F.min(_number(c)).alias("low"), F.max(_number(c)).alias("high"),
-                                F.kll_sketch_agg_double(_number(c), SKETCH).alias("sketch")).alias(f"s{i}") for i, c in enumerate(names)])
+                                F.kll_sketch_agg_double(_number(c), min(SKETCH, LARGEST)).alias("sketch")).alias(f"s{i}") for i, c in enumerate(names)])
         rows = row.select(F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))]))).withColumn("sketch", F.when(F.col("n") > 0, F.col("sketch")))
         out = rows if out is None else out.unionByName(rows)
     return out if out is not None else df.sparkSession.createDataFrame([], "column string, n bigint, low double, high double, sketch binary")
