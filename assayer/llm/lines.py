@@ -227,6 +227,11 @@ def _single(least: int):
     return run
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """The side of a join with a row per key, a few numbers each: kept as a hash table in each task, so that the texts and windows it meets are not sorted."""
+    return rows.hint("shuffle_hash")
+
+
 def repeated_words(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``(doc_id, body, runs)`` as of ``repeated_runs``, but of words: the runs hold the numbers of the first and last word."""
     here = F.struct("doc_id", "body", "i")
@@ -236,20 +241,20 @@ def repeated_words(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     prints = cut(docs.mapInArrow(_stretches(least), _STRETCHES))
     often = cut(prints.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
-    stretches = cut(prints.join(often, "h"))
+    stretches = cut(prints.join(_hashed(often), "h"))
     discard(prints, often)
     # Equal stretches have one fingerprint, so a kind of stretch is a pair (h, whole).
     kinds = cut(stretches.groupBy("h", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first"), F.max("n").alias("n")))
     mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
-    later = cut(stretches.drop("h").join(kinds.where("c > 1").select("whole", "first"), "whole").where(elsewhere)
+    later = cut(stretches.drop("h").join(_hashed(kinds.where("c > 1").select("whole", "first")), "whole").where(elsewhere)
                 .select("doc_id", "body", rest, (F.col("i") + F.col("n") + (least - 2)).alias("j")))
     discard(stretches)
     spans = kinds.join(mixed, "h").groupBy(F.col("first.doc_id").alias("_id"), F.col("first.body").alias("_body")).agg(F.collect_list(F.struct(F.col("first.i").alias("i"), "n")).alias("spans"))
-    held = docs.join(spans, docs["doc_id"].eqNullSafe(spans["_id"]) & (docs["body"] == spans["_body"])).select("doc_id", "body", "text", "spans")
+    held = docs.join(_hashed(spans), docs["doc_id"].eqNullSafe(spans["_id"]) & (docs["body"] == spans["_body"])).select("doc_id", "body", "text", "spans")
     windows = cut(held.mapInArrow(_single(least), "g bigint, doc_id bigint, body bigint, i int"))
     discard(kinds)
     first = cut(windows.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min(here).alias("first")).where("c > 1").select("g", "first"))
-    single = windows.join(first, "g").where(elsewhere).select("doc_id", "body", rest, (F.col("i") + (least - 1)).alias("j"))
+    single = windows.join(_hashed(first), "g").where(elsewhere).select("doc_id", "body", rest, (F.col("i") + (least - 1)).alias("j"))
     found = cut(later.unionByName(single).where("i <= j").groupBy("doc_id", "body").agg(F.collect_set(F.struct("i", "j")).alias("runs")))
     discard(later, windows, first)
     return found
@@ -321,7 +326,7 @@ def deduplicate(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text:
     body = F.xxhash64(F.col(f"`{text}`"))
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), body.alias("body"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     found = (repeated_runs if lines_only else repeated_words)(source, least).select(F.col("doc_id").alias("_found_id"), F.col("body").alias("_found_body"), F.col("runs").alias("_found_runs"))
-    joined = docs.join(found, docs[f"`{key}`"].cast("bigint").eqNullSafe(found["_found_id"]) & (F.xxhash64(docs[f"`{text}`"]) == found["_found_body"]), "left").select(
+    joined = docs.join(_hashed(found), docs[f"`{key}`"].cast("bigint").eqNullSafe(found["_found_id"]) & (F.xxhash64(docs[f"`{text}`"]) == found["_found_body"]), "left").select(
         *[docs[f"`{c}`"] for c in names], found["_found_runs"].alias(runs))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in names]).schema]
     out = names + ["removed_lines", "removed_words"]
