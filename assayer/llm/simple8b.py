@@ -149,11 +149,12 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int | None = None, ke
     """Encode ``docs`` and write the ids in ascending order of ``key`` to the new folder ``path``.
 
     ``end`` is appended to every document. A null or empty text has no other id. Null ids come
-    first; rows with equal ids follow each other by their text. Other columns are not read. An
-    empty table gives a folder without segments.
+    first; rows with equal ids follow each other as they were read, so that one id need not fit
+    a task. Other columns are not read. An empty table gives a folder without segments.
     """
     source = texts(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    read = source.withColumn("read", F.monotonically_increasing_id())
+    ordered = read.repartitionByRange("doc_id", "read").sortWithinPartitions("doc_id", "read").drop("read")
     ordered.mapInArrow(_segments(tokenizer, end), SEGMENTS).write.option("compression", "none").parquet(path)
 
 
