@@ -16,6 +16,16 @@ every other row attached to its smallest adjacent leader. It is computed in wave
 
 No wave compares all pairs of a block, and a block of similar texts is settled by its leader.
 
+Short texts at high thresholds differ in very few characters, while the numbers, domains and
+prefixes they share make their q-grams frequent. Two texts of lengths a and b reach a ratio only
+with a common subsequence of some length, so they agree after a - n and b - n deletions. Where these are
+few, all such subsequences index the texts:
+
+1. Entries of subsequences that no other text has are dropped.
+2. The first undecided vertices of every scope are clustered row by row in one task, every one
+   looking up the leaders that share an entry with it.
+3. New leaders meet the later vertices that share an entry. Only pairs that reach the ratio meet.
+
 Low thresholds and Jaro-Winkler scores leave no token of two characters that both texts of a pair
 must have; single characters are no index. There the waves are sweeps over a whole scope:
 
@@ -39,6 +49,7 @@ from assayer import ROW_ID
 from assayer.functions import text
 from assayer.functions.many import Many
 from assayer.functions.similarity import SCORERS, metaphone_codes, score
+from assayer.operators.order import numbered
 from assayer.operators.skew import attach
 from assayer.operators.values import union_all
 from assayer.schema import as_text, col, cols, quoted
@@ -49,6 +60,8 @@ SWEEP = 1000                # heads of a sweep: as many rows of a scope as Spark
 TILE = 4096                 # members that meet the leaders of a sweep in one group
 SKETCH_WORDS = 8            # 64-bit words of a sketch: half for characters, half for pairs of characters
 FREQUENCY_BUCKETS = 65_536  # size bound of the broadcast token frequencies
+MOST_VARIANTS = 1000        # index entries of one text
+SWEEP_KEYS = 2_000_000      # index entries of the heads of one scope
 
 
 class SharedTokens:
@@ -219,7 +232,12 @@ def leader_pairs(vertices: DataFrame, checks: dict[str, tuple[str, float]], head
 
     ``vertices`` has ``id``, ``within`` (a struct that must be equal) and one text per check.
     """
-    algorithm, threshold = next(iter(checks.values()))
+    first, (algorithm, threshold) = next(iter(checks.items()))
+    lengths = vertices.agg(F.min(F.char_length(first)), F.max(F.char_length(first))).first() if algorithm in ("ratio", "difflib") and threshold > 50 else (None, None)
+    plan = _deletions(threshold, *lengths) if lengths[0] else None
+    if plan is not None:
+        most = max([1, *[_variants_of(a, by) for a, by in plan.items()]])
+        return _indexed(vertices, checks, plan, max(1, min(64 * heads, SWEEP_KEYS // most)))
     if algorithm != "metaphone" and SharedTokens(algorithm, threshold).q == 1:
         return _swept(vertices, checks, min(heads, SWEEP))
     return _joined(vertices, checks, heads)
@@ -292,6 +310,98 @@ def _meet_tile(checks: dict[str, tuple[str, float]]):
     return meet
 
 
+def _deletions(threshold: float, shortest: int, longest: int) -> dict[int, dict[int, list[int]]] | None:
+    """Per length, numbers of deletions with the lengths of the partners over the threshold that then may agree; ``None`` beyond ``MOST_VARIANTS``."""
+    shared = SharedTokens("ratio", threshold)
+    plan: dict[int, dict[int, list[int]]] = {}
+    for a in range(longest, shortest - 1, -1):
+        by: dict[int, list[int]] = {}
+        for b in shared._partners(a):
+            if shortest <= b <= longest and shared._may_differ(a, b):
+                by.setdefault(a - shared._lcs(a, b), []).append(b)
+        if _variants_of(a, by) > MOST_VARIANTS:
+            return None
+        plan[a] = by
+    return plan
+
+
+def _variants_of(length: int, by: dict[int, list[int]]) -> int:
+    return sum(math.comb(length, k) * len(others) for k, others in by.items())
+
+
+def _variants(vertices: DataFrame, first: str, plan: dict[int, dict[int, list[int]]]) -> DataFrame:
+    """``(id, own, meets)``: hashes of a text's subsequences with its own length and a partner's, and the hash that such a partner has as its own."""
+    parts = []
+    for k in sorted({k for by in plan.values() for k in by}):
+        others = F.create_map(*[x for a, by in plan.items() if k in by for x in (F.lit(a), F.array(*map(F.lit, by[k])))])
+        rows = vertices.select("scope", "id", col(first).alias("left"), F.char_length(first).alias("length"), F.lit(1).alias("at"))
+        rows = rows.withColumn("others", others[F.col("length")]).where("others IS NOT NULL")
+        for _ in range(k):   # characters go from left to right
+            rows = rows.where("at <= char_length(left)").withColumn("at", F.explode(F.sequence("at", F.char_length("left"))))
+            rows = rows.withColumn("left", F.expr("concat(substring(left, 1, at - 1), substring(left, at + 1))"))
+        rows = rows.withColumn("other", F.explode("others"))
+        parts.append(rows.select("id", F.xxhash64("scope", "length", "other", "left").alias("own"), F.xxhash64("scope", "other", "length", "left").alias("meets")))
+    return union_all(parts)
+
+
+def _indexed(vertices: DataFrame, checks: dict[str, tuple[str, float]], plan: dict[int, dict[int, list[int]]], heads: int) -> DataFrame:
+    """``leader_pairs`` by an index of subsequences."""
+    none = vertices.sparkSession.createDataFrame([], "low bigint, high bigint, score double")
+    if not any(plan.values()):
+        return none
+    first, shown = next(iter(checks)), list(checks)
+    placed = numbered(vertices.select(F.md5(F.to_json("within").cast("binary")).alias("scope"), "id", *cols(shown)), ["scope", "id"], "_place")
+    # Heads are chosen by chunks of places, whose sizes are a small table.
+    placed = cut(placed.withColumn("chunk", F.floor(F.col("_place") / max(1, heads // 8))).drop("_place"))
+    pair = F.least("own", "meets").alias("pair")
+    every = _variants(placed, first, plan).select("*", pair)
+    several = every.groupBy("pair").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("pair")
+    entries = cut(every.join(several, "pair", "left_semi").select("id", "own", "meets").distinct())
+    undecided = cut(placed.join(entries.select("id").distinct(), "id", "left_semi"))
+    found: list[DataFrame] = []
+    upto = Window.partitionBy("scope").orderBy("chunk")
+    while not undecided.isEmpty():
+        sizes = undecided.groupBy("scope", "chunk").agg(F.count(F.lit(1)).alias("rows"))
+        now = sizes.select("scope", "chunk", F.sum("rows").over(upto).alias("total"), F.row_number().over(upto).alias("n")).where((F.col("total") <= heads) | (F.col("n") == 1))
+        head = cut(undecided.join(now.select("scope", "chunk"), ["scope", "chunk"], "left_semi"))
+        known = entries.join(head.select("id"), "id").groupBy("id").agg(F.collect_list(F.struct("own", "meets")).alias("k")).select("id", "k.own", "k.meets")
+        decided = cut(head.join(known, "id").groupBy("scope").applyInPandas(_cluster_indexed(checks), "low bigint, id bigint, score double"))
+        rest = undecided.join(decided.select("id"), "id", "left_anti")
+        leading = entries.join(decided.where("low = id").select("id"), "id", "left_semi").select(F.col("id").alias("low"), F.col("own").alias("meets"))
+        # Heads come before all others of their scope.
+        later = entries.join(decided.select("id"), "id", "left_anti").select(F.col("id").alias("high"), "meets")
+        pairs = later.join(leading, "meets").where("low < high").select("low", "high").distinct()
+        met = cut(_scored(pairs, vertices, checks).groupBy("high").agg(F.min(F.struct("low", "score")).alias("m")).select("m.low", "high", "m.score"))
+        found += [decided.where("low <> id").select("low", F.col("id").alias("high"), "score"), met]
+        before, undecided = undecided, cut(rest.join(met.select(F.col("high").alias("id")), "id", "left_anti"))
+        past, entries = entries, cut(entries.join(undecided.select("id"), "id", "left_semi"))
+        discard(before, past, head)
+    return union_all(found) if found else none
+
+
+def _cluster_indexed(checks: dict[str, tuple[str, float]]):
+    """Greedy clusters of the heads of one scope in the order of ids; a row meets the leaders that share an entry with it."""
+    def cluster(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id", ignore_index=True)
+        texts = [(SCORERS[algorithm], threshold, frame[c].tolist()) for c, (algorithm, threshold) in checks.items()]
+        ids, low, score, leaders = frame["id"].tolist(), frame["id"].tolist(), [100.0] * len(frame), {}
+        for k, (own, meets) in enumerate(zip(frame["own"], frame["meets"])):
+            for j in sorted({j for key in meets.tolist() for j in leaders.get(key, ())}):
+                values = []
+                for scorer, threshold, column in texts:
+                    values.append(scorer(column[j], column[k]))
+                    if values[-1] < threshold:
+                        break
+                else:
+                    low[k], score[k] = ids[j], min(values)
+                    break
+            else:
+                for key in own.tolist():
+                    leaders.setdefault(key, []).append(k)
+        return pd.DataFrame({"low": low, "id": ids, "score": score})
+    return cluster
+
+
 def _joined(vertices: DataFrame, checks: dict[str, tuple[str, float]], heads: int) -> DataFrame:
     """``leader_pairs`` by blocks of shared tokens."""
     first, (algorithm, threshold) = next(iter(checks.items()))

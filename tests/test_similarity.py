@@ -190,3 +190,36 @@ def test_thousands_of_hot_keys_are_all_split(spark):
     assert joined.where("rows > 3").select("k").distinct().count() == 5001
     plan = joined._jdf.queryExecution().toString()
     assert "_salts" in plan and "GlobalLimit" not in plan
+
+
+def numbered_texts(seed, n):
+    rng = random.Random(seed)
+    return [f"user{i}@mail.example" if rng.random() > 0.1 else rng.choice(["", None, f"USER{i}@mail.exampl", "not-an-email"]) for i in rng.sample(range(1, 3 * n), n)]
+
+
+@pytest.mark.parametrize("algorithm, threshold, keys", [("ratio", 95, 6000), ("difflib", 92, 150_000)])
+def test_texts_unlike_in_few_characters(table, monkeypatch, algorithm, threshold, keys):
+    texts, scope = numbered_texts(threshold, 700), [i % 7 == 0 for i in range(700)]
+    scored, scorer = [], fuzzy._scored
+    monkeypatch.setattr(fuzzy, "SWEEP_KEYS", keys)
+    monkeypatch.setattr(fuzzy, "_scored", lambda pairs, *rest: scored.append(pairs.count()) or scorer(pairs, *rest))
+    df = table([(t, s) for t, s in zip(texts, scope)], "v string, s boolean")
+    found = {r["_row_id"]: r["group_id"] for r in fuzzy.fuzzy_groups(df, "v", float(threshold), algorithm, within=["s"]).collect()}
+    forms = [r["f"] for r in df.select("_row_id", F.coalesce(fuzzy.text.normal_form(F.col("v")), F.lit("")).alias("f")).orderBy("_row_id").collect()]
+    assert found == sequential(forms, SCORERS[algorithm], threshold, scope) and found
+    assert sum(scored) < 40 * len(forms)
+
+
+def test_deletions_reach_every_pair():
+    texts = sorted({t for t in words(21, 200, "abc", 14) if t})
+    less = lambda t, k: {t} if k == 0 else {x for u in less(t, k - 1) for x in (u[:i] + u[i + 1:] for i in range(len(u)))}
+    for threshold in (86.0, 90.0, 95.0):
+        plan = fuzzy._deletions(threshold, 1, max(map(len, texts)))
+        for a in texts:
+            entries = {(b, t) for k, others in plan[len(a)].items() for t in less(a, k) for b in others}
+            assert len(entries) <= fuzzy._variants_of(len(a), plan[len(a)])
+            for b in texts:
+                if a < b:
+                    meets = {(len(a), t) for k, others in plan[len(b)].items() if len(a) in others for t in less(b, k)}
+                    assert (ratio(a, b) >= threshold) == any((len(b), t) in entries for _, t in meets)
+    assert fuzzy._deletions(85.0, 1, 60) is None
