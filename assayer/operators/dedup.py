@@ -165,17 +165,20 @@ def duplicate_matrix(df: DataFrame, key_sets: list[tuple[str, list[str]]]) -> Da
     Rows holding a placeholder in a key column are no match for that set.
     """
     shown = lambda k: as_text(df, k)
+    # Rows that repeat on a set repeat on all its subsets, so a set behind one of its subsets is nobody's first.
+    kept = [(n, keys) for n, (_, keys) in enumerate(key_sets) if not any(set(before) <= set(keys) for _, before in key_sets[:n])]
     # A 128-bit digest of the length-prefixed values stands for the tuple, so one pass covers all sets.
-    digest = lambda keys: F.md5(F.concat(*[F.concat(F.char_length(shown(k)).cast("string"), F.lit(":"), shown(k)) for k in keys]))
-    keyed = [
-        F.when(_all([text.meaningful(shown(k)) for k in keys]), F.struct(F.lit(n).alias("match_order"), digest(keys).alias("digest")))
-        for n, (_, keys) in enumerate(key_sets)
-    ]
+    digest = lambda keys: F.unhex(F.md5(F.concat(*[F.concat(F.char_length(shown(k)).cast("string"), F.lit(":"), shown(k)) for k in keys])))
+    present = {n: _all([text.meaningful(shown(k)) for k in keys]) for n, keys in kept}
+    keyed = [F.when(present[n], F.struct(F.lit(n).alias("match_order"), digest(keys).alias("digest"))) for n, keys in kept]
     tuples = df.select(ROW_ID, F.explode(F.array_compact(F.array(*keyed))).alias("k")).select(ROW_ID, "k.match_order", "k.digest")
+    # A row's sets without those on which it is alone: one row per row of the table meets another.
     single = group_sizes(tuples, ["match_order", "digest"], F.min(ROW_ID).alias(ROW_ID)).where("rows = 1")
-    repeated = tuples.select(ROW_ID, "match_order").join(single.select(ROW_ID, "match_order"), [ROW_ID, "match_order"], "left_anti")
+    alone = single.groupBy(ROW_ID).agg(F.collect_list("match_order").alias("alone"))
+    sets = df.select(ROW_ID, F.array_compact(F.array(*[F.when(present[n], F.lit(n)) for n, _ in kept])).alias("sets"))
+    first = F.array_min(F.array_except("sets", F.coalesce("alone", F.array().cast("array<int>"))))
     label = F.element_at(F.array(*[F.lit(name) for name, _ in key_sets]), F.col("match_order") + 1)
-    return repeated.groupBy(ROW_ID).agg(F.min("match_order").alias("match_order")).withColumn("matched_by", label)
+    return sets.join(alone, ROW_ID, "left").select(ROW_ID, first.alias("match_order")).where("match_order IS NOT NULL").withColumn("matched_by", label)
 
 
 def _all(flags: list[Column]) -> Column:

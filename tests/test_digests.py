@@ -106,3 +106,21 @@ def test_a_step_may_change_columns(spark, tmp_path):
     assert [r.asDict() for r in store.working().collect()] == [{"_row_id": 1, "v": "A", "more": 1}]
     store.undo()
     assert [tuple(r) for r in store.working().collect()] == [(1, "A", 2)]
+
+
+def test_sets_behind_their_subsets_cost_nothing(table, monkeypatch):
+    rows = [(["x", "y", "", None, "NA", "z"][i % 6], f"c{i % 7}" if i % 4 else None, f"u{i % 14}", f"v{i}") for i in range(60)]
+    df, counted, sizes = table(rows, "a string, b string, c string, d string"), [], dedup.group_sizes
+    sets = [("c+d", ["c", "d"]), ("a", ["a"]), ("a+b", ["a", "b"]), ("b+c", ["b", "c"]), ("c", ["c"]), ("a+c", ["a", "c"]), ("all", ["a", "b", "c", "d"])]
+    monkeypatch.setattr(dedup, "group_sizes", lambda rows, *rest: counted.append(rows.count()) or sizes(rows, *rest))
+    found = {r["_row_id"]: (r["match_order"], r["matched_by"]) for r in dedup.duplicate_matrix(df, sets).collect()}
+    expected = {}
+    for n, (label, keys) in reversed(list(enumerate(sets))):
+        held = {}
+        for i, row in enumerate(rows):
+            values = tuple(row["abcd".index(k)] for k in keys)
+            if all(v not in ("", None, "NA") for v in values):
+                held.setdefault(values, []).append(i)
+        expected |= {i: (n, label) for ids in held.values() if len(ids) > 1 for i in ids}
+    assert found == expected and {n for n, _ in expected.values()} == {1, 3, 4}
+    assert sum(counted) <= 4 * len(rows)
