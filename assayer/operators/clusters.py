@@ -12,14 +12,14 @@ from assayer.operators.values import union_all
 from assayer.session import cut, discard
 
 
-def star_edges(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(u, v)`` with u > v: every row to the smallest row sharing a non-null value of a column."""
+def hubs(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``(row id, v, hubs)``: rows that share a value, the smallest rows of their shared values, and the least of these as ``v``."""
     parts = []
     for c in columns:
         present = df.where(col(c).isNotNull()).select(ROW_ID, c)
         hub = group_sizes(present, [c], F.min(ROW_ID).alias("v")).where("rows > 1")
-        parts.append(attach(present, hub, [c]).select(F.col(ROW_ID).alias("u"), "v").where("u != v"))
-    return union_all(parts).distinct()
+        parts.append(attach(present, hub, [c]).select(ROW_ID, "v"))
+    return union_all(parts).groupBy(ROW_ID).agg(F.min("v").alias("v"), F.collect_set("v").alias("hubs"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -66,6 +66,11 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
 
 def or_groups(df: DataFrame, columns: list[str]) -> DataFrame:
     """Membership ``(group_id, _row_id, is_leader, score)`` of rows equal on any of the columns."""
-    found = components(star_edges(df, columns))
+    rows = cut(hubs(df, columns))
+    # Only smallest rows of values are nodes; a row with one shared value brings no edge.
+    edges = rows.where(F.size("hubs") > 1).select(F.explode("hubs").alias("u"), "v").where("u <> v").distinct()
+    roots = components(edges)
+    sizes = cut(group_sizes(rows, ["v"]).join(roots.withColumnRenamed("node", "v"), "v", "left").select("v", "rows", F.coalesce("root", "v").alias("root")))
+    found = attach(rows.select(ROW_ID, "v"), sizes, ["v"]).select("root", F.col(ROW_ID).alias("node"))
     return found.select(F.col("root").alias("group_id"), F.col("node").alias(ROW_ID),
                         (F.col("node") == F.col("root")).alias("is_leader"), F.lit(100.0).alias("score"))

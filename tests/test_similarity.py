@@ -150,6 +150,15 @@ def test_long_chain_settles(table):
     assert found.select("group_id").distinct().count() == 1 and found.count() == 300
 
 
+def test_only_rows_that_join_values_make_edges(table, monkeypatch):
+    rows = [(i % 5, i % 3 if i % 10 == 0 else None) for i in range(200)]
+    counted, closing = [], clusters.components
+    monkeypatch.setattr(clusters, "components", lambda edges: counted.append(edges.count()) or closing(edges))
+    found = {r["_row_id"]: r["group_id"] for r in clusters.or_groups(table(rows, "a int, b int"), ["a", "b"]).collect()}
+    assert found == {i: 0 if i % 5 == 0 else i % 5 for i in range(200)}
+    assert counted == [2]
+
+
 def test_hot_keys_are_salted(spark, table):
     rows = [("hot",)] * 200 + [(f"k{i}",) for i in range(50)] + [(None,)] * 30
     df = table(rows, "k string")
