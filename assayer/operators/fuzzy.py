@@ -336,8 +336,9 @@ def _variants(vertices: DataFrame, first: str, plan: dict[int, dict[int, list[in
         others = F.create_map(*[x for a, by in plan.items() if k in by for x in (F.lit(a), F.array(*map(F.lit, by[k])))])
         rows = vertices.select("scope", "id", col(first).alias("left"), F.char_length(first).alias("length"), F.lit(1).alias("at"))
         rows = rows.withColumn("others", others[F.col("length")]).where("others IS NOT NULL")
-        for _ in range(k):   # characters go from left to right
+        for _ in range(k):   # characters go from left to right, of equal neighbours the first
             rows = rows.where("at <= char_length(left)").withColumn("at", F.explode(F.sequence("at", F.char_length("left"))))
+            rows = rows.where("at = 1 OR substring(left, at, 1) <> substring(left, at - 1, 1)")
             rows = rows.withColumn("left", F.expr("concat(substring(left, 1, at - 1), substring(left, at + 1))"))
         rows = rows.withColumn("other", F.explode("others"))
         parts.append(rows.select("id", F.xxhash64("scope", "length", "other", "left").alias("own"), F.xxhash64("scope", "other", "length", "left").alias("meets")))
@@ -353,29 +354,35 @@ def _indexed(vertices: DataFrame, checks: dict[str, tuple[str, float]], plan: di
     placed = numbered(vertices.select(F.md5(F.to_json("within").cast("binary")).alias("scope"), "id", *cols(shown)), ["scope", "id"], "_place")
     # Heads are chosen by chunks of places, whose sizes are a small table.
     placed = cut(placed.withColumn("chunk", F.floor(F.col("_place") / max(1, heads // 8))).drop("_place"))
-    pair = F.least("own", "meets").alias("pair")
-    every = _variants(placed, first, plan).select("*", pair)
-    several = every.groupBy("pair").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("pair")
-    entries = cut(every.join(several, "pair", "left_semi").select("id", "own", "meets").distinct())
+    # A short text has many entries: texts are dealt out before, and entries meet in one shuffle.
+    spread = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = _variants(placed.repartition(spread, "id"), first, plan).withColumn("pair", F.least("own", "meets"))
+    alike = Window.partitionBy("pair")
+    several = every.withColumns({"a": F.min("id").over(alike), "b": F.max("id").over(alike)}).where("a <> b")
+    entries = cut(several.select("id", "own", "meets"))
     undecided = cut(placed.join(entries.select("id").distinct(), "id", "left_semi"))
     found: list[DataFrame] = []
     upto = Window.partitionBy("scope").orderBy("chunk")
-    while not undecided.isEmpty():
+    left = indexed = undecided.count()
+    while left:
         sizes = undecided.groupBy("scope", "chunk").agg(F.count(F.lit(1)).alias("rows"))
         now = sizes.select("scope", "chunk", F.sum("rows").over(upto).alias("total"), F.row_number().over(upto).alias("n")).where((F.col("total") <= heads) | (F.col("n") == 1))
         head = cut(undecided.join(now.select("scope", "chunk"), ["scope", "chunk"], "left_semi"))
         known = entries.join(head.select("id"), "id").groupBy("id").agg(F.collect_list(F.struct("own", "meets")).alias("k")).select("id", "k.own", "k.meets")
         decided = cut(head.join(known, "id").groupBy("scope").applyInPandas(_cluster_indexed(checks), "low bigint, id bigint, score double"))
-        rest = undecided.join(decided.select("id"), "id", "left_anti")
+        rest = cut(undecided.join(decided.select("id"), "id", "left_anti"))
         leading = entries.join(decided.where("low = id").select("id"), "id", "left_semi").select(F.col("id").alias("low"), F.col("own").alias("meets"))
         # Heads come before all others of their scope.
-        later = entries.join(decided.select("id"), "id", "left_anti").select(F.col("id").alias("high"), "meets")
+        later = entries.join(rest.select("id"), "id", "left_semi").select(F.col("id").alias("high"), "meets")
         pairs = later.join(leading, "meets").where("low < high").select("low", "high").distinct()
         met = cut(_scored(pairs, vertices, checks).groupBy("high").agg(F.min(F.struct("low", "score")).alias("m")).select("m.low", "high", "m.score"))
         found += [decided.where("low <> id").select("low", F.col("id").alias("high"), "score"), met]
         before, undecided = undecided, cut(rest.join(met.select(F.col("high").alias("id")), "id", "left_anti"))
-        past, entries = entries, cut(entries.join(undecided.select("id"), "id", "left_semi"))
-        discard(before, past, head)
+        discard(before, rest, head)
+        left = undecided.count()
+        if 2 * left <= indexed:   # the index is written anew when half of its texts are settled
+            past, entries, indexed = entries, cut(entries.join(undecided.select("id"), "id", "left_semi")), left
+            discard(past)
     return union_all(found) if found else none
 
 

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -232,3 +233,12 @@ def test_deletions_reach_every_pair():
                     meets = {(len(a), t) for k, others in plan[len(b)].items() if len(a) in others for t in less(b, k)}
                     assert (ratio(a, b) >= threshold) == any((len(b), t) in entries for _, t in meets)
     assert fuzzy._deletions(85.0, 1, 60) is None
+
+
+def test_entries_of_equal_neighbours_come_once(table):
+    texts = ["aabbb", "abab", "a", "abbbb"]
+    vertices = table([(t, "s") for t in texts], "t string, scope string").withColumnRenamed("_row_id", "id")
+    found = fuzzy._variants(vertices, "t", {n: {1: [n]} for n in (1, 4, 5)}).groupBy("id").agg(F.count("own").alias("n"), F.count_distinct("own").alias("distinct")).orderBy("id").collect()
+    assert [(r["n"], r["distinct"]) for r in found] == [(2, 2), (4, 4), (1, 1), (2, 2)]
+    double = fuzzy._variants(vertices.where("id < 2"), "t", {4: {2: [4]}, 5: {2: [5]}}).groupBy("id").agg(F.count_distinct("own").alias("distinct")).orderBy("id").collect()
+    assert [r["distinct"] for r in double] == [len({a + b + c for a, b, c in combinations("aabbb", 3)}), len({a + b for a, b in combinations("abab", 2)})]
