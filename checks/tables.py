@@ -56,7 +56,8 @@ def text_round_trip(table, key, delimiter=",", head=False):
         if head:   # two records above the names of every file
             names = rows.columns
             top = [("made by hand", *[None] * (len(names) - 1)), ("second", "line\nbroken", *[None] * (len(names) - 2)), tuple(names)]
-            body = rows.select(*[F.col(c).cast("string") for c in names]).repartition(3, key)
+            body = rows.select(*[F.col(c).cast("string") for c in names])
+            body = body.repartition(max(3, rows.rdd.getNumPartitions()), key)   # files grow in number with the table
             body.mapInPandas(_with_rows(top, names), ", ".join(f"{c} string" for c in names)).write.csv(path, sep=delimiter, quote='"', escape='"')
             back = readers.read_after_header(s, path, 2, delimiter)
         else:

@@ -1,5 +1,7 @@
 """Delimited text with line breaks, headers below other records, and stored tables."""
 
+import random
+
 import pytest
 
 from assayer.sources import readers, writers
@@ -27,6 +29,30 @@ def test_names_below_other_records(spark, tmp_path):
         readers.read_after_header(spark, str(tmp_path), 2)
 
 
+def test_records_across_splits_of_a_file(spark, tmp_path):
+    draw = random.Random(4)
+    cells = ["", "x", 'say "so"', "two\nlines", "a,b", '"', "\n\n", "r\r\nn", "é", " pad ", 'end"', "\n\",\"\n", "long " * 40 + "\n" * 30]
+    for name, end in (("a", "\n"), ("b", "\r\n")):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as out:
+            out.write('\ufeff"made' + end + 'by ""hand""",,' + end + end + "k,text,more" + end)
+            for i in range(60):
+                line = [str(i), *('"' + c.replace('"', '""') + '"' if set(c) & set(',"\n\r') else c for c in draw.choices(cells, k=2))]
+                out.write(",".join(line) + end if i % 9 else f'{i},5" pipe,"odd"x"{end}')
+    values = lambda df: sorted((tuple(v and v.replace("\r\n", "\n") for v in r) for r in df.collect()), key=str)   # one task reads breaks of CRLF files as LF
+    plain = values(readers._after_ids(spark, str(tmp_path), 1, ",", True, 3))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+    try:
+        found = readers.read_after_header(spark, str(tmp_path), 1)
+        assert found.rdd.getNumPartitions() > 10
+        assert found.columns == ["k", "text", "more"] and values(found) == plain and len(plain) == 120
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "c.csv").write_bytes(b'made\rk,text,more\r1,"a\nb",c\r')
+    assert readers._split_records(spark, str(tmp_path / "c.csv"), 1, ",") is None
+    assert [tuple(r) for r in readers.read_after_header(spark, str(tmp_path / "c.csv"), 1).collect()] == [("1", "a\nb", "c")]
+
+
 def test_a_table_saved_from_itself(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     store.save("t", spark.range(5).toDF("x"))
