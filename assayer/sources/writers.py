@@ -11,7 +11,7 @@ from assayer.operators.rules import Rule, failing_rows
 from assayer.operators.select import sample_percent, scoped
 from assayer.schema import cols
 
-MOST_TASKS = 10_000         # that write batches at once; a task may write several, one after another
+TASK_ROWS = 1_000_000       # that one task writes, in several batches one after another if they are small
 
 
 def chosen(df: DataFrame, columns: list[str] | None, percent: int) -> DataFrame:
@@ -45,7 +45,9 @@ def write_batches(df: DataFrame, path: str, rows_per_file: int = 100_000, column
     if "batch" in chosen_columns:
         raise ValueError("a column named batch would clash with the folders")
     count = (placed.agg(F.max("batch")).first()[0] or 0) + 1
-    batches = placed.repartition(int(min(count, MOST_TASKS)), "batch").sortWithinPartitions("batch", "_place").select("batch", *cols(chosen_columns))
+    # A task costs more than a small file, so tasks follow the rows and not the batches.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * size // TASK_ROWS))
+    batches = placed.repartition(int(min(count, tasks)), "batch").sortWithinPartitions("batch", "_place").select("batch", *cols(chosen_columns))
     writer = batches.write.partitionBy("batch")
     if file_format == "parquet":
         writer.parquet(path)

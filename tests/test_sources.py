@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.sources import readers, writers
 from assayer.sources.stores import BaselineStore, TableStore
@@ -74,3 +75,11 @@ def test_baselines(spark, tmp_path):
     store.save("a", store.load("a").drop("created_at"))
     assert [r["name"] for r in store.list().collect()] == ["a"]
     assert store.delete("a") and store.list().count() == 0
+
+
+def test_batches_are_written_by_few_tasks(spark, tmp_path):
+    writers.write_batches(spark.range(60).select(F.col("id").alias("_row_id"), F.col("id").alias("x")), f"{tmp_path}/b", 1, ["x"], "parquet")
+    files = list((tmp_path / "b").glob("batch=*/*.parquet"))
+    assert len(files) == 60 and len({f.parent for f in files}) == 60
+    assert len({f.name[:10] for f in files}) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert spark.read.parquet(f"{tmp_path}/b").where("batch <> x").isEmpty()
