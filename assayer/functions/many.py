@@ -98,19 +98,31 @@ class Chunk:
                     chosen, need, lengths, row, full, masks = chosen[live], need[live], lengths[live], row[:, live], full[:, live], masks[:, :, live]
         return chosen, lengths - np.bitwise_count(row).sum(axis=0, dtype=np.int64)
 
-    def matching(self, text: str, chosen: np.ndarray) -> np.ndarray:
-        """Characters of ``text`` that each chosen one matches inside the Jaro window, for texts of one word."""
-        lengths = self.lengths[chosen]
-        reach = np.maximum(0, np.maximum(lengths, len(text)) // 2 - 1)
-        used = np.zeros(len(chosen), np.uint64)
+    def matching(self, text: str, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For texts of one word: how many characters of ``text`` each chosen one matches inside the Jaro window, the place
+        (one bit) that every step took in it, 0 for none, and the alphabet's numbers of the steps."""
+        reach = np.maximum(0, np.maximum(self.lengths[chosen], len(text)) // 2 - 1)
+        inside = np.where(reach >= 63, ALL, (ONE << (reach % 63 + 1).astype(np.uint64)) - ONE)     # places that a step may take
+        used, taken, codes = np.zeros(len(chosen), np.uint64), [], []
         for i, code in enumerate(self.steps(text)):
-            if code < 0:
-                continue
-            low, high = np.maximum(0, i - reach), np.minimum(lengths, i + reach + 1)
-            inside = np.where(high >= 64, ALL, (ONE << (high % 64).astype(np.uint64)) - ONE) & np.where(low >= 64, np.uint64(0), ALL << (low % 64).astype(np.uint64))
-            free = self.masks[code, 0, chosen] & inside & ~used
-            used |= free & (~free + ONE)                       # the first free place
-        return np.bitwise_count(used).astype(np.int64)
+            if i:
+                inside = (inside << ONE) | (i <= reach).astype(np.uint64)
+            if code >= 0:
+                free = self.masks[code, 0, chosen] & inside & ~used
+                first = free & (~free + ONE)                   # the first free place
+                used |= first
+                taken.append(first)
+                codes.append(code)
+        return np.bitwise_count(used).astype(np.int64), np.array(taken, np.uint64).reshape(len(codes), len(chosen)), np.array(codes, np.int64)
+
+
+def _swapped(taken: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Transpositions of a Jaro score: matched characters in the order of one text that differ from those in the order of the other, halved."""
+    none = taken == 0
+    here = codes[np.argsort(none, axis=0, kind="stable")]
+    there = codes[np.argsort(np.where(none, ALL, taken), axis=0, kind="stable")]
+    matched = np.arange(len(codes))[:, None] < (~none).sum(axis=0)
+    return ((here != there) & matched).sum(axis=0) // 2
 
 
 class Many:
@@ -150,15 +162,23 @@ class Many:
             if not len(chosen):
                 continue
             chosen, value = _possible(chunk, text, chosen, algorithm, threshold)
-            for k, known in zip(chunk.rows[chosen].tolist(), value.tolist()):
-                exact = known if algorithm == "ratio" else scorer(text, self.texts[k])
+            known = algorithm == "ratio" or algorithm == "jaro_winkler" and chunk.words == 1
+            for k, score in zip(chunk.rows[chosen].tolist(), value.tolist()):
+                exact = score if known else scorer(text, self.texts[k])
                 if exact >= threshold:
                     out.append((k, exact))
         return out
 
 
+def _winkler(matched: np.ndarray, swaps: np.ndarray | int, a: int, b: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Jaro-Winkler scores from matched characters, transpositions, lengths and equal first characters, step by step as for one pair."""
+    some = np.maximum(matched, 1)
+    jaro = np.where(matched > 0, (matched / a + matched / b + (matched - swaps) / some) / 3, 0.0)
+    return 100.0 * np.where(jaro > 0.7, jaro + same * 0.1 * (1 - jaro), jaro)
+
+
 def _possible(chunk: Chunk, text: str, chosen: np.ndarray, algorithm: str, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen texts that may reach the threshold; for the ratio with their scores, else with a number that says nothing."""
+    """The chosen texts that may reach the threshold; for the ratio, and for Jaro-Winkler in chunks of one word, with their scores, else with a number that says nothing."""
     if algorithm == "metaphone":
         return chosen, np.zeros(len(chosen))
     a, b = len(text), chunk.lengths[chosen]
@@ -169,14 +189,19 @@ def _possible(chunk: Chunk, text: str, chosen: np.ndarray, algorithm: str, thres
         chosen, total = chosen[live], total[live]
         chosen, common = chunk.subsequence(text, chosen, np.ceil(threshold * total / 200.0 - 1e-9).astype(np.int64)) if len(chosen) else (chosen, total)
         return chosen, 200.0 * common / (a + chunk.lengths[chosen])
-    if chunk.words == 1:
-        shared = np.minimum(shared, chunk.matching(text, chosen))
-    jaro = np.where(shared > 0, (shared / a + shared / b + 1) / 3, 0.0)
     same = np.cumprod(chunk.heads[chosen][:, :a] == _head(text)[:a], axis=1).sum(axis=1)
-    winkler = 100.0 * np.where(jaro > 0.7, jaro + same * 0.1 * (1 - jaro), jaro)
+    winkler = _winkler(shared, 0, a, b, same)
+    if chunk.words == 1:
+        # Characters anywhere in both texts bound the score; only where it stays in reach are they matched inside the window.
+        live = (winkler if algorithm == "jaro_winkler" else 0.4 * winkler + 20.0 + 80.0 * shared / total) >= threshold - 1e-9
+        chosen, b, total, same = chosen[live], b[live], total[live], same[live]
+        shared, taken, codes = chunk.matching(text, chosen)
+        winkler = _winkler(shared, 0, a, b, same)
     if algorithm == "jaro_winkler":
-        chosen = chosen[winkler >= threshold - 1e-9]
-        return chosen, np.zeros(len(chosen))
+        live = winkler >= threshold - 1e-9
+        if chunk.words > 1:
+            return chosen[live], np.zeros(int(live.sum()))
+        return chosen[live], _winkler(shared[live], _swapped(taken[:, live], codes), a, b[live], same[live])
     best = 0.4 * winkler + 20.0                                # of "combined": the phonetic part adds 20 at most
     need = np.maximum(0, np.ceil((threshold - best) / 40.0 * total / 2 - 1e-9)).astype(np.int64)
     live = best + 0.4 * 200.0 * np.minimum(chunk.shared(text, chosen), np.minimum(a, b)) / total >= threshold - 1e-9

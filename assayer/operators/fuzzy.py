@@ -250,14 +250,16 @@ def _swept(vertices: DataFrame, checks: dict[str, tuple[str, float]], heads: int
     kept = ", ".join(f"{quoted(c)} string" for c in shown)
     found: list[DataFrame] = []
     order = Window.partitionBy("scope").orderBy("id")
+    # Texts are few bytes and much work: scopes and tiles are spread by number, which adaptive execution keeps.
+    spread = 4 * int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while not undecided.isEmpty():
-        head = undecided.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= heads).drop("_n")
+        head = undecided.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= heads).drop("_n").repartition(spread, "scope")
         decided = cut(head.groupBy("scope").applyInPandas(_cluster(checks), f"scope string, low bigint, id bigint, score double, {kept}"))
         rest = cut(undecided.join(decided.select("id"), "id", "left_anti"))
         sizes = cut(rest.groupBy("scope").agg(F.count(F.lit(1)).alias("rows")))
         tiles = F.ceil(F.col("rows") / TILE)
-        members = attach(rest, sizes, ["scope"]).withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).drop("rows")
-        leaders = attach(decided.where("low = id").drop("low", "score"), sizes, ["scope"]).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1))).drop("rows")
+        members = attach(rest, sizes, ["scope"]).withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).drop("rows").repartition(spread, "scope", "tile")
+        leaders = attach(decided.where("low = id").drop("low", "score"), sizes, ["scope"]).withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1))).drop("rows").repartition(spread, "scope", "tile")
         met = cut(members.groupBy("scope", "tile").cogroup(leaders.groupBy("scope", "tile")).applyInPandas(_meet_tile(checks), "low bigint, high bigint, score double"))
         found += [decided.where("low <> id").select("low", F.col("id").alias("high"), "score"), met]
         before, undecided = undecided, cut(rest.join(met.select(F.col("high").alias("id")), "id", "left_anti"))

@@ -77,3 +77,35 @@ def test_several_columns_and_tiles(table, monkeypatch):
             leaders.append(k)
     sizes = {j: sum(o == j for o in owner.values()) for j in leaders}
     assert {x["_row_id"]: x["group_id"] for x in found.collect()} == {k: j for k, j in owner.items() if sizes[j] > 1}
+
+
+def test_jaro_winkler_of_short_texts_needs_no_scoring_one_by_one(monkeypatch):
+    texts = sorted({t for t in words(7, 300, "abcdef", 12) + words(8, 60, "abü", 64) if t})
+    found, exact = many.Many(texts), SCORERS["jaro_winkler"]
+    calls = []
+    monkeypatch.setitem(many.SCORERS, "jaro_winkler", lambda a, b: calls.append(a) or exact(a, b))
+    for text in texts[::7] + ["x" * 70, "ab" * 40]:
+        for threshold in (60.0, 90.0):
+            expected = {k: value for k, t in enumerate(texts) if (value := exact(text, t)) >= threshold}
+            assert dict(found.reach(text, np.ones(len(texts), bool), "jaro_winkler", threshold)) == expected
+    assert not calls
+
+
+def test_windows_are_only_matched_where_shared_characters_reach(monkeypatch):
+    texts = ["ab" + t for t in words(9, 400, "cdefghijklmnop", 10)]
+    met, matching = [], many.Chunk.matching
+    monkeypatch.setattr(many.Chunk, "matching", lambda self, text, chosen: met.append(len(chosen)) or matching(self, text, chosen))
+    everything = many.Many(texts)
+    for text in texts[:50]:
+        everything.reach(text, np.ones(len(texts), bool), "jaro_winkler", 90.0)
+    assert sum(met) < 0.2 * 50 * len(texts)
+
+
+def test_scopes_and_tiles_stay_spread_over_tasks(spark, table, monkeypatch):
+    plans, write = [], fuzzy.cut
+    monkeypatch.setattr(fuzzy, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    rows = [(t, t[0]) for t in words(10, 90) if t]
+    found = fuzzy.fuzzy_groups(table(rows, "v string, s string"), "v", 90.0, "jaro_winkler", within=["s"], heads=3)
+    assert found.count()
+    worked = [p for p in plans if "GroupsInPandas" in p]
+    assert worked and all("REPARTITION_BY_NUM" in p for p in worked)
