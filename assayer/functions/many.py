@@ -20,16 +20,10 @@ STRIDE = 8                  # characters between two looks at what is still poss
 ONE, ALL = np.uint64(1), ~np.uint64(0)
 
 
-def _sketch(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Unary counts of the characters in ``BUCKETS`` buckets, bit ``k`` of byte ``c`` telling of more than ``k`` copies."""
-    counts = np.zeros((len(lengths), BUCKETS), np.int32)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    np.add.at(counts, (row, (codes.astype(np.int64) * 0x9E3779B1 >> 7) % BUCKETS), 1)
-    return counts
-
-
 def _unary(counts: np.ndarray) -> np.ndarray:
-    return ((np.uint16(1) << np.minimum(counts, COPIES).astype(np.uint16)) - np.uint16(1)).astype(np.uint8).view(np.uint64)
+    """Unary counts of the characters in buckets, bit ``k`` of byte ``c`` telling of more than ``k`` copies; a column for each text."""
+    bits = ((np.uint16(1) << np.minimum(counts, COPIES).astype(np.uint16)) - np.uint16(1)).astype(np.uint8).view(np.uint64)
+    return np.ascontiguousarray(bits.T)
 
 
 def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,11 +48,14 @@ class Chunk:
         row = np.repeat(np.arange(len(texts)), self.lengths)
         place = np.arange(len(points)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         np.bitwise_or.at(self.masks, (codes, place >> 6, row), ONE << (place & 63).astype(np.uint64))
-        self.counts = _sketch(points, self.lengths)
-        self.unary = _unary(self.counts)
+        self.buckets = max(8, min(BUCKETS, -(-len(self.alphabet) // 8) * 8))
+        self.unary = _unary(np.bincount(row * self.buckets + codes % self.buckets, minlength=len(texts) * self.buckets).reshape(len(texts), self.buckets))
         left = np.clip(self.lengths[None, :] - 64 * np.arange(self.words)[:, None], 0, 64)
         self.full = np.where(left == 64, ALL, (ONE << (left % 64).astype(np.uint64)) - ONE)
-        self.heads = np.array([_head(t) for t in texts]).reshape(len(texts), 4)
+        # Texts of one length and equal first characters need the same number of matches.
+        kinds = np.column_stack([np.array([_head(t) for t in texts], np.int64).reshape(len(texts), 4), self.lengths])
+        self.kinds, kind = np.unique(kinds, axis=0, return_inverse=True)
+        self.kind = kind.reshape(-1)
 
     def steps(self, text: str) -> list[int]:
         """The alphabet's numbers of the characters of ``text``, -1 for others."""
@@ -68,11 +65,15 @@ class Chunk:
 
     def shared(self, text: str, chosen: np.ndarray) -> np.ndarray:
         """At most so many characters of ``text`` are also in each chosen one."""
-        points, length = _points([text])
-        counts = _sketch(points, length)
-        bits = np.bitwise_count(self.unary[chosen] & _unary(counts)).sum(axis=1, dtype=np.int64)
+        steps = np.array(self.steps(text), np.int64)
+        counts = np.bincount(steps[steps >= 0] % self.buckets, minlength=self.buckets)
+        bits = np.bitwise_count(self.unary[:, chosen] & _unary(counts[None, :])).sum(axis=0, dtype=np.int64)
         return bits + int(np.maximum(counts - COPIES, 0).sum())
 
+    def same(self, text: str) -> np.ndarray:
+        """Equal first characters of every kind and ``text``, four at most."""
+        return np.cumprod(self.kinds[:, :4][:, :len(text)] == _head(text)[:len(text)], axis=1).sum(axis=1)
+
     def subsequence(self, text: str, chosen: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The chosen texts whose longest common subsequence with ``text`` reaches ``need``, and its lengths."""
         row, full, masks = self.full[:, chosen], self.full[:, chosen], self.masks[:, :, chosen]
@@ -177,6 +178,13 @@ def _winkler(matched: np.ndarray, swaps: np.ndarray | int, a: int, b: np.ndarray
     return 100.0 * np.where(jaro > 0.7, jaro + same * 0.1 * (1 - jaro), jaro)
 
 
+def _matches(a: int, b: np.ndarray, same: np.ndarray, threshold: float) -> np.ndarray:
+    """So many matched characters, if not more, a Jaro-Winkler score takes to reach the threshold."""
+    need = threshold / 100.0
+    jaro = np.where(need > 0.7, np.maximum(0.7, (need - 0.1 * same) / (1 - 0.1 * same)), need)
+    return np.ceil((3 * jaro - 1) * a * b / (a + b) - 1e-6)
+
+
 def _possible(chunk: Chunk, text: str, chosen: np.ndarray, algorithm: str, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The chosen texts that may reach the threshold; for the ratio, and for Jaro-Winkler in chunks of one word, with their scores, else with a number that says nothing."""
     if algorithm == "metaphone":
@@ -189,14 +197,17 @@ def _possible(chunk: Chunk, text: str, chosen: np.ndarray, algorithm: str, thres
         chosen, total = chosen[live], total[live]
         chosen, common = chunk.subsequence(text, chosen, np.ceil(threshold * total / 200.0 - 1e-9).astype(np.int64)) if len(chosen) else (chosen, total)
         return chosen, 200.0 * common / (a + chunk.lengths[chosen])
-    same = np.cumprod(chunk.heads[chosen][:, :a] == _head(text)[:a], axis=1).sum(axis=1)
-    winkler = _winkler(shared, 0, a, b, same)
+    same = chunk.same(text)
+    if algorithm == "jaro_winkler":
+        live = shared >= _matches(a, chunk.kinds[:, 4], same, threshold)[chunk.kind[chosen]]
+    else:
+        live = 0.4 * _winkler(shared, 0, a, b, same[chunk.kind[chosen]]) + 20.0 + 80.0 * shared / total >= threshold - 1e-9
+    chosen, shared = chosen[live], shared[live]
+    b, total, same = chunk.lengths[chosen], total[live], same[chunk.kind[chosen]]
     if chunk.words == 1:
         # Characters anywhere in both texts bound the score; only where it stays in reach are they matched inside the window.
-        live = (winkler if algorithm == "jaro_winkler" else 0.4 * winkler + 20.0 + 80.0 * shared / total) >= threshold - 1e-9
-        chosen, b, total, same = chosen[live], b[live], total[live], same[live]
         shared, taken, codes = chunk.matching(text, chosen)
-        winkler = _winkler(shared, 0, a, b, same)
+    winkler = _winkler(shared, 0, a, b, same)
     if algorithm == "jaro_winkler":
         live = winkler >= threshold - 1e-9
         if chunk.words > 1:
