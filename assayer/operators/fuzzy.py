@@ -19,12 +19,15 @@ No wave compares all pairs of a block, and a block of similar texts is settled b
 Short texts at high thresholds differ in very few characters, while the numbers, domains and
 prefixes they share make their q-grams frequent. Two texts of lengths a and b reach a ratio only
 with a common subsequence of some length, so they agree after a - n and b - n deletions. Where these are
-few, all such subsequences index the texts:
+few, the hashes of all such subsequences are keys by which texts meet (``functions.subsequences``).
+What nine texts of ten begin and end with stays whole: deletions lie in between, and only a pair with
+one of the other texts may delete anywhere.
 
-1. Entries of subsequences that no other text has are dropped.
-2. The first undecided vertices of every scope are clustered row by row in one task, every one
-   looking up the leaders that share an entry with it.
-3. New leaders meet the later vertices that share an entry. Only pairs that reach the ratio meet.
+1. The first undecided vertices of every scope are clustered row by row in one task; a leader meets
+   the later rows that share a key with it.
+2. The other members are dealt into tiles; every tile looks its keys up among those of the new leaders.
+   Keys are made where they are needed and never shuffled. Only pairs that reach the ratio meet.
+3. Where sweeps settle little, texts that share no key with another are found once and left out.
 
 Low thresholds and Jaro-Winkler scores leave no token of two characters that both texts of a pair
 must have; single characters are no index. There the waves are sweeps over a whole scope:
@@ -40,6 +43,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -48,7 +52,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from assayer import ROW_ID
 from assayer.functions import text
 from assayer.functions.many import Many
-from assayer.functions.similarity import SCORERS, metaphone_codes, score
+from assayer.functions.similarity import SCORERS, metaphone_codes, ratio, score
+from assayer.functions.subsequences import Index, Lookup, common_start, gathered
 from assayer.operators.order import numbered
 from assayer.operators.skew import attach
 from assayer.operators.values import union_all
@@ -61,7 +66,11 @@ TILE = 4096                 # members that meet the leaders of a sweep in one gr
 SKETCH_WORDS = 8            # 64-bit words of a sketch: half for characters, half for pairs of characters
 FREQUENCY_BUCKETS = 65_536  # size bound of the broadcast token frequencies
 MOST_VARIANTS = 1000        # index entries of one text
-SWEEP_KEYS = 2_000_000      # index entries of the heads of one scope
+SWEEP_KEYS = 4_000_000      # index entries of the heads of one scope
+INDEX_TILE = 32_768         # members that look up the leaders of a sweep in one group
+MEETING = 4096              # of them at once
+SLOW = 16                   # sweeps that texts are worth before those that share no entry are looked for
+COMMON = 0.9                # of the texts begin or end alike where deletions are kept out of that part
 
 
 class SharedTokens:
@@ -233,11 +242,10 @@ def leader_pairs(vertices: DataFrame, checks: dict[str, tuple[str, float]], head
     ``vertices`` has ``id``, ``within`` (a struct that must be equal) and one text per check.
     """
     first, (algorithm, threshold) = next(iter(checks.items()))
-    lengths = vertices.agg(F.min(F.char_length(first)), F.max(F.char_length(first))).first() if algorithm in ("ratio", "difflib") and threshold > 50 else (None, None)
-    plan = _deletions(threshold, *lengths) if lengths[0] else None
-    if plan is not None:
-        most = max([1, *[_variants_of(a, by) for a, by in plan.items()]])
-        return _indexed(vertices, checks, plan, max(1, min(64 * heads, SWEEP_KEYS // most)))
+    found = _index(vertices, first, threshold) if algorithm in ("ratio", "difflib") and threshold > 50 else None
+    if found:
+        index, most = found
+        return _indexed(vertices, checks, index, max(1, min(128 * heads, SWEEP_KEYS // most)))
     if algorithm != "metaphone" and SharedTokens(algorithm, threshold).q == 1:
         return _swept(vertices, checks, min(heads, SWEEP))
     return _joined(vertices, checks, heads)
@@ -313,17 +321,28 @@ def _meet_tile(checks: dict[str, tuple[str, float]]):
 
 
 def _deletions(threshold: float, shortest: int, longest: int) -> dict[int, dict[int, list[int]]] | None:
-    """Per length, numbers of deletions with the lengths of the partners over the threshold that then may agree; ``None`` beyond ``MOST_VARIANTS``."""
+    """``_plan`` of texts of all lengths between two."""
+    return _plan(threshold, range(shortest, longest + 1))
+
+
+def _plan(threshold: float, kinds: Iterable[int], fixed: int = 0) -> dict[int, dict[int, list[int]]] | None:
+    """Per kind of text (see ``Index``), numbers of deletions with the kinds over the threshold that then may agree; ``None`` beyond ``MOST_VARIANTS``.
+
+    ``fixed`` is the length of prefix and suffix, which two texts of negative kind share.
+    """
     shared = SharedTokens("ratio", threshold)
     plan: dict[int, dict[int, list[int]]] = {}
-    for a in range(longest, shortest - 1, -1):
-        by: dict[int, list[int]] = {}
-        for b in shared._partners(a):
-            if shortest <= b <= longest and shared._may_differ(a, b):
-                by.setdefault(a - shared._lcs(a, b), []).append(b)
-        if _variants_of(a, by) > MOST_VARIANTS:
+    kinds = sorted(kinds, key=abs, reverse=True)
+    for kind in kinds:
+        a, by = abs(kind), {}
+        low, high = (f(shared._partners(a)) for f in (min, max))
+        for other in kinds:
+            b = abs(other)
+            if low <= b <= high and shared._may_differ(a, b):
+                by.setdefault(a - max(shared._lcs(a, b), fixed if kind < 0 and other < 0 else 0), []).append(other)
+        if _entries_of(kind, by, fixed) > MOST_VARIANTS:
             return None
-        plan[a] = by
+        plan[kind] = by
     return plan
 
 
@@ -331,86 +350,175 @@ def _variants_of(length: int, by: dict[int, list[int]]) -> int:
     return sum(math.comb(length, k) * len(others) for k, others in by.items())
 
 
-def _variants(vertices: DataFrame, first: str, plan: dict[int, dict[int, list[int]]]) -> DataFrame:
-    """``(id, own, meets)``: hashes of a text's subsequences with its own length and a partner's, and the hash that such a partner has as its own."""
-    parts = []
-    for k in sorted({k for by in plan.values() for k in by}):
-        others = F.create_map(*[x for a, by in plan.items() if k in by for x in (F.lit(a), F.array(*map(F.lit, by[k])))])
-        rows = vertices.select("scope", "id", col(first).alias("left"), F.char_length(first).alias("length"), F.lit(1).alias("at"))
-        rows = rows.withColumn("others", others[F.col("length")]).where("others IS NOT NULL")
-        for _ in range(k):   # characters go from left to right, of equal neighbours the first
-            rows = rows.where("at <= char_length(left)").withColumn("at", F.explode(F.sequence("at", F.char_length("left"))))
-            rows = rows.where("at = 1 OR substring(left, at, 1) <> substring(left, at - 1, 1)")
-            rows = rows.withColumn("left", F.expr("concat(substring(left, 1, at - 1), substring(left, at + 1))"))
-        rows = rows.withColumn("other", F.explode("others"))
-        parts.append(rows.select("id", F.xxhash64("scope", "length", "other", "left").alias("own"), F.xxhash64("scope", "other", "length", "left").alias("meets")))
-    return union_all(parts)
+def _entries_of(kind: int, by: dict[int, list[int]], fixed: int) -> int:
+    """Index entries of a text of some kind: both kinds negative, deletions lie between prefix and suffix."""
+    return sum(math.comb(-kind - fixed if kind < 0 and other < 0 else abs(kind), k) for k, others in by.items() for other in others)
 
 
-def _indexed(vertices: DataFrame, checks: dict[str, tuple[str, float]], plan: dict[int, dict[int, list[int]]], heads: int) -> DataFrame:
+def _index(vertices: DataFrame, first: str, threshold: float) -> tuple[Index, int] | None:
+    """The index that the lengths of the texts, and what most of them begin and end with, allow, and the most entries of a text; ``None`` without one."""
+    def ends(frames):
+        for frame in frames:
+            texts = frame["text"].tolist()
+            if texts:
+                yield pd.DataFrame({"prefix": [common_start(texts, COMMON)], "suffix": [common_start([t[::-1] for t in texts], COMMON)[::-1]], "rows": [len(texts)]})
+
+    spread = 4 * int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = vertices.select("id", col(first).alias("text"))
+    usual = texts.repartition(spread, "id").select("text").mapInPandas(ends, "prefix string, suffix string, rows bigint").groupBy("prefix", "suffix").agg(F.sum("rows").alias("rows"))
+    most = usual.orderBy(F.desc("rows"), "prefix", "suffix").first()
+    if most is None:
+        return None
+    prefix, suffix = most["prefix"], most["suffix"]
+    length = F.char_length("text")
+    inner = F.col("text").startswith(prefix) & F.col("text").endswith(suffix) & (length >= len(prefix) + len(suffix))
+    rows = {(r["inner"], r["length"]): r["rows"] for r in texts.groupBy(inner.alias("inner"), length.alias("length")).agg(F.count(F.lit(1)).alias("rows")).collect()}
+    options = [({n for _, n in rows}, "", "")]
+    if prefix or suffix:
+        options.append(({-n if inside else n for inside, n in rows}, prefix, suffix))
+    found = []
+    for kinds, start, end in options:
+        fixed = len(start) + len(end)
+        plan = _plan(threshold, kinds, fixed)
+        if plan is not None:
+            entries = {kind: _entries_of(kind, by, fixed) for kind, by in plan.items()}
+            total = sum(n * entries[-length if inside and fixed else length] for (inside, length), n in rows.items())
+            found.append((total, Index(plan, start, end), max([1, *entries.values()])))
+    return min(found, key=lambda f: f[0])[1:] if found else None
+
+
+def _variants(vertices: DataFrame, first: str, plan: Index | dict[int, dict[int, list[int]]]) -> DataFrame:
+    """``(id, own, meets)``: hashes of a text's subsequences with its own kind and a partner's, and the hash that such a partner has as its own."""
+    index = plan if isinstance(plan, Index) else Index(plan)
+
+    def entries(frames):
+        for frame in frames:
+            ids = frame["id"].to_numpy()
+            texts = frame["text"].tolist()
+            for numbers, own, meets in index.keys(texts, index.kinds(texts)):
+                yield pd.DataFrame({"id": ids[numbers], "scope": frame["scope"].to_numpy()[numbers], "own": own.view(np.int64), "meets": meets.view(np.int64)})
+
+    made = vertices.select("id", F.xxhash64("scope").alias("scope"), col(first).alias("text")).mapInPandas(entries, "id bigint, scope bigint, own bigint, meets bigint")
+    return made.select("id", F.xxhash64("scope", "own").alias("own"), F.xxhash64("scope", "meets").alias("meets"))
+
+
+def _indexed(vertices: DataFrame, checks: dict[str, tuple[str, float]], index: Index, heads: int) -> DataFrame:
     """``leader_pairs`` by an index of subsequences."""
     none = vertices.sparkSession.createDataFrame([], "low bigint, high bigint, score double")
-    if not any(plan.values()):
+    if not any(index.plan.values()):
         return none
     first, shown = next(iter(checks)), list(checks)
     placed = numbered(vertices.select(F.md5(F.to_json("within").cast("binary")).alias("scope"), "id", *cols(shown)), ["scope", "id"], "_place")
     # Heads are chosen by chunks of places, whose sizes are a small table.
-    placed = cut(placed.withColumn("chunk", F.floor(F.col("_place") / max(1, heads // 8))).drop("_place"))
+    undecided = cut(placed.withColumn("chunk", F.floor(F.col("_place") / max(1, heads // 8))).select("scope", "chunk", "id", *cols(shown)))
+    kept = "scope string, chunk bigint, id bigint, " + ", ".join(f"{quoted(c)} string" for c in shown) + ", low bigint, score double"
+    spread = 4 * int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    upto, everywhere = Window.partitionBy("scope").orderBy("chunk"), Window.partitionBy("scope")
+    found: list[DataFrame] = []
+    before, met, narrowed = None, undecided, False
+    while True:
+        sizes = undecided.groupBy("scope", "chunk").agg(F.count(F.lit(1)).alias("n"))
+        placing = sizes.withColumns({"upto": F.sum("n").over(upto), "place": F.row_number().over(upto)}).withColumn("now", (F.col("upto") <= heads) | (F.col("place") == 1))
+        scopes = cut(placing.groupBy("scope").agg(F.sum("n").alias("rows"), F.max(F.when(F.col("now"), F.col("chunk"))).alias("last"), F.sum(F.when(~F.col("now"), F.col("n")).otherwise(0)).alias("behind")))
+        left, behind = scopes.agg(F.sum("rows"), F.sum("behind")).first()
+        if not left:
+            break
+        if not narrowed and before is not None and left > SLOW * heads and SLOW * (before - left) < left:
+            # Sweeps that settle little go on with texts that share an entry.
+            narrowed = True
+            undecided = cut(undecided.join(_sharing(undecided, first, index, spread), "id", "left_semi"))
+            discard(met)
+            met = undecided
+            continue
+        placed = attach(undecided, scopes, ["scope"], total=left)
+        head = placed.where("chunk <= last").select(*cols(undecided.columns)).repartition(spread, "scope")
+        decided = cut(head.groupBy("scope").applyInPandas(_cluster_indexed(checks, index), kept))
+        found.append(decided.where("low <> id").select("low", F.col("id").alias("high"), "score"))
+        if not behind:
+            break
+        tiles = F.ceil(F.col("behind") / INDEX_TILE)
+        members = placed.where("chunk > last").withColumn("tile", F.pmod(F.xxhash64("id"), tiles)).select(*cols(undecided.columns), "tile").repartition(spread, "scope", "tile")
+        leading = attach(decided.where("low = id").select("scope", "id", *cols(shown)), scopes.where("behind > 0"), ["scope"], total=left)
+        leaders = leading.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1))).select("scope", "id", *cols(shown), "tile").repartition(spread, "scope", "tile")
+        past, met = met, cut(members.groupBy("scope", "tile").cogroup(leaders.groupBy("scope", "tile")).applyInPandas(_meet_indexed(checks, index), kept))
+        found.append(cut(met.where("low IS NOT NULL").select("low", F.col("id").alias("high"), "score")))
+        before, undecided = left, met.where("low IS NULL").select(*cols(undecided.columns))
+        discard(past)
+    return union_all(found) if found else none
+
+
+def _sharing(vertices: DataFrame, first: str, index: Index, spread: int) -> DataFrame:
+    """Ids of the vertices that share an index entry with another."""
     # A short text has many entries: texts are dealt out before, and entries meet in one shuffle.
-    spread = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = _variants(placed.repartition(spread, "id"), first, plan).withColumn("pair", F.least("own", "meets"))
+    every = _variants(vertices.repartition(spread, "id"), first, index).select("id", F.least("own", "meets").alias("pair"))
     alike = Window.partitionBy("pair")
     several = every.withColumns({"a": F.min("id").over(alike), "b": F.max("id").over(alike)}).where("a <> b")
-    entries = cut(several.select("id", "own", "meets"))
-    undecided = cut(placed.join(entries.select("id").distinct(), "id", "left_semi"))
-    found: list[DataFrame] = []
-    upto = Window.partitionBy("scope").orderBy("chunk")
-    left = indexed = undecided.count()
-    while left:
-        sizes = undecided.groupBy("scope", "chunk").agg(F.count(F.lit(1)).alias("rows"))
-        now = sizes.select("scope", "chunk", F.sum("rows").over(upto).alias("total"), F.row_number().over(upto).alias("n")).where((F.col("total") <= heads) | (F.col("n") == 1))
-        head = cut(undecided.join(now.select("scope", "chunk"), ["scope", "chunk"], "left_semi"))
-        known = entries.join(head.select("id"), "id").groupBy("id").agg(F.collect_list(F.struct("own", "meets")).alias("k")).select("id", "k.own", "k.meets")
-        decided = cut(head.join(known, "id").groupBy("scope").applyInPandas(_cluster_indexed(checks), "low bigint, id bigint, score double"))
-        rest = cut(undecided.join(decided.select("id"), "id", "left_anti"))
-        leading = entries.join(decided.where("low = id").select("id"), "id", "left_semi").select(F.col("id").alias("low"), F.col("own").alias("meets"))
-        # Heads come before all others of their scope.
-        later = entries.join(rest.select("id"), "id", "left_semi").select(F.col("id").alias("high"), "meets")
-        pairs = later.join(leading, "meets").where("low < high").select("low", "high").distinct()
-        met = cut(_scored(pairs, vertices, checks).groupBy("high").agg(F.min(F.struct("low", "score")).alias("m")).select("m.low", "high", "m.score"))
-        found += [decided.where("low <> id").select("low", F.col("id").alias("high"), "score"), met]
-        before, undecided = undecided, cut(rest.join(met.select(F.col("high").alias("id")), "id", "left_anti"))
-        discard(before, rest, head)
-        left = undecided.count()
-        if 2 * left <= indexed:   # the index is written anew when half of its texts are settled
-            past, entries, indexed = entries, cut(entries.join(undecided.select("id"), "id", "left_semi")), left
-            discard(past)
-    return union_all(found) if found else none
+    return several.select("id").distinct()
+
 
+def _passing(checks: dict[str, tuple[str, float]], leader: list[str], text: list[str]) -> float | None:
+    """The lowest score of a leader and another text, if every check is passed."""
+    values = []
+    for (algorithm, threshold), a, b in zip(checks.values(), leader, text):
+        if algorithm == "difflib" and ratio(a, b) < threshold - 1e-9:
+            return None   # matching blocks are a common subsequence
+        values.append(SCORERS[algorithm](a, b))
+        if values[-1] < threshold:
+            return None
+    return min(values)
 
-def _cluster_indexed(checks: dict[str, tuple[str, float]]):
-    """Greedy clusters of the heads of one scope in the order of ids; a row meets the leaders that share an entry with it."""
+
+def _cluster_indexed(checks: dict[str, tuple[str, float]], index: Index):
+    """Greedy clusters of the heads of one scope in the order of ids; a leader meets the rows that share an entry with it."""
     def cluster(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", ignore_index=True)
-        texts = [(SCORERS[algorithm], threshold, frame[c].tolist()) for c, (algorithm, threshold) in checks.items()]
-        ids, low, score, leaders = frame["id"].tolist(), frame["id"].tolist(), [100.0] * len(frame), {}
-        for k, (own, meets) in enumerate(zip(frame["own"], frame["meets"])):
-            for j in sorted({j for key in meets.tolist() for j in leaders.get(key, ())}):
-                values = []
-                for scorer, threshold, column in texts:
-                    values.append(scorer(column[j], column[k]))
-                    if values[-1] < threshold:
-                        break
-                else:
-                    low[k], score[k] = ids[j], min(values)
-                    break
-            else:
-                for key in own.tolist():
-                    leaders.setdefault(key, []).append(k)
-        return pd.DataFrame({"low": low, "id": ids, "score": score})
+        texts = list(zip(*[frame[c].tolist() for c in checks]))
+        ids, low, score = frame["id"].to_numpy(), frame["id"].to_numpy().copy(), np.full(len(frame), 100.0)
+        firsts = [t[0] for t in texts]
+        blocks = list(index.keys(firsts, index.kinds(firsts)))
+        own, rows = gathered(blocks, 1)
+        meets, others = gathered(blocks, 2)
+        start, stop = np.searchsorted(meets, own, "left"), np.searchsorted(meets, own, "right")
+        some = np.flatnonzero(stop > start)
+        some = some[np.argsort(rows[some], kind="stable")]
+        start, stop = start[some], stop[some]
+        first = np.searchsorted(rows[some], np.arange(len(texts) + 1)).tolist()
+        alive = np.ones(len(texts), bool)
+        for k in range(len(texts)):
+            if alive[k] and first[k] < first[k + 1]:
+                near = np.concatenate([others[start[e]:stop[e]] for e in range(first[k], first[k + 1])])
+                for other in np.unique(near[(near > k) & alive[near]]).tolist():
+                    value = _passing(checks, texts[k], texts[other])
+                    if value is not None:
+                        alive[other], low[other], score[other] = False, ids[k], value
+        return frame.assign(low=low, score=score)[["scope", "chunk", "id", *checks, "low", "score"]]
     return cluster
 
 
+def _meet_indexed(checks: dict[str, tuple[str, float]], index: Index):
+    """The members of a tile with the first leader each resembles, if any."""
+    def meet(members: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+        leaders = leaders.sort_values("id", ignore_index=True)
+        texts, leading = (list(zip(*[frame[c].tolist() for c in checks])) for frame in (members, leaders))
+        firsts, leads = [t[0] for t in texts], [t[0] for t in leading]
+        kinds, met = index.kinds(firsts), index.kinds(leads)
+        lookup = Lookup(*gathered(list(index.keys(leads, met, set(kinds))), 1))
+        partners = set(met)
+        ids = leaders["id"].tolist()
+        low, score = np.zeros(len(texts), np.int64), np.full(len(texts), np.nan)
+        for at in range(0, len(texts), MEETING):
+            blocks = [lookup.near(b[0], b[2]) for b in index.keys(firsts[at:at + MEETING], kinds[at:at + MEETING], partners)]
+            done = -1
+            for number, leader in (p for pairs in lookup.pairs(blocks) for p in zip(*(x.tolist() for x in pairs))):
+                if number != done:
+                    value = _passing(checks, leading[leader], texts[at + number])
+                    if value is not None:
+                        done, low[at + number], score[at + number] = number, ids[leader], value
+        found = ~np.isnan(score)
+        return members.assign(low=pd.Series(low, members.index, "Int64").where(found), score=score)[["scope", "chunk", "id", *checks, "low", "score"]]
+    return meet
+
+
 def _joined(vertices: DataFrame, checks: dict[str, tuple[str, float]], heads: int) -> DataFrame:
     """``leader_pairs`` by blocks of shared tokens."""
     first, (algorithm, threshold) = next(iter(checks.items()))
@@ -494,13 +602,15 @@ def fuzzy_groups_on(df: DataFrame, checks: dict[str, tuple[str, float]], within:
     if unknown:
         raise ValueError(f"unknown algorithm {unknown[0]}")
     keys = within or []
-    form = lambda c: _word_order(text.normal_form(as_text(df, c))) if c in sort_words else text.normal_form(as_text(df, c))
     inside = F.struct(*[col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
     rows = df.na.drop("all", subset=[quoted(n) for n in keys]) if keys else df
-    rows = rows.select(F.col(ROW_ID), inside.alias("within"), *[form(c).alias(f"t_{c}") for c in checks])
+    rows = rows.select(F.col(ROW_ID), inside.alias("within"), *[as_text(df, c).alias(f"t_{c}") for c in checks])
+    # Texts are few bytes and much work: they are spread by number, and written before a filter would make each form again.
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), ROW_ID, *cols([f"t_{c}" for c in checks]))
+    form = lambda c: _word_order(text.normal_form(col(f"t_{c}"))) if c in sort_words else text.normal_form(col(f"t_{c}"))
+    rows = cut(rows.select(ROW_ID, "within", *[form(c).alias(f"t_{c}") for c in checks]))
     for c in checks:
         rows = rows.where(col(f"t_{c}") != "")
-    rows = cut(rows)
     forms = ["within", *[f"t_{c}" for c in checks]]
     sized = rows.groupBy(*cols(forms)).agg(F.min(ROW_ID).alias("id"), F.count(F.lit(1)).alias("rows"))
     sized = cut(sized)
